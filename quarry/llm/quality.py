@@ -117,7 +117,7 @@ def _language(lang: Column) -> Column:
     return F.when(lang.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), lang))
 
 
-def quality(docs: DataFrame, width: float = 1.5, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 21) -> DataFrame:
+def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 21) -> DataFrame:
     """Counts, perplexity and verdict for every row of ``docs`` (doc_id, text, lang).
 
     The band of a language is its quartiles of log perplexity, ``width``
@@ -161,7 +161,7 @@ def quality(docs: DataFrame, width: float = 1.5, short: float = 150.0, order: in
     scored = scored.withColumn("_lang", _language(F.col("lang")))
     quartiles = scored.where(~F.col("base_failed")).groupBy("_lang").agg(F.percentile_approx("log10_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
-    beyond = width * (1 + short / F.col("n_words")) * (high - low)
+    beyond = width * (1 + short / F.greatest("n_words", F.lit(1))) * (high - low)
     inside = F.col("log10_perplexity").between(F.col("band_low"), F.col("band_high"))
     return (
         scored.join(quartiles, "_lang", "left")
