@@ -56,7 +56,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def count(
     docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], flagged: bool = False, most: int = 2_000_000
 ) -> DataFrame:
-    """(code, n) over all rows, or (code, flag, n) with a boolean ``flag`` column of ``docs``.
+    """(code, n) over all rows, or (code, n, n_flagged) with a boolean ``flag`` column of ``docs``.
 
     Each task adds up its own counts, at most ``most`` at a time, before the
     shuffle.
@@ -89,10 +89,11 @@ def count(
             yield out()
 
     columns = [F.col("text").cast("string")] + ([F.col("flag").cast("boolean")] if flagged else [])
-    sums = docs.select(*columns).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
+    sums = docs.select(*columns).mapInArrow(run, schema)
     if not flagged:
-        return sums.select(F.col("key").alias("code"), "n")
-    return sums.select(F.shiftright("key", 1).alias("code"), (F.col("key") % 2 == 1).alias("flag"), "n")
+        return sums.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))
+    marked = F.sum(F.when(F.col("key") % 2 == 1, F.col("n")).otherwise(0)).alias("n_flagged")
+    return sums.groupBy(F.shiftright("key", 1).alias("code")).agg(F.sum("n").alias("n"), marked)
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
