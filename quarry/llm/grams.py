@@ -145,8 +145,8 @@ def split_by_count(table: DataFrame, most: int) -> tuple[tuple, DataFrame | None
             break
         least = r["bin"]
     table = table.withColumn("_bin", F.floor(F.log2(F.col("n") + 1) * 8))
-    hot = table.where(F.col("_bin") >= least if least is not None else F.lit(False)).select("code", "value").toPandas()
-    arrays = HashArray.arrays(hot["code"].to_numpy(np.int64).view(np.uint64), hot["value"].to_numpy(np.float64))
+    hot = table.where(F.col("_bin") >= least if least is not None else F.lit(False)).select("code", "value").toArrow()
+    arrays = HashArray.arrays(hot["code"].to_numpy().view(np.uint64), hot["value"].to_numpy())
     if rows <= most:
         return arrays, None
     return arrays, table.where(F.col("_bin") < least if least is not None else F.lit(True)).select("code", "value")

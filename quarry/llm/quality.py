@@ -117,7 +117,7 @@ def _language(lang: Column) -> Column:
     return F.when(lang.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), lang))
 
 
-def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 21) -> DataFrame:
+def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 20) -> DataFrame:
     """Counts, perplexity and verdict for every row of ``docs`` (doc_id, text, lang).
 
     The band of a language is its quartiles of log perplexity, ``width``
