@@ -112,7 +112,7 @@ def byte_model(table: DataFrame, depth: int) -> DataFrame:
 
     dealt = table.repartition(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
     rows = materialize(dealt.mapInPandas(near, "code long, n long, bits array<double>"), "ctw-near")
-    nodes = rows.where("n < 0").groupBy(F.col("code").alias("key")).agg(*[F.sum(F.col("bits")[i]).alias(c) for i, c in enumerate(("zeros", "ones", "product"))]).toPandas()
+    nodes = rows.where("n < 0").groupBy(F.col("code").alias("key")).agg(*[F.sum(F.col("bits")[i]).alias(c) for i, c in enumerate(("zeros", "ones", "product"))]).toArrow().to_pandas()
     shared = table.sparkSession.sparkContext.broadcast(top_levels(nodes))
 
     def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +159,7 @@ def count_tokens(texts: DataFrame, most: int = 300_000) -> DataFrame:
     return texts.select(F.col("text").cast("string")).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_texts(docs: DataFrame, depth: int = 4, folds: int = 10, most_words: int = 1 << 19, most_strings: int = 1 << 21) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 4, folds: int = 10, most_words: int = 1 << 18, most_strings: int = 1 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for every row of ``docs``.
 
     Learns from the rows whose crc32(doc_id as text) mod ``folds`` is not 0; a
@@ -230,8 +230,8 @@ def common_words(words: DataFrame, most: int) -> tuple[dict[bytes, float], DataF
         if rows > most:
             break
         least = r["_bin"]
-    hot = words.where(F.col("_bin") >= least if least is not None else F.lit(False)).select("word", "value").toPandas()
-    known = dict(zip(map(bytes, hot["word"]), hot["value"].tolist()))
+    hot = words.where(F.col("_bin") >= least if least is not None else F.lit(False)).select("word", "value").toArrow()
+    known = dict(zip(hot["word"].to_pylist(), hot["value"].to_pylist()))
     if rows <= most:
         return known, None
     return known, words.where(F.col("_bin") < least if least is not None else F.lit(True)).select("word", "value")

@@ -142,7 +142,7 @@ def identify(docs: DataFrame, folds: int = 5, path: str = VOCABULARY, words_at_o
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     base = base.withColumn("held_out", F.coalesce(_checksum(F.col("doc_id"), folds) == 0, F.lit(False)))
     learn = base.where("not held_out and doc_id is not null and lang is not null and text is not null")
-    table = piece_counts(learn, path).toPandas()
+    table = piece_counts(learn, path).toArrow().to_pandas()
     pieces = load_pieces(path)
     langs = sorted(table["lang"].unique())
     sums = np.zeros((max(pieces.values()) + 1, len(langs)))
