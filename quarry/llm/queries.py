@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, langid, mixing, pii, quality, secret_scan, simhash, suffixes
+from . import chat, ctw, decontaminate, langid, mixing, pii, quality, secret_scan, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, width=1, radius=4)
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), threshold=400)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -47,11 +55,13 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_preferences": op2_preferences,
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_repeats": op7_repeats,
+    "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_ctw": op10_ctw,
 }
