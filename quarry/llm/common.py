@@ -47,6 +47,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A broadcast of a table of up to ``most`` rows; a larger one as it is, to be joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 from .spans import let
 
 #: Units of measure that are placeholders of their own (fixed values).
@@ -33,8 +33,6 @@ PLACEHOLDERS = (
 )
 #: Template tokens in a run: a power of two, as runs are hashed by doubling. Fewest of them that are no placeholders.
 RUN, LITERALS = 8, 4
-#: Tables up to this many rows are broadcast to the texts.
-BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -68,11 +66,6 @@ def _pairs(by: int):
     return of
 
 
-def _bounded(table: DataFrame) -> DataFrame:
-    """A broadcast of the table if it is small enough, else the table."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, runs, item_runs, slots, changed) of documents that hold an item of ``benchmark``.
 
@@ -101,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     texts = docs.select(F.col("doc_id").cast("long"), text)
     texts = texts.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
     spread = texts.select("k1", "k2", F.posexplode(runs(tokens(F.col("text")))).alias("at", "run"))
-    hits = spread.join(_bounded(wanted), "run").select("k1", "k2", "at", "item", "item_at").distinct()
+    hits = spread.join(bounded(wanted), "run").select("k1", "k2", "at", "item", "item_at").distinct()
     hits = materialize(hits, "bench-hits")
 
     # diagonals that are long enough, then their placeholders
@@ -111,7 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     near = near.join(long_ones, ["k1", "k2", "item", "diagonal"])
     lists = near.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "item", "item_at", "diagonal", "runs", "item_runs")).alias("own"))
     lists = materialize(lists, "bench-lists")
-    held = texts.select("k1", "k2", "text").join(_bounded(lists), ["k1", "k2"])
+    held = texts.select("k1", "k2", "text").join(bounded(lists), ["k1", "k2"])
     held = held.select("k1", "k2", tokens(F.col("text")).alias("words"), "own").select("k1", "k2", "words", F.explode("own").alias("h"))
     held = held.select("k1", "k2", "h.*", F.slice("words", F.col("h.at") + 1, RUN).alias("there")).join(items, "item")
     pairs = F.zip_with("there", F.slice("item_words", F.col("item_at") + 1, RUN), lambda t, i: F.struct(i.alias("i"), t.alias("t")))

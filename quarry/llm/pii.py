@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 from .spans import count_kind, matches, ordered, printed
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -28,8 +28,6 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A term: a run of three letters or more.
 TERM = r"\p{L}{3,}+"
-#: Rows up to which a table of terms is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def digits(value: Column) -> Column:
@@ -70,8 +68,7 @@ def revealing(rows: DataFrame, generalise: float, remove: float, min_contexts: i
     together = near.select("k1", "k2", "value", "term").distinct().join(pairs, ["value", "term"], "left_semi").groupBy("value", "term").agg(F.count("*").alias("both"))
     texts = rows.select("k1", "k2").distinct().count()
     values = found.select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value")).distinct().groupBy("value").agg(F.count("*").alias("with_value"))
-    wanted = pairs.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    wanted = bounded(pairs.select("term").distinct())
     spread = rows.select("k1", "k2", F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
     spread = spread.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
     whole = together.join(values, "value").join(spread, "term")
@@ -81,8 +78,8 @@ def revealing(rows: DataFrame, generalise: float, remove: float, min_contexts: i
     return whole.where(share >= generalise).select("value", "term", (share >= remove).alias("removed"))
 
 
-def find(docs: DataFrame, generalise: float = 0.7, remove: float = 0.9, min_contexts: int = 3, reach: int = 48) -> DataFrame:
-    """(doc_id, text, base, spans, removed) for every row of ``docs`` (doc_id, text), null text as empty.
+def find(docs: DataFrame, *carry: Column, generalise: float = 0.7, remove: float = 0.9, min_contexts: int = 3, reach: int = 48) -> DataFrame:
+    """(doc_id, text, base, spans, removed, carried) for every row of ``docs`` (doc_id, text), null text as empty.
 
     ``base`` has the entities of known form, ``spans`` adds the terms that
     reveal one of the text's entities, and ``removed`` lists those of them that
@@ -92,23 +89,21 @@ def find(docs: DataFrame, generalise: float = 0.7, remove: float = 0.9, min_cont
     information must reach ``generalise``, or ``remove``. A text's terms inside
     its entities are not added. Counts are over different texts. Repeated rows
     come back as often as they came; a null doc_id stays null; no rows give no
-    rows. Other columns are ignored.
+    rows. Of other columns, those in ``carry`` come along.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long"), text)
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    rows = docs.select(F.col("doc_id").cast("long"), text, F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    rows = rows.select("doc_id", "text", "carried", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
     rows = rows.withColumn("base", entities(F.col("text")))
     told = materialize(revealing(rows, generalise, remove, min_contexts, reach), "pii-terms")
     if told.isEmpty():
-        return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(F.col("base"), KINDS).alias("spans"), F.array().cast("array<string>").alias("removed"))
+        return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(F.col("base"), KINDS).alias("spans"), F.array().cast("array<string>").alias("removed"), "carried")
     holds = rows.where(F.size("base") > 0).select("k1", "k2", F.explode("base").alias("s")).select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value")).distinct()
     lists = holds.join(told, "value").groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("removed"))
-    lists = materialize(lists, "pii-lists")
-    lists = F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists
-    rows = rows.join(lists, ["k1", "k2"], "left")
+    rows = rows.join(bounded(materialize(lists, "pii-lists")), ["k1", "k2"], "left")
     terms = F.filter(matches(F.col("text"), TERM, "term", F.col("terms").isNotNull()), lambda t: F.array_contains("terms", F.lower(t["value"])) & ~F.exists("base", lambda b: (b["at"] < t["end"]) & (t["at"] < b["end"])))
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", terms))
-    return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(spans, KINDS).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
+    return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(spans, KINDS).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"), "carried")
 
 
 def sanitise(text: Column, spans: Column, removed: Column) -> Column:

@@ -23,15 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize
+from .common import bounded, by_batch, materialize
 from .grams import mixed
 
 #: Length of the strings whose least name stands for a longer one.
 SEED = 100
 #: Most starts in one block, and most bytes of a text that are named at once.
 BLOCK, SEGMENT = 1024, 1 << 20
-#: Joins with the texts broadcast the other side up to this many rows.
-BROADCAST_ROWS = 1_000_000
 
 KEY = ["k1", "k2"]
 
@@ -98,14 +96,6 @@ def _blocks(texts: DataFrame, threshold: int) -> DataFrame:
     return by_batch(texts.select(*KEY, "text"), run, "k1 long, k2 long, name long, b1 long, b2 long, lo long, size int, twice boolean")
 
 
-def _with_texts(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each different text that ``lists`` has a row for, with that row."""
-    once = texts
-    if lists.count() <= BROADCAST_ROWS:
-        return once.join(F.broadcast(lists), KEY)
-    return once.join(lists, KEY)
-
-
 def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs`` (doc_id, text).
 
@@ -158,7 +148,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
         if out["at"]:
             yield {c: np.concatenate(v) for c, v in out.items()}
 
-    found = by_batch(_with_texts(one_text, lists), windows, "name long, full long, b1 long, b2 long, at int")
+    found = by_batch(one_text.join(bounded(materialize(lists, "repeat-lists")), KEY), windows, "name long, full long, b1 long, b2 long, at int")
     # equal texts in several tasks give the same rows
     found = materialize(found, "repeat-windows")
     again = found.groupBy("name", "full").agg(F.min("b1").alias("x1"), F.max("b1").alias("y1"), F.min("b2").alias("x2"), F.max("b2").alias("y2"), F.min("at").alias("xa"), F.max("at").alias("ya"))
@@ -184,7 +174,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
             out["kept_sha256"].append(hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
         return out
 
-    joined = _with_texts(one_text, cuts).select(*KEY, "text", "cuts")
+    joined = one_text.join(bounded(cuts), KEY).select(*KEY, "text", "cuts")
     done = by_batch(joined, remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string").distinct()
     base = texts.select("doc_id", *KEY, "n_bytes", F.sha2("text", 256).alias("sha"))
     return base.join(done, KEY, "left").select(
