@@ -71,9 +71,9 @@ def words(text: Column) -> Column:
 
 
 def by_batch(
-    df: DataFrame, fn: Callable[[dict], Iterator[dict] | dict], schema: str
+    df: DataFrame, fn: Callable[[dict], Iterator[dict] | dict], schema: str, rows: int = 1000
 ) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch as a dict of Python lists.
+    """Apply ``fn`` to up to ``rows`` rows of an Arrow batch at a time, as a dict of Python lists.
 
     ``fn`` gives one dict of columns, or several in turn, in the order of
     ``schema``.
@@ -82,11 +82,12 @@ def by_batch(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch.to_pydict())
-            for columns in [out] if isinstance(out, dict) else out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[f.name], type=f.type) for f in target], schema=target
-                )
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows).to_pydict())
+                for columns in [out] if isinstance(out, dict) else out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(columns[f.name], type=f.type) for f in target], schema=target
+                    )
 
     return df.mapInArrow(run, schema)
 

@@ -147,8 +147,8 @@ def count_tokens(texts: DataFrame, most: int = 300_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=target)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for column in (b.slice(at, 1000).column(0) for b in batches for at in range(0, b.num_rows, 1000)):
+            for text in column.to_pylist():
                 found.update(tokens(text))
                 if len(found) > most:
                     yield out()
@@ -209,10 +209,9 @@ def score_texts(docs: DataFrame, depth: int = 4, folds: int = 10, most_words: in
             yield out | {"score": sums, "n_bytes": number - 1, "cold": cold}
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<binary>, score double, n_bytes long, cold array<long>"
-    scored = materialize(by_batch(base.drop("flag"), run, schema), "ctw-scores")
+    scored = materialize(by_batch(base.drop("flag"), run, schema).withColumn("_row", F.monotonically_increasing_id()), "ctw-scores")
     scored = grams.add_cold(scored, cold_strings, "score", "cold")
     if joined:
-        scored = scored.withColumn("_row", F.monotonically_increasing_id())  # of a written table: always the same
         rare = scored.select("_row", F.explode("rare").alias("word")).join(cold_words, "word", "left")
         rare = rare.groupBy("_row").agg(F.sum(F.coalesce("value", F.lit(unseen))).alias("_more"), F.count("value").alias("_known"))
         scored = scored.drop("rare").join(rare, "_row", "left")

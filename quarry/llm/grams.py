@@ -71,8 +71,7 @@ def count(
             keys, sums = parts[0]
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], schema=target)
 
-        for batch in batches:
-            got = batch.to_pydict()
+        for got in (b.slice(at, 1000).to_pydict() for b in batches for at in range(0, b.num_rows, 1000)):
             flags = np.array(got["flag"], np.uint64) if flagged else None
             for buffer, rows, grams in pieces([prepare(t) for t in got["text"]], n):
                 keys = codes(buffer, grams, n)
@@ -171,11 +170,10 @@ def look_up(texts: list[bytes], n: int, hot: HashArray) -> tuple[np.ndarray, np.
 
 
 def add_cold(scored: DataFrame, rest: DataFrame | None, total: str, cold: str, default: float = 0.0) -> DataFrame:
-    """``scored`` with the values of the codes in its array column ``cold`` added to ``total``."""
+    """``scored`` with the values of the codes in its array column ``cold`` added to ``total``; ``_row`` names its rows."""
     if rest is None:
         return scored.drop(cold)
-    scored = scored.withColumn("_row", F.monotonically_increasing_id())  # of a written table: always the same
     found = scored.select("_row", F.explode(cold).alias("code")).join(rest, "code", "left")
     found = found.groupBy("_row").agg(F.sum(F.coalesce("value", F.lit(default))).alias("_more"))
     joined = scored.join(found, "_row", "left")
-    return joined.withColumn(total, F.col(total) + F.coalesce("_more", F.lit(0.0))).drop("_row", "_more", cold)
+    return joined.withColumn(total, F.col(total) + F.coalesce("_more", F.lit(0.0))).drop("_more", cold)

@@ -154,7 +154,7 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
             }
 
     schema = f"doc_id long, lang string, {FEATURES}, log10_p double, n_grams long, cold array<long>"
-    scored = materialize(by_batch(base, run, schema), "quality-scores")
+    scored = materialize(by_batch(base, run, schema).withColumn("_row", F.monotonically_increasing_id()), "quality-scores")
     scored = grams.add_cold(scored, rest, "log10_p", "cold")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("log10_perplexity", F.round(-F.col("log10_p") / F.col("n_grams"), 9))
@@ -168,5 +168,5 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
         .withColumn("band_low", low - beyond)
         .withColumn("band_high", high + beyond)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
-        .drop("_lang", "n_grams", "q")
+        .drop("_lang", "_row", "n_grams", "q")
     )
