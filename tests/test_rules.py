@@ -160,3 +160,29 @@ def test_changes_are_idempotent_and_late_events_do_nothing(spark, tmp_path):
 
     changes.change_stream(stream, apply, str(tmp_path / "ck")).awaitTermination(60)
     assert rows(state["table"], "id", "size") == [(1, 2.0)]
+
+
+def test_hybrid_search_scopes_before_ranking(spark):
+    from quarry.plans import search
+
+    rows_ = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.436]), (3, [0.0, 1.0]), (4, [1.0, 0.0])], "id long, vector array<double>")
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "alpha alpha"), (4, "alpha")], "id long, text string")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<double>")
+    p = spark.createDataFrame([(7, "alpha")], "query_id long, phrase string")
+    scope = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    got = [r.id for r in search.hybrid(q, p, rows_, docs, ["text"], scope=scope).orderBy(F.desc("score"), "id").collect()]
+    assert got[0] == 1 and 4 not in got
+    lists = spark.createDataFrame([(7, 0, 1, 0.9), (7, 1, 2, 0.8), (7, 1, 1, 0.7)], "query_id long, clue int, id long, score double")
+    assert [r.id for r in search.merge_clues(lists, 1).collect()] == [1]
+
+
+def test_library_rules(spark):
+    from quarry.operators import library as L
+
+    row = spark.range(1).select(
+        L.keyword_bag(F.lit("a b" + " c" * 99)).alias("cut"), L.shared_keywords(F.array(*map(F.lit, "cab")), F.array(*map(F.lit, "abx"))).alias("shared"), L.markers(F.lit("x [2] y [1] [2] [0000009]")).alias("marks"),
+        L.filename_tokens(F.lit("My_trip-2024 (final).mp4")).alias("tokens"), L.box_overlap([F.lit(x) for x in (0.0, 0.0, 2.0, 2.0)], [F.lit(x) for x in (1.0, 0.0, 3.0, 2.0)]).alias("iou"), L.normalise_token(F.lit("Été ガ")).alias("plain"),
+    ).first()
+    assert len(row.cut) == 100 and row.shared == ["a", "b"] and row.marks == [2, 1] and row.tokens == ["my", "trip", "2024", "final"] and row.iou == pytest.approx(1 / 3) and row.plain == "ete ガ"
+    frames = spark.createDataFrame([(1, i) for i in range(25)], "f long, t long")
+    assert L.thin(frames, "f", "t", 10).count() == 10 and L.thin(frames, "f", "t", 30).count() == 25
