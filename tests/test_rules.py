@@ -186,3 +186,30 @@ def test_library_rules(spark):
     assert len(row.cut) == 100 and row.shared == ["a", "b"] and row.marks == [2, 1] and row.tokens == ["my", "trip", "2024", "final"] and row.iou == pytest.approx(1 / 3) and row.plain == "ete ガ"
     frames = spark.createDataFrame([(1, i) for i in range(25)], "f long, t long")
     assert L.thin(frames, "f", "t", 10).count() == 10 and L.thin(frames, "f", "t", 30).count() == 25
+
+
+def test_markdown_subtitles_and_windows(spark):
+    from quarry.operators import documents as D
+
+    md = spark.createDataFrame([(1, "# A\nintro\nmore\n\n## B\n- x\n1. y\n| h | i |\n|---|:-:|\n| 1 | 2 |\n# C\nend"), (2, None)], "id long, text string")
+    assert rows(D.markdown_segments(md), "segment", "kind", "path", "text") == [
+        (0, "paragraph", "A", "intro more"), (1, "bullet", "A > B", "x"), (2, "bullet", "A > B", "y"), (3, "row", "A > B", "h | i"), (4, "row", "A > B", "1 | 2"), (5, "paragraph", "C", "end"),
+    ]
+    vtt = "WEBVTT\n\n00:01.000 --> 00:03.000\nhello\n\n1\n00:00:02.500 --> 00:00:04,000 align:start\nhello\n<b>world</b> &amp; all\n\n"
+    cues = D.subtitle_cues(spark.createDataFrame([(1, vtt)], "id long, text string"))
+    assert rows(cues, "start", "end", "text") == [(1.0, 3.0, "hello"), (2.5, 4.0, "world & all")]
+    assert rows(D.clamped(cues), "end") == [(2.5,), (4.0,)]
+    assert rows(D.merged_cues(cues), "start", "end", "text") == [(1.0, 4.0, "hello world & all")]
+    row = spark.range(1).select(D.sample_windows(F.lit("abcdefghij" * 10), 10, 3).alias("w"), D.trim_to_sentence(F.lit("One two. Three four five"), 12).alias("s"), D.trim_to_sentence(F.lit("a. " + "b" * 30), 12).alias("hard")).first()
+    assert [len(x) for x in row.w] == [10, 10, 10] and row.s == "One two." and row.hard == "a. bbbbbbbbb"
+
+
+def test_citation_gates(spark):
+    from quarry.operators import documents as D
+
+    c = [(1, 0, "bullet", 3, 0.8), (1, 0, "bullet", 9, 0.79), (1, 1, "bullet", 1, 0.6), (1, 1, "bullet", 2, 0.58), (1, 2, "bullet", 1, 0.5), (1, 3, "paragraph", 1, 0.9), (1, 3, "paragraph", 60, 0.7)]
+    found = D.gated_citations(spark.createDataFrame(c, "file_id long, segment long, kind string, chunk long, score double"), spark.createDataFrame([(1, 100)], "file_id long, chunks long"))
+    assert {r[0] for r in rows(found, "segment")} == {0}
+    dense = spark.createDataFrame([(1, 0, 1, 0.9), (1, 0, 2, 0.8)], "file_id long, segment long, chunk long, score double")
+    ranks = spark.createDataFrame([(1, 0, 2, 1), (1, 0, 7, 2)], "file_id long, segment long, chunk long, rank long")
+    assert rows(D.in_list_ranks(dense, ranks, most=1), "chunk", "score") == [(2, 0.8)]
