@@ -21,12 +21,14 @@ _own_scratch: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset (tests, local mode) a temporary folder of this
-    process is used.
+    Only where that is unset, in local mode as in tests, a temporary folder of
+    this process is used; on a cluster the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="spark-scratch-"))
     return _own_scratch[0]
