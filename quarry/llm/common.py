@@ -49,9 +49,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(table: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A broadcast of a table of up to ``most`` rows; a larger one as it is, to be joined by a shuffle."""
-    return F.broadcast(table) if table.count() <= most else table
+def bounded(table: DataFrame, most: int = 1_000_000, items: Column | None = None) -> DataFrame:
+    """A broadcast of a table of up to ``most`` rows; a larger one as it is, to be joined by a shuffle.
+
+    For rows of no fixed size, ``items`` says how many a row counts for.
+    """
+    size = table.count() if items is None else table.agg(F.sum(items)).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -104,7 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     near = near.join(long_ones, ["k1", "k2", "item", "diagonal"])
     lists = near.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "item", "item_at", "diagonal", "runs", "item_runs")).alias("own"))
     lists = materialize(lists, "bench-lists")
-    held = texts.select("k1", "k2", "text").join(bounded(lists), ["k1", "k2"])
+    held = texts.select("k1", "k2", "text").join(bounded(lists, items=F.size("own")), ["k1", "k2"])
     held = held.select("k1", "k2", tokens(F.col("text")).alias("words"), "own").select("k1", "k2", "words", F.explode("own").alias("h"))
     held = held.select("k1", "k2", "h.*", F.slice("words", F.col("h.at") + 1, RUN).alias("there")).join(items, "item")
     pairs = F.zip_with("there", F.slice("item_words", F.col("item_at") + 1, RUN), lambda t, i: F.struct(i.alias("i"), t.alias("t")))

@@ -1,16 +1,16 @@
 """Removing long repeated byte strings by prefix doubling over named positions.
 
 Prefix doubling gives each position the rank of the string of length h that
-starts there, and gets ranks for 2h from the pairs of ranks at distance h. Here
-a rank is a 64-bit name, made of such a pair inside a task, up to ``SEED``
-bytes; there Spark groups the names of the corpus and lets go every position
-whose name is unique. It need not see all positions for that: a string of
-``threshold`` bytes is represented by the least name inside it, which is the
-same wherever the string occurs, and neighbouring strings share it (a block).
-Blocks that occur twice as a whole are repeated in full. Only blocks that occur
-once, beside different ones of the same name, are taken on position by position,
-each different block once, from ``SEED`` to the threshold, where Spark sorts the
-names again and what is still not unique is repeated.
+starts there, and gets ranks for longer ones from pairs of ranks at a distance;
+positions of unique rank are let go. Here a rank is a 64-bit name, made of such
+a pair inside a task, and Spark sorts the names of the corpus at each of
+``LENGTHS``. It need not see all positions for that: a string of ``threshold``
+bytes is represented by the least name inside it, which is the same wherever the
+string occurs, and neighbouring strings share it (a block). A block whose name
+is unique is done with. Blocks that occur twice as a whole are repeated in full.
+Only blocks that occur once, beside different ones of the same name, go on to
+the next length, each different block once; at the last length a block is one
+string, and what is still not unique is repeated.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import bounded, by_batch, materialize
 from .grams import mixed
 
-#: Length of the strings whose least name stands for a longer one.
-SEED = 100
+#: Lengths at which names are sorted, short of the threshold itself.
+LENGTHS = (100, 300, 380)
 #: Most starts in one block, and most bytes of a text that are named at once.
 BLOCK, SEGMENT = 1024, 1 << 20
 
@@ -60,40 +60,79 @@ def least(names: np.ndarray, width: int) -> np.ndarray:
     return names
 
 
-def text_blocks(text: bytes, threshold: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(name, first start, starts, whether the name occurs twice in it) for each block of a text."""
+def segments(text: bytes, own: list[dict], threshold: int) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, int]]]]:
+    """(place, bytes, parts) of a text, a segment at a time, with what of ``own`` (lo, size, weight) begins in it, from there."""
     for at in range(0, len(text) - threshold + 1, SEGMENT):
         raw = np.frombuffer(text[at : at + SEGMENT + threshold - 1], np.uint8)
-        if len(raw) < threshold:
-            return
-        names = names_of(raw, SEED)
-        low = least(names, threshold - SEED + 1)
-        cut = np.flatnonzero(low[1:] != low[:-1]) + 1
-        begin, end = np.r_[0, cut], np.r_[cut, len(low)]
-        where = np.sort(np.flatnonzero(names == low[np.minimum(np.arange(len(names)), len(low) - 1)]))
-        for b, e in zip(begin.tolist(), end.tolist()):
-            name = low[b]
+        inside = [(max(p["lo"], at) - at, min(p["lo"] + p["size"], at + SEGMENT) - at, p["weight"]) for p in own]
+        inside = sorted((a, min(b, len(raw) - threshold + 1), w) for a, b, w in inside if a < b)
+        if inside:
+            yield at, raw, inside
+
+
+def text_blocks(raw: np.ndarray, parts: list[tuple[int, int, int]], length: int, threshold: int) -> Iterator[tuple[int, int, int, bool, int]]:
+    """(name, first start, starts, whether the name occurs twice in it, weight) for each block of the parts of a segment."""
+    names = names_of(raw, length)
+    low = least(names, threshold - length + 1)
+    changes = np.flatnonzero(low[1:] != low[:-1]) + 1
+    for begin, end, weight in parts:
+        inner = changes[np.searchsorted(changes, begin, "right") : np.searchsorted(changes, end)].tolist()
+        for b, e in zip([begin, *inner], [*inner, end]):
             for s in range(b, e, BLOCK):
                 n = min(BLOCK, e - s)
-                span = names[s : s + n + threshold - SEED]
-                yield int(name.view(np.int64)), at + s, n, n > 1 and bool((span == name).sum() > 1)
+                twice = n > 1 and bool((names[s : s + n + threshold - length] == low[s]).sum() > 1)
+                yield int(low[s].view(np.int64)), s, n, twice, weight
 
 
-def _blocks(texts: DataFrame, threshold: int) -> DataFrame:
+BLOCKS = "k1 long, k2 long, name long, b1 long, b2 long, lo long, size int, twice boolean, weight long"
+
+
+def _strings(parts: DataFrame, threshold: int) -> DataFrame:
+    """The blocks of the last length: one for each start of ``parts``, told apart by two names."""
+
     def run(batch: dict) -> Iterator[dict]:
-        out: dict = {c: [] for c in ("k1", "k2", "name", "b1", "b2", "lo", "size", "twice")}
-        for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"]):
-            raw = text.encode()
-            for name, lo, n, twice in text_blocks(raw, threshold):
-                own = np.frombuffer(xxhash.xxh3_128_digest(raw[lo : lo + n + threshold - 1]), "<i8")
-                for c, v in zip(out, (k1, k2, name, own[0], own[1], lo, n, twice)):
-                    out[c].append(v)
-            if len(out["k1"]) > 50_000:
-                yield out
-                out = {c: [] for c in out}
+        held: list[tuple] = []
+
+        def out() -> dict:
+            sizes = [len(h[4]) for h in held]
+            many = lambda values, kind: np.repeat(np.array(values, kind), sizes)
+            names, other = (np.concatenate([h[i] for h in held]).view(np.int64) for i in (4, 5))
+            lo = np.concatenate([h[2] + np.arange(n) for h, n in zip(held, sizes)])
+            columns = {"k1": many([h[0] for h in held], np.int64), "k2": many([h[1] for h in held], np.int64), "name": names, "b1": names, "b2": other, "lo": lo}
+            return columns | {"size": np.ones(len(lo), np.int32), "twice": np.zeros(len(lo), bool), "weight": many([h[3] for h in held], np.int64)}
+
+        for k1, k2, text, own in zip(batch["k1"], batch["k2"], batch["text"], batch["own"]):
+            for at, raw, parts in segments(text.encode(), own, threshold):
+                names, other = names_of(raw, threshold), names_of(raw ^ np.uint8(0x5A), threshold)
+                held += [(k1, k2, at + a, w, names[a:b], other[a:b]) for a, b, w in parts]
+            if sum(len(h[4]) for h in held) > 200_000:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    return by_batch(parts.select(*KEY, "text", "own"), run, BLOCKS)
+
+
+def _blocks(parts: DataFrame, length: int, threshold: int) -> DataFrame:
+    """The blocks of ``parts`` (k1, k2, text, own), ``own`` having (lo, size, weight) of the starts to look at."""
+
+    def run(batch: dict) -> Iterator[dict]:
+        out: dict = {c: [] for c in ("k1", "k2", "name", "b1", "b2", "lo", "size", "twice", "weight")}
+        for k1, k2, text, own in zip(batch["k1"], batch["k2"], batch["text"], batch["own"]):
+            for at, raw, parts in segments(text.encode(), own, threshold):
+                whole = raw.tobytes()
+                for name, lo, n, twice, weight in text_blocks(raw, parts, length, threshold):
+                    b = xxhash.xxh3_128_intdigest(whole[lo : lo + n + threshold - 1])
+                    row = (k1, k2, name, (b >> 64) - 2**63, (b & (2**64 - 1)) - 2**63, at + lo, n, twice, weight)
+                    for c, v in zip(out, row):
+                        out[c].append(v)
+                if len(out["k1"]) > 50_000:
+                    yield out
+                    out = {c: [] for c in out}
         yield out
 
-    return by_batch(texts.select(*KEY, "text"), run, "k1 long, k2 long, name long, b1 long, b2 long, lo long, size int, twice boolean")
+    return by_batch(parts.select(*KEY, "text", "own"), run, BLOCKS)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
@@ -110,71 +149,61 @@ def remove_repeats(docs: DataFrame, threshold: int = 400) -> DataFrame:
         "doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), F.octet_length("text").cast("long").alias("n_bytes")
     )
     long_texts = texts.where(F.col("n_bytes") >= threshold)
-    blocks = materialize(_blocks(long_texts, threshold), "repeat-blocks")
-
-    # names that occur twice; then blocks, each different text once, with the number of its rows
-    shared = blocks.groupBy("name").agg(F.count("*").alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("name")
-    near = blocks.join(shared, "name").groupBy(*KEY, "lo", "size", "name", "b1", "b2", "twice").agg(F.count("*").alias("rows"))
-    near = materialize(near, "repeat-near")
-    variants = near.groupBy("name", "b1", "b2").agg(
-        F.sum("rows").alias("n"), F.max("twice").alias("twice"), *[F.first(c).alias(c) for c in (*KEY, "lo", "size")]
-    )
-    variants = materialize(variants, "repeat-variants")
-    open_names = variants.groupBy("name").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("twice").alias("t"))
-    open_names = open_names.where("least = 1 and (m > 1 or t)").select("name")
-    reps = materialize(variants.join(open_names, "name"), "repeat-open")
-
-    lists = reps.groupBy(*KEY).agg(F.collect_list(F.struct("name", "b1", "b2", "lo", "size")).alias("own"))
-    one_text = long_texts.select(*KEY, "text")
+    one = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("n_bytes") - threshold + 1).alias("size"), F.lit(1).cast("long").alias("weight")))
+    parts, spans = long_texts.withColumn("own", one), []
+    lengths = [n for n in LENGTHS if n < threshold] + [threshold]
+    for level, length in enumerate(lengths):
+        blocks = materialize(_blocks(parts, length, threshold) if length < threshold else _strings(parts, threshold), "repeat-blocks")
+        shared = blocks.groupBy("name").agg(F.sum("weight").alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("name")
+        # equal texts are rows of their own at first, and the same one thereafter
+        weight = F.sum("weight") if level == 0 else F.max("weight")
+        near = blocks.join(shared, "name").groupBy(*KEY, "lo", "size", "name", "b1", "b2", "twice").agg(weight.alias("weight"))
+        near = materialize(near, "repeat-near")
+        variants = near.groupBy("name", "b1", "b2").agg(
+            F.sum("weight").alias("n"), F.max("twice").alias("twice"), *[F.first(c).alias(c) for c in (*KEY, "lo", "size")]
+        )
+        variants = materialize(variants, "repeat-variants")
+        own = near if level == 0 else near.where("weight = 1")
+        spans.append(own.join(variants.where("n > 1").select("b1", "b2"), ["b1", "b2"]).select(*KEY, "lo", "size"))
+        if length == threshold:
+            break
+        names = variants.groupBy("name").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("twice").alias("t"))
+        names = names.where("least = 1 and (m > 1 or t)").select("name")
+        lists = variants.join(names, "name").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "size", F.col("n").alias("weight"))).alias("own"))
+        parts = long_texts.select(*KEY, "text").join(bounded(materialize(lists, "repeat-open"), items=F.size("own")), KEY)
+    found = spans[0]
+    for more in spans[1:]:
+        found = found.unionByName(more)
+    lists = found.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "size")).alias("spans"))
+
+    def merge(batch: dict) -> dict:
+        out: dict = {"k1": batch["k1"], "k2": batch["k2"], "cuts": []}
+        for spans in batch["spans"]:
+            ends = sorted((c["lo"], c["lo"] + c["size"] + threshold - 1) for c in spans)
+            merged = [list(ends[0])]
+            for a, b in ends[1:]:
+                if a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            out["cuts"].append([{"a": a, "b": b} for a, b in merged])
+        return out
 
-    def windows(batch: dict) -> Iterator[dict]:
-        done: set = set()
-        out: dict = {"name": [], "full": [], "b1": [], "b2": [], "at": []}
-        for k1, k2, text, own in zip(batch["k1"], batch["k2"], batch["text"], batch["own"]):
-            if (k1, k2) in done:
-                continue
-            done.add((k1, k2))
-            raw = text.encode()
-            for r in own:
-                n = r["size"]
-                full = names_of(np.frombuffer(raw[r["lo"] : r["lo"] + n + threshold - 1], np.uint8), threshold)
-                out["full"].append(full.view(np.int64))
-                out["at"].append(np.arange(n))
-                for c in ("name", "b1", "b2"):
-                    out[c].append(np.full(n, r[c]))
-            if sum(map(len, out["at"])) > 100_000:
-                yield {c: np.concatenate(v) for c, v in out.items()}
-                out = {c: [] for c in out}
-        if out["at"]:
-            yield {c: np.concatenate(v) for c, v in out.items()}
-
-    found = by_batch(one_text.join(bounded(materialize(lists, "repeat-lists")), KEY), windows, "name long, full long, b1 long, b2 long, at int")
-    # equal texts in several tasks give the same rows
-    found = materialize(found, "repeat-windows")
-    again = found.groupBy("name", "full").agg(F.min("b1").alias("x1"), F.max("b1").alias("y1"), F.min("b2").alias("x2"), F.max("b2").alias("y2"), F.min("at").alias("xa"), F.max("at").alias("ya"))
-    again = again.where("x1 <> y1 or x2 <> y2 or xa <> ya").select("name", "full")
-    starts = found.join(again, ["name", "full"]).groupBy("b1", "b2").agg(F.collect_set("at").alias("starts"))
-    whole = variants.where("n > 1").select("b1", "b2", F.lit(None).cast("array<int>").alias("starts"))
-    part = starts.join(variants.where("n = 1").select("b1", "b2"), ["b1", "b2"])
-    hits = near.select(*KEY, "lo", "size", "b1", "b2").join(whole.unionByName(part.select("b1", "b2", "starts")), ["b1", "b2"])
-    cuts = materialize(hits.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "size", "starts")).alias("cuts")), "repeat-cuts")
+    cuts = materialize(by_batch(lists, merge, "k1 long, k2 long, cuts array<struct<a:long,b:long>>"), "repeat-cuts")
 
     def remove(batch: dict) -> dict:
         out: dict = {"k1": batch["k1"], "k2": batch["k2"], "n_removed": [], "n_spans": [], "kept_sha256": []}
         for text, cuts in zip(batch["text"], batch["cuts"]):
             raw = text.encode()
-            edge = np.zeros(len(raw) + 1, np.int32)
+            kept = np.ones(len(raw), bool)
             for c in cuts:
-                at = np.arange(c["size"]) if c["starts"] is None else np.array(c["starts"])
-                np.add.at(edge, c["lo"] + at, 1)
-                np.add.at(edge, c["lo"] + at + threshold, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            out["n_removed"].append(int(gone.sum()))
-            out["n_spans"].append(int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()))
-            out["kept_sha256"].append(hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
+                kept[c["a"] : c["b"]] = False
+            out["n_removed"].append(int((~kept).sum()))
+            out["n_spans"].append(len(cuts))
+            out["kept_sha256"].append(hashlib.sha256(np.frombuffer(raw, np.uint8)[kept].tobytes()).hexdigest())
         return out
 
-    joined = one_text.join(bounded(cuts), KEY).select(*KEY, "text", "cuts")
+    joined = long_texts.select(*KEY, "text").join(bounded(cuts, items=F.size("cuts")), KEY).select(*KEY, "text", "cuts")
     done = by_batch(joined, remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string").distinct()
     base = texts.select("doc_id", *KEY, "n_bytes", F.sha2("text", 256).alias("sha"))
     return base.join(done, KEY, "left").select(
