@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch
+from .grams import HashArray
 
 VOCABULARY = os.environ.get("QUARRY_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -25,6 +26,8 @@ MARK = "▁"
 LONGEST = 64
 #: Pseudo-count of each piece, and the log probability of a character that no piece covers.
 SMOOTH, UNKNOWN = 0.1, -25.0
+#: About the inverse of a character's probability.
+SCALE = 16.0
 
 
 def split_words(text: str) -> list[str]:
@@ -44,54 +47,57 @@ def load_pieces(path: str) -> dict[str, int]:
     return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not hidden(i)}
 
 
-class Lattice:
-    """Pieces that match at each place of many words at once."""
+def _extend(hashes: np.ndarray, characters: np.ndarray) -> np.ndarray:
+    """Hashes of strings with one character more."""
+    return hashes * np.uint64(0x9E3779B97F4A7C15) + characters.astype(np.uint64) + np.uint64(1)
 
-    def __init__(self, pieces: dict[str, int]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
 
-    def steps(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(end, width, rows, ids) of words of one length, by end and then width.
-
-        Words carry the word mark in front; ``rows`` are those whose ``width``
-        characters before ``end`` are the piece in ``ids``.
-        """
-        get = self.pieces.get
-        for end in range(1, len(words[0]) + 1):
-            for width in range(1, min(end, self.longest) + 1):
-                cut = [get(w[end - width : end], -1) for w in words]
-                ids = np.array(cut, np.int32)
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    yield end, width, rows, ids[rows]
+def prefix_table(pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of a HashArray: the id of each piece, and -1 for each other beginning of one."""
+    ids = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | pieces
+    keys = []
+    for text in ids:
+        h = 0
+        for c in text:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+        keys.append(h)
+    return HashArray.arrays(np.array(keys, np.uint64), np.array(list(ids.values()), np.float64))
 
 
-def forward(words: list[str], pieces: dict[str, int], logp: np.ndarray) -> np.ndarray:
+def forward(words: list[str], table: HashArray, logp: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability in each language: (words, languages).
 
-    ``logp`` is (pieces, languages). A character that no piece covers alone can
-    always be stepped over at ``UNKNOWN``.
+    ``logp`` is (pieces, languages). Words of one length go forward together,
+    start by start: from each, pieces are followed as far as any begins like
+    this. A single character can always be stepped over at ``UNKNOWN``. Sums are
+    of probabilities times ``SCALE`` for each character, so that they keep within
+    range; words for which they do not are stepped over in full.
     """
-    lattice = Lattice(pieces)
     out = np.zeros((len(words), logp.shape[1]))
+    p, step = np.exp(logp), np.exp(UNKNOWN) * SCALE
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for length, at in by_length.items():
-        marked = [MARK + words[i] for i in at]
-        alpha = np.full((length + 2, len(at), logp.shape[1]), -np.inf)
-        alpha[0] = 0.0
-        done = 0
-        for end, width, rows, ids in lattice.steps(marked):
-            while done < end:  # stepping over one character, before any piece that ends here
-                done += 1
-                alpha[done] = alpha[done - 1] + UNKNOWN
-            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - width, rows] + logp[ids])
-        while done < length + 1:
-            done += 1
-            alpha[done] = alpha[done - 1] + UNKNOWN
-        out[at] = alpha[length + 1]
+        text = "".join(MARK + words[i] for i in at).encode("utf-32-le", "surrogatepass")
+        chars = np.frombuffer(text, np.uint32).reshape(len(at), length + 1)
+        alpha = np.zeros((length + 2, len(at), logp.shape[1]))
+        alpha[0] = 1.0
+        for start in range(length + 1):
+            alpha[start + 1] += alpha[start] * step
+            alive, hashes = np.arange(len(at)), np.zeros(len(at), np.uint64)
+            for width in range(1, length + 2 - start):
+                hashes = _extend(hashes, chars[alive, start + width - 1])
+                ids, known = table.find(hashes)
+                alive, hashes, ids = alive[known], hashes[known], ids[known].astype(np.int64)
+                if not len(alive):
+                    break
+                rows, ids = alive[ids >= 0], ids[ids >= 0]
+                if len(rows):
+                    alpha[start + width, rows] += alpha[start, rows] * (p[ids] * SCALE**width)
+        with np.errstate(divide="ignore"):
+            total = np.log(alpha[length + 1]) - (length + 1) * np.log(SCALE)
+        out[at] = np.maximum(total, (length + 1) * UNKNOWN)
     return out
 
 
@@ -122,7 +128,7 @@ def piece_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             used = np.flatnonzero(sums)
             yield {"lang": [lang] * len(used), "piece": used, "n": sums[used]}
 
-    rows = by_batch(docs.select("lang", "text"), run, "lang string, piece int, n long")
+    rows = by_batch(docs.select("lang", "text"), run, "lang string, piece int, n long", rows=10_000)
     return rows.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
@@ -153,10 +159,11 @@ def identify(docs: DataFrame, folds: int = 5, path: str = VOCABULARY, words_at_o
     sums[own] += SMOOTH
     with np.errstate(divide="ignore"):
         logp = np.log(sums) - np.log(sums.sum(axis=0, keepdims=True))
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, langs, logp))
+    shared = docs.sparkSession.sparkContext.broadcast((*prefix_table(pieces), langs, logp))
 
     def run(batch: dict) -> Iterator[dict]:
-        pieces, langs, logp = shared.value
+        hashes, values, langs, logp = shared.value
+        pieces = HashArray(hashes, values)
         texts = batch["text"]
         total = np.zeros((len(texts), len(langs)))
         lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
@@ -192,4 +199,4 @@ def identify(docs: DataFrame, folds: int = 5, path: str = VOCABULARY, words_at_o
             "score": [float(s) if ok else 0.0 for s, ok in zip(score, known)],
         }
 
-    return by_batch(base.drop("lang"), run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return by_batch(base.drop("lang"), run, "doc_id long, held_out boolean, lang_pred string, score double", rows=10_000)
