@@ -53,29 +53,36 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})")))
 
 
+def _share(texts: int) -> Column:
+    """Mutual information of a value and a term over the value's information content, from counts of texts."""
+    content = F.log2(F.lit(float(texts)) / F.col("with_value"))
+    mutual = F.log2(F.col("both") * F.lit(float(texts)) / (F.col("with_value") * F.col("with_term")))
+    return F.when(content > 0, mutual / content).otherwise(0.0)
+
+
 def revealing(rows: DataFrame, generalise: float, remove: float, min_contexts: int, reach: int) -> DataFrame:
     """(value, term, removed) for terms that reveal an entity of ``rows`` (k1, k2, text, base)."""
     found = rows.where(F.size("base") > 0).select("k1", "k2", "text", F.explode("base").alias("s"))
-    # Spark's substring counts characters from the start each time; a context is a bounded piece
+    # a context is a bounded piece of the text
     left = F.substring("text", F.greatest(F.lit(1), F.col("s.at") + 1 - reach), F.least(F.lit(reach), F.col("s.at")))
     right = F.substring("text", F.col("s.end") + 1, F.lit(reach))
-    near = found.select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value"), F.concat_ws(" ", left, right).alias("context"))
-    near = near.select("k1", "k2", "value", F.xxhash64("context").alias("c"), F.explode(_terms(F.col("context"))).alias("term"))
+    mentions = found.select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value"), F.concat_ws(" ", left, right).alias("context"))
+    mentions = materialize(mentions.select("k1", "k2", "value", F.xxhash64("context").alias("c"), _terms(F.col("context")).alias("terms")), "pii-mentions")
+    near = mentions.select("k1", "k2", "value", "c", F.explode("terms").alias("term"))
     pairs = near.select("value", "term", "c").distinct().groupBy("value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    pairs = materialize(pairs, "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("value", "term", F.lit(False).alias("removed"))
     together = near.select("k1", "k2", "value", "term").distinct().join(pairs, ["value", "term"], "left_semi").groupBy("value", "term").agg(F.count("*").alias("both"))
+    values = mentions.select("k1", "k2", "value").distinct().groupBy("value").agg(F.count("*").alias("with_value"))
+    # a term is in as many texts at least as it stands near any entity in; pairs that fail even so need no count of the corpus
+    least = near.select("k1", "k2", "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
     texts = rows.select("k1", "k2").distinct().count()
-    values = found.select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value")).distinct().groupBy("value").agg(F.count("*").alias("with_value"))
+    pairs = materialize(together.join(values, "value").join(least, "term").withColumn("share", _share(texts)).where(F.col("share") >= generalise).select("value", "term", "both", "with_value"), "pii-pairs")
+    if pairs.isEmpty():
+        return pairs.select("value", "term", F.lit(False).alias("removed"))
     wanted = bounded(pairs.select("term").distinct())
     spread = rows.select("k1", "k2", F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
     spread = spread.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    whole = together.join(values, "value").join(spread, "term")
-    content = F.log2(F.lit(float(texts)) / F.col("with_value"))
-    mutual = F.log2(F.col("both") * F.lit(float(texts)) / (F.col("with_value") * F.col("with_term")))
-    share = F.when(content > 0, mutual / content).otherwise(0.0)
-    return whole.where(share >= generalise).select("value", "term", (share >= remove).alias("removed"))
+    whole = pairs.join(spread, "term").withColumn("share", _share(texts))
+    return whole.where(F.col("share") >= generalise).select("value", "term", (F.col("share") >= remove).alias("removed"))
 
 
 def find(docs: DataFrame, *carry: Column, generalise: float = 0.7, remove: float = 0.9, min_contexts: int = 3, reach: int = 48) -> DataFrame:
@@ -100,7 +107,7 @@ def find(docs: DataFrame, *carry: Column, generalise: float = 0.7, remove: float
         return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(F.col("base"), KINDS).alias("spans"), F.array().cast("array<string>").alias("removed"), "carried")
     holds = rows.where(F.size("base") > 0).select("k1", "k2", F.explode("base").alias("s")).select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value")).distinct()
     lists = holds.join(told, "value").groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("removed"))
-    rows = rows.join(bounded(materialize(lists, "pii-lists")), ["k1", "k2"], "left")
+    rows = rows.join(bounded(materialize(lists, "pii-lists"), items=F.size("terms")), ["k1", "k2"], "left")
     terms = F.filter(matches(F.col("text"), TERM, "term", F.col("terms").isNotNull()), lambda t: F.array_contains("terms", F.lower(t["value"])) & ~F.exists("base", lambda b: (b["at"] < t["end"]) & (t["at"] < b["end"])))
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", terms))
     return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(spans, KINDS).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"), "carried")
