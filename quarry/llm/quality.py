@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import grams
 from .common import by_batch, materialize
+from .simhash import shingle_hashes
 
 ORDER = 5
 #: Characters that count as symbols (fixed values).
@@ -110,6 +111,11 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def sketch(text: str | None) -> int:
+    """The least hash of the text's five-word shingles; copies share it, near copies mostly."""
+    return min(shingle_hashes(text, 5), default=0) >> 1
+
+
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -117,12 +123,15 @@ def _language(lang: Column) -> Column:
     return F.when(lang.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), lang))
 
 
-def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 20) -> DataFrame:
+def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 20, least: float = 0.05) -> DataFrame:
     """Counts, perplexity and verdict for every row of ``docs`` (doc_id, text, lang).
 
     The band of a language is its quartiles of log perplexity, ``width``
     interquartile ranges beyond either, over its documents that pass the base
-    rules; outside of it a document is rejected. The mean over a short text
+    rules; outside of it a document is rejected. Texts that share their
+    :func:`sketch` count once in the quartiles, so that copies and near copies,
+    however many, leave the band to the other texts; it reaches ``least`` at
+    least beyond either quartile, whatever the spread. The mean over a short text
     varies more, so a text of n words has 1 + ``short`` / n times that width. A null language is a language
     of its own. A null text counts as empty; such a text has no words and so
     fails the base rules. Repeated rows come back as often as they came; no
@@ -151,22 +160,25 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
                 "log10_p": sums,
                 "n_grams": number,
                 "cold": cold,
+                "_sketch": [sketch(t) for t in texts],
             }
 
-    schema = f"doc_id long, lang string, {FEATURES}, log10_p double, n_grams long, cold array<long>"
+    schema = f"doc_id long, lang string, {FEATURES}, log10_p double, n_grams long, cold array<long>, _sketch long"
     scored = materialize(by_batch(base, run, schema).withColumn("_row", F.monotonically_increasing_id()), "quality-scores")
     scored = grams.add_cold(scored, rest, "log10_p", "cold")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("log10_perplexity", F.round(-F.col("log10_p") / F.col("n_grams"), 9))
     scored = scored.withColumn("_lang", _language(F.col("lang")))
-    quartiles = scored.where(~F.col("base_failed")).groupBy("_lang").agg(F.percentile_approx("log10_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
+    alike = scored.where(~F.col("base_failed")).groupBy("_lang", "_sketch")
+    alike = alike.agg(((F.min("log10_perplexity") + F.max("log10_perplexity")) / 2).alias("log10_perplexity"))
+    quartiles = alike.groupBy("_lang").agg(F.percentile_approx("log10_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
-    beyond = width * (1 + short / F.greatest("n_words", F.lit(1))) * (high - low)
+    beyond = F.greatest(width * (high - low), F.lit(least)) * (1 + short / F.greatest("n_words", F.lit(1)))
     inside = F.col("log10_perplexity").between(F.col("band_low"), F.col("band_high"))
     return (
         scored.join(quartiles, "_lang", "left")
         .withColumn("band_low", low - beyond)
         .withColumn("band_high", high + beyond)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
-        .drop("_lang", "_row", "n_grams", "q")
+        .drop("_lang", "_row", "_sketch", "n_grams", "q")
     )

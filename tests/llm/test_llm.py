@@ -231,6 +231,24 @@ def test_cold_lookups_equal_hot_ones(spark, docs):
     assert hot == {str(r) for r in quality.quality(docs, most_broadcast=300).select("doc_id", F.round("log10_p", 6)).collect()}
 
 
+@pytest.mark.parametrize("edits", [0, 1])
+def test_copies_do_not_narrow_the_band(spark, edits):
+    rng = random.Random(11)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    bag = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    prose = lambda n: [rng.choice(bag) for _ in range(n)]
+    rows = [(i, " ".join(prose(rng.randint(80, 200))), "xx") for i in range(40)]
+    copied = prose(150)
+    for i in range(120):
+        own = list(copied)
+        for _ in range(edits):
+            own[rng.randrange(150)] = rng.choice(bag)
+        rows.append((100 + i, " ".join(own), "xx"))
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(40))
+    assert min(got[i].log10_perplexity for i in range(40)) > max(got[100 + i].log10_perplexity for i in range(120))
+
+
 def printed(spans):
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
 
