@@ -10,6 +10,8 @@ and different ones by different ones. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,19 @@ ounce ounces ton tons ml l liter liters litre litres gallon gallons second secon
 month months year years dollar dollars cent cents euro euros percent degree degrees meter meters metre metres kilometer
 kilometers watt watts volt volts""".split()
 
-#: Signs before a word that is a placeholder for a name, a number, a unit.
-NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+#: Signs before a word that is a placeholder for a name, a number, a unit, and before one that is a name or a plain word.
+NAME, NUMBER, UNIT, EITHER = "\u0001", "\u0002", "\u0003", "\u0004"
+#: Stands for the apostrophe of a possessive.
+OWN = "\u0005"
+SIGNS = NAME + NUMBER + UNIT + EITHER + OWN
 TAIL = r"[^\s\p{L}\p{N}]*+(?!\S)"
-#: A capitalised word that does not begin a sentence; a number; a unit.
+CAPITALISED = r"[(\"']?(\p{Lu}\p{Ll}+(?:\x05s)?)"
+#: A capitalised word that does not begin a sentence; a number; a unit; any other capitalised word.
 PLACEHOLDERS = (
-    (NAME, r"(?<=[^\s.!?:]\s)[(\"']?(\p{Lu}\p{Ll}+)" + TAIL),
+    (NAME, r"(?<=[^\s.!?:]\s)" + CAPITALISED + TAIL),
     (NUMBER, r"(?<!\S)[-+(\"'$€£]*([0-9]+(?:[.,:/][0-9]+)*)%?" + TAIL),
     (UNIT, r"(?<!\S)((?i:" + "|".join(UNITS) + "))" + TAIL),
+    (EITHER, r"(?<!\S)" + CAPITALISED + TAIL),
 )
 #: Template tokens in a run: a power of two, as runs are hashed by doubling. Fewest of them that are no placeholders.
 RUN, LITERALS = 8, 4
@@ -37,27 +44,56 @@ RUN, LITERALS = 8, 4
 
 def tokens(text: Column) -> Column:
     """Lower-cased words without punctuation, placeholders with their sign in front."""
+    text = F.regexp_replace(text, r"(?<=\p{Ll})['’]s(?![\p{L}\p{N}])", OWN + "s")
     for sign, form in PLACEHOLDERS:
         text = F.regexp_replace(text, form, sign + "$1")
-    plain = F.regexp_replace(text, r"[^\p{L}\p{N}\s\x01-\x03]+", "")
+    plain = F.regexp_replace(text, r"[^\p{L}\p{N}\s\x01-\x05]+", "")
     return F.filter(F.split(F.lower(plain), r"\s+"), lambda w: w != "")
 
 
-def _sign(word: Column) -> Column:
-    return F.substring(word, 1, 1)
+def _plain(word: Column) -> Column:
+    """The word without signs."""
+    return F.translate(word, SIGNS, "")
 
 
-def runs(words: Column) -> Column:
-    """A hash of each run of ``RUN`` template tokens, from pairs of hashes at doubling distances."""
-    template = lambda w: F.xxhash64(F.when(w < "\u0004", _sign(w)).otherwise(w))
-    out = F.transform(words, template)
+def _template(word: Column, named: bool) -> Column:
+    """A placeholder's sign, or a word; a word that may be a name is taken for one if ``named``."""
+    sign = F.substring(word, 1, 1)
+    either = F.lit(NAME) if named else _plain(word)
+    return F.when(sign < EITHER, sign).when(sign == EITHER, either).otherwise(_plain(word))
+
+
+def _slot(word: Column) -> Column:
+    """What a placeholder stands for: a name is the same in its possessive, at a sentence's beginning, and as a plain word."""
+    sign = F.substring(word, 1, 1)
+    value = F.regexp_replace(word, r"\x05s$", "")
+    return F.when(sign < EITHER, value).when(sign == EITHER, F.concat(F.lit(NAME), F.substring(value, 2, 1 << 20))).otherwise(F.concat(F.lit(NAME), value))
+
+
+def sequences(words: Column, length: int) -> Column:
+    """A hash of each ``length`` words that follow each other, from pairs of hashes at doubling distances."""
+    out = F.transform(words, lambda w: F.xxhash64(w))
     have = 1
-    while have < RUN:
-        out = let(out, _pairs(have))
-        have *= 2
+    while have < length:
+        by = min(have, length - have)
+        out = let(out, _pairs(by))
+        have += by
     return out
 
 
+def runs(words: Column) -> Column:
+    """(at, named, run): a hash of each run of ``RUN`` template tokens, and one with names for what may be names, where that differs."""
+    read = lambda w, named: sequences(F.transform(w, lambda x: _template(x, named)), RUN)
+    placed = lambda hashes, named: F.transform(hashes, lambda h, at: F.struct(at.alias("at"), F.lit(named).alias("named"), h.alias("run")))
+
+    def both(w: Column) -> Column:
+        any_either = F.exists(w, lambda x: F.substring(x, 1, 1) == EITHER)
+        none = F.array().cast("array<struct<at:int,named:boolean,run:bigint>>")
+        return let(placed(read(w, False), False), lambda a: F.concat(a, F.when(any_either, F.filter(placed(read(w, True), True), lambda x: F.get(a, x["at"])["run"] != x["run"])).otherwise(none)))
+
+    return let(words, both)
+
+
 def _pairs(by: int):
     def of(a: Column) -> Column:
         n = F.greatest(F.size(a) - by, F.lit(0))
@@ -74,9 +110,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     ``min_share`` of the item's, match on one diagonal, and the placeholders
     there (``slots``, different values of the item) stand for each other one to
     one; ``changed`` of them have another value in the document. The diagonal
-    of the most runs counts. Runs of fewer than four literal tokens are not
-    looked for, as tables of numbers are full of them, nor are items shorter
-    than a run.
+    of the most runs counts. A capitalised word that begins a sentence is read
+    both as a name and as a plain word. Runs of fewer than four literal tokens
+    are not looked for, as tables of numbers are full of them; an item without
+    any other run, or shorter than a run, is held by a document that has all of
+    its words, numbers and names in sequence (``runs`` and ``item_runs`` are 0).
+    An item of one word is thus held by every text with this word.
 
     Null texts count as empty, and match nothing. Repeated documents come back
     as often as they came, repeated items count once. A null doc_id or item_id
@@ -85,15 +124,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "text")).withColumn("item_words", tokens(F.col("text")))
     items = materialize(items.select("item", "item_id", "item_words"), "bench-items")
-    literal = F.size(F.filter(F.slice("item_words", F.col("item_at") + 1, RUN), lambda w: w >= "\u0004"))
-    wanted = items.select("item", "item_words", F.posexplode(runs(F.col("item_words"))).alias("item_at", "run")).where(literal >= LITERALS)
-    wanted = materialize(wanted.groupBy("run", "item").agg(F.min("item_at").alias("item_at")), "bench-runs")
-    totals = wanted.groupBy("item").agg(F.count("*").alias("item_runs"))
+    window = F.slice("item_words", F.col("r.at") + 1, RUN)
+    literal = F.size(F.filter(window, lambda w: w >= F.when(F.col("r.named"), OWN).otherwise(EITHER)))
+    wanted = items.select("item", "item_words", F.explode(runs(F.col("item_words"))).alias("r")).where(literal >= LITERALS)
+    wanted = materialize(wanted.select("r.run", "item", F.col("r.at").alias("item_at")).distinct(), "bench-runs")
+    totals = wanted.groupBy("item").agg(F.count_distinct("item_at").alias("item_runs"))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     texts = docs.select(F.col("doc_id").cast("long"), text)
     texts = texts.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
-    spread = texts.select("k1", "k2", F.posexplode(runs(tokens(F.col("text")))).alias("at", "run"))
+    spread = texts.select("k1", "k2", F.explode(runs(tokens(F.col("text")))).alias("r")).select("k1", "k2", "r.at", "r.run")
     hits = spread.join(bounded(wanted), "run").select("k1", "k2", "at", "item", "item_at").distinct()
     hits = materialize(hits, "bench-hits")
 
@@ -108,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     held = held.select("k1", "k2", tokens(F.col("text")).alias("words"), "own").select("k1", "k2", "words", F.explode("own").alias("h"))
     held = held.select("k1", "k2", "h.*", F.slice("words", F.col("h.at") + 1, RUN).alias("there")).join(items, "item")
     pairs = F.zip_with("there", F.slice("item_words", F.col("item_at") + 1, RUN), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    slots = F.filter(pairs, lambda p: p["i"] < "\u0004")
+    slots = F.transform(F.filter(pairs, lambda p: p["i"] < OWN), lambda p: F.struct(_slot(p["i"]).alias("i"), _slot(p["t"]).alias("t")))
     found = held.select("k1", "k2", "item", "item_id", "diagonal", "runs", "item_runs", F.explode_outer(slots).alias("slot"))
     found = found.groupBy("k1", "k2", "item", "item_id", "diagonal", "runs", "item_runs").agg(F.collect_set("slot").alias("slots"))
     one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
@@ -116,5 +156,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     best = found.groupBy("k1", "k2", "item", "item_id").agg(
         F.max(F.struct("runs", "item_runs", F.size("slots").cast("long").alias("slots"), F.size(F.filter("slots", lambda s: s["i"] != s["t"])).cast("long").alias("changed"))).alias("best")
     )
-    best = materialize(best.select("k1", "k2", "item_id", "best.*"), "bench-found")
+    best = best.select("k1", "k2", "item_id", "best.*")
+
+    # items without runs, as whole sequences
+    short = items.join(wanted.select("item").distinct(), "item", "left_anti").where(F.size("item_words") > 0)
+    short = materialize(short.select("item_id", F.size("item_words").alias("length"), F.transform("item_words", _plain).alias("plain")), "bench-short")
+    lengths = sorted(r["length"] for r in short.select("length").distinct().collect())
+    if lengths:
+        keyed = lambda words, n: F.transform(sequences(words, n), lambda h: F.xxhash64(F.lit(n), h))
+        own = [short.where(F.col("length") == n).select("item_id", F.explode(keyed(F.col("plain"), n)).alias("key")) for n in lengths]
+        own = materialize(reduce(DataFrame.unionByName, own), "bench-keys")
+        every = lambda words: F.array_distinct(F.concat(*[keyed(words, n) for n in lengths]))
+        all_keys = texts.select("k1", "k2", F.explode(let(F.transform(tokens(F.col("text")), _plain), every)).alias("key"))
+        whole = all_keys.join(bounded(own), "key").select("k1", "k2", "item_id").distinct()
+        best = best.unionByName(whole.select("*", *[F.lit(0).cast("long").alias(c) for c in ("runs", "item_runs", "slots", "changed")]))
+    best = materialize(best, "bench-found")
     return texts.select("doc_id", "k1", "k2").join(best, ["k1", "k2"]).select("doc_id", "item_id", "runs", "item_runs", "slots", "changed")

@@ -313,6 +313,21 @@ def test_templates_catch_other_values_and_not_others(spark):
     assert decontaminate.contaminated(df.where("false"), bench).count() == 0
 
 
+def test_items_with_sentence_names_short_items_and_repeated_runs(spark):
+    problem = "Alice has 5 apples. Bob's basket holds 7 pears. Alice gives 2 to him. How many fruits does Alice's basket hold in all?"
+    other = problem.replace("Alice", "Carol").replace("Bob", "Dave").replace("5", "9")
+    once = "fill the blue cup then pour it out and "
+    items = [(1, problem), (2, "Compute 12 + 34 - 56 * 78 / 90 + 11"), (3, "Who wrote Hamlet?"), (4, once * 2 + "stop there for good now please friend")]
+    rows = [
+        (1, "So. " + other + " Well."), (2, problem.replace("Alice has", "Carol has")), (3, problem.lower().replace("bob", "Bob").replace("alice", "Alice")),
+        (4, "Task: compute 12 + 34 - 56 * 78 / 90 + 11."), (5, "Compute 12 + 34 - 56 * 78 / 90 + 12"), (6, "and who wrote Hamlet, they asked"), (7, "who wrote hamlets"),
+        (8, "before that " + once + "stop there for good now please friend"), (9, None),
+    ]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == [(1, 1), (3, 1), (4, 2), (6, 3), (8, 4)]
+
+
 def luhn(x):
     return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if c > "4" else 2 * int(c)) for i, c in enumerate(reversed(x))) % 10 == 0
 
