@@ -1,12 +1,12 @@
 """Personal data: entities of known form, and terms that reveal them.
 
-Corpus co-occurrence tells how much a word near an entity says about it: the
-pointwise mutual information of the two over the entity's own information
+Corpus co-occurrence tells how much a word in a text says about an entity in it:
+the pointwise mutual information of the two over the entity's own information
 content, 1 if the word never comes without it. Words beyond a first threshold
 are generalised, beyond a second removed, throughout the texts that hold the
-entity. Contexts that are copies of each other count once, so that a text's
-copies do not make its words reveal what it holds. Only DataFrame functions are
-used.
+entity. Texts that are copies or near copies of each other are one support, so
+that a text's copies do not make its words reveal what it holds. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize
-from .spans import count_kind, matches, ordered, printed
+from .common import ascii_lower, bounded, materialize, words
+from .spans import count_kind, let, matches, ordered, printed
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 
@@ -60,40 +60,63 @@ def _share(texts: int) -> Column:
     return F.when(content > 0, mutual / content).otherwise(0.0)
 
 
-def revealing(rows: DataFrame, generalise: float, remove: float, min_contexts: int, reach: int) -> DataFrame:
+def _beside(text: Column, base: Column) -> Column:
+    """The text's terms outside of its entities, as spans."""
+    return F.filter(matches(text, TERM, "term"), lambda t: ~F.exists(base, lambda b: (b["at"] < t["end"]) & (t["at"] < b["end"])))
+
+
+def _sketch(text: Column) -> Column:
+    """The least hash of the text's runs of eight words; copies share it, near copies mostly."""
+
+    def runs(out: Column) -> Column:
+        for by in (1, 2, 4):
+            out = let(out, lambda a, by=by: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - by, F.lit(0))), F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
+        return F.array_min(out)
+
+    return F.coalesce(runs(F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w))), F.xxhash64(text))
+
+
+def term_counts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(term, with_term): how many different texts of ``rows`` (k1, k2, text) have a term; and the number of texts."""
+    keys = materialize(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")), "pii-keys")
+    again = bounded(keys.where("n > 1").select("k1", "k2"))
+    narrow = rows.select("k1", "k2", "text")
+    folded = narrow.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    once = narrow.join(again, ["k1", "k2"], "left_anti").unionByName(folded)
+    return once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")), keys.count()
+
+
+def revealing(rows: DataFrame, generalise: float, remove: float, min_contexts: int) -> DataFrame:
     """(value, term, removed) for terms that reveal an entity of ``rows`` (k1, k2, text, base)."""
-    found = rows.where(F.size("base") > 0).select("k1", "k2", "text", F.explode("base").alias("s"))
-    # a context is a bounded piece of the text
-    left = F.substring("text", F.greatest(F.lit(1), F.col("s.at") + 1 - reach), F.least(F.lit(reach), F.col("s.at")))
-    right = F.substring("text", F.col("s.end") + 1, F.lit(reach))
-    mentions = found.select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value"), F.concat_ws(" ", left, right).alias("context"))
-    mentions = materialize(mentions.select("k1", "k2", "value", F.xxhash64("context").alias("c"), _terms(F.col("context")).alias("terms")), "pii-mentions")
-    near = mentions.select("k1", "k2", "value", "c", F.explode("terms").alias("term"))
-    pairs = near.select("value", "term", "c").distinct().groupBy("value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    together = near.select("k1", "k2", "value", "term").distinct().join(pairs, ["value", "term"], "left_semi").groupBy("value", "term").agg(F.count("*").alias("both"))
+    value = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("value")
+    mentions = rows.where(F.size("base") > 0).select("k1", "k2", "text", "base", value)
     values = mentions.select("k1", "k2", "value").distinct().groupBy("value").agg(F.count("*").alias("with_value"))
-    # a term is in as many texts at least as it stands near any entity in; pairs that fail even so need no count of the corpus
-    least = near.select("k1", "k2", "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    texts = rows.select("k1", "k2").distinct().count()
-    pairs = materialize(together.join(values, "value").join(least, "term").withColumn("share", _share(texts)).where(F.col("share") >= generalise).select("value", "term", "both", "with_value"), "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("value", "term", F.lit(False).alias("removed"))
-    wanted = bounded(pairs.select("term").distinct())
-    spread = rows.select("k1", "k2", F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    spread = spread.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    whole = pairs.join(spread, "term").withColumn("share", _share(texts))
+    values = materialize(values.where(F.col("with_value") >= min_contexts), "pii-values")
+    most = values.agg(F.max("with_value")).first()[0]
+    if most is None:
+        return values.select("value", F.lit("").alias("term"), F.lit(False).alias("removed"))
+    # both <= with_value, so that a term in too many texts cannot reach the threshold; the counts are exact
+    counts, texts = term_counts(rows)
+    rare = lambda with_value: F.log2(F.lit(float(texts)) / F.col("with_term")) >= generalise * F.log2(F.lit(float(texts)) / with_value) - 1e-9
+    counts = materialize(counts.where((F.col("with_term") >= min_contexts) & rare(F.lit(most))), "pii-counts")
+    near = mentions.join(bounded(values), "value")
+    term = F.explode(F.array_distinct(F.transform(_beside(F.col("text"), F.col("base")), lambda t: F.lower(t["value"])))).alias("term")
+    near = near.select("k1", "k2", "value", "with_value", _sketch(F.col("text")).alias("sketch"), term)
+    near = near.join(bounded(counts), "term").where(rare(F.col("with_value"))).distinct()
+    pairs = near.groupBy("value", "term", "with_value", "with_term").agg(F.count("*").alias("both"), F.count_distinct("sketch").alias("contexts"))
+    whole = pairs.where(F.col("contexts") >= min_contexts).withColumn("share", _share(texts))
     return whole.where(F.col("share") >= generalise).select("value", "term", (F.col("share") >= remove).alias("removed"))
 
 
-def find(docs: DataFrame, *carry: Column, generalise: float = 0.7, remove: float = 0.9, min_contexts: int = 3, reach: int = 48) -> DataFrame:
+def find(docs: DataFrame, *carry: Column, generalise: float = 0.7, remove: float = 0.9, min_contexts: int = 3) -> DataFrame:
     """(doc_id, text, base, spans, removed, carried) for every row of ``docs`` (doc_id, text), null text as empty.
 
     ``base`` has the entities of known form, ``spans`` adds the terms that
     reveal one of the text's entities, and ``removed`` lists those of them that
-    go without a trace. A term is judged by the letters within ``reach``
-    characters of an entity's mentions; it must stand in ``min_contexts``
-    different contexts of the same entity, and its share of the entity's
-    information must reach ``generalise``, or ``remove``. A text's terms inside
+    go without a trace. A term is judged over whole texts: it must share
+    ``min_contexts`` texts that are no near copies of each other with the same
+    entity, and its share of the entity's information must reach
+    ``generalise``, or ``remove``. A text's terms inside
     its entities are not added. Counts are over different texts. Repeated rows
     come back as often as they came; a null doc_id stays null; no rows give no
     rows. Of other columns, those in ``carry`` come along.
@@ -102,7 +125,7 @@ def find(docs: DataFrame, *carry: Column, generalise: float = 0.7, remove: float
     rows = docs.select(F.col("doc_id").cast("long"), text, F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     rows = rows.select("doc_id", "text", "carried", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
     rows = rows.withColumn("base", entities(F.col("text")))
-    told = materialize(revealing(rows, generalise, remove, min_contexts, reach), "pii-terms")
+    told = materialize(revealing(rows, generalise, remove, min_contexts), "pii-terms")
     if told.isEmpty():
         return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(F.col("base"), KINDS).alias("spans"), F.array().cast("array<string>").alias("removed"), "carried")
     holds = rows.where(F.size("base") > 0).select("k1", "k2", F.explode("base").alias("s")).select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value")).distinct()

@@ -365,6 +365,24 @@ def test_terms_that_reveal_an_entity(spark):
     assert got[25].clean == rows[13][1]
 
 
+def bag(rng, n):
+    """``n`` words that are all letters."""
+    return " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3))) for _ in range(n))
+
+
+def test_terms_far_from_an_entity_reveal_it(spark):
+    rng = random.Random(3)
+    rows = [(i, f"Dear Hermann, {bag(rng, 60)}. Yours, {bag(rng, 20)} gold@example.com") for i in range(5)]
+    rows += [(100 + i, bag(rng, 60)) for i in range(300)]
+    letter = f"Dear Walter, {bag(rng, 120)} silver@example.com {bag(rng, 20)}"
+    rows += [(500 + i, letter + " end" * i) for i in range(5)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.clean for r in found.select("doc_id", pii.sanitise(F.col("text"), F.col("spans"), F.col("removed")).alias("clean")).collect()}
+    assert not any("Hermann" in got[i] for i in range(5))
+    assert all("Walter" in got[500 + i] for i in range(5))  # near copies are one support
+    assert all(got[100 + i] == t for i, (_, t) in enumerate(rows[5:305]))
+
+
 def test_context_tree_weighting_equals_brute_force(spark):
     text = b"\0\0abracadabra\0"
     depth, strings = 2, collections.Counter(text[i : i + 3] for i in range(len(text) - 2))
