@@ -383,6 +383,20 @@ def test_terms_far_from_an_entity_reveal_it(spark):
     assert all(got[100 + i] == t for i, (_, t) in enumerate(rows[5:305]))
 
 
+def test_pieces_of_words_do_not_count_as_terms(spark):
+    rng = random.Random(8)
+    fill = lambda n: " ".join("".join(rng.choice("bdfgkl") for _ in range(10)) for _ in range(n // 11))
+    rows = [(i, f"{fill(44)} Ann ann.other@example.com {fill(44)}") for i in range(3)]
+    rows += [(100 + i, f"{fill(22)} Hermann {fill(44)} x{i}@example.org") for i in range(60)]
+    rows += [(300 + i, fill(66)) for i in range(300)]
+    left = rows[10][1].split("@")[0].rsplit(" ", 1)[0] + " "
+    assert left[-48:].startswith("ann ")
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.clean for r in found.select("doc_id", pii.sanitise(F.col("text"), F.col("spans"), F.col("removed")).alias("clean")).collect()}
+    assert not any("Ann" in got[i] for i in range(3))
+    assert all("Hermann" in got[100 + i] for i in range(60))
+
+
 def test_context_tree_weighting_equals_brute_force(spark):
     text = b"\0\0abracadabra\0"
     depth, strings = 2, collections.Counter(text[i : i + 3] for i in range(len(text) - 2))
