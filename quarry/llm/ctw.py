@@ -30,46 +30,77 @@ LOG_HALF = math.log(0.5)
 NEAR = 2
 
 
+def _log_gamma_table(most: int = 1 << 14) -> np.ndarray:
+    return np.array([0.0, *map(math.lgamma, (np.arange(1, 2 * most) / 2).tolist())])
+
+
+LOG_GAMMA = _log_gamma_table()
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Natural log of the gamma function of halves and whole numbers above 0: a table, and Stirling's series beyond it."""
+    twice = (2 * x).astype(np.int64)
+    out = LOG_GAMMA[np.minimum(twice, len(LOG_GAMMA) - 1)]
+    far = np.flatnonzero(twice >= len(LOG_GAMMA))
+    if len(far):
+        y = x[far]
+        out[far] = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    lgamma = lambda x: np.fromiter(map(math.lgamma, x.tolist()), np.float64, len(x))
-    return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - math.log(math.pi) - lgamma(zeros + ones + 1)
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1)
 
 
 def node_tables(code: np.ndarray, n: np.ndarray, depth: int, to: int) -> tuple[np.ndarray, tuple]:
     """Predictions mixed over the depths ``to`` to ``depth``, and the nodes at ``to``.
 
-    ``code`` has strings of ``depth`` context bytes and the byte predicted, all
-    of those in the corpus whose contexts agree in the ``to`` nearest bytes;
-    ``n`` counts them in the training text. The predictions are (8, strings):
-    the probability of each bit. Nodes are (key, zeros, ones, log weighted
-    probability), a key being the context and the bits decided.
+    ``code`` has distinct strings of ``depth`` context bytes and the byte
+    predicted, all of those in the corpus whose contexts agree in the ``to``
+    nearest bytes; ``n`` counts them in the training text. The predictions are
+    (8, strings): the probability of each bit. Nodes are (key, zeros, ones, log
+    weighted probability), a key being the context and the bits decided.
+
+    At each depth the strings are sorted once, and the nodes of each bit are
+    runs of them.
     """
-    byte, context = code & np.uint64(255), code >> np.uint64(8)
-    k = np.arange(8, dtype=np.uint64)[:, None]
-    prefix = (np.uint64(1) << k) | (byte[None, :] >> (np.uint64(8) - k))
-    bit = ((byte[None, :] >> (np.uint64(7) - k)) & np.uint64(1)).astype(np.int64)
-    weight = np.broadcast_to(n, bit.shape)
-    predicted = below = None
+    count = len(code)
+    bit = ((code[None, :] >> (np.uint64(7) - np.arange(8, dtype=np.uint64)[:, None])) & np.uint64(1)).astype(bool)
+    predicted = np.empty((8, count))
+    strings, sums = code, n.astype(np.float64)
+    place = np.arange(count)
+    above: list[tuple[np.ndarray, np.ndarray]] = []  # for each bit: the first string of each node one depth below, and its weighted probability
     for d in range(depth, to - 1, -1):
-        mask = np.uint64((1 << 8 * d) - 1)
-        keys, at = np.unique(((context & mask)[None, :] << np.uint64(8)) | prefix, return_inverse=True)
-        at = at.reshape(bit.shape)
-        ones = np.bincount(at.ravel(), weights=(weight * bit).ravel(), minlength=len(keys))
-        zeros = np.bincount(at.ravel(), weights=(weight * (1 - bit)).ravel(), minlength=len(keys))
-        own = log_kt(zeros, ones)
-        estimate = (np.where(bit == 1, ones[at], zeros[at]) + 0.5) / (ones[at] + zeros[at] + 1)
-        if below is None:
-            weighted, predicted = own, estimate
-        else:
-            child, child_weighted = below
-            parent = np.searchsorted(keys, (((child >> np.uint64(8)) & mask) << np.uint64(8)) | (child & np.uint64(255)))
-            product = np.bincount(parent, weights=child_weighted, minlength=len(keys))
-            weighted = np.logaddexp(LOG_HALF + own, LOG_HALF + product)
-            share = np.exp(LOG_HALF + own - weighted)[at]
-            predicted = share * estimate + (1 - share) * predicted
-        below = keys, weighted
-    return predicted, (keys, zeros, ones, weighted)
+        short, at = np.unique(strings & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        sums, place = np.bincount(at, weights=sums, minlength=len(short)), at[place]
+        keys, nodes, new = [], [], []
+        for k in range(8):
+            node = short >> np.uint64(8 - k)
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+            number = np.cumsum(np.r_[False, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+            one = (short >> np.uint64(7 - k)) & np.uint64(1) == 1
+            whole = np.bincount(number, weights=sums, minlength=len(first))
+            ones = np.bincount(number[one], weights=sums[one], minlength=len(first))
+            zeros = whole - ones
+            own = log_kt(zeros, ones)
+            of = number[place]
+            estimate = (np.where(bit[k], ones[of], zeros[of]) + 0.5) / (whole[of] + 1)
+            if d == depth:
+                weighted, predicted[k] = own, estimate
+            else:
+                child, child_weighted = above[k]
+                product = np.bincount(number[at[child]], weights=child_weighted, minlength=len(first))
+                weighted = np.logaddexp(LOG_HALF + own, LOG_HALF + product)
+                share = np.exp(LOG_HALF + own - weighted)[of]
+                predicted[k] = share * estimate + (1 - share) * predicted[k]
+            new.append((first, weighted))
+            if d == to:
+                context, prefix = node[first] >> np.uint64(k), node[first] & np.uint64((1 << k) - 1)
+                keys.append((context << np.uint64(8)) | np.uint64(1 << k) | prefix)
+                nodes.append((zeros, ones, weighted))
+        strings, above = short, new
+    return predicted, (np.concatenate(keys), *(np.concatenate(x) for x in zip(*nodes)))
 
 
 def top_levels(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -90,37 +121,43 @@ def top_levels(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def byte_model(table: DataFrame, depth: int) -> DataFrame:
-    """(code, value, n): log10 probability of the last byte of each string of ``table`` (code, n, n_train).
+def byte_model(sums: DataFrame, depth: int) -> DataFrame:
+    """(code, value, n): log10 probability of the last byte of each string of ``sums`` (key, n).
 
-    Contexts that share their two nearest bytes are worked out together, in a
-    partition of the table of distinct strings. Nodes of depth 1, at most 65,536
-    of them, are mixed on the driver.
+    A key is a string and a bit that is set for those that are not learnt from;
+    it may come in several rows. Contexts that share their two nearest bytes are
+    added up and worked out together, in a partition of the table of strings.
+    Nodes of depth 1, at most 65,536 of them, are mixed on the driver.
     """
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = list(batches)
         if not own or not sum(map(len, own)):
             return
-        pdf = pd.concat(own, ignore_index=True)
-        code = pdf["code"].to_numpy(np.int64).view(np.uint64)
-        predicted, (keys, zeros, ones, weighted) = node_tables(code, pdf["n_train"].to_numpy(np.float64), depth, NEAR)
-        yield pd.DataFrame({"code": pdf["code"], "n": pdf["n"], "bits": list(predicted.T)})
+        key = np.concatenate([b["key"].to_numpy(np.int64) for b in own]).view(np.uint64)
+        n = np.concatenate([b["n"].to_numpy(np.float64) for b in own])
+        own.clear()
+        code, at = np.unique(key >> np.uint64(1), return_inverse=True)
+        total = np.bincount(at, weights=n, minlength=len(code)).astype(np.int64)
+        learnt = np.bincount(at, weights=np.where(key & np.uint64(1), 0.0, n), minlength=len(code))
+        predicted, (keys, zeros, ones, weighted) = node_tables(code, learnt, depth, NEAR)
+        for i in range(0, len(code), 200_000):
+            yield pd.DataFrame({"code": code[i : i + 200_000].view(np.int64), "n": total[i : i + 200_000], "bits": list(predicted[:, i : i + 200_000].T)})
         first, at = np.unique(keys & np.uint64(0xFFFF), return_inverse=True)
         sums = [np.bincount(at, weights=x) for x in (zeros, ones, weighted)]
         yield pd.DataFrame({"code": first.astype(np.int64), "n": -1, "bits": list(np.stack(sums, axis=1))})
 
-    dealt = table.repartition(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
+    dealt = sums.repartition(F.shiftright("key", 9).bitwiseAND(F.lit(0xFFFF)))
     rows = materialize(dealt.mapInPandas(near, "code long, n long, bits array<double>"), "ctw-near")
     nodes = rows.where("n < 0").groupBy(F.col("code").alias("key")).agg(*[F.sum(F.col("bits")[i]).alias(c) for i, c in enumerate(("zeros", "ones", "product"))]).toArrow().to_pandas()
-    shared = table.sparkSession.sparkContext.broadcast(top_levels(nodes))
+    shared = sums.sparkSession.sparkContext.broadcast(top_levels(nodes))
 
-    def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one1, share1, one0, share0 = shared.value
-        for pdf in batches:
-            code = pdf["code"].to_numpy(np.int64)
+        for batch in batches:
+            code = batch.column("code").to_numpy()
             value = np.zeros(len(code))
-            bits = np.stack(pdf["bits"].to_numpy()) if len(code) else np.zeros((0, 8))
+            bits = batch.column("bits").flatten().to_numpy().reshape(len(code), 8)
             for k in range(8):
                 prefix = (1 << k) | ((code & 255) >> (8 - k))
                 bit = (code >> (7 - k)) & 1
@@ -129,9 +166,11 @@ def byte_model(table: DataFrame, depth: int) -> DataFrame:
                 own0 = np.where(bit == 1, one0[prefix], 1 - one0[prefix])
                 p = share1[at] * own1 + (1 - share1[at]) * bits[:, k]
                 value += np.log10(share0[prefix] * own0 + (1 - share0[prefix]) * p)
-            yield pd.DataFrame({"code": code, "value": value, "n": pdf["n"]})
+            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(value), batch.column("n")], schema=target)
 
-    return rows.where("n >= 0").mapInPandas(mixed, "code long, value double, n long")
+    schema = "code long, value double, n long"
+    target = pa_schema(schema, sums.sparkSession)
+    return rows.where("n >= 0").mapInArrow(mixed, schema)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -159,14 +198,16 @@ def count_tokens(texts: DataFrame, most: int = 300_000) -> DataFrame:
     return texts.select(F.col("text").cast("string")).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_texts(docs: DataFrame, depth: int = 4, folds: int = 10, most_words: int = 1 << 18, most_strings: int = 1 << 20) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for every row of ``docs``.
+def score_texts(docs: DataFrame, depth: int = 6, folds: int = 10, most_words: int = 1 << 18, most_strings: int = 1 << 22) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row of ``docs``.
 
     Learns from the rows whose crc32(doc_id as text) mod ``folds`` is not 0; a
     null doc_id is neither learnt from nor held out. Null texts count as empty:
     their only token is the end. ``base_score`` is the smoothed unigram model
     over tokens; ``score`` is the context-tree model's log10 probability of the
-    text's bytes, A-Z lower-cased, and an end sign. The commonest words and
+    text's bytes, A-Z lower-cased, and an end sign, and ``bits_per_byte`` the code
+    length that this comes to for each of them. ``depth`` is 6 at most, as a
+    string is a number of 56 bits. The commonest words and
     strings, ``most_words`` and ``most_strings`` at most, are broadcast; the
     others are joined, so that whatever the corpus holds is counted in full.
     Repeated rows come back as often as they came; no rows give no rows.
@@ -177,9 +218,8 @@ def score_texts(docs: DataFrame, depth: int = 4, folds: int = 10, most_words: in
     base = base.withColumn("flag", F.col("held_out") | F.col("doc_id").isNull())
     encode = lambda t: (t or "").encode().lower()
 
-    counted = grams.count(base, depth + 1, encode, flagged=True)
-    counted = materialize(counted.select("code", "n", (F.col("n") - F.col("n_flagged")).alias("n_train")), "ctw-counts")
-    hot_strings, cold_strings = grams.split_by_count(materialize(byte_model(counted, depth), "ctw-model"), most_strings)
+    strings = materialize(byte_model(grams.partial_counts(base, depth + 1, encode, flagged=True), depth), "ctw-model")
+    hot_strings, cold_strings = grams.split_by_count(strings, most_strings)
 
     words = materialize(count_tokens(base.where("not flag")), "ctw-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -217,7 +257,7 @@ def score_texts(docs: DataFrame, depth: int = 4, folds: int = 10, most_words: in
         scored = scored.drop("rare").join(rare, "_row", "left")
         scored = scored.withColumn("base_score", F.col("base_score") + F.coalesce("_more", F.lit(0.0)))
         scored = scored.withColumn("n_known", F.col("n_known") + F.coalesce("_known", F.lit(0)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
 def common_words(words: DataFrame, most: int) -> tuple[dict[bytes, float], DataFrame | None]:

@@ -53,13 +53,12 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def count(
-    docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], flagged: bool = False, most: int = 2_000_000
-) -> DataFrame:
-    """(code, n) over all rows, or (code, n, n_flagged) with a boolean ``flag`` column of ``docs``.
+def partial_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], flagged: bool = False, most: int = 2_000_000) -> DataFrame:
+    """(key, n) for each task's share of the rows: n-grams and their numbers.
 
-    Each task adds up its own counts, at most ``most`` at a time, before the
-    shuffle.
+    With ``flagged`` a key is twice the n-gram, plus one where the boolean
+    column ``flag`` of ``docs`` is set. Each task adds up its own counts, at
+    most ``most`` at a time.
     """
     schema = "key long, n long"
     target = pa_schema(schema, docs.sparkSession)
@@ -88,11 +87,12 @@ def count(
             yield out()
 
     columns = [F.col("text").cast("string")] + ([F.col("flag").cast("boolean")] if flagged else [])
-    sums = docs.select(*columns).mapInArrow(run, schema)
-    if not flagged:
-        return sums.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))
-    marked = F.sum(F.when(F.col("key") % 2 == 1, F.col("n")).otherwise(0)).alias("n_flagged")
-    return sums.groupBy(F.shiftright("key", 1).alias("code")).agg(F.sum("n").alias("n"), marked)
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def count(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes]) -> DataFrame:
+    """(code, n) over all rows."""
+    return partial_counts(docs, n, prepare).groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:

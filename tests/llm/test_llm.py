@@ -299,6 +299,18 @@ def test_repeats_equal_brute_force(spark, docs, texts):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_of_periodic_and_long_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    shared = noise(900)
+    rows = ["x" * 405, "x" * 500 + "y" + "x" * 401, "abc" * 400, "q" + "abc" * 300, "é" * 350, noise(70_000) + shared + noise(2_000), shared[100:600] + noise(10)]
+    rows += [shared[:k] + c + shared[k:] for k, c in ((50, "z"), (399, "z"), (400, "z"), (401, "y"), (450, "w"), (880, "z"))] + [shared[3:] * 2]
+    rows += [noise(399), "", noise(400) * 2]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    want = brute_repeats([t.encode() for t in rows], 400)
+    assert [tuple(r)[1:] for r in sorted(suffixes.remove_repeats(df).collect())] == want
+
+
 def test_templates_catch_other_values_and_not_others(spark):
     item = "Yesterday in town Alice bought 5 apples and 7 pears for 12 dollars while Bob watched Alice eat 5 of them slowly at home."
     rows = [
@@ -426,14 +438,19 @@ def test_context_tree_weighting_equals_brute_force(spark):
                 p = share * own + (1 - share) * p
         return p
 
-    rows = [(int.from_bytes(s, "big"), n, n) for s, n in strings.items()] + [(int.from_bytes(b"abz", "big"), 1, 0)]
-    got = {r.code: r.value for r in ctw.byte_model(spark.createDataFrame(rows, "code long, n long, n_train long"), depth).collect()}
-    for code, _, _ in rows:
+    rows = [(2 * int.from_bytes(s, "big"), n) for s, n in strings.items()] + [(2 * int.from_bytes(b"abz", "big") + 1, 1)]
+    got = {r.code: r.value for r in ctw.byte_model(spark.createDataFrame(rows, "key long, n long"), depth).collect()}
+    for code in (key >> 1 for key, _ in rows):
         s = code.to_bytes(3, "big")
         want = sum(math.log10(chance(s[:2], (1 << k) | (s[2] >> (8 - k)), s[2] >> (7 - k) & 1)) for k in range(8))
         assert got[code] == pytest.approx(want, abs=1e-9)
 
 
+def test_log_gamma_equals_that_of_the_library():
+    x = np.array([0.5, 1, 1.5, 7, 8191.5, 8192, 8192.5, 1e6 + 0.5, 3e9])
+    assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12)
+
+
 def test_scores(spark, docs, texts):
     own = lambda t: [*WORD.findall(lower(t or "")), "\0end"]
     counts = collections.Counter()
