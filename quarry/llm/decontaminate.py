@@ -94,6 +94,32 @@ def runs(words: Column) -> Column:
     return let(words, both)
 
 
+def plain_words(text: Column) -> Column:
+    """The :func:`tokens` of a text as plain words, without looking for placeholders."""
+    plain = F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", "")
+    return F.filter(F.split(F.lower(plain), r"\s+"), lambda w: w != "")
+
+
+def _next_to(hashes: Column, by: int) -> Column:
+    """A hash of each two words ``by`` apart."""
+    n = F.greatest(F.size(hashes) - by, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, by + 1, n), lambda x, y: F.xxhash64(F.lit(by), x, y))
+
+
+def anchors(words: Column, literal) -> Column:
+    """A hash of two literal words of an array that are one or two apart, of those with the most letters; of a lone word by itself.
+
+    Whoever holds the array as a run holds these two words at this distance. A
+    run with literals in half of its places has two such words.
+    """
+    pair = lambda by: F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - by, F.lit(0))), F.slice(words, by + 1, F.greatest(F.size(words) - by, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.lit(by).alias("by")))
+    both = F.filter(F.concat(pair(1), pair(2)), lambda p: literal(p["a"]) & literal(p["b"]))
+    best = F.array_max(F.transform(both, lambda p: F.struct((F.length(_plain(p["a"])) + F.length(_plain(p["b"]))).alias("n"), p.alias("p"))))["p"]
+    own = lambda w: F.xxhash64(_plain(w))
+    of_two = F.when(best["by"] == 1, F.xxhash64(F.lit(1), own(best["a"]), own(best["b"]))).otherwise(F.xxhash64(F.lit(2), own(best["a"]), own(best["b"])))
+    return F.when(best.isNotNull(), of_two).otherwise(F.xxhash64(F.lit(0), own(F.element_at(words, 1))))
+
+
 def _pairs(by: int):
     def of(a: Column) -> Column:
         n = F.greatest(F.size(a) - by, F.lit(0))
@@ -127,14 +153,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     window = F.slice("item_words", F.col("r.at") + 1, RUN)
     literal = F.size(F.filter(window, lambda w: w >= F.when(F.col("r.named"), OWN).otherwise(EITHER)))
     wanted = items.select("item", "item_words", F.explode(runs(F.col("item_words"))).alias("r")).where(literal >= LITERALS)
-    wanted = materialize(wanted.select("r.run", "item", F.col("r.at").alias("item_at")).distinct(), "bench-runs")
+    is_literal = lambda w: w >= F.when(F.col("r.named"), OWN).otherwise(EITHER)
+    wanted = materialize(wanted.select("r.run", "item", F.col("r.at").alias("item_at"), anchors(window, is_literal).alias("anchor")).distinct(), "bench-runs")
     totals = wanted.groupBy("item").agg(F.count_distinct("item_at").alias("item_runs"))
+    short = items.join(wanted.select("item").distinct(), "item", "left_anti").where(F.size("item_words") > 0)
+    short = short.select("item_id", F.size("item_words").alias("length"), F.transform("item_words", _plain).alias("plain"))
+    short = materialize(short.withColumn("anchor", anchors(F.col("plain"), lambda w: F.lit(True))), "bench-short")
 
+    # texts with two words that some run, or item without runs, has as well; all others hold nothing
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    texts = docs.select(F.col("doc_id").cast("long"), text)
-    texts = texts.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    every = docs.select(F.col("doc_id").cast("long"), text)
+    every = every.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    lone = not short.where("length = 1").isEmpty()
+    near = lambda h: F.concat(_next_to(h, 1), _next_to(h, 2), *([F.transform(h, lambda x: F.xxhash64(F.lit(0), x))] if lone else []))
+    spread = every.select("k1", "k2", F.explode(let(F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)), near)).alias("anchor"))
+    known = materialize(wanted.select("anchor").union(short.select("anchor")).distinct(), "bench-anchors")
+    likely = materialize(spread.join(bounded(known), "anchor", "left_semi").select("k1", "k2").distinct(), "bench-likely")
+    texts = every.join(bounded(likely), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    texts = materialize(texts, "bench-texts")
     spread = texts.select("k1", "k2", F.explode(runs(tokens(F.col("text")))).alias("r")).select("k1", "k2", "r.at", "r.run")
-    hits = spread.join(bounded(wanted), "run").select("k1", "k2", "at", "item", "item_at").distinct()
+    hits = spread.join(bounded(wanted.drop("anchor")), "run").select("k1", "k2", "at", "item", "item_at").distinct()
     hits = materialize(hits, "bench-hits")
 
     # diagonals that are long enough, then their placeholders
@@ -145,8 +183,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     lists = near.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "item", "item_at", "diagonal", "runs", "item_runs")).alias("own"))
     lists = materialize(lists, "bench-lists")
     held = texts.select("k1", "k2", "text").join(bounded(lists, items=F.size("own")), ["k1", "k2"])
-    held = held.select("k1", "k2", tokens(F.col("text")).alias("words"), "own").select("k1", "k2", "words", F.explode("own").alias("h"))
-    held = held.select("k1", "k2", "h.*", F.slice("words", F.col("h.at") + 1, RUN).alias("there")).join(items, "item")
+    there = lambda words: F.transform("own", lambda h: F.struct(h.alias("h"), F.slice(words, h["at"] + 1, RUN).alias("there")))
+    held = held.select("k1", "k2", F.explode(let(tokens(F.col("text")), there)).alias("x"))
+    held = held.select("k1", "k2", "x.h.*", "x.there").join(items, "item")
     pairs = F.zip_with("there", F.slice("item_words", F.col("item_at") + 1, RUN), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
     slots = F.transform(F.filter(pairs, lambda p: p["i"] < OWN), lambda p: F.struct(_slot(p["i"]).alias("i"), _slot(p["t"]).alias("t")))
     found = held.select("k1", "k2", "item", "item_id", "diagonal", "runs", "item_runs", F.explode_outer(slots).alias("slot"))
@@ -159,16 +198,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     best = best.select("k1", "k2", "item_id", "best.*")
 
     # items without runs, as whole sequences
-    short = items.join(wanted.select("item").distinct(), "item", "left_anti").where(F.size("item_words") > 0)
-    short = materialize(short.select("item_id", F.size("item_words").alias("length"), F.transform("item_words", _plain).alias("plain")), "bench-short")
     lengths = sorted(r["length"] for r in short.select("length").distinct().collect())
     if lengths:
         keyed = lambda words, n: F.transform(sequences(words, n), lambda h: F.xxhash64(F.lit(n), h))
         own = [short.where(F.col("length") == n).select("item_id", F.explode(keyed(F.col("plain"), n)).alias("key")) for n in lengths]
         own = materialize(reduce(DataFrame.unionByName, own), "bench-keys")
-        every = lambda words: F.array_distinct(F.concat(*[keyed(words, n) for n in lengths]))
-        all_keys = texts.select("k1", "k2", F.explode(let(F.transform(tokens(F.col("text")), _plain), every)).alias("key"))
+        every_key = lambda words: F.array_distinct(F.concat(*[keyed(words, n) for n in lengths]))
+        all_keys = texts.select("k1", "k2", F.explode(let(plain_words(F.col("text")), every_key)).alias("key"))
         whole = all_keys.join(bounded(own), "key").select("k1", "k2", "item_id").distinct()
         best = best.unionByName(whole.select("*", *[F.lit(0).cast("long").alias(c) for c in ("runs", "item_runs", "slots", "changed")]))
     best = materialize(best, "bench-found")
-    return texts.select("doc_id", "k1", "k2").join(best, ["k1", "k2"]).select("doc_id", "item_id", "runs", "item_runs", "slots", "changed")
+    return every.select("doc_id", "k1", "k2").join(best, ["k1", "k2"]).select("doc_id", "item_id", "runs", "item_runs", "slots", "changed")

@@ -60,9 +60,9 @@ def _share(texts: int) -> Column:
     return F.when(content > 0, mutual / content).otherwise(0.0)
 
 
-def _beside(text: Column, base: Column) -> Column:
-    """The text's terms outside of its entities, as spans."""
-    return F.filter(matches(text, TERM, "term"), lambda t: ~F.exists(base, lambda b: (b["at"] < t["end"]) & (t["at"] < b["end"])))
+def _without(text: Column, spans: Column) -> Column:
+    """The text with a space for each span."""
+    return replaced(text, spans, lambda s: F.lit(" "))
 
 
 def _sketch(text: Column) -> Column:
@@ -83,71 +83,101 @@ def term_counts(rows: DataFrame) -> tuple[DataFrame, int]:
     narrow = rows.select("k1", "k2", "text")
     folded = narrow.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     once = narrow.join(again, ["k1", "k2"], "left_anti").unionByName(folded)
-    return once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")), keys.count()
+    counts = once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    return materialize(counts, "pii-counts"), keys.count()
 
 
-def revealing(rows: DataFrame, generalise: float, remove: float, min_contexts: int) -> DataFrame:
-    """(value, term, removed) for terms that reveal an entity of ``rows`` (k1, k2, text, base)."""
-    value = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("value")
-    mentions = rows.where(F.size("base") > 0).select("k1", "k2", "text", "base", value)
-    values = mentions.select("k1", "k2", "value").distinct().groupBy("value").agg(F.count("*").alias("with_value"))
-    values = materialize(values.where(F.col("with_value") >= min_contexts), "pii-values")
+def generalised(told: DataFrame, counts: DataFrame, texts: int, generalise: float) -> DataFrame:
+    """``told`` (value, term, with_value, removed) with ``general``: a beginning of the term that reveals too little, null if none.
+
+    A beginning occurs in as many texts as the commonest term that has it, at
+    least; the longest one whose share is then below ``generalise`` is taken.
+    """
+    begins = lambda term, least: F.transform(F.sequence(F.lit(1), F.greatest(F.length(term) - least, F.lit(1))), lambda n: F.substring(term, F.lit(1), n))
+    open_ = told.where("not removed")
+    wanted = bounded(materialize(open_.select(F.explode(begins(F.col("term"), 1)).alias("begin")).distinct(), "pii-begins"))
+    spread = counts.select(F.explode(begins(F.col("term"), 0)).alias("begin"), "with_term").join(wanted, "begin", "left_semi")
+    spread = spread.groupBy("begin").agg(F.max("with_term").alias("with_begin"))
+    longest = open_.select("value", "term", "with_value", F.explode(begins(F.col("term"), 1)).alias("begin")).join(spread, "begin")
+    wide = F.log2(F.lit(float(texts)) / F.col("with_begin")) < generalise * F.log2(F.lit(float(texts)) / F.col("with_value"))
+    longest = longest.where(wide & (F.col("begin") != F.col("term"))).groupBy("value", "term").agg(F.max("begin").alias("general"))
+    return told.join(longest, ["value", "term"], "left")
+
+
+def revealing(rows: DataFrame, generalise: float, remove: float, min_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """(value, term, removed, general) for terms that reveal an entity of ``rows`` (k1, k2, text, base), and (k1, k2, value)."""
+    held = rows.where(F.size("base") > 0).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("base").alias("base"))
+    own = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    held = held.select("k1", "k2", own.alias("values"), _terms(_without(F.col("text"), ordered(F.col("base"), KINDS))).alias("terms"), _sketch(F.col("text")).alias("sketch"))
+    held = materialize(held, "pii-held")
+    mentions = held.select("k1", "k2", F.explode("values").alias("value"))
+    values = materialize(mentions.groupBy("value").agg(F.count("*").alias("with_value")), "pii-values")
     most = values.agg(F.max("with_value")).first()[0]
     if most is None:
-        return values.select("value", F.lit("").alias("term"), F.lit(False).alias("removed"))
+        return values.select("value", F.lit("").alias("term"), F.lit(False).alias("removed"), F.lit("").alias("general")), mentions
     # both <= with_value, so that a term in too many texts cannot reach the threshold; the counts are exact
     counts, texts = term_counts(rows)
     rare = lambda with_value: F.log2(F.lit(float(texts)) / F.col("with_term")) >= generalise * F.log2(F.lit(float(texts)) / with_value) - 1e-9
-    counts = materialize(counts.where((F.col("with_term") >= min_contexts) & rare(F.lit(most))), "pii-counts")
-    near = mentions.join(bounded(values), "value")
-    term = F.explode(F.array_distinct(F.transform(_beside(F.col("text"), F.col("base")), lambda t: F.lower(t["value"])))).alias("term")
-    near = near.select("k1", "k2", "value", "with_value", _sketch(F.col("text")).alias("sketch"), term)
-    near = near.join(bounded(counts), "term").where(rare(F.col("with_value"))).distinct()
-    pairs = near.groupBy("value", "term", "with_value", "with_term").agg(F.count("*").alias("both"), F.count_distinct("sketch").alias("contexts"))
-    whole = pairs.where(F.col("contexts") >= min_contexts).withColumn("share", _share(texts))
-    return whole.where(F.col("share") >= generalise).select("value", "term", (F.col("share") >= remove).alias("removed"))
-
-
-def find(docs: DataFrame, *carry: Column, generalise: float = 0.7, remove: float = 0.9, min_contexts: int = 3) -> DataFrame:
-    """(doc_id, text, base, spans, removed, carried) for every row of ``docs`` (doc_id, text), null text as empty.
+    few = bounded(materialize(counts.where(rare(F.lit(most))), "pii-rare"))
+    # an entity in fewer texts: the terms that are parts of it
+    parts = F.array_intersect("terms", F.regexp_extract_all(F.lower("value"), F.lit(f"({TERM})")))
+    near = held.select("k1", "k2", "sketch", "terms", F.explode("values").alias("value")).join(bounded(values), "value")
+    near = near.withColumn("estimated", F.col("with_value") >= min_contexts)
+    near = near.select("k1", "k2", "sketch", "value", "with_value", "estimated", F.explode(F.when(F.col("estimated"), F.col("terms")).otherwise(parts)).alias("term"))
+    near = near.join(few, "term").where(rare(F.col("with_value")))
+    pairs = near.groupBy("value", "term", "with_value", "with_term", "estimated").agg(F.count("*").alias("both"), F.count_distinct("sketch").alias("contexts"))
+    whole = pairs.where((F.col("contexts") >= min_contexts) | ~F.col("estimated")).withColumn("share", _share(texts))
+    told = whole.where(F.col("share") >= generalise).select("value", "term", "with_value", (F.col("share") >= remove).alias("removed"))
+    return generalised(materialize(told, "pii-told"), counts, texts, generalise), mentions
+
+
+def find(docs: DataFrame, carry: Column | None = None, generalise: float = 0.7, remove: float = 0.9, min_contexts: int = 3) -> DataFrame:
+    """(doc_id, text, base, spans, general, carried) for every row of ``docs`` (doc_id, text), null text as empty.
 
     ``base`` has the entities of known form, ``spans`` adds the terms that
-    reveal one of the text's entities, and ``removed`` lists those of them that
-    go without a trace. A term is judged over whole texts: it must share
-    ``min_contexts`` texts that are no near copies of each other with the same
-    entity, and its share of the entity's information must reach
-    ``generalise``, or ``remove``. A text's terms inside
+    reveal one of the text's entities, and ``general`` maps each of those terms
+    to what stands for it: a beginning of it that many texts share, ``[TERM]``
+    if there is none, nothing if the term reveals the entity beyond ``remove``.
+    A term is judged over whole texts: it must share ``min_contexts`` texts that
+    are no near copies of each other with the same entity, and its share of the
+    entity's information must reach ``generalise``, or ``remove``. For an entity
+    in fewer texts, only terms that are part of it (the names in an address)
+    are judged, in as many texts as there are. A text's terms inside
     its entities are not added. Counts are over different texts. Repeated rows
     come back as often as they came; a null doc_id stays null; no rows give no
-    rows. Of other columns, those in ``carry`` come along.
+    rows. Of other columns, only ``carry`` comes along.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long"), text, F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    carry = F.lit(None).cast("string") if carry is None else carry
+    rows = docs.select(F.col("doc_id").cast("long"), text, carry.alias("carried"))
     rows = rows.select("doc_id", "text", "carried", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
     rows = rows.withColumn("base", entities(F.col("text")))
-    told = materialize(revealing(rows, generalise, remove, min_contexts), "pii-terms")
+    told, mentions = revealing(rows.select("k1", "k2", "text", "base"), generalise, remove, min_contexts)
+    told = materialize(told, "pii-terms")
+    none = F.create_map().cast("map<string,string>")
     if told.isEmpty():
-        return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(F.col("base"), KINDS).alias("spans"), F.array().cast("array<string>").alias("removed"), "carried")
-    holds = rows.where(F.size("base") > 0).select("k1", "k2", F.explode("base").alias("s")).select("k1", "k2", F.concat_ws(":", "s.kind", "s.value").alias("value")).distinct()
-    lists = holds.join(told, "value").groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("removed"))
-    rows = rows.join(bounded(materialize(lists, "pii-lists"), items=F.size("terms")), ["k1", "k2"], "left")
-    terms = F.filter(matches(F.col("text"), TERM, "term", F.col("terms").isNotNull()), lambda t: F.array_contains("terms", F.lower(t["value"])) & ~F.exists("base", lambda b: (b["at"] < t["end"]) & (t["at"] < b["end"])))
-    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", terms))
-    return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(spans, KINDS).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"), "carried")
+        return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(F.col("base"), KINDS).alias("spans"), none.alias("general"), "carried")
+    # of two entities in a text that a term reveals, the one that asks for more decides: nothing, a label, the shorter beginning
+    general = F.when(F.col("removed"), F.lit("")).otherwise(F.coalesce(F.col("general"), F.lit("[TERM]")))
+    order = F.when(F.col("removed"), -1).when(F.col("general").isNull(), 0).otherwise(F.length("general"))
+    by_text = mentions.join(bounded(told), "value").groupBy("k1", "k2", "term").agg(F.min(F.struct(order.alias("order"), general.alias("general"))).alias("g"))
+    lists = by_text.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "g.general"))).alias("general"))
+    rows = rows.join(bounded(materialize(lists, "pii-lists"), items=F.size("general")), ["k1", "k2"], "left")
+    terms = F.filter(matches(F.col("text"), TERM, "term", F.col("general").isNotNull()), lambda t: F.map_contains_key("general", F.lower(t["value"])) & ~F.exists("base", lambda b: (b["at"] < t["end"]) & (t["at"] < b["end"])))
+    spans = F.when(F.col("general").isNull(), F.col("base")).otherwise(F.concat("base", terms))
+    return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(spans, KINDS).alias("spans"), F.coalesce("general", none).alias("general"), "carried")
 
 
-def sanitise(text: Column, spans: Column, removed: Column) -> Column:
-    """The text with each span replaced by its kind in brackets, or by nothing for removed terms.
+def replaced(text: Column, spans: Column, sign) -> Column:
+    """The text with ``sign(span)`` for each of ``spans``, which are in order.
 
     A span that begins inside an earlier one is left out, its rest with it.
     """
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        gone = (s["kind"] == "term") & F.array_contains(removed, F.lower(s["value"]))
-        sign = F.when(gone, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         kept = F.substring(text, acc["at"] + 1, s["at"] - acc["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(kept, sign)).alias("parts"))
+        new = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(kept, sign(s))).alias("parts"))
         longer = F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["parts"].alias("parts"))
         return F.when(s["at"] >= acc["at"], new).otherwise(longer)
 
@@ -155,6 +185,12 @@ def sanitise(text: Column, spans: Column, removed: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
+def sanitise(text: Column, spans: Column, general: Column) -> Column:
+    """The text with each entity replaced by its kind in brackets, and each term by what ``general`` has for it."""
+    kind = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    return replaced(text, spans, lambda s: F.when(s["kind"] == "term", F.coalesce(F.element_at(general, F.lower(s["value"])), F.lit(""))).otherwise(kind(s)))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The counts and printed spans of :func:`find`."""
     return found.select(

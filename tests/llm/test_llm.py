@@ -372,7 +372,7 @@ def test_terms_that_reveal_an_entity(spark):
     rows = [(i, f"number {'abcdefgh'[i]}x. ask for Rumpel at rumpel@gold.example.com about item {'abcdefgh'[i] * 4}") for i in range(8)]
     rows += [(20 + i, "ask about the item in the shop, about gold") for i in range(30)]
     found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.doc_id: r for r in found.select("doc_id", "spans", pii.sanitise(F.col("text"), F.col("spans"), F.col("removed")).alias("clean")).collect()}
+    got = {r.doc_id: r for r in found.select("doc_id", "spans", pii.sanitise(F.col("text"), F.col("spans"), F.col("general")).alias("clean")).collect()}
     assert "Rumpel" not in got[0].clean and "[EMAIL]" in got[0].clean and "ask" in got[0].clean
     assert got[25].clean == rows[13][1]
 
@@ -389,7 +389,7 @@ def test_terms_far_from_an_entity_reveal_it(spark):
     letter = f"Dear Walter, {bag(rng, 120)} silver@example.com {bag(rng, 20)}"
     rows += [(500 + i, letter + " end" * i) for i in range(5)]
     found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.doc_id: r.clean for r in found.select("doc_id", pii.sanitise(F.col("text"), F.col("spans"), F.col("removed")).alias("clean")).collect()}
+    got = {r.doc_id: r.clean for r in found.select("doc_id", pii.sanitise(F.col("text"), F.col("spans"), F.col("general")).alias("clean")).collect()}
     assert not any("Hermann" in got[i] for i in range(5))
     assert all("Walter" in got[500 + i] for i in range(5))  # near copies are one support
     assert all(got[100 + i] == t for i, (_, t) in enumerate(rows[5:305]))
@@ -404,7 +404,7 @@ def test_pieces_of_words_do_not_count_as_terms(spark):
     left = rows[10][1].split("@")[0].rsplit(" ", 1)[0] + " "
     assert left[-48:].startswith("ann ")
     found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.doc_id: r.clean for r in found.select("doc_id", pii.sanitise(F.col("text"), F.col("spans"), F.col("removed")).alias("clean")).collect()}
+    got = {r.doc_id: r.clean for r in found.select("doc_id", pii.sanitise(F.col("text"), F.col("spans"), F.col("general")).alias("clean")).collect()}
     assert not any("Ann" in got[i] for i in range(3))
     assert all("Hermann" in got[100 + i] for i in range(60))
 
