@@ -122,55 +122,67 @@ def top_levels(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def byte_model(sums: DataFrame, depth: int) -> DataFrame:
-    """(code, value, n): log10 probability of the last byte of each string of ``sums`` (key, n).
+    """(code, value, n): log10 probability of the last byte of each string of ``sums`` (shard, keys, sums).
 
-    A key is a string and a bit that is set for those that are not learnt from;
-    it may come in several rows. Contexts that share their two nearest bytes are
-    added up and worked out together, in a partition of the table of strings.
-    Nodes of depth 1, at most 65,536 of them, are mixed on the driver.
+    ``sums`` is as :func:`grams.packed_counts` gives it; its flag is set for
+    strings that are not learnt from. Contexts that share their two nearest
+    bytes are in one shard, and are added up and worked out together. Nodes of
+    depth 1, at most 65,536 of them, are mixed on the driver.
     """
+    spark = sums.sparkSession
+    packed = "code binary, n binary, bits binary"
+    packed_schema, node_schema = pa_schema(packed, spark), "code long, value double, n long"
+    target = pa_schema(node_schema, spark)
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = list(batches)
-        if not own or not sum(map(len, own)):
-            return
-        key = np.concatenate([b["key"].to_numpy(np.int64) for b in own]).view(np.uint64)
-        n = np.concatenate([b["n"].to_numpy(np.float64) for b in own])
-        own.clear()
-        code, at = np.unique(key >> np.uint64(1), return_inverse=True)
-        total = np.bincount(at, weights=n, minlength=len(code)).astype(np.int64)
-        learnt = np.bincount(at, weights=np.where(key & np.uint64(1), 0.0, n), minlength=len(code))
-        predicted, (keys, zeros, ones, weighted) = node_tables(code, learnt, depth, NEAR)
-        for i in range(0, len(code), 200_000):
-            yield pd.DataFrame({"code": code[i : i + 200_000].view(np.int64), "n": total[i : i + 200_000], "bits": list(predicted[:, i : i + 200_000].T)})
-        first, at = np.unique(keys & np.uint64(0xFFFF), return_inverse=True)
-        sums = [np.bincount(at, weights=x) for x in (zeros, ones, weighted)]
-        yield pd.DataFrame({"code": first.astype(np.int64), "n": -1, "bits": list(np.stack(sums, axis=1))})
-
-    dealt = sums.repartition(F.shiftright("key", 9).bitwiseAND(F.lit(0xFFFF)))
-    rows = materialize(dealt.mapInPandas(near, "code long, n long, bits array<double>"), "ctw-near")
-    nodes = rows.where("n < 0").groupBy(F.col("code").alias("key")).agg(*[F.sum(F.col("bits")[i]).alias(c) for i, c in enumerate(("zeros", "ones", "product"))]).toArrow().to_pandas()
-    shared = sums.sparkSession.sparkContext.broadcast(top_levels(nodes))
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_shard: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for own, keys, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "sums"))):
+                by_shard.setdefault(own, []).append((keys, n))
+        for own in list(by_shard):
+            key, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*by_shard.pop(own)), (np.uint64, np.int64)))
+            key, n = grams.added_up(key, n)
+            code, total = grams.added_up(key >> np.uint64(1), n)
+            learnt = np.bincount(np.searchsorted(code, key >> np.uint64(1)), weights=np.where(key & np.uint64(1), 0, n), minlength=len(code))
+            predicted, (keys, zeros, ones, weighted) = node_tables(code, learnt, depth, NEAR)
+            first, at = np.unique(keys & np.uint64(0xFFFF), return_inverse=True)
+            nodes = np.stack([first.astype(np.float64), *[np.bincount(at, weights=x) for x in (zeros, ones, weighted)]])
+            step = 1 << 16
+            arrays = [[x[..., i : i + step].tobytes() for i in range(0, len(code), step)] for x in (code, total, predicted)]
+            yield pa.RecordBatch.from_arrays([pa.array([*x, y], pa.binary()) for x, y in zip(arrays, (b"", b"", nodes.tobytes()))], schema=packed_schema)
+
+    rows = materialize(sums.repartition("shard").mapInArrow(near, packed), "ctw-near")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(x, np.float64).reshape(4, -1) for b in batches for x in b.column("bits").to_pylist()]
+        if own:
+            key, *values = np.concatenate(own, axis=1)
+            first, at = np.unique(key, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), *[pa.array(np.bincount(at, weights=x)) for x in values]], schema=node_target)
+
+    nodes_ddl = "key long, zeros double, ones double, product double"
+    node_target = pa_schema(nodes_ddl, spark)
+    nodes = rows.where("octet_length(code) = 0").mapInArrow(summed, nodes_ddl)
+    nodes = nodes.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "product")]).toArrow().to_pandas()
+    shared = spark.sparkContext.broadcast(top_levels(nodes))
 
     def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one1, share1, one0, share0 = shared.value
         for batch in batches:
-            code = batch.column("code").to_numpy()
-            value = np.zeros(len(code))
-            bits = batch.column("bits").flatten().to_numpy().reshape(len(code), 8)
-            for k in range(8):
-                prefix = (1 << k) | ((code & 255) >> (8 - k))
-                bit = (code >> (7 - k)) & 1
-                at = ((code >> 8 & 255) << 8) | prefix
-                own1 = np.where(bit == 1, one1[at], 1 - one1[at])
-                own0 = np.where(bit == 1, one0[prefix], 1 - one0[prefix])
-                p = share1[at] * own1 + (1 - share1[at]) * bits[:, k]
-                value += np.log10(share0[prefix] * own0 + (1 - share0[prefix]) * p)
-            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(value), batch.column("n")], schema=target)
-
-    schema = "code long, value double, n long"
-    target = pa_schema(schema, sums.sparkSession)
-    return rows.where("n >= 0").mapInArrow(mixed, schema)
+            for codes, numbers, predicted in zip(*(batch.column(c).to_pylist() for c in ("code", "n", "bits"))):
+                code, bits = np.frombuffer(codes, np.int64), np.frombuffer(predicted, np.float64).reshape(8, -1)
+                value = np.zeros(len(code))
+                for k in range(8):
+                    prefix = (1 << k) | ((code & 255) >> (8 - k))
+                    bit = (code >> (7 - k)) & 1
+                    at = ((code >> 8 & 255) << 8) | prefix
+                    own1 = np.where(bit == 1, one1[at], 1 - one1[at])
+                    own0 = np.where(bit == 1, one0[prefix], 1 - one0[prefix])
+                    p = share1[at] * own1 + (1 - share1[at]) * bits[k]
+                    value += np.log10(share0[prefix] * own0 + (1 - share0[prefix]) * p)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(value), pa.array(np.frombuffer(numbers, np.int64))], schema=target)
+
+    return rows.where("octet_length(code) > 0").mapInArrow(mixed, node_schema)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -218,7 +230,7 @@ def score_texts(docs: DataFrame, depth: int = 6, folds: int = 10, most_words: in
     base = base.withColumn("flag", F.col("held_out") | F.col("doc_id").isNull())
     encode = lambda t: (t or "").encode().lower()
 
-    strings = materialize(byte_model(grams.partial_counts(base, depth + 1, encode, flagged=True), depth), "ctw-model")
+    strings = materialize(byte_model(grams.packed_counts(base, depth + 1, encode), depth), "ctw-model")
     hot_strings, cold_strings = grams.split_by_count(strings, most_strings)
 
     words = materialize(count_tokens(base.where("not flag")), "ctw-words")
@@ -229,10 +241,13 @@ def score_texts(docs: DataFrame, depth: int = 6, folds: int = 10, most_words: in
     hot_words, cold_words = common_words(words, most_words)
     shared = spark.sparkContext.broadcast((hot_strings, hot_words))
     joined = cold_words is not None
+    models: list[grams.HashArray] = []  # one for each task
 
     def run(batch: dict) -> Iterator[dict]:
-        (hashes, values), known = shared.value
-        model = grams.HashArray(hashes, values)
+        arrays, known = shared.value
+        if not models:
+            models.append(grams.HashArray(*arrays))
+        model = models[0]
         for at in range(0, len(batch["text"]), 500):
             texts = batch["text"][at : at + 500]
             sums, number, cold = grams.look_up([encode(t) for t in texts], depth + 1, model)

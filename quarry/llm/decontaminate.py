@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, materialize
@@ -107,17 +107,19 @@ def _next_to(hashes: Column, by: int) -> Column:
 
 
 def anchors(words: Column, literal) -> Column:
-    """A hash of two literal words of an array that are one or two apart, of those with the most letters; of a lone word by itself.
+    """(letters, hash) of two literal words of an array that are one or two apart, of those with the most letters; of a lone word by itself.
 
     Whoever holds the array as a run holds these two words at this distance. A
     run with literals in half of its places has two such words.
     """
     pair = lambda by: F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - by, F.lit(0))), F.slice(words, by + 1, F.greatest(F.size(words) - by, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.lit(by).alias("by")))
     both = F.filter(F.concat(pair(1), pair(2)), lambda p: literal(p["a"]) & literal(p["b"]))
-    best = F.array_max(F.transform(both, lambda p: F.struct((F.length(_plain(p["a"])) + F.length(_plain(p["b"]))).alias("n"), p.alias("p"))))["p"]
+    most = F.array_max(F.transform(both, lambda p: F.struct((F.length(_plain(p["a"])) + F.length(_plain(p["b"]))).alias("n"), p.alias("p"))))
+    best = most["p"]
     own = lambda w: F.xxhash64(_plain(w))
     of_two = F.when(best["by"] == 1, F.xxhash64(F.lit(1), own(best["a"]), own(best["b"]))).otherwise(F.xxhash64(F.lit(2), own(best["a"]), own(best["b"])))
-    return F.when(best.isNotNull(), of_two).otherwise(F.xxhash64(F.lit(0), own(F.element_at(words, 1))))
+    key = F.when(best.isNotNull(), of_two).otherwise(F.xxhash64(F.lit(0), own(F.element_at(words, 1))))
+    return F.struct(F.coalesce(most["n"], F.lit(0)).alias("letters"), key.alias("key"))
 
 
 def _pairs(by: int):
@@ -155,7 +157,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     wanted = items.select("item", "item_words", F.explode(runs(F.col("item_words"))).alias("r")).where(literal >= LITERALS)
     is_literal = lambda w: w >= F.when(F.col("r.named"), OWN).otherwise(EITHER)
     wanted = materialize(wanted.select("r.run", "item", F.col("r.at").alias("item_at"), anchors(window, is_literal).alias("anchor")).distinct(), "bench-runs")
-    totals = wanted.groupBy("item").agg(F.count_distinct("item_at").alias("item_runs"))
+    totals = materialize(wanted.groupBy("item").agg(F.count_distinct("item_at").alias("item_runs")), "bench-totals")
+    # of the runs that must match, any but one may be left out of the first search: those whose words have the fewest letters
+    needed = F.least(F.lit(float(min_runs)), F.ceil(min_share * F.col("item_runs") - 1e-9).cast("double"))
+    by_place = wanted.groupBy("item", "item_at").agg(F.min("anchor.letters").alias("letters"))
+    placed = by_place.join(totals, "item").withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("letters", "item_at")))
+    sought = wanted.join(placed.where(F.col("nth") >= needed).select("item", "item_at"), ["item", "item_at"], "left_semi").select("anchor.key")
     short = items.join(wanted.select("item").distinct(), "item", "left_anti").where(F.size("item_words") > 0)
     short = short.select("item_id", F.size("item_words").alias("length"), F.transform("item_words", _plain).alias("plain"))
     short = materialize(short.withColumn("anchor", anchors(F.col("plain"), lambda w: F.lit(True))), "bench-short")
@@ -167,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
     lone = not short.where("length = 1").isEmpty()
     near = lambda h: F.concat(_next_to(h, 1), _next_to(h, 2), *([F.transform(h, lambda x: F.xxhash64(F.lit(0), x))] if lone else []))
     spread = every.select("k1", "k2", F.explode(let(F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)), near)).alias("anchor"))
-    known = materialize(wanted.select("anchor").union(short.select("anchor")).distinct(), "bench-anchors")
+    known = materialize(sought.union(short.select("anchor.key")).distinct().select(F.col("key").alias("anchor")), "bench-anchors")
     likely = materialize(spread.join(bounded(known), "anchor", "left_semi").select("k1", "k2").distinct(), "bench-likely")
     texts = every.join(bounded(likely), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = materialize(texts, "bench-texts")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import pa_schema
 
-#: Bytes of text that are turned into codes at once.
-PIECE = 1 << 20
+#: Bytes of text that are turned into codes at once, so few that their arrays stay in a processor's cache.
+PIECE = 1 << 17
 
 
 def pieces(texts: list[bytes], n: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
@@ -37,10 +37,17 @@ def pieces(texts: list[bytes], n: int) -> Iterator[tuple[bytes, list[int], list[
 
 def codes(buffer: bytes, grams: list[int], n: int) -> np.ndarray:
     """The n-grams of a buffer of :func:`pieces`, each as a number of n bytes, in order."""
-    raw = np.frombuffer(buffer, np.uint8)
-    out = np.zeros(len(raw) - n + 1, np.uint64)
-    for j in range(n):
-        out = (out << np.uint64(8)) | raw[j : len(raw) - n + 1 + j]
+    by_width = {1: np.frombuffer(buffer, np.uint8).astype(np.uint64)}
+    width = 1
+    while 2 * width <= n:
+        by_width[2 * width] = (by_width[width][:-width] << np.uint64(8 * width)) | by_width[width][width:]
+        width *= 2
+    total = len(by_width[1]) - n + 1
+    out, have = by_width[width][:total], width
+    for width in sorted(by_width, reverse=True):
+        if have + width <= n:
+            out = (out << np.uint64(8 * width)) | by_width[width][have : have + total]
+            have += width
     valid = np.ones(len(out), bool)
     ends = np.cumsum(np.array(grams) + n - 1)[:-1]
     for k in range(1, n):
@@ -48,51 +55,86 @@ def codes(buffer: bytes, grams: list[int], n: int) -> np.ndarray:
     return out[valid]
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
-
+def added_up(keys: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each is there, or the sum of its ``sums``."""
+    if sums is None:
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.diff(np.r_[first, len(keys)])
+    order = np.argsort(keys, kind="stable")
+    keys, sums = keys[order], sums[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(sums, first) if len(first) else sums
+
+
+def task_counts(
+    batches: Iterator[pa.RecordBatch], n: int, prepare: Callable[[str | None], bytes], flagged: bool, most: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, numbers) of the n-grams of a task's texts, at most ``most`` and those of one piece at a time."""
+    raw: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def fold() -> None:
+        if raw:
+            parts.append(added_up(np.concatenate(raw)))
+            raw.clear()
+        if len(parts) > 1:
+            parts[:] = [added_up(*(np.concatenate(x) for x in zip(*parts)))]
+
+    for got in (b.slice(at, 1000).to_pydict() for b in batches for at in range(0, b.num_rows, 1000)):
+        flags = np.array(got["flag"], np.uint64) if flagged else None
+        for buffer, rows, grams in pieces([prepare(t) for t in got["text"]], n):
+            keys = codes(buffer, grams, n)
+            raw.append((keys << np.uint64(1)) | np.repeat(flags[rows], grams) if flagged else keys)
+            if sum(map(len, raw)) > most:
+                fold()
+                if len(parts[0][0]) > most // 2:
+                    yield parts.pop()
+    fold()
+    yield from parts
 
-def partial_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], flagged: bool = False, most: int = 2_000_000) -> DataFrame:
-    """(key, n) for each task's share of the rows: n-grams and their numbers.
 
-    With ``flagged`` a key is twice the n-gram, plus one where the boolean
-    column ``flag`` of ``docs`` is set. Each task adds up its own counts, at
-    most ``most`` at a time.
-    """
+def count(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 4_000_000) -> DataFrame:
+    """(code, n) over all rows."""
     schema = "key long, n long"
     target = pa_schema(schema, docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            keys, sums = parts[0]
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], schema=target)
-
-        for got in (b.slice(at, 1000).to_pydict() for b in batches for at in range(0, b.num_rows, 1000)):
-            flags = np.array(got["flag"], np.uint64) if flagged else None
-            for buffer, rows, grams in pieces([prepare(t) for t in got["text"]], n):
-                keys = codes(buffer, grams, n)
-                if flagged:
-                    keys = (keys << np.uint64(1)) | np.repeat(flags[rows], grams)
-                parts.append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in parts) > most:
-                parts[:] = [_merged(parts)]
-                if len(parts[0][0]) > most // 2:
-                    yield out()
-                    parts.clear()
-        if parts:
-            parts[:] = [_merged(parts)]
-            yield out()
+        for keys, sums in task_counts(batches, n, prepare, False, most):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums.astype(np.int64))], schema=target)
 
-    columns = [F.col("text").cast("string")] + ([F.col("flag").cast("boolean")] if flagged else [])
-    return docs.select(*columns).mapInArrow(run, schema)
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, schema)
+    return sums.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))
 
 
-def count(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes]) -> DataFrame:
-    """(code, n) over all rows."""
-    return partial_counts(docs, n, prepare).groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))
+#: Parts that packed counts are dealt to.
+SHARDS = 2048
+
+
+def shard(context: np.ndarray) -> np.ndarray:
+    return (mixed(context + np.uint64(1)) % np.uint64(SHARDS)).astype(np.int64)
+
+
+def packed_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 4_000_000) -> DataFrame:
+    """(shard, keys, sums): each task's n-grams and their numbers, as packed arrays for each shard.
+
+    A key is twice the n-gram, plus one where the boolean column ``flag`` of
+    ``docs`` is set. The two bytes before an n-gram's last decide its shard.
+    """
+    schema = "shard int, keys binary, sums binary"
+    target = pa_schema(schema, docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sums in task_counts(batches, n, prepare, True, most):
+            own = shard((keys >> np.uint64(9)) & np.uint64(0xFFFF)).astype(np.uint16)
+            order = np.argsort(own, kind="stable")
+            keys, sums, own = keys[order], sums[order].astype(np.int64), own[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            cut = list(zip(first.tolist(), [*first[1:].tolist(), len(own)]))
+            arrays = [pa.array(own[first].astype(np.int32)), *[pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (keys, sums)]]
+            yield pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    return docs.select(F.col("text").cast("string"), F.col("flag").cast("boolean")).mapInArrow(run, schema)
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
@@ -120,14 +162,27 @@ class HashArray:
         return np.append(hashes[order], np.uint64(2**64 - 1)), np.append(values[order], 0.0)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The keys' values, and which of the keys are there."""
-        hashes = mixed(keys)
-        at = self.starts[(hashes >> self.shift).astype(np.int64)]
-        behind = np.flatnonzero(self.hashes[at] < hashes)
-        while len(behind):
-            at[behind] += 1
-            behind = behind[self.hashes[at[behind]] < hashes[behind]]
-        return self.values[at], (self.hashes[at] == hashes) & (at < self.size)
+        """The keys' values, and which of the keys are there.
+
+        Keys are looked up in the order of their hashes, so that the array is
+        read from one end to the other. For that, their places take the low bits
+        of the hashes that are sorted.
+        """
+        values, there = np.empty(len(keys)), np.empty(len(keys), bool)
+        for i in range(0, len(keys), 1 << 18):
+            own = mixed(keys[i : i + (1 << 18)])
+            order = (own & np.uint64(2**64 - (1 << 18))) | np.arange(len(own), dtype=np.uint64)
+            order.sort()
+            order = (order & np.uint64((1 << 18) - 1)).astype(np.int64)
+            hashes = own[order]
+            at = self.starts[(hashes >> self.shift).astype(np.int64)]
+            behind = np.flatnonzero(self.hashes[at] < hashes)
+            while len(behind):
+                at[behind] += 1
+                behind = behind[self.hashes[at[behind]] < hashes[behind]]
+            values[i + order] = self.values[at]
+            there[i + order] = (self.hashes[at] == hashes) & (at < self.size)
+        return values, there
 
 
 def split_by_count(table: DataFrame, most: int) -> tuple[tuple, DataFrame | None]:

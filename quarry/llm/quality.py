@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import by_batch, materialize
+from .common import bounded, by_batch, materialize
 from .simhash import shingle_hashes
 
 ORDER = 5
@@ -142,9 +142,12 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
     table = materialize(grams.count(base, order, encode), "kn-counts")
     hot, rest = grams.split_by_count(materialize(kneser_ney(table, order), "kn-model"), most_broadcast)
     shared = docs.sparkSession.sparkContext.broadcast(hot)
+    models: list[grams.HashArray] = []  # one for each task
 
     def run(batch: dict) -> Iterator[dict]:
-        model = grams.HashArray(*shared.value)
+        if not models:
+            models.append(grams.HashArray(*shared.value))
+        model = models[0]
         for at in range(0, len(batch["text"]), 500):
             ids, texts, langs = (batch[c][at : at + 500] for c in ("doc_id", "text", "lang"))
             raw = [encode(t) for t in texts]
@@ -176,7 +179,7 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
     beyond = F.greatest(width * (high - low), F.lit(least)) * (1 + short / F.greatest("n_words", F.lit(1)))
     inside = F.col("log10_perplexity").between(F.col("band_low"), F.col("band_high"))
     return (
-        scored.join(quartiles, "_lang", "left")
+        scored.join(bounded(materialize(quartiles, "quality-bands")), "_lang", "left")
         .withColumn("band_low", low - beyond)
         .withColumn("band_high", high + beyond)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))

@@ -439,7 +439,9 @@ def test_context_tree_weighting_equals_brute_force(spark):
         return p
 
     rows = [(2 * int.from_bytes(s, "big"), n) for s, n in strings.items()] + [(2 * int.from_bytes(b"abz", "big") + 1, 1)]
-    got = {r.code: r.value for r in ctw.byte_model(spark.createDataFrame(rows, "key long, n long"), depth).collect()}
+    pack = lambda x: bytearray(np.array([x]).tobytes())
+    packed = [(int(grams.shard(np.array([key >> 9 & 0xFFFF], np.uint64))[0]), pack(key), pack(n)) for key, n in rows]
+    got = {r.code: r.value for r in ctw.byte_model(spark.createDataFrame(packed, "shard int, keys binary, sums binary"), depth).collect()}
     for code in (key >> 1 for key, _ in rows):
         s = code.to_bytes(3, "big")
         want = sum(math.log10(chance(s[:2], (1 << k) | (s[2] >> (8 - k)), s[2] >> (7 - k) & 1)) for k in range(8))
