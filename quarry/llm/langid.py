@@ -22,29 +22,25 @@ from .grams import HashArray
 
 VOCABULARY = os.environ.get("QUARRY_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-#: Longer words are scored in parts of this many characters, each beginning as a word does.
-LONGEST = 64
 #: Pseudo-count of each piece, and the log probability of a character that no piece covers.
 SMOOTH, UNKNOWN = 0.1, -25.0
 #: About the inverse of a character's probability.
 SCALE = 16.0
 
 
-def split_words(text: str) -> list[str]:
-    """Words of a text, over-long ones in parts."""
-    found = text.split()
-    if max(map(len, found), default=0) <= LONGEST:
-        return found
-    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+def load_model(path: str) -> bytes:
+    """The vocabulary's file, as the driver reads it; tasks get its bytes."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
-def load_pieces(path: str) -> dict[str, int]:
+def load_pieces(model: bytes) -> dict[str, int]:
     """The vocabulary's pieces of visible characters and their ids."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    hidden = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
-    return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not hidden(i)}
+    own = sentencepiece.SentencePieceProcessor(model_proto=model)
+    hidden = lambda i: own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i)
+    return {own.id_to_piece(i): i for i in range(own.get_piece_size()) if not hidden(i)}
 
 
 def _extend(hashes: np.ndarray, characters: np.ndarray) -> np.ndarray:
@@ -64,40 +60,56 @@ def prefix_table(pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     return HashArray.arrays(np.array(keys, np.uint64), np.array(list(ids.values()), np.float64))
 
 
-def forward(words: list[str], table: HashArray, logp: np.ndarray) -> np.ndarray:
+def forward(words: list[str], table: HashArray, logp: np.ndarray, longest: int, most: int = 2_000_000) -> np.ndarray:
     """Natural log of each word's probability in each language: (words, languages).
 
-    ``logp`` is (pieces, languages). Words of one length go forward together,
-    start by start: from each, pieces are followed as far as any begins like
-    this. A single character can always be stepped over at ``UNKNOWN``. Sums are
-    of probabilities times ``SCALE`` for each character, so that they keep within
-    range; words for which they do not are stepped over in full.
+    ``logp`` is (pieces, languages), ``longest`` the characters of the longest
+    piece. Words of about one length go forward together, start by start: from
+    each, pieces are followed as far as any begins like this. A single character
+    can always be stepped over at ``UNKNOWN``. Sums are kept for as many places
+    as a piece can reach, and brought back to 1 every few steps, so that words
+    of any length stay within range. ``most`` bounds the sums held at a time.
     """
-    out = np.zeros((len(words), logp.shape[1]))
+    langs, slots = logp.shape[1], longest + 1
+    out = np.zeros((len(words), langs))
     p, step = np.exp(logp), np.exp(UNKNOWN) * SCALE
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for length, at in by_length.items():
-        text = "".join(MARK + words[i] for i in at).encode("utf-32-le", "surrogatepass")
-        chars = np.frombuffer(text, np.uint32).reshape(len(at), length + 1)
-        alpha = np.zeros((length + 2, len(at), logp.shape[1]))
-        alpha[0] = 1.0
-        for start in range(length + 1):
-            alpha[start + 1] += alpha[start] * step
-            alive, hashes = np.arange(len(at)), np.zeros(len(at), np.uint64)
-            for width in range(1, length + 2 - start):
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    begin = 0
+    while begin < len(order):
+        n = max(1, min(len(order) - begin, most // (slots * max(1, langs))))
+        while n > 1 and n * (len(words[order[begin + n - 1]]) + 1) > most:
+            n //= 2
+        at = order[begin : begin + n]
+        begin += n
+        ends = np.array([len(words[i]) + 1 for i in at])
+        length = int(ends[-1])
+        text = "".join((MARK + words[i]).ljust(length, "\0") for i in at).encode("utf-32-le", "surrogatepass")
+        chars = np.frombuffer(text, np.uint32).reshape(n, length)
+        ring, scale = np.zeros((slots, n, langs)), np.zeros((n, langs))
+        ring[0] = 1.0
+        for start in range(length):
+            lo = int(np.searchsorted(ends, start, "right"))
+            here = ring[start % slots, lo:].copy()
+            ring[start % slots, lo:] = 0.0
+            ring[(start + 1) % slots, lo:] += here * step
+            alive, hashes = np.arange(lo, n), np.zeros(n - lo, np.uint64)
+            for width in range(1, min(longest, length - start) + 1):
                 hashes = _extend(hashes, chars[alive, start + width - 1])
                 ids, known = table.find(hashes)
                 alive, hashes, ids = alive[known], hashes[known], ids[known].astype(np.int64)
                 if not len(alive):
                     break
-                rows, ids = alive[ids >= 0], ids[ids >= 0]
+                whole = ids >= 0
+                rows, ids = alive[whole], ids[whole]
                 if len(rows):
-                    alpha[start + width, rows] += alpha[start, rows] * (p[ids] * SCALE**width)
-        with np.errstate(divide="ignore"):
-            total = np.log(alpha[length + 1]) - (length + 1) * np.log(SCALE)
-        out[at] = np.maximum(total, (length + 1) * UNKNOWN)
+                    ring[(start + width) % slots, rows] += here[rows - lo] * (p[ids] * SCALE**width)
+            hi = int(np.searchsorted(ends, start + 1, "right"))
+            if hi > lo:
+                out[at[lo:hi]] = np.log(ring[(start + 1) % slots, lo:hi]) + scale[lo:hi] - (start + 1) * np.log(SCALE)
+            if start % 8 == 7 and hi < n:
+                top = ring[:, hi:].max(axis=0)
+                ring[:, hi:] /= top
+                scale[hi:] += np.log(top)
     return out
 
 
@@ -105,19 +117,23 @@ def _checksum(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod))
 
 
-def piece_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def piece_counts(docs: DataFrame, model: bytes) -> DataFrame:
     """(lang, piece, n): the vocabulary's own segmentation of all words, added up by language.
 
     A task holds one sum for each language and piece that it meets.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    loaded: list = []  # one for each task
 
     def run(batch: dict) -> Iterator[dict]:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if not loaded:
+            loaded.append(sentencepiece.SentencePieceProcessor(model_proto=shared.value))
+        model = loaded[0]
         by_lang: dict[str, Counter] = {}
         for lang, text in zip(batch["lang"], batch["text"]):
-            by_lang.setdefault(lang, Counter()).update(split_words(text))
+            by_lang.setdefault(lang, Counter()).update(text.split())
         for lang, found in by_lang.items():
             words = list(found)
             sums = np.zeros(model.get_piece_size(), np.int64)
@@ -143,13 +159,16 @@ def identify(docs: DataFrame, folds: int = 5, path: str = VOCABULARY, words_at_o
     held out nor learnt from. Repeated rows come back as often as they came. Ties
     go to the first language by code point. Other columns are ignored.
 
-    What is broadcast is bounded by the vocabulary times the number of languages.
+    Words of any length are scored whole. ``path`` is a file of the driver; what
+    is broadcast is bounded by the vocabulary times the number of languages.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     base = base.withColumn("held_out", F.coalesce(_checksum(F.col("doc_id"), folds) == 0, F.lit(False)))
     learn = base.where("not held_out and doc_id is not null and lang is not null and text is not null")
-    table = piece_counts(learn, path).toArrow().to_pandas()
-    pieces = load_pieces(path)
+    model = load_model(path)
+    table = piece_counts(learn, model).toArrow().to_pandas()
+    pieces = load_pieces(model)
+    longest = max(map(len, pieces))
     langs = sorted(table["lang"].unique())
     sums = np.zeros((max(pieces.values()) + 1, len(langs)))
     kept = table[table["piece"].isin(list(pieces.values()))]
@@ -161,9 +180,13 @@ def identify(docs: DataFrame, folds: int = 5, path: str = VOCABULARY, words_at_o
         logp = np.log(sums) - np.log(sums.sum(axis=0, keepdims=True))
     shared = docs.sparkSession.sparkContext.broadcast((*prefix_table(pieces), langs, logp))
 
+    tables: list[HashArray] = []  # one for each task
+
     def run(batch: dict) -> Iterator[dict]:
         hashes, values, langs, logp = shared.value
-        pieces = HashArray(hashes, values)
+        if not tables:
+            tables.append(HashArray(hashes, values))
+        pieces = tables[0]
         texts = batch["text"]
         total = np.zeros((len(texts), len(langs)))
         lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
@@ -173,7 +196,7 @@ def identify(docs: DataFrame, folds: int = 5, path: str = VOCABULARY, words_at_o
         times: list[int] = []
 
         def flush() -> None:
-            by_word = forward(list(index), pieces, logp)
+            by_word = forward(list(index), pieces, logp, longest)
             for k in range(len(langs)):
                 total[:, k] += np.bincount(rows, weights=by_word[ids, k] * times, minlength=len(texts))
             index.clear(), rows.clear(), ids.clear(), times.clear()
@@ -181,7 +204,7 @@ def identify(docs: DataFrame, folds: int = 5, path: str = VOCABULARY, words_at_o
         if langs:
             for row, text in enumerate(texts):
                 if lettered[row]:
-                    for w, n in Counter(split_words(text)).items():
+                    for w, n in Counter(text.split()).items():
                         rows.append(row), times.append(n)
                         ids.append(index.setdefault(w, len(index)))
                     if len(index) >= words_at_once:

@@ -136,7 +136,7 @@ def find(docs: DataFrame, carry: Column | None = None, generalise: float = 0.7,
 
     ``base`` has the entities of known form, ``spans`` adds the terms that
     reveal one of the text's entities, and ``general`` maps each of those terms
-    to what stands for it: a beginning of it that many texts share, ``[TERM]``
+    to what stands for it: a beginning of it that many texts share and an ellipsis, ``[TERM]``
     if there is none, nothing if the term reveals the entity beyond ``remove``.
     A term is judged over whole texts: it must share ``min_contexts`` texts that
     are no near copies of each other with the same entity, and its share of the
@@ -158,7 +158,7 @@ def find(docs: DataFrame, carry: Column | None = None, generalise: float = 0.7,
     if told.isEmpty():
         return rows.select("doc_id", "text", ordered(F.col("base"), KINDS).alias("base"), ordered(F.col("base"), KINDS).alias("spans"), none.alias("general"), "carried")
     # of two entities in a text that a term reveals, the one that asks for more decides: nothing, a label, the shorter beginning
-    general = F.when(F.col("removed"), F.lit("")).otherwise(F.coalesce(F.col("general"), F.lit("[TERM]")))
+    general = F.when(F.col("removed"), F.lit("")).otherwise(F.coalesce(F.concat("general", F.lit("…")), F.lit("[TERM]")))
     order = F.when(F.col("removed"), -1).when(F.col("general").isNull(), 0).otherwise(F.length("general"))
     by_text = mentions.join(bounded(told), "value").groupBy("k1", "k2", "term").agg(F.min(F.struct(order.alias("order"), general.alias("general"))).alias("g"))
     lists = by_text.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "g.general"))).alias("general"))

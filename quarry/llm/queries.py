@@ -18,7 +18,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
+    return chat.preferences(chat.other_endings(table(spark, sf_dir, "conversations")))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

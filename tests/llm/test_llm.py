@@ -102,37 +102,80 @@ def test_preferences(spark):
         (1, True, 0, "user", "hi"), (1, True, 1, "assistant", "yes"), (1, False, 0, "user", "hi"), (1, False, 1, "assistant", "no"), (1, False, 1, "assistant", "no"),
         (2, True, 0, None, None), (3, True, 0, "user", "a"), (3, False, 0, "user", "a"), (None, True, 0, "user", "lost"), (4, True, None, "user", "n"),
     ]
-    rows += [(5, side, t, "user" if t % 2 == 0 else "assistant", f"t{t}" if t < 599 else f"t{t}{side}") for side in (True, False) for t in range(600)]
-    df = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").withColumn("block", F.lit(1))
-    got = {(r.pair_id, r.block): r for r in chat.preferences(df).collect()}
-    one = got[1, 0]
-    assert (one.prompt, one.prompt_turns) == ("<|im_start|>user\nhi<|im_end|>\n", 1)
-    assert [one.rejected[m.start : m.end] for m in one.rejected_mask] == ["no<|im_end|>\n"]
-    assert [one.chosen[m.start : m.end] for m in one.chosen_mask] == ["yes<|im_end|>\n"]
-    assert got[2, 0].prompt == "" and got[2, 0].chosen == "<|im_start|>\n<|im_end|>\n"
-    assert got[3, 0].chosen == got[3, 0].rejected == "" and got[3, 0].prompt_turns == 1
-    assert {k for k in got if k[0] == 5} == {(5, 0), (5, 1), (5, 2)} and got[5, 2].prompt_turns == 599
-    assert got[5, 2].chosen.count("im_start") == 1 and None not in {k[0] for k in got}
+    df = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").withColumn("m", F.lit(1))
+    got = {r.pair_id: r for r in chat.preferences(df).collect()}
+    assert (got[1].prompt, got[1].prompt_turns) == ("<|im_start|>user\nhi<|im_end|>\n", 1)
+    assert [got[1].rejected[m.start : m.end] for m in got[1].rejected_mask] == ["no<|im_end|>\n"]
+    assert got[2].prompt == "" and got[2].chosen == "<|im_start|>\n<|im_end|>\n"
+    assert got[3].chosen == got[3].rejected == "" and got[3].prompt_turns == 1 and None not in got
     assert chat.preferences(df.where("false")).count() == 0
 
 
+def brute_pair(rows):
+    """(prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask) of (chosen, turn, role, text)."""
+    sides = {True: collections.defaultdict(set), False: collections.defaultdict(set)}
+    for chosen, turn, role, text in rows:
+        sides[chosen][-1 if turn is None else turn].add((role or "", text or ""))
+    turns = sorted({*sides[True], *sides[False]})
+    same = 0
+    while same < len(turns) and sides[True].get(turns[same]) == sides[False].get(turns[same]):
+        same += 1
+    out = []
+    for side, own in ((True, turns[:same]), (True, turns[same:]), (False, turns[same:])):
+        text, mask = "", []
+        for t in own:
+            for role, said in sorted(sides[side].get(t, ())):
+                text += f"<|im_start|>{role}\n"
+                if role == "assistant":
+                    mask.append((len(text), len(text) + len(said) + len("<|im_end|>\n")))
+                text += f"{said}<|im_end|>\n"
+        out += [text, mask]
+    return (same, out[0], *out[2:])
+
+
+def test_preferences_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for pair in range(30):
+        shared = [(t, rng.choice(["user", "assistant", None]), rng.choice(["a", "", "é𝒳", None])) for t in range(rng.randint(0, 5))]
+        for side in (True, False):
+            own = shared + [(rng.choice([None, 5, 6, 7, 9]), rng.choice(["user", "assistant"]), rng.choice(["b", "c"])) for _ in range(rng.randint(0, 4))]
+            rows += [(pair, side, *m) for m in own * rng.choice([1, 2])]
+    rows += [(99, side, t, "user" if t % 2 == 0 else "assistant", f"t{t}" if t < 599 else f"t{t}{side}") for side in (True, False) for t in range(700)]
+    got = chat.preferences(spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").repartition(3)).collect()
+    by_pair = collections.defaultdict(list)
+    for pair, *rest in rows:
+        by_pair[pair].append(rest)
+    found = {r.pair_id: (r.prompt_turns, r.prompt, r.chosen, [tuple(m) for m in r.chosen_mask], r.rejected, [tuple(m) for m in r.rejected_mask]) for r in got}
+    assert found == {pair: brute_pair(own) for pair, own in by_pair.items()} and len(got) == len(found)
+
+
+def test_other_endings_share_all_but_the_end(spark):
+    rows = [(c, t, ["system", "user", "assistant"][t % 3], f"{c}.{t}") for c in (0, 1, 2, 5) for t in range(6)] + [(7, 0, "user", "alone"), (None, 0, "user", "x")]
+    pairs = chat.other_endings(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.pair_id: r for r in chat.preferences(pairs).collect()}
+    assert set(got) == {0, 1, 2, 5, 7} and got[0].prompt_turns == 5 and "1.5" in got[0].rejected and "0.5" in got[0].chosen
+    assert got[2].rejected == "" and got[7].prompt_turns == 1
+
+
 def test_language_forward_sums_all_segmentations():
-    pieces = langid.load_pieces(langid.VOCABULARY)
+    pieces = langid.load_pieces(langid.load_model(langid.VOCABULARY))
     logp = np.log(np.random.default_rng(0).dirichlet(np.ones(max(pieces.values()) + 1), 2).T)
     table = grams.HashArray(*langid.prefix_table(pieces))
 
     def brute(word, k):
         word = langid.MARK + word
-        total = [1.0] + [0.0] * len(word)
+        total = [0.0] + [-math.inf] * len(word)
         for e in range(1, len(word) + 1):
-            total[e] = total[e - 1] * math.exp(langid.UNKNOWN)
-            for s in range(e):
+            total[e] = total[e - 1] + langid.UNKNOWN
+            for s in range(max(0, e - 40), e):
                 if word[s:e] in pieces:
-                    total[e] += total[s] * math.exp(logp[pieces[word[s:e]], k])
-        return math.log(total[-1])
+                    total[e] = np.logaddexp(total[e], total[s] + logp[pieces[word[s:e]], k])
+        return total[-1]
 
-    found = ["the", "größe", "日", "z" * 64, "thing"]
-    got = langid.forward(found, table, logp)
+    found = ["the", "größe", "日", "z" * 64, "thing", "日本語" * 60, "a" * 700, "internationalisation" * 12]
+    got = langid.forward(found, table, logp, max(map(len, pieces)))
+    assert got == pytest.approx(langid.forward(found, table, logp, max(map(len, pieces)), most=50), abs=1e-9)
     for i, w in enumerate(found):
         for k in range(2):
             assert got[i, k] == pytest.approx(brute(w, k), abs=1e-6)
@@ -299,6 +342,20 @@ def test_repeats_equal_brute_force(spark, docs, texts):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
+def test_identifiers_are_left_alone_beside_keys_and_without(spark):
+    rng = random.Random(12)
+    parts = "user account order email by name list get set total price item count value index stream buffer handle config table field report".split()
+    idents = ["".join(x.capitalize() for x in rng.sample(parts, 4)) + rng.choice(["", "7", "42"]) for _ in range(300)] + ["_".join(rng.sample(parts, 4)) for _ in range(100)]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(a) for _ in range(40)) for a in (alphabet, alphabet[26:], alphabet[:26] + "0123456789", "0123456789abcdef") for _ in range(50)]
+    schema = "doc_id long, text string"
+    for own in (keys, []):
+        rows = list(enumerate([f"use {x} here" for x in idents + own]))
+        got = {r.doc_id: any(s.kind in ("random", "hex") for s in r.spans) for r in secret_scan.scan(spark.createDataFrame(rows, schema)).collect()}
+        assert sum(got[i] for i in range(len(idents))) <= 0.05 * len(idents)
+        assert sum(got[len(idents) + i] for i in range(len(own))) >= 0.9 * len(own)
+
+
 def test_repeats_of_periodic_and_long_texts_equal_brute_force(spark):
     rng = random.Random(11)
     noise = lambda n: "".join(rng.choice("ab") for _ in range(n))
@@ -353,6 +410,42 @@ def brute_pii(t):
     return out + [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(only(m[0])) <= 15]
 
 
+def brute_contaminated(text, item):
+    """Whether two texts of plain lower-case words and numbers have five runs of eight on a diagonal, with consistent numbers."""
+    form = lambda t: [("#" if w.isdigit() else w) for w in t.split()]
+    a, b, raw_a, raw_b = form(text), form(item), text.split(), item.split()
+    starts = [j for j in range(len(b) - 7) if sum(x != "#" for x in b[j : j + 8]) >= 4]
+    if not starts:
+        return any(raw_a[i : i + len(b)] == raw_b for i in range(len(a) - len(b) + 1))
+    for d in range(-len(b), len(a)):
+        hit = [j for j in starts if 0 <= j + d <= len(a) - 8 and a[j + d : j + d + 8] == b[j : j + 8]]
+        if len(hit) >= 5 or 2 * len(hit) >= len(starts):
+            slots = {(raw_b[j + k], raw_a[j + d + k]) for j in hit for k in range(8) if b[j + k] == "#"}
+            if hit and len({x for x, _ in slots}) == len({y for _, y in slots}) == len(slots):
+                return True
+    return False
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(9)
+    bag = ["tin", "cup", "apple", "red", "fox", "ran", "over", "bridge", "three", "old"]
+    words = lambda n: [rng.choice(bag) if rng.random() < 0.75 else str(rng.randint(1, 9)) for _ in range(n)]
+    items = [words(rng.choice([1, 2, 5, 9, 14, 30])) for _ in range(25)] + [["tin", "tin"] * 8]
+    texts = []
+    for _ in range(120):
+        item = list(rng.choice(items))
+        a = rng.randrange(len(item))
+        part = item[a : a + rng.choice([5, 9, 12, 40])] if rng.random() < 0.6 else item
+        swap = {str(k): str(rng.randint(1, 9)) for k in range(10)}
+        if rng.random() < 0.5:
+            part = [swap.get(w, w) for w in part]
+        texts.append(" ".join(words(rng.randint(0, 20)) + part + words(rng.randint(0, 20))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if brute_contaminated(t, " ".join(item))}
+
+
 def test_pii_base_equals_brute_force(spark, docs, texts):
     got = pii.digest(pii.find(docs)).collect()
     want = sorted((str(i), hashlib.sha256(printed(brute_pii(t)).encode()).hexdigest()) for i, t, _ in texts)
@@ -377,6 +470,17 @@ def test_terms_that_reveal_an_entity(spark):
     assert got[25].clean == rows[13][1]
 
 
+def test_names_in_a_rare_address_and_generalising(spark):
+    rng = random.Random(2)
+    rows = [(1, f"Dear Manuel Vogel, {bag(rng, 30)} manuel.vogel@example.com")] + [(10 + i, f"Manuel {bag(rng, 30)}") for i in range(2)]
+    rows += [(100 + i, bag(rng, 40) + " mantle" * (i % 5 == 0)) for i in range(300)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in found.select("doc_id", "general", pii.sanitise(F.col("text"), F.col("spans"), F.col("general")).alias("clean")).collect()}
+    assert "Vogel" not in got[1].clean and "Manuel" not in got[1].clean and got[1].clean.startswith("Dear man… ,")
+    assert got[1].general == {"vogel": "", "manuel": "man…"}
+    assert all(got[10 + i].clean == rows[1 + i][1] for i in range(2))
+
+
 def bag(rng, n):
     """``n`` words that are all letters."""
     return " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3))) for _ in range(n))
