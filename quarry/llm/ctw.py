@@ -140,8 +140,9 @@ def byte_model(sums: DataFrame, depth: int) -> DataFrame:
             for own, keys, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "sums"))):
                 by_shard.setdefault(own, []).append((keys, n))
         for own in list(by_shard):
-            key, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*by_shard.pop(own)), (np.uint64, np.int64)))
-            key, n = grams.added_up(key, n)
+            packed_keys, packed_sums = zip(*by_shard.pop(own))
+            n = np.concatenate([np.diff(grams.unpack(x).view(np.int64), prepend=0) for x in packed_sums])
+            key, n = grams.added_up(np.concatenate([grams.unpack(x) for x in packed_keys]), n)
             code, total = grams.added_up(key >> np.uint64(1), n)
             learnt = np.bincount(np.searchsorted(code, key >> np.uint64(1)), weights=np.where(key & np.uint64(1), 0, n), minlength=len(code))
             predicted, (keys, zeros, ones, weighted) = node_tables(code, learnt, depth, NEAR)
@@ -210,7 +211,7 @@ def count_tokens(texts: DataFrame, most: int = 300_000) -> DataFrame:
     return texts.select(F.col("text").cast("string")).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_texts(docs: DataFrame, depth: int = 6, folds: int = 10, most_words: int = 1 << 18, most_strings: int = 1 << 22) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 6, folds: int = 10, most_words: int = 1 << 18, most_strings: int = 3 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row of ``docs``.
 
     Learns from the rows whose crc32(doc_id as text) mod ``folds`` is not 0; a

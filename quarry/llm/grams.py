@@ -115,8 +115,19 @@ def shard(context: np.ndarray) -> np.ndarray:
     return (mixed(context + np.uint64(1)) % np.uint64(SHARDS)).astype(np.int64)
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers in rising order, or small ones, as steps by planes of bytes, which compress well."""
+    steps = np.diff(numbers.view(np.uint64), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def packed_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 4_000_000) -> DataFrame:
-    """(shard, keys, sums): each task's n-grams and their numbers, as packed arrays for each shard.
+    """(shard, keys, sums): each task's n-grams and the running sums of their numbers, packed for each shard.
 
     A key is twice the n-gram, plus one where the boolean column ``flag`` of
     ``docs`` is set. The two bytes before an n-gram's last decide its shard.
@@ -131,7 +142,7 @@ def packed_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes
             keys, sums, own = keys[order], sums[order].astype(np.int64), own[order]
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             cut = list(zip(first.tolist(), [*first[1:].tolist(), len(own)]))
-            arrays = [pa.array(own[first].astype(np.int32)), *[pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (keys, sums)]]
+            arrays = [pa.array(own[first].astype(np.int32)), *[pa.array([pack(x[a:b]) for a, b in cut], pa.binary()) for x in (keys, np.cumsum(sums))]]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return docs.select(F.col("text").cast("string"), F.col("flag").cast("boolean")).mapInArrow(run, schema)
@@ -157,9 +168,12 @@ class HashArray:
     @staticmethod
     def arrays(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What to broadcast: sorted hashes and their values, an end sign after them."""
-        hashes = mixed(keys)
-        order = np.argsort(hashes)
-        return np.append(hashes[order], np.uint64(2**64 - 1)), np.append(values[order], 0.0)
+        hashes, sorted_values = np.full(len(keys) + 1, 2**64 - 1, np.uint64), np.zeros(len(keys) + 1)
+        hashes[:-1] = mixed(keys)
+        order = np.argsort(hashes[:-1])
+        hashes[:-1] = hashes[order]
+        sorted_values[:-1] = values[order]
+        return hashes, sorted_values
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The keys' values, and which of the keys are there.
@@ -200,7 +214,10 @@ def split_by_count(table: DataFrame, most: int) -> tuple[tuple, DataFrame | None
         least = r["bin"]
     table = table.withColumn("_bin", F.floor(F.log2(F.col("n") + 1) * 8))
     hot = table.where(F.col("_bin") >= least if least is not None else F.lit(False)).select("code", "value").toArrow()
-    arrays = HashArray.arrays(hot["code"].to_numpy().view(np.uint64), hot["value"].to_numpy())
+    keys, values = hot["code"].to_numpy().view(np.uint64), hot["value"].to_numpy()
+    del hot  # the driver holds few copies of the arrays at a time
+    arrays = HashArray.arrays(keys, values)
+    del keys, values
     if rows <= most:
         return arrays, None
     return arrays, table.where(F.col("_bin") < least if least is not None else F.lit(True)).select("code", "value")

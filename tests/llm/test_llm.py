@@ -543,7 +543,7 @@ def test_context_tree_weighting_equals_brute_force(spark):
         return p
 
     rows = [(2 * int.from_bytes(s, "big"), n) for s, n in strings.items()] + [(2 * int.from_bytes(b"abz", "big") + 1, 1)]
-    pack = lambda x: bytearray(np.array([x]).tobytes())
+    pack = lambda x: bytearray(grams.pack(np.array([x])))
     packed = [(int(grams.shard(np.array([key >> 9 & 0xFFFF], np.uint64))[0]), pack(key), pack(n)) for key, n in rows]
     got = {r.code: r.value for r in ctw.byte_model(spark.createDataFrame(packed, "shard int, keys binary, sums binary"), depth).collect()}
     for code in (key >> 1 for key, _ in rows):
@@ -552,6 +552,11 @@ def test_context_tree_weighting_equals_brute_force(spark):
         assert got[code] == pytest.approx(want, abs=1e-9)
 
 
+def test_packed_numbers_come_back():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**57, 1000, dtype=np.uint64))
+    assert (grams.unpack(grams.pack(keys)) == keys).all() and len(grams.unpack(grams.pack(keys[:0]))) == 0
+
+
 def test_log_gamma_equals_that_of_the_library():
     x = np.array([0.5, 1, 1.5, 7, 8191.5, 8192, 8192.5, 1e6 + 0.5, 3e9])
     assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12)
