@@ -66,6 +66,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def doc_ids(docs: DataFrame) -> tuple[Column, str]:
+    """The column doc_id, as it is if it is a string and else as a long, and which of the two it is."""
+    kind = "string" if docs.schema["doc_id"].dataType.typeName() == "string" else "long"
+    return F.col("doc_id").cast(kind), kind
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize
+from .common import bounded, doc_ids, materialize
 from .spans import let
 
 #: Units of measure that are placeholders of their own (fixed values).
@@ -169,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_runs: int = 5, min_s
 
     # texts with two words that some run, or item without runs, has as well; all others hold nothing
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    every = docs.select(F.col("doc_id").cast("long"), text)
+    every = docs.select(doc_ids(docs)[0], text)
     every = every.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
     lone = not short.where("length = 1").isEmpty()
     near = lambda h: F.concat(_next_to(h, 1), _next_to(h, 2), *([F.transform(h, lambda x: F.xxhash64(F.lit(0), x))] if lone else []))

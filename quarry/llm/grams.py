@@ -94,7 +94,7 @@ def task_counts(
     yield from parts
 
 
-def count(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 4_000_000) -> DataFrame:
+def count(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 2_000_000) -> DataFrame:
     """(code, n) over all rows."""
     schema = "key long, n long"
     target = pa_schema(schema, docs.sparkSession)
@@ -126,7 +126,7 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def packed_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 4_000_000) -> DataFrame:
+def packed_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 2_000_000) -> DataFrame:
     """(shard, keys, sums): each task's n-grams and the running sums of their numbers, packed for each shard.
 
     A key is twice the n-gram, plus one where the boolean column ``flag`` of
@@ -161,9 +161,11 @@ class HashArray:
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
         self.hashes, self.values, self.size = hashes, values, len(hashes) - 1
-        self.shift = np.uint64(64 - max(1, self.size.bit_length()))
-        starts = np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift
-        self.starts = np.searchsorted(hashes, starts).astype(np.int32)
+        self.shift = np.uint64(64 - max(1, self.size.bit_length() - 1))
+        self.starts = np.empty(1 << int(64 - self.shift), np.int32)
+        for i in range(0, len(self.starts), 1 << 18):  # without large arrays beside it
+            own = self.starts[i : i + (1 << 18)]
+            own[:] = np.searchsorted(hashes, np.arange(i, i + len(own), dtype=np.uint64) << self.shift)
 
     @staticmethod
     def arrays(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

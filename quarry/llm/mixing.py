@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, bounded, doc_ids, materialize
 
 #: A fraction this close to a whole number counts as whole.
 WHOLE = 1e-9
@@ -92,7 +92,7 @@ def mix(
     block_rows: int = 16_384,
     fan_in: int = 256,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, source) for every row of ``docs``.
+    """(doc_id, size, source_size, target, taken, copies, source, nth) for every row of ``docs``.
 
     Size is the number of words (0 for null and wordless texts, which are never
     taken). Sources in code-point order, null last, have the weights in turn,
@@ -104,8 +104,9 @@ def mix(
     over the blocks. Runs agree for the same rows and seed. No rows give no
     rows; a null doc_id is kept. One row for each source reaches the driver.
     """
+    doc_id, kind = doc_ids(docs)
     sized = docs.select(
-        F.col("doc_id").cast("long").cast("string"),  # pandas has no null among whole numbers
+        doc_id.cast("string"),  # pandas has no null among whole numbers
         F.col("source").cast("string"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -120,8 +121,11 @@ def mix(
     ]
     spark = docs.sparkSession
     by_source = spark.createDataFrame(plan, "key string, source_size long, target double, ratio double, blocks int")
-    rows = same.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("count")))).drop("count")
-    rows = rows.withColumn("key", _source_key(F.col("source"))).join(by_source, "key")
+    # equal rows are numbered by thousands, so that no array grows with their number
+    thousand = F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / 1000)))
+    rows = same.withColumn("_k", thousand)
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.col("_k") * 1000 + 1, F.least(F.col("count"), F.col("_k") * 1000 + 1000)))).drop("_k", "count")
+    rows = rows.withColumn("key", _source_key(F.col("source"))).join(bounded(by_source), "key")
     rows = rows.withColumn("base", F.floor("ratio").cast("int")).withColumn(
         "p", F.when(F.col("size") == 0, 0.0).otherwise(F.col("ratio") - F.col("base"))
     )
@@ -153,4 +157,4 @@ def mix(
     for part in done[1:]:
         whole = whole.unionByName(part)
     copies = (F.col("base") + F.round("p")).cast("int")
-    return whole.select(F.col("doc_id").cast("long"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
+    return whole.select(F.col("doc_id").cast(kind), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", "nth")

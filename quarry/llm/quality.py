@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import bounded, by_batch, materialize
+from .common import bounded, by_batch, doc_ids, materialize
 from .simhash import shingle_hashes
 
 ORDER = 5
@@ -137,7 +137,8 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
     fails the base rules. Repeated rows come back as often as they came; no
     rows give no rows. A null doc_id is kept. Other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    doc_id, kind = doc_ids(docs)
+    base = docs.select(doc_id, F.col("text").cast("string"), F.col("lang").cast("string"))
     encode = lambda t: (t or "").encode()
     table = materialize(grams.count(base, order, encode), "kn-counts")
     hot, rest = grams.split_by_count(materialize(kneser_ney(table, order), "kn-model"), most_broadcast)
@@ -166,7 +167,7 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
                 "_sketch": [sketch(t) for t in texts],
             }
 
-    schema = f"doc_id long, lang string, {FEATURES}, log10_p double, n_grams long, cold array<long>, _sketch long"
+    schema = f"doc_id {kind}, lang string, {FEATURES}, log10_p double, n_grams long, cold array<long>, _sketch long"
     scored = materialize(by_batch(base, run, schema).withColumn("_row", F.monotonically_increasing_id()), "quality-scores")
     scored = grams.add_cold(scored, rest, "log10_p", "cold")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

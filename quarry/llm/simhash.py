@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize
+from .common import by_batch, doc_ids, materialize
 from .components import connected_components
 
 SEED = 42
@@ -108,7 +108,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame
         if ids:
             yield flush()
 
-    return by_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp binary")
+    doc_id, kind = doc_ids(docs)
+    return by_batch(docs.select(doc_id, F.col("text").cast("string")), run, f"doc_id {kind}, fp binary")
 
 
 def _close(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
