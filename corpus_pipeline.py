@@ -1,26 +1,37 @@
 """Preparing a training corpus: quality rules, near duplicates, benchmark items, personal data, source mix.
 
 Each stage works on all rows that the one before it kept, and is written as
-Parquet before the next begins. A row is known by a hash of its doc_id, text
-and lang, so that null and repeated doc_ids do no harm. Columns beyond those of
-``documents`` come along. No rows give no rows.
+Parquet before the next begins. A row is known by two 64-bit hashes of all its
+columns, so that null and repeated doc_ids do no harm, and rows with one key are
+equal throughout. All columns of ``documents``, further ones too, come along to
+the end; the last stage adds to them how often each row is taken. No rows give
+no rows; null texts are dropped by the quality rules, and stay null elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, mixing, pii, quality, simhash
 from quarry.llm.common import bounded, fresh, materialize
 
 
+def _named(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
     """The rows with a key, the key's name, and (doc_id, text, lang, source) with the key as doc_id."""
     key = fresh(docs, "row_key")
-    rows = docs.withColumn(key, F.xxhash64("doc_id", "text", "lang"))
+    plain = [_named(f.name) for f in docs.schema if "map" not in f.dataType.simpleString()]
+    parts = [*plain, *[F.to_json(F.struct(_named(f.name))) for f in docs.schema if "map" in f.dataType.simpleString()]]
+    null = F.concat(*[F.isnull(c).cast("int").cast("string") for c in parts])
+    hashes = [F.hex(F.xxhash64(F.lit(n), null, *parts)) for n in (1, 2)]
+    rows = docs.withColumn(key, F.concat_ws(":", *hashes))
     return rows, key, rows.select(F.col(key).alias("doc_id"), "text", "lang", "source")
 
 
@@ -37,7 +48,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, and one of repeated rows."""
+    """Keeps one document of each group of near duplicates, the one of the least key, and one of rows that are equal throughout."""
     rows, key, narrow = _keyed(docs)
     found = materialize(simhash.near_duplicates(narrow, shingle=5, width=4, radius=51), "stage-groups")
     kept = _without(rows, key, found.where("doc_id <> component_id"))
@@ -59,16 +70,27 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and terms that reveal it; null texts stay null."""
-    found = pii.find(docs, *[F.col(c) for c in docs.columns])
-    clean = F.when(F.col("carried.text").isNotNull(), pii.sanitise(F.col("text"), F.col("spans"), F.col("removed")))
+    found = pii.find(docs, F.struct(*[_named(c).alias(c) for c in docs.columns]))
+    clean = F.when(F.col("carried")["text"].isNotNull(), pii.sanitise(F.col("text"), F.col("spans"), F.col("general")))
     rows = found.select(F.col("carried"), clean.alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
-    return rows.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
+    return rows.select(*[new.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document is taken, for the sources' target sizes."""
-    return mixing.mix(docs)
+    """All columns of the documents, with how often each is taken for the sources' target sizes.
+
+    Adds size, source_size, target, taken and copies; a name that is there
+    already gets an underscore. Equal rows are numbered, to each its own copies.
+    """
+    rows, key, narrow = _keyed(docs)
+    nth = fresh(docs, "nth")
+    mixed = mixing.mix(narrow).select(F.col("doc_id").alias(key), F.col("nth").cast("long").alias(nth), *[F.col(c).alias(fresh(docs, c)) for c in ("size", "source_size", "target", "taken", "copies")])
+    mixed = materialize(mixed, "stage-mix")
+    again = bounded(materialize(mixed.where(F.col(nth) > 1).select(key).distinct(), "stage-again"))
+    lone = rows.join(again, key, "left_anti").withColumn(nth, F.lit(1).cast("long"))
+    equal = rows.join(again, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)).cast("long"))
+    return lone.unionByName(equal).join(bounded(mixed), [key, nth]).drop(key, nth)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

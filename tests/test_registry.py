@@ -1,3 +1,8 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -35,3 +40,14 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_the_rest_imports_without_the_llm_folders(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    skip = lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__")]
+    shutil.copytree(root, tmp_path / "repo", ignore=skip)
+    for gone in ((), ("corpus_pipeline.py",)):
+        for name in gone:
+            (tmp_path / "repo" / name).unlink()
+        code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1_') for n in q) and 'pipeline' not in q and e.oracle_sql()"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)
