@@ -66,3 +66,19 @@ def token_estimate(text: Column) -> Column:
     cjk = F.regexp_count(text, F.lit(r"[぀-ヿ㐀-鿿가-힯]"))
     rest = F.length(text) - cjk
     return cjk + F.when(rest > 0, F.greatest(F.lit(1), F.bround(rest / 3.7).cast("int"))).otherwise(0)
+
+
+#: Parts of a text that say much: a number with its unit, runs of kanji, katakana and latin letters, numbers (fixed pattern).
+SALIENT = r"[0-9]+(?:\.[0-9]+)?[一-龥ァ-ヴー%]|[一-龥々]+|[ァ-ヴー]+|[A-Za-z][A-Za-z0-9]+|[0-9]+(?:\.[0-9]+)?"
+
+
+def salient_tokens(text: Column, most: int = 20) -> Column:
+    """The first different salient parts of two characters or more."""
+    return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(f"({SALIENT})")), lambda t: F.length(t) >= 2)), 1, most)
+
+
+def splits_number(text: Column, at: Column) -> Column:
+    """Whether a break before the character ``at`` (from 0) would cut a number, with its separators, in two."""
+    before, after = F.substring(text, F.lit(1), at), F.substring(text, at + 1, F.length(text))
+    inside = (F.regexp_like(before, F.lit("[0-9]$")) & F.regexp_like(after, F.lit("^(?:[0-9]|[.,:：][0-9])"))) | (F.regexp_like(before, F.lit("[0-9][.,:：] ?$")) & F.regexp_like(after, F.lit("^[0-9]")))
+    return F.coalesce((at > 0) & (at < F.length(text)) & inside, F.lit(False))

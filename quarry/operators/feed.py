@@ -24,9 +24,51 @@ def coverage(plays: DataFrame, duration: Column) -> DataFrame:
     return sums.select("viewer", "file_id", "watched", F.when(F.col("duration") > 0, F.col("watched") / F.col("duration")).otherwise(0.0).alias("share"))
 
 
-def engagement(liked: Column, dismissed: Column, share: Column) -> Column:
-    """1 for what is liked, 0 for what is dismissed, else the share watched if it is half or more."""
-    return F.when(liked, 1.0).when(dismissed, 0.0).when(share >= 0.5, share).otherwise(0.0)
+#: Shares and lengths of the rule of engagement (fixed values).
+BRIEF, HALF, UNKNOWN_EMBED, SHORT_SECONDS = 0.10, 0.5, 0.5, 20.0
+
+
+def engagement(liked: Column, dismissed: Column, watched: Column, duration: Column, position: Column, legacy: Column, embed: Column | None = None) -> Column:
+    """How much a video counts: 1 for what is liked, 0 for what is dismissed, else by how much of it was played.
+
+    1 if half of the duration is covered by ``watched`` seconds, or reached by
+    ``position`` in a video of under 20 seconds. Rows of before coverage was
+    recorded (``legacy``) count by the share reached: none below a tenth, up to
+    1 at a half; without a duration, an ``embed`` counts half.
+    """
+    known = duration > 0
+    reached = F.least(F.lit(1.0), F.greatest(F.coalesce(position, F.lit(0.0)), F.least(watched, duration), F.lit(0.0)) / duration)
+    old = F.when(known, F.when(reached < BRIEF, 0.0).otherwise(F.least(F.lit(1.0), reached / HALF))).when(F.lit(False) if embed is None else embed, UNKNOWN_EMBED).otherwise(0.0)
+    enough = F.when(duration < SHORT_SECONDS, 2 * F.coalesce(position, F.lit(0.0)) >= duration).otherwise(2 * watched >= duration)
+    return F.when(liked, 1.0).when(dismissed, 0.0).when(legacy, old).when(known & enough, 1.0).otherwise(0.0)
+
+
+def profile_history(history: DataFrame, window_days: float = 365.0, most: int = 2000) -> DataFrame:
+    """``history`` (viewer, file_id, engagement, age_days, ...) that forms a profile: what counts, of known age within the window, the newest ``most`` of each viewer."""
+    rows = history.where((F.col("engagement") > 0) & F.col("age_days").between(-1.0, window_days))
+    return best(rows, "viewer", [F.asc("age_days"), F.asc("file_id")], most)
+
+
+def cluster_lanes(history: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(viewer, cluster, weight, position) of history (viewer, id, engagement, age_days) and (viewer, id, cluster): heaviest first."""
+    weights = lane_weights(history.join(clusters, ["viewer", "id"]).withColumnRenamed("cluster", "lane"))
+    order = Window.partitionBy("viewer").orderBy(F.desc(F.round("weight", 9)), F.asc("lane"))
+    return weights.select("viewer", F.col("lane").alias("cluster"), "weight", F.row_number().over(order).alias("position"))
+
+
+def replay(plays: DataFrame, cuts: DataFrame, ranked: DataFrame, hours: float, depth: int) -> DataFrame:
+    """(viewer, cut, targets, hits, recall, hit) of feeds ``ranked`` (viewer, cut, file_id, position) against what is played in the hours after each cut.
+
+    ``plays`` is (viewer, file_id, t) and ``cuts`` (viewer, cut), times in
+    hours. A cut's targets are found by the blocks of ``hours`` that it and the
+    next one make, not by all pairs of a viewer.
+    """
+    spread = cuts.select("viewer", "cut", F.explode(F.array(F.floor(F.col("cut") / hours), F.floor(F.col("cut") / hours) + 1)).alias("block"))
+    near = plays.withColumn("block", F.floor(F.col("t") / hours)).join(spread, ["viewer", "block"])
+    targets = near.where((F.col("t") >= F.col("cut")) & (F.col("t") < F.col("cut") + hours)).select("viewer", "cut", "file_id").distinct()
+    found = targets.join(ranked.where(F.col("position") <= depth).select("viewer", "cut", "file_id", F.lit(1).alias("found")), ["viewer", "cut", "file_id"], "left")
+    sums = found.groupBy("viewer", "cut").agg(F.count("*").alias("targets"), F.count("found").alias("hits"))
+    return sums.select("viewer", "cut", "targets", "hits", (F.col("hits") / F.col("targets")).alias("recall"), (F.col("hits") > 0).alias("hit"))
 
 
 def freshness(age_days: Column, half_life: float = FRESH_HALF_LIFE, floor: float = FRESH_FLOOR) -> Column:
@@ -70,8 +112,8 @@ def choose_k(n: int) -> int:
 def interest_clusters(history: DataFrame, rounds: int = 25) -> DataFrame:
     """(viewer, id, cluster) of history (viewer, id, vector, weight): weighted spherical k-means for each viewer.
 
-    A viewer's history is the most recent files, 2,000 at most; seeds follow
-    from the viewer. Clusters of one file join the nearest other.
+    ``history`` is that of :func:`profile_history`, so that a viewer has 2,000
+    rows at most. Seeds follow from the viewer, far ones by squared distance. Clusters of one file join the nearest other.
     """
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +125,7 @@ def interest_clusters(history: DataFrame, rounds: int = 25) -> DataFrame:
         rng = np.random.default_rng(seed)
         centres = [x[rng.integers(len(x))]]
         while len(centres) < k:
-            far = np.clip(1 - np.max(x @ np.array(centres).T, axis=1), 0, None) * w
+            far = np.clip(1 - np.max(x @ np.array(centres).T, axis=1), 0, None) ** 2
             centres.append(x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 0 else x[len(centres)])
         c, label = np.array(centres), np.zeros(len(x), int)
         for _ in range(rounds):

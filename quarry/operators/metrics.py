@@ -47,3 +47,22 @@ def offsets(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(reference, hypothesis) / F.greatest(F.length(reference), F.lit(1))
+
+
+def spread_of_runs(runs: DataFrame, key: str, value: str, epsilon: float) -> DataFrame:
+    """(key, runs, median, least, most, unstable) of repeated measurements; unstable if they spread over ``epsilon``."""
+    low, high = F.min(value), F.max(value)
+    return runs.groupBy(key).agg(F.count(value).alias("runs"), F.median(value).alias("median"), low.alias("least"), high.alias("most"), (high - low > epsilon).alias("unstable"))
+
+
+def compared(baseline: Column, current: Column, epsilon: float, lower_is_better: bool = False) -> Column:
+    """``tied`` within ``epsilon``, else ``improved`` or ``regressed``."""
+    gain = baseline - current if lower_is_better else current - baseline
+    return F.when(F.abs(gain) <= epsilon, "tied").when(gain > 0, "improved").otherwise("regressed")
+
+
+def mentions(text: Column, wanted: list[str], forbidden: list[str], normalise) -> tuple[Column, Column]:
+    """The share of ``wanted`` that a text has, 1 if nothing is wanted, and how many of ``forbidden``, all normalised."""
+    own = normalise(F.coalesce(text, F.lit("")))
+    count = lambda needles: sum((F.contains(own, normalise(F.lit(n))).cast("int") for n in needles if n), F.lit(0))
+    return (count(wanted) / len(wanted) if wanted else F.lit(1.0)), count(forbidden).cast("long")

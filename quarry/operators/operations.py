@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLOSED = ("succeeded", "skipped")
-#: What is taken for a credential or a path in error texts (fixed patterns).
-SCRUB = (
-    (r"(?i)(bearer|token|password|secret|api[_-]?key)([\"']?\s*[:=]\s*[\"']?)[^\s\"',]+", "$1$2***"),
-    (r"(https?://)[^/\s:@]+:[^/\s@]+@", "$1***@"),
-    (r"(/(?:home|root|Users|mnt|data))/[^\s\"']+", "$1/…"),
+#: What is taken for a credential, and the beginnings of paths that are cut, in error texts (fixed patterns).
+CREDENTIALS = (
+    r"(?i)authorization\s*[:=]\s*bearer\s+[A-Za-z0-9._-]+",
+    r"(?i)bearer\s+[A-Za-z0-9._-]{8,}",
+    r"(?i)api[_-]?key\s*[:=]\s*[A-Za-z0-9._-]+",
+    r"\bsk-[A-Za-z0-9_-]{8,}\b",
+    r"\bskey-[A-Za-z0-9_-]{8,}\b",
 )
+PATHS = ("/data/drives/", "/app/", "/intelligence-data/")
 
 
 def latest_failed(jobs: DataFrame) -> DataFrame:
@@ -106,7 +109,20 @@ def breaker(jobs: DataFrame, window_s: int, threshold: int, pause_s: int) -> Dat
 
 
 def scrub(text: Column, length: int = 256) -> Column:
-    """An error text without credentials and paths, cut."""
-    for pattern, to in SCRUB:
-        text = F.regexp_replace(text, pattern, to)
-    return F.substring(text, 1, length)
+    """An error text without credentials, paths cut to the file's name, and the whole cut at ``length`` characters with an ellipsis."""
+    for pattern in CREDENTIALS:
+        text = F.regexp_replace(text, pattern, "[REDACTED]")
+    for begin in PATHS:
+        text = F.regexp_replace(text, begin + r"[^\s'\"]+/", "…/")
+    return F.when(F.length(text) <= length, text).otherwise(F.concat(F.substring(text, 1, length - 1), F.lit("…")))
+
+
+def purge(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Each of ``tables``, which have file_id, without the rows of the files ``gone`` (file_id)."""
+    gone = gone.select("file_id").where("file_id is not null").distinct()
+    return {name: rows.join(gone, "file_id", "left_anti") for name, rows in tables.items()}
+
+
+def corrected(versions: DataFrame) -> DataFrame:
+    """(item, original, current, generation) of versions (item, version, value): the first one is kept beside the latest."""
+    return versions.groupBy("item").agg(F.min_by("value", "version").alias("original"), F.max_by("value", "version").alias("current"), (F.count("*") - 1).alias("generation"))

@@ -18,28 +18,24 @@ HARD, SOFT = "。．.!?！？", "、，,;；:"
 
 
 def cut_points(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """[start, end) of overlapping chunks, each ended at the best break of its second half."""
-    start = 0
+    """[start, end) of overlapping chunks, each ended before the last of the best marks in it that lies past the former end."""
+    start, former = 0, -1
     while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            for mark in BREAKS:
-                at = text.rfind(mark, start + size // 2, end)
-                if at > 0:
-                    end = at + len(mark)
-                    break
-        yield start, end
-        if end >= len(text):
+        if start + size >= len(text):
+            yield start, len(text)
             return
-        start = max(end - overlap, start + 1)
+        places = (text.rfind(mark, max(start, former + 1), start + size) for mark in BREAKS)
+        former = next((at for at in places if at >= 0), start + size)
+        yield start, former
+        start = max(former - overlap, start + 1)
 
 
 def text_chunks(docs: DataFrame, size: int = TEXT_CHUNK, overlap: int = TEXT_OVERLAP) -> DataFrame:
-    """(id, chunk, start, text) of ``docs`` (id, text); blank chunks are left out."""
+    """(id, chunk, start, text) of ``docs`` (id, text), white space around a text left out; blank chunks are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, a, t[a:b].strip()) for i, t in zip(pdf["id"], pdf["text"]) if t for a, b in cut_points(t, size, overlap)]
+            rows = [(i, a, t[a:b].strip()) for i, t in zip(pdf["id"], (t.strip() if t else "" for t in pdf["text"])) for a, b in cut_points(t, size, overlap)]
             out = pd.DataFrame([r for r in rows if r[2]], columns=["id", "start", "text"])
             out.insert(1, "chunk", out.groupby("id").cumcount())
             yield out
@@ -69,9 +65,10 @@ def transcript_chunks(words: DataFrame, least: float = CHUNK_MIN, most: float =
         for w in pdf.itertuples():
             if own:
                 length = own[-1].end - own[0].start
-                last = own[-1].word[-1:]
-                ended = last in HARD or w.start - own[-1].end >= SILENCE or w.speaker != own[-1].speaker
-                if w.end - own[0].start > most or (length >= least and ended) or (length >= 1.5 * least and last in SOFT):
+                # a point between digits ends no sentence
+                last = "" if in_number(own[-2].word if len(own) > 1 else "", own[-1].word, w.word) else own[-1].word[-1:]
+                ended = last in tuple(HARD) or w.start - own[-1].end >= SILENCE or w.speaker != own[-1].speaker
+                if w.end - own[0].start > most or (length >= least and ended) or (length >= 1.5 * least and last in tuple(SOFT)):
                     flush()
             own.append(w)
         flush()
@@ -80,12 +77,29 @@ def transcript_chunks(words: DataFrame, least: float = CHUNK_MIN, most: float =
     return words.groupBy("file_id").applyInPandas(cut, "file_id long, chunk long, start double, end double, speaker string, text string")
 
 
+SEPARATORS, NUMERALS = ".,:：", "0123456789"
+
+
+def in_number(before: str, word: str, after: str) -> bool:
+    """Whether the last character of ``word`` is a separator between two digits, of it or of its neighbours."""
+    word, after = word.strip(), after.strip()
+    left = word[:-1] or before.strip()
+    return word[-1:] in tuple(SEPARATORS) and left[-1:] in tuple(NUMERALS) and after[:1] in tuple(NUMERALS)
+
+
 def changed_frames(frames: DataFrame, bits: int = 8, gap: float = 3.0) -> DataFrame:
-    """Frames (file_id, ts, hash: array of longs) that differ from the one before in ``bits`` or more, ``gap`` after the last such."""
-    own = Window.partitionBy("file_id").orderBy("ts")
-    far = F.aggregate(F.zip_with("hash", F.lag("hash").over(own), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
-    rows = frames.withColumn("_changed", F.coalesce(far >= bits, F.lit(True))).where("_changed").drop("_changed")
-    return rows.withColumn("_before", F.lag("ts").over(own)).where(F.col("_before").isNull() | (F.col("ts") - F.col("_before") >= gap)).drop("_before")
+    """(file_id, ts) of frames (file_id, ts, hash: array of longs) that differ in ``bits`` or more from the last one kept, ``gap`` after it."""
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], None
+        for ts, own in sorted(zip(pdf["ts"], pdf["hash"]), key=lambda x: x[0]):
+            own = np.asarray(own, np.int64)
+            if last is None or (int(np.bitwise_count(own ^ last[1]).sum()) >= bits and ts - last[0] >= gap):
+                last = ts, own
+                kept.append(ts)
+        return pd.DataFrame({"file_id": pdf["file_id"].iloc[0], "ts": kept})
+
+    return frames.select("file_id", F.col("ts").cast("double").alias("ts"), "hash").groupBy("file_id").applyInPandas(keep, "file_id long, ts double")
 
 
 def boundary_scores(frames: DataFrame) -> DataFrame:
@@ -101,28 +115,36 @@ def boundary_scores(frames: DataFrame) -> DataFrame:
 
 
 def align_monotonic(scores: DataFrame) -> DataFrame:
-    """(file_id, segment, chunk): the best way through chunks in order, for scores (file_id, segment, chunk, score).
+    """(file_id, chunk, segment): the best way of segments along the chunks, for scores (file_id, segment, chunk, score).
 
-    Each segment lies at the same chunk as the one before or at a later one;
-    of equal ways, the one that stays. Missing scores are 0.
+    Every chunk has a segment; the first one has the first segment, and each
+    next one the same or the one after it; the last may have any. Of equal ways,
+    the one that stays longer; of equal ends, the first. Missing scores are 0.
+    A task holds one bit for each chunk and segment of a file.
     """
 
     def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="segment", columns="chunk", values="score", fill_value=0.0).sort_index()
-        table = table[sorted(table.columns)]
-        s = table.to_numpy()
-        total, back = s[0].copy(), []
-        for row in s[1:]:
-            top = np.maximum.accumulate(total)
-            came = np.array([int(np.flatnonzero(total[: j + 1] == top[j])[-1]) for j in range(len(total))])
-            back.append(came)
-            total = top + row
+        states = np.sort(pdf["segment"].unique())
+        chunks, rows = np.unique(pdf["chunk"], return_inverse=True)
+        order = np.argsort(rows, kind="stable")
+        column, score = np.searchsorted(states, pdf["segment"])[order], pdf["score"].to_numpy(float)[order]
+        cuts = np.searchsorted(rows[order], np.arange(len(chunks) + 1))
+        total, moved = np.full(len(states), -np.inf), np.zeros((len(chunks), len(states)), bool)
+        for t in range(len(chunks)):
+            own = np.zeros(len(states))
+            own[column[cuts[t] : cuts[t + 1]]] = score[cuts[t] : cuts[t + 1]]
+            if t == 0:
+                total[0] = own[0]
+                continue
+            before = np.r_[-np.inf, total[:-1]]
+            moved[t] = before > total
+            total = np.where(moved[t], before, total) + own
         at = [int(np.argmax(total))]
-        for came in reversed(back):
-            at.append(int(came[at[-1]]))
-        return pd.DataFrame({"file_id": pdf["file_id"].iloc[0], "segment": table.index, "chunk": [table.columns[i] for i in reversed(at)]})
+        for t in range(len(chunks) - 1, 0, -1):
+            at.append(at[-1] - int(moved[t, at[-1]]))
+        return pd.DataFrame({"file_id": pdf["file_id"].iloc[0], "chunk": chunks, "segment": states[at[::-1]]})
 
-    return scores.groupBy("file_id").applyInPandas(path, "file_id long, segment long, chunk long")
+    return scores.groupBy("file_id").applyInPandas(path, "file_id long, chunk long, segment long")
 
 
 def narrow_clusters(scores: DataFrame, gap: int = 5, top: int = 12, floor: float = 0.5) -> DataFrame:

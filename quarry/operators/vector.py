@@ -155,6 +155,18 @@ def segments(hits: DataFrame, gap: float = SEGMENT_GAP, tail: float = SEGMENT_TA
     return best(groups, "file_id", [F.desc("peak"), F.asc("start")], per_file)
 
 
+def seeded_segments(hits: DataFrame, n: int, files: int = 30, gap: float = SEGMENT_GAP, tail: float = SEGMENT_TAIL) -> DataFrame:
+    """:func:`segments` of the hits (file_id, ts, score) that reach the score of the last required one of ``n`` frames, in the ``files`` best files.
+
+    The threshold's rank is 4,096 at most, so that it is found by a top-k.
+    """
+    required = int(min(max(min(50, -(-n // 10)), n // 100), 4096))
+    lowest = hits.orderBy(F.desc("score")).limit(required).agg(F.min("score").alias("lowest"))
+    seeds = hits.join(F.broadcast(lowest), F.col("score") >= F.col("lowest")).drop("lowest")
+    top = seeds.groupBy("file_id").agg(F.max("score").alias("_top")).orderBy(F.desc("_top"), "file_id").limit(files)
+    return segments(seeds.join(F.broadcast(top.select("file_id")), "file_id", "left_semi"), gap, tail)
+
+
 def tag_votes(found: DataFrame, tags: DataFrame, min_support: int = 2, k: int = 10) -> DataFrame:
     """(query_id, tag, score, support): tags (id, tag) of the neighbours, weighted by their scores."""
     votes = found.join(tags, "id").groupBy("query_id", "tag").agg(F.sum("score").alias("score"), F.count("*").alias("support"))

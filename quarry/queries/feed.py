@@ -17,12 +17,16 @@ from .vector import MEANS
 register = Registry()
 
 NOW = "2024-01-31 00:00:00"
+#: Before it, coverage is taken as not recorded.
+RECORDED = "2024-01-08 00:00:00"
 
 PLAYS = """WITH e AS (SELECT user_id AS viewer, (props->>'$.k')::BIGINT AS file_id, ts, floor(value / 5) AS segment, event_type = 'purchase' AS liked, event_type = 'error' AS dismissed, value FROM events),
 segs AS (SELECT DISTINCT viewer, file_id, segment FROM e),
-cov AS (SELECT viewer, file_id, sum(least(5.0, greatest(0.0, 60.0 + file_id - 5 * segment))) AS watched, max(60.0 + file_id) AS duration FROM segs GROUP BY ALL),
-st AS (SELECT viewer, file_id, max(ts) AS ts, bool_or(liked) AS liked, bool_or(dismissed) AS dismissed FROM e GROUP BY ALL),
-h AS (SELECT viewer, file_id, ts, watched, watched / duration AS share, CASE WHEN liked THEN 1.0 WHEN dismissed THEN 0.0 WHEN watched / duration >= 0.5 THEN watched / duration ELSE 0.0 END::DOUBLE AS engagement,
+cov AS (SELECT viewer, file_id, sum(least(5.0, greatest(0.0, 10.0 + file_id - 5 * segment))) AS watched, max(10.0 + file_id) AS duration FROM segs GROUP BY ALL),
+st AS (SELECT viewer, file_id, max(ts) AS ts, max(value) AS position, bool_or(liked) AS liked, bool_or(dismissed) AS dismissed FROM e GROUP BY ALL),
+h AS (SELECT viewer, file_id, ts, watched, watched / duration AS share, CASE WHEN liked THEN 1.0 WHEN dismissed THEN 0.0
+  WHEN ts < TIMESTAMP '2024-01-08 00:00:00' THEN CASE WHEN greatest(position, watched) < 0.1 * duration THEN 0.0 ELSE least(1.0, greatest(position, watched) / duration / 0.5) END
+  WHEN duration < 20 THEN CASE WHEN 2 * position >= duration THEN 1.0 ELSE 0.0 END WHEN 2 * watched >= duration THEN 1.0 ELSE 0.0 END::DOUBLE AS engagement,
   (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 86400e6 AS age FROM cov JOIN st USING (viewer, file_id)),
 hl AS (SELECT h.*, label AS lane FROM h JOIN embeddings ON vec_id = file_id),
 raw AS (SELECT viewer, lane, ln(1 + sum(engagement * power(0.5, age / 7))) AS raw FROM hl GROUP BY ALL),
@@ -32,11 +36,11 @@ lw AS (SELECT viewer, lane, CASE WHEN max(raw) OVER (PARTITION BY viewer) > 0 TH
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
     plays = T.plays(spark, sf)
-    covered = O.coverage(plays, 60.0 + F.col("file_id"))
-    state = plays.groupBy("viewer", "file_id").agg(F.max("ts").alias("ts"), F.bool_or("liked").alias("liked"), F.bool_or("dismissed").alias("dismissed"))
+    covered = O.coverage(plays, 10.0 + F.col("file_id"))
+    state = plays.groupBy("viewer", "file_id").agg(F.max("ts").alias("ts"), F.max("value").alias("position"), F.bool_or("liked").alias("liked"), F.bool_or("dismissed").alias("dismissed"))
     age = (F.unix_micros(F.lit(NOW).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86400e6
     rows = covered.join(state, ["viewer", "file_id"])
-    return rows.withColumn("engagement", O.engagement(F.col("liked"), F.col("dismissed"), F.col("share"))).withColumn("age_days", age)
+    return rows.withColumn("engagement", O.engagement(F.col("liked"), F.col("dismissed"), F.col("watched"), 10.0 + F.col("file_id"), F.col("position"), F.col("ts") < F.lit(RECORDED).cast("timestamp"))).withColumn("age_days", age)
 
 
 @register(PLAYS + "SELECT viewer, file_id, round(watched, 6)::DOUBLE AS watched, round(share, 6)::DOUBLE AS share, round(engagement, 6) AS engagement FROM h")
@@ -89,7 +93,7 @@ def feed_interleave(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def feed_clusters(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.vectors(spark, sf).select(F.col("id").alias("file_id"), "vector")
-    history = _history(spark, sf).where("engagement > 0").join(rows, "file_id")
+    history = O.profile_history(_history(spark, sf)).join(rows, "file_id")
     return O.interest_clusters(history.select("viewer", F.col("file_id").alias("id"), "vector", F.col("engagement").alias("weight")))
 
 

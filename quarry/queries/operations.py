@@ -141,7 +141,15 @@ def html_sections(spark: SparkSession, sf: str) -> DataFrame:
     return S.html_sections(T.table(spark, sf, "pages"))
 
 
-@register()
+@register(r"""WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), m AS (SELECT id, t, length(t) AS n FROM d WHERE length(t) > 0),
+c(id, t, n, start, former) AS (SELECT id, t, n, 0, -1 FROM m
+ UNION ALL SELECT id, t, n, greatest(f - 80, start + 1), f FROM (SELECT *, CASE
+   WHEN contains(s, E'\n\n') THEN low + length(s) - instr(reverse(s), E'\n\n') - 1 WHEN contains(s, '. ') THEN low + length(s) - instr(reverse(s), ' .') - 1
+   WHEN contains(s, E'\n') THEN low + length(s) - instr(reverse(s), E'\n') WHEN contains(s, ' ') THEN low + length(s) - instr(reverse(s), ' ') ELSE start + 400 END AS f
+  FROM (SELECT *, greatest(start, former + 1) AS low, substring(t, greatest(start, former + 1) + 1, start + 400 - greatest(start, former + 1)) AS s FROM c WHERE start + 400 < n) q) q2),
+ends AS (SELECT id, t, start, coalesce(lead(former) OVER (PARTITION BY id ORDER BY start), n) AS e FROM c WHERE start < n),
+x AS (SELECT id, start, regexp_replace(substring(t, start + 1, e - start), '^\s+|\s+$', '', 'g') AS text FROM ends)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS chunk, start::BIGINT AS start, text FROM x WHERE text <> ''""")
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return S.text_chunks(T.files(spark, sf).select(F.col("file_id").alias("id"), "text"))
 
@@ -178,12 +186,22 @@ def citation_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return S.narrow_clusters(_sims(spark, sf), floor=0.05).withColumn("weight", F.round("weight", 6))
 
 
-@register()
+@register("WITH RECURSIVE " + SIMS[len("WITH "):] + """, st AS (SELECT file_id, list(DISTINCT segment ORDER BY segment) AS segs, list(DISTINCT chunk ORDER BY chunk) AS chs FROM p GROUP BY file_id),
+pr AS (SELECT file_id, segment, chunk, round(score, 6) AS score FROM p),
+em AS (SELECT st.file_id, list_position(chs, c.chunk) AS t, list(coalesce(pr.score, 0.0) ORDER BY s.segment) AS e FROM st, LATERAL (SELECT unnest(st.chs) AS chunk) c, LATERAL (SELECT unnest(st.segs) AS segment) s LEFT JOIN pr ON pr.file_id = st.file_id AND pr.segment = s.segment AND pr.chunk = c.chunk GROUP BY st.file_id, list_position(chs, c.chunk)),
+dp AS (SELECT file_id, t, [CASE WHEN k = 1 THEN e[1] ELSE -1e18 END for k in range(1, len(e) + 1)] AS v, [false for k in range(1, len(e) + 1)] AS moved FROM em WHERE t = 1
+ UNION ALL SELECT em.file_id, em.t, [(CASE WHEN k > 1 AND dp.v[k - 1] > dp.v[k] THEN dp.v[k - 1] ELSE dp.v[k] END) + em.e[k] for k in range(1, len(em.e) + 1)], [k > 1 AND dp.v[k - 1] > dp.v[k] for k in range(1, len(em.e) + 1)] FROM dp JOIN em ON em.file_id = dp.file_id AND em.t = dp.t + 1),
+back AS (SELECT file_id, t, list_position(v, list_max(v)) AS k FROM dp QUALIFY t = max(t) OVER (PARTITION BY file_id)
+ UNION ALL SELECT dp.file_id, b.t - 1, CASE WHEN dp.moved[b.k] THEN b.k - 1 ELSE b.k END FROM back b JOIN dp ON dp.file_id = b.file_id AND dp.t = b.t)
+SELECT st.file_id, chs[t] AS chunk, segs[k] AS segment FROM back JOIN st USING (file_id) WHERE t >= 1""")
 def citation_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return S.align_monotonic(_sims(spark, sf))
+    return S.align_monotonic(_sims(spark, sf).withColumn("score", F.round("score", 6)))
 
 
-@register()
+@register("""WITH f AS (SELECT label::BIGINT AS file_id, vec_id::DOUBLE AS ts, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+w AS (SELECT file_id, ts, v, lag(v) OVER o AS b, lead(v) OVER o AS a, lead(v, 2) OVER o AS a2 FROM f WINDOW o AS (PARTITION BY file_id ORDER BY ts)),
+x AS (SELECT file_id, ts, CASE WHEN b IS NULL THEN v ELSE [v[i] + b[i] for i in range(1, len(v) + 1)] END AS x, CASE WHEN a2 IS NULL THEN a ELSE [a[i] + a2[i] for i in range(1, len(v) + 1)] END AS y FROM w WHERE a IS NOT NULL)
+SELECT file_id, ts, round(1 - list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)), 6) AS score FROM x""")
 def boundary_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.vectors(spark, sf).select(F.col("label").cast("long").alias("file_id"), F.col("id").cast("double").alias("ts"), "vector")
     return S.boundary_scores(rows).withColumn("score", F.round("score", 6))

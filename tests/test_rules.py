@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vectors as V
-from quarry.operators import feed, fusion, keyword, metrics, operations, sequence, vector
+from quarry.operators import filters, feed, fusion, keyword, metrics, operations, sequence, vector
 from quarry.streaming import changes
 
 
@@ -89,11 +89,16 @@ def test_skip_fill_takes_a_later_smaller_chunk(spark):
 
 
 def test_engagement_and_freshness(spark):
-    row = spark.range(1).select(
-        feed.engagement(F.lit(False), F.lit(False), F.lit(0.5)).alias("half"), feed.engagement(F.lit(False), F.lit(False), F.lit(0.49)).alias("less"), feed.engagement(F.lit(True), F.lit(True), F.lit(0.0)).alias("liked"),
-        feed.freshness(F.lit(365.0)).alias("year"), feed.freshness(F.lit(-2.0), floor=0.1).alias("ahead"), feed.freshness(F.lit(-0.5)).alias("soon"),
-    ).first()
-    assert tuple(row) == (0.5, 0.0, 1.0, 0.5, 0.1, 1.0)
+    lit, no, yes = F.lit, F.lit(False), F.lit(True)
+    of = lambda liked, dismissed, watched, duration, position, legacy, embed=no: feed.engagement(liked, dismissed, lit(watched), lit(duration).cast("double"), lit(position).cast("double"), legacy, embed)
+    cases = [
+        (of(yes, yes, 0.0, 60.0, 0.0, no), 1.0), (of(no, yes, 60.0, 60.0, 0.0, no), 0.0), (of(no, no, 30.0, 60.0, 0.0, no), 1.0), (of(no, no, 29.9, 60.0, 60.0, no), 0.0),
+        (of(no, no, 0.0, 19.0, 9.5, no), 1.0), (of(no, no, 19.0, 19.0, 9.0, no), 0.0), (of(no, no, 60.0, None, 9.0, no), 0.0), (of(no, no, 0.0, 100.0, 9.9, yes), 0.0),
+        (of(no, no, 0.0, 100.0, 25.0, yes), 0.5), (of(no, no, 90.0, 100.0, None, yes), 1.0), (of(no, no, 0.0, None, None, yes), 0.0), (of(no, no, 0.0, None, None, yes, yes), 0.5), (of(no, yes, 90.0, 100.0, None, yes), 0.0),
+    ]
+    fresh = [(feed.freshness(lit(365.0)), 0.5), (feed.freshness(lit(-2.0), floor=0.1), 0.1), (feed.freshness(lit(-0.5)), 1.0)]
+    row = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases + fresh)]).first()
+    assert list(row) == [want for _, want in cases + fresh]
 
 
 def test_choose_k_rounds_half_to_even():
@@ -107,8 +112,9 @@ def test_failed_jobs_keep_ties_and_null_providers(spark):
 
 
 def test_scrub(spark):
-    row = spark.range(1).select(operations.scrub(F.lit("token=abc at /home/me/x: https://u:p@h/")).alias("t")).first()
-    assert row.t == "token=*** at /home/…: https://***@h/" or "abc" not in row.t and "u:p" not in row.t
+    texts = ["401 Authorization: Bearer abc.def-1 x", "bearer short", "Bearer longenough1", "api-key: k1", "use sk-abcdefgh12 now", "in /app/a/b/c.py", "z" * 300]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "x string").select(operations.scrub(F.col("x")).alias("t")).collect()]
+    assert got == ["401 [REDACTED] x", "bearer short", "[REDACTED]", "[REDACTED]", "use [REDACTED] now", "in …/c.py", "z" * 255 + "…"]
 
 
 def test_ranking_quality(spark):
@@ -117,11 +123,34 @@ def test_ranking_quality(spark):
     assert rows(metrics.ranking_quality(ranked, gains, 2)) == [(1, 1.0, 0.5, 0.5, pytest.approx(1 / math.log2(3))), (2, 1.0, 0.0, 0.0, 0.0)]
 
 
-def test_chunks_end_at_the_best_break():
+def test_chunks_end_before_the_best_break():
     text = "a" * 250 + ". " + "b" * 300
-    cuts = list(sequence.cut_points(text, 400, 80))
-    assert cuts[0] == (0, 252) and cuts[-1][1] == len(text)
-    assert list(sequence.cut_points("", 400, 80)) == []
+    assert list(sequence.cut_points(text, 400, 80)) == [(0, 250), (170, 570 if len(text) > 570 else len(text))]
+    assert list(sequence.cut_points("short " + "x" * 900, 400, 80))[:2] == [(0, 5), (1, 401)]
+    assert list(sequence.cut_points("", 400, 80)) == [] and list(sequence.cut_points("a" * 400, 400, 80)) == [(0, 400)]
+
+
+def test_a_point_between_digits_ends_no_sentence(spark):
+    assert sequence.in_number("", "3.", "3km") and sequence.in_number("1", ",", "500") and not sequence.in_number("a", ".", "5") and not sequence.in_number("", "3.", "km")
+    words = [(1, i, w, i * 2.0, i * 2.0 + 2.0, "a") for i, w in enumerate(["w"] * 5 + ["3.", "5", "end.", "next"])]
+    df = spark.createDataFrame(words, "file_id long, idx long, word string, start double, end double, speaker string")
+    assert rows(sequence.transcript_chunks(df), "chunk", "end") == [(0, 16.0), (1, 18.0)]
+
+
+def test_frames_differ_from_the_last_one_kept(spark):
+    df = spark.createDataFrame([(1, 0.0, [0]), (1, 2.0, [255]), (1, 3.0, [255]), (1, 5.9, [0]), (1, 6.0, [0]), (1, 9.0, [1])], "file_id long, ts double, hash array<long>")
+    assert rows(sequence.changed_frames(df), "ts") == [(0.0,), (3.0,), (6.0,)]
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([(1, "a/b", "X.MD", 10, ["Red", "blue"]), (2, "ab", "y.txt", None, None)], "id long, path string, name string, size long, tags array<string>")
+    assert rows(df.where(filters.comparisons(F.col("size"), ["gte:10", "lt:11"])), "id") == [(1,)]
+    assert rows(df.where(filters.folders(F.col("path"), ["/a/"])), "id") == [(1,)] and rows(df.where(filters.tags(F.col("tags"), ["RED", " "])), "id") == [(1,)]
+    assert rows(df.where(filters.kind("markdown", F.lit("document"), F.lit(None).cast("string"), F.col("name"), ["text/markdown"], [".md"])), "id") == [(1,)]
+    for bad in (["ge:1"], ["gt:01"], ["gt:1.5"], [f"gt:{i}" for i in range(21)]):
+        with pytest.raises(ValueError):
+            filters.comparisons(F.col("size"), bad)
+    assert filters.fallback_ladder([("a", ["x"]), ("b", []), ("c", ["y"])]) == [["a", "b"], ["b"], []] and filters.fallback_ladder([]) == [[]]
 
 
 def test_transcript_chunks_break_on_silence_and_speaker(spark):
@@ -132,7 +161,7 @@ def test_transcript_chunks_break_on_silence_and_speaker(spark):
 
 def test_alignment_stays_on_ties(spark):
     df = spark.createDataFrame([(1, s, c, v) for s, c, v in ((0, 0, 1.0), (0, 1, 0.0), (1, 0, 0.5), (1, 1, 0.5))], "file_id long, segment long, chunk long, score double")
-    assert rows(sequence.align_monotonic(df), "segment", "chunk") == [(0, 0), (1, 0)]
+    assert rows(sequence.align_monotonic(df), "chunk", "segment") == [(0, 0), (1, 1)]
 
 
 def test_html_sections(spark):
