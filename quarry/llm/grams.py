@@ -56,9 +56,9 @@ def codes(buffer: bytes, grams: list[int], n: int) -> np.ndarray:
 
 
 def added_up(keys: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and how often each is there, or the sum of its ``sums``."""
+    """The distinct keys in order, and how often each is there, or the sum of its ``sums``; without these, ``keys`` is sorted in place."""
     if sums is None:
-        keys = np.sort(keys)
+        keys.sort()
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         return keys[first], np.diff(np.r_[first, len(keys)])
     order = np.argsort(keys, kind="stable")
@@ -76,8 +76,9 @@ def task_counts(
 
     def fold() -> None:
         if raw:
-            parts.append(added_up(np.concatenate(raw)))
+            whole = np.concatenate(raw)
             raw.clear()
+            parts.append(added_up(whole))
         if len(parts) > 1:
             parts[:] = [added_up(*(np.concatenate(x) for x in zip(*parts)))]
 
@@ -126,7 +127,7 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def packed_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 2_000_000) -> DataFrame:
+def packed_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 1_500_000) -> DataFrame:
     """(shard, keys, sums): each task's n-grams and the running sums of their numbers, packed for each shard.
 
     A key is twice the n-gram, plus one where the boolean column ``flag`` of
@@ -136,10 +137,12 @@ def packed_counts(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes
     target = pa_schema(schema, docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_context = shard(np.arange(1 << 16, dtype=np.uint64)).astype(np.uint16)
         for keys, sums in task_counts(batches, n, prepare, True, most):
-            own = shard((keys >> np.uint64(9)) & np.uint64(0xFFFF)).astype(np.uint16)
+            own = by_context[(keys >> np.uint64(9)) & np.uint64(0xFFFF)]
             order = np.argsort(own, kind="stable")
-            keys, sums, own = keys[order], sums[order].astype(np.int64), own[order]
+            keys, sums, own = keys[order], sums[order], own[order]
+            del order
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             cut = list(zip(first.tolist(), [*first[1:].tolist(), len(own)]))
             arrays = [pa.array(own[first].astype(np.int32)), *[pa.array([pack(x[a:b]) for a, b in cut], pa.binary()) for x in (keys, np.cumsum(sums))]]
