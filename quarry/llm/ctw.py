@@ -211,7 +211,7 @@ def count_tokens(texts: DataFrame, most: int = 300_000) -> DataFrame:
     return texts.select(F.col("text").cast("string")).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_texts(docs: DataFrame, depth: int = 6, folds: int = 10, most_words: int = 1 << 17, most_strings: int = 5 << 19) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 5, folds: int = 10, most_words: int = 1 << 17, most_strings: int = 1 << 21) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row of ``docs``.
 
     Learns from the rows whose crc32(doc_id as text) mod ``folds`` is not 0; a
