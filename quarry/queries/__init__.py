@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("vector", "keyword", "fusion", "feed", "operations", "library", "rules")
+MODULES = ("vector", "keyword", "fusion", "feed", "operations", "library", "rules", "snippets")
 
 
 class Registry:
