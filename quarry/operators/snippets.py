@@ -79,7 +79,7 @@ def flagged(rows: DataFrame, having: DataFrame, by: str, name: str) -> DataFrame
 
 def quote_score(quote: Column, text: Column, width: int = QUOTE_WIDTH) -> Column:
     """1,000 for each character of the longest run of 3 to ``width`` characters of ``quote`` that is in ``text``, and 1 for each distinct character that both have."""
-    shared = F.size(F.array_intersect(F.split(quote, ""), F.split(text, "")))
+    shared = F.size(F.array_remove(F.array_intersect(F.split(quote, ""), F.split(text, "")), ""))
     sizes = F.when(F.length(quote) >= 3, F.sequence(F.lit(3), F.least(F.lit(width), F.length(quote)))).otherwise(F.array().cast("array<int>"))
 
     def inside(n: Column) -> Column:

@@ -16,19 +16,39 @@ SIMILAR_FLOOR, SIMILAR_GAP, SIMILAR_SURE, IDENTICAL = 0.70, 0.01, 0.85, 0.999
 SEGMENT_GAP, SEGMENT_TAIL, SEGMENT_FILES, SEGMENTS_PER_FILE = 45.0, 30.0, 30, 2
 
 
+#: Queries and rows of one matrix product in a task: 16 MB of scores.
+QUERY_TILE, ROW_TILE = 512, 4096
+
+
+def _first_k(scores: np.ndarray, k: int) -> np.ndarray:
+    """Where the k greatest of each row are, of equal ones the first; -inf never."""
+    open_ = scores > -np.inf
+    if scores.shape[1] <= k:
+        return open_
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above, level = scores > least, scores == least
+    room = k - above.sum(axis=1, keepdims=True)
+    return (above | (level & (np.cumsum(level, axis=1) <= room))) & open_
+
+
 def neighbours(
-    queries: DataFrame, rows: DataFrame, k: int | None = None, floor: float | None = None, same: str | None = None, queries_at_once: int = 8192
+    queries: DataFrame, rows: DataFrame, k: int | None = None, floor: float | None = None, same: str | None = None, group: str | None = None, queries_at_once: int = 8192
 ) -> DataFrame:
     """(query_id, id, score) for the ``k`` best rows of each query, or all of ``floor`` or more.
 
     ``queries`` has (query_id, vector), ``rows`` (id, vector); with ``same``, both
     have that column and only rows of equal value are compared. The score is
     the inner product, ties go to the lesser id. Queries go out in blocks of
-    bounded size, each against all rows in batches of one matrix product; a
-    batch gives k rows for a query at most, before they are shuffled.
+    bounded size, each against all rows in tiles of one matrix product; a
+    batch gives k rows for a query at most, before they are shuffled. With
+    ``group``, a column of whole numbers of ``rows``, its values take the place
+    of ids, and a group's score is that of its best row: a batch then gives one
+    row for a query and group.
     """
     spark = rows.sparkSession
     extra = [same] if same else []
+    if group:
+        rows = rows.withColumn("id", F.col(group).cast("long"))
     plan = queries.select("query_id", "vector", *extra)
     n = plan.count()
     blocks = max(1, -(-n // queries_at_once))
@@ -46,20 +66,23 @@ def neighbours(
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix, kinds = shared.value
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                own = pdf["id"].to_numpy()
-                sims = matrix @ np.stack([np.asarray(v, np.float64) for v in pdf["vector"]]).T
-                if kinds is not None:
-                    sims[kinds[:, None] != pdf[same].to_numpy()[None, :]] = -np.inf
-                if floor is not None:
-                    sims[sims < floor] = -np.inf
-                for q in range(len(ids)):
-                    at = np.flatnonzero(sims[q] > -np.inf)
-                    if k is not None and len(at) > k:
-                        at = at[np.lexsort((own[at], -sims[q][at]))[:k]]
-                    if len(at):
-                        yield pd.DataFrame({"query_id": ids[q], "id": own[at], "score": sims[q][at]})
+                for begin in range(0, len(pdf), ROW_TILE):
+                    tile = pdf.iloc[begin : begin + ROW_TILE].sort_values("id", kind="stable")
+                    own = tile["id"].to_numpy()
+                    vectors = np.stack([np.asarray(v, np.float64) for v in tile["vector"]]).T
+                    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    for q in range(0, len(ids), QUERY_TILE):
+                        sims = matrix[q : q + QUERY_TILE] @ vectors
+                        if kinds is not None:
+                            sims[kinds[q : q + QUERY_TILE, None] != tile[same].to_numpy()[None, :]] = -np.inf
+                        if floor is not None:
+                            sims[sims < floor] = -np.inf
+                        if group:
+                            sims = np.maximum.reduceat(sims, starts, axis=1)
+                        places = own[starts] if group else own
+                        row, column = np.nonzero(_first_k(sims, k) if k is not None else sims > -np.inf)
+                        if len(row):
+                            yield pd.DataFrame({"query_id": ids[q + row], "id": places[column], "score": sims[row, column]})
 
         parts.append(rows.select("id", "vector", *extra).mapInPandas(score, "query_id long, id long, score double"))
     if not parts:
@@ -67,6 +90,8 @@ def neighbours(
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
+    if group:
+        found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     if k is None:
         return found
     return best(found, "query_id", [F.desc("score"), F.asc("id")], k)

@@ -71,9 +71,8 @@ def clip_channel(spark: SparkSession, sf: str) -> DataFrame:
 @register(PAIRS + f"""SELECT query_id, label, round(max(s), 6) AS score FROM pairs WHERE s >= {FLOOR} GROUP BY query_id, label
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(s) DESC, label) <= 5""")
 def image_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    found = O.neighbours(*_sides(spark, sf), floor=FLOOR).join(T.vectors(spark, sf).select("id", "label"), "id")
-    one = found.groupBy("query_id", "label").agg(F.max("score").alias("score"))
-    return O.best(one, "query_id", [F.desc("score"), F.asc("label")], 5).withColumn("score", F.round("score", 6))
+    found = O.neighbours(*_sides(spark, sf), k=5, floor=FLOOR, group="label")
+    return found.select("query_id", F.col("id").alias("label"), F.round("score", 6).alias("score"))
 
 
 @register(PAIRS + f""", near AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS best FROM top50 WHERE s >= {FLOOR}),

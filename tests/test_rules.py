@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vectors as V
-from quarry.operators import filters, feed, fusion, keyword, metrics, operations, sequence, vector
+from quarry.operators import filters, feed, fusion, keyword, metrics, operations, sequence, snippets, vector
 from quarry.streaming import changes
 
 
@@ -36,6 +37,36 @@ def test_neighbours_in_blocks_equal_one_block(spark):
     assert vector.neighbours(q.where("false"), df, k=3).count() == 0
 
 
+def test_first_k_takes_the_first_of_equal_scores():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        k = int(rng.integers(1, 8))
+        scores = rng.integers(0, 6, (rng.integers(1, 6), rng.integers(1, 30))).astype(float)
+        scores[rng.random(scores.shape) < 0.3] = -np.inf
+        for row, found in zip(scores, vector._first_k(scores, k)):
+            order = np.lexsort((np.arange(len(row)), -row))[:k]
+            assert sorted(order[row[order] > -np.inf]) == list(np.flatnonzero(found))
+
+
+def test_neighbours_give_the_best_of_each_group(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 3)], i % 4) for i in range(40)], "id long, vector array<double>, label int")
+    q = spark.createDataFrame([(1, [1.0, 0.5]), (2, [-1.0, 1.0])], "query_id long, vector array<double>")
+    found = {(r.query_id, r.id): r.score for r in vector.neighbours(q, df, k=2, group="label").collect()}
+    want = {}
+    for qid, (x, y) in ((1, (1.0, 0.5)), (2, (-1.0, 1.0))):
+        best = {g: max(x * (i % 7) + y * (i % 3) for i in range(40) if i % 4 == g) for g in range(4)}
+        want |= {(qid, g): best[g] for g in sorted(best, key=lambda g: (-best[g], g))[:2]}
+    assert found == want
+
+
+def test_snippets_of_null_and_empty_texts(spark):
+    df = spark.createDataFrame([(None,), ("",), ("a" * 30 + "\n" + "b" * 30,)], "t string")
+    cut = [r[0] for r in df.select(snippets.line_chunks(F.col("t"), 40, 20)).collect()]
+    assert cut == [[], [], ["a" * 30 + "\n", "b" * 30]]
+    got = df.select(snippets.quote_score(F.lit("xaaay"), F.coalesce("t", F.lit("")))).collect()
+    assert [r[0] for r in got] == [0, 0, 3001]
+
+
 def test_segments_split_beyond_the_gap(spark):
     df = spark.createDataFrame([(1, 0.0, 0.5), (1, 45.0, 0.9), (1, 90.01, 0.7), (1, 300.0, 0.1)], "file_id long, ts double, score double")
     assert rows(vector.segments(df), "start", "end", "peak", "hits") == [(0.0, 75.0, 0.9, 2), (90.01, 120.01, 0.7, 1)]
