@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def ranking_quality(ranked: DataFrame, gains: DataFrame, k: int) -> DataFrame:
     """(query_id, recall, mrr, precision, ndcg) of ranked (query_id, id, rank from 1) against gains (query_id, id, gain).
@@ -49,6 +51,31 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(reference, hypothesis) / F.greatest(F.length(reference), F.lit(1))
 
 
+def normalised(text: Column, language: Column) -> Column:
+    """Lower case, punctuation as white space and that as single spaces; Japanese in hiragana."""
+    folded = F.lower(text)
+    folded = F.when(F.startswith(F.lower(language), F.lit("ja")), X.to_hiragana(folded)).otherwise(folded)
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[\p{P}\p{S}]", " "), r"\s+", " "))
+
+
+def error_rates(reference: Column, hypothesis: Column, language: Column) -> tuple[Column, Column]:
+    """Word and character error rates of normalised texts; Japanese has no word error rate.
+
+    An empty reference counts as one word and one character. Each different
+    word is written as one character, so that characters are compared in both.
+    """
+    a, b = normalised(reference, language), normalised(hypothesis, language)
+    parts = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+
+    def rate(known: Column) -> Column:
+        sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
+        spelt = lambda t: F.array_join(F.transform(parts(t), sign), "")
+        return F.levenshtein(spelt(a), spelt(b)) / F.greatest(F.size(parts(a)), F.lit(1))
+
+    words = F.transform(F.array(F.array_distinct(F.concat(parts(a), parts(b)))), rate)[0]
+    return F.when(~F.startswith(F.lower(language), F.lit("ja")), words), character_error_rate(a, b)
+
+
 def spread_of_runs(runs: DataFrame, key: str, value: str, epsilon: float) -> DataFrame:
     """(key, runs, median, least, most, unstable) of repeated measurements; unstable if they spread over ``epsilon``."""
     low, high = F.min(value), F.max(value)

@@ -147,15 +147,29 @@ def align_monotonic(scores: DataFrame) -> DataFrame:
     return scores.groupBy("file_id").applyInPandas(path, "file_id long, chunk long, segment long")
 
 
-def narrow_clusters(scores: DataFrame, gap: int = 5, top: int = 12, floor: float = 0.5) -> DataFrame:
-    """(file_id, segment, first, last, weight): of a segment's best chunks, runs at most ``gap`` apart; the heaviest run."""
+def narrow_clusters(scores: DataFrame, gap: int = 5, top: int = 12, floor: float = 0.5, union: float = 0.8, margin: float | None = None) -> DataFrame:
+    """(file_id, segment, first, last, weight): the span of a segment's heaviest run of chunks, and of runs of ``union`` of its weight.
+
+    A chunk of scores (file_id, segment, chunk, score) weighs its score; with
+    ``margin``, how far that exceeds the best of the file's other segments. Of a
+    segment's ``top`` heaviest chunks, those with a score of ``floor`` and a
+    weight of ``margin`` make up runs; in a run, chunks are at most ``gap``
+    apart. ``weight`` is that of the heaviest run.
+    """
+    rows = scores.withColumn("_w", F.col("score"))
+    if margin is not None:
+        rivals = Window.partitionBy("file_id", "chunk").orderBy(F.desc("score"), F.asc("segment")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        other = F.when(F.first("segment").over(rivals) == F.col("segment"), F.nth_value("score", 2).over(rivals)).otherwise(F.first("score").over(rivals))
+        rows = scores.withColumn("_other", other).withColumn("_w", F.col("score") - F.coalesce("_other", F.lit(0.0)))
     own = Window.partitionBy("file_id", "segment")
-    kept = scores.where(F.col("score") >= floor).withColumn("_r", F.row_number().over(own.orderBy(F.desc("score"), F.asc("chunk")))).where(F.col("_r") <= top)
+    kept = rows.withColumn("_r", F.row_number().over(own.orderBy(F.desc("_w"), F.asc("chunk")))).where((F.col("_r") <= top) & (F.col("score") >= floor))
+    if margin is not None:
+        kept = kept.where(F.col("_other").isNull() | (F.col("_w") >= margin))
     order = own.orderBy("chunk")
     kept = kept.withColumn("_new", F.coalesce((F.col("chunk") - F.lag("chunk").over(order) > gap).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
-    runs = kept.groupBy("file_id", "segment", "_run").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last"), F.sum("score").alias("weight"))
-    best = runs.withColumn("_n", F.row_number().over(own.orderBy(F.desc(F.round("weight", 9)), F.asc("first")))).where("_n = 1")
-    return best.select("file_id", "segment", "first", "last", "weight")
+    runs = kept.groupBy("file_id", "segment", "_run").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last"), F.sum("_w").alias("weight"))
+    near = runs.withColumn("_most", F.max("weight").over(own)).where(F.col("weight") >= F.col("_most") * union - 1e-9)
+    return near.groupBy("file_id", "segment").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("weight").alias("weight"))
 
 
 class Outline(html.parser.HTMLParser):

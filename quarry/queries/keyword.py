@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import keyword as O
+from ..operators import library as L
 from ..operators import vector as VO
 from ..sources import tables as T
 from . import Registry
@@ -192,3 +193,28 @@ def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines.select("id", key.alias("key")).where("key <> ''").groupBy("key", "id").agg(F.count("*").alias("n"))
     found = rows.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("lines"), F.min("id").alias("first_doc")).where("docs >= 3")
     return found.withColumn("key", F.md5("key"))
+
+
+@register(IDF + """, names AS (SELECT doc_id AS id, source AS drive, unnest(list_filter(['doc', doc_id::VARCHAR], lambda x: length(x) BETWEEN 2 AND 10)) AS term FROM documents),
+e AS (SELECT id, drive, term, sum(tf) AS tf FROM (SELECT id, drive, term, tf FROM tf UNION ALL SELECT id, drive, term, 10 FROM names) WHERE id IN (SELECT doc_id FROM documents WHERE length(trim(text)) >= 20) GROUP BY ALL),
+s AS (SELECT id, drive, term, tf / sum(tf) OVER (PARTITION BY id) AS share FROM e),
+x AS (SELECT id, term, CASE WHEN drive <= 'src5' THEN share * coalesce(idf, 1) ELSE ln(1 + share) END AS weight FROM s LEFT JOIN idf USING (drive, term))
+SELECT id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS rank FROM x QUALIFY rank <= 30""")
+def index_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords of documents with their file names, where only drives up to src5 have statistics yet."""
+    terms = _postings(spark, sf)
+    weights = O.idf(terms, ["drive"]).where("drive <= 'src5'")
+    files = T.files(spark, sf).where(F.length(F.trim("text")) >= 20).select(F.col("file_id").alias("id"), "drive", "filename")
+    names = files.select("id", "drive", F.explode(L.filename_tokens(F.col("filename"))).alias("term"))
+    top = O.index_keywords(terms.join(files.select("id"), "id", "left_semi"), names, weights, ["drive"])
+    return top.select("id", "term", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))
+
+
+@register(WORDS + TOKENS + """, d AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+j AS (SELECT query_id, position, tok.term, length(tok.term) < 2 OR coalesce(df, 0) <= 0.05 * n AS rare FROM tok LEFT JOIN d USING (term), n WHERE NOT (contains(tok.term, 'what') OR contains(tok.term, 'th'))),
+o AS (SELECT * FROM j QUALIFY rare OR NOT bool_or(rare) OVER (PARTITION BY query_id)), f AS (SELECT query_id, term, min(position) AS position FROM o GROUP BY ALL)
+SELECT query_id, string_agg(term, ' ' ORDER BY position) AS kept FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= 20) GROUP BY query_id""")
+def kept_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of benchmark items as retrieval keywords, without those blocked or in over a twentieth of the documents."""
+    n = T.table(spark, sf, "documents").count()
+    return O.kept_keywords(_tokens(spark, sf), _postings(spark, sf).select("id", "term"), n, ["What", "th"], share=0.05)

@@ -117,3 +117,16 @@ def normalised_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def arrival_stamps(spark: SparkSession, sf: str) -> DataFrame:
     return O.arrival_stamp(T.table(spark, sf, "events"), "user_id", "event_type", "ts")
+
+
+@register("""WITH f AS (SELECT DISTINCT user_id AS file_id, 10 * value AS ts FROM events), d AS (SELECT user_id AS file_id, 10 * max(value) + 30 AS duration FROM events GROUP BY user_id),
+a AS (SELECT file_id, ts, false AS filled FROM f UNION ALL SELECT file_id, 0, true FROM d WHERE file_id NOT IN (SELECT file_id FROM f WHERE ts < 1)),
+g AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY file_id ORDER BY ts), duration) - ts AS gap FROM a JOIN d USING (file_id)),
+t AS (SELECT file_id, ts, filled FROM g UNION ALL SELECT file_id, ts + k * gap / ceil(gap / 7), true FROM (SELECT *, unnest(range(1, ceil(gap / 7)::BIGINT)) AS k FROM g WHERE gap > 7)),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS n FROM t)
+SELECT file_id, round(ts, 6) AS ts, filled FROM n WHERE n <= 40 OR (i * 40 + n - 1) // n * n < (i + 1) * 40""")
+def filled_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of users' events, filled up to one in seven seconds, of which forty are kept."""
+    rows = T.table(spark, sf, "events").select(F.col("user_id").alias("file_id"), (10 * F.col("value")).alias("ts"))
+    files = rows.groupBy("file_id").agg((F.max("ts") + 30).alias("duration"))
+    return O.thin(O.fill_times(rows.distinct(), files, 7.0), "file_id", "ts", 40).withColumn("ts", F.round("ts", 6))

@@ -178,14 +178,23 @@ def _sims(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(place.select("id", F.col("n").alias("chunk")), "id").join(segment, "query_id").select("file_id", "segment", "chunk", "score")
 
 
-@register(SIMS + """, k AS (SELECT * FROM p WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY file_id, segment ORDER BY score DESC, chunk) <= 12),
-f AS (SELECT *, CASE WHEN chunk - lag(chunk) OVER w <= 5 THEN 0 ELSE 1 END AS n FROM k WINDOW w AS (PARTITION BY file_id, segment ORDER BY chunk)),
-g AS (SELECT *, sum(n) OVER (PARTITION BY file_id, segment ORDER BY chunk) AS run FROM f), r AS (SELECT file_id, segment, min(chunk) AS "first", max(chunk) AS "last", sum(score) AS weight FROM g GROUP BY file_id, segment, run)
-SELECT file_id, segment, "first", "last", round(weight, 6) AS weight FROM r QUALIFY row_number() OVER (PARTITION BY file_id, segment ORDER BY round(weight, 9) DESC, "first") = 1""")
+RANGES = """, f AS (SELECT *, CASE WHEN chunk - lag(chunk) OVER w <= 5 THEN 0 ELSE 1 END AS n FROM k WINDOW w AS (PARTITION BY file_id, segment ORDER BY chunk)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY file_id, segment ORDER BY chunk) AS run FROM f), r AS (SELECT file_id, segment, min(chunk) AS lo, max(chunk) AS hi, sum(w) AS weight FROM g GROUP BY file_id, segment, run)
+SELECT file_id, segment, min(lo) AS "first", max(hi) AS "last", round(max(weight), 6) AS weight FROM (SELECT * FROM r QUALIFY weight >= 0.8 * max(weight) OVER (PARTITION BY file_id, segment) - 1e-9) GROUP BY file_id, segment"""
+
+
+@register(SIMS + ", k AS (SELECT *, score AS w FROM p WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY file_id, segment ORDER BY score DESC, chunk) <= 12)" + RANGES)
 def citation_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return S.narrow_clusters(_sims(spark, sf), floor=0.05).withColumn("weight", F.round("weight", 6))
 
 
+@register(SIMS + """, o AS (SELECT a.*, score - (SELECT max(b.score) FROM p b WHERE b.file_id = a.file_id AND b.chunk = a.chunk AND b.segment <> a.segment) AS d FROM p a),
+t AS (SELECT *, coalesce(d, score) AS w FROM o QUALIFY row_number() OVER (PARTITION BY file_id, segment ORDER BY coalesce(d, score) DESC, chunk) <= 12), k AS (SELECT * FROM t WHERE score >= 0.05 AND (d IS NULL OR d >= 0.01))""" + RANGES)
+def citation_ranges_apart(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of the chunks that speak for a segment more than for any other of its file."""
+    return S.narrow_clusters(_sims(spark, sf), floor=0.05, margin=0.01).withColumn("weight", F.round("weight", 6))
+
+
 @register("WITH RECURSIVE " + SIMS[len("WITH "):] + """, st AS (SELECT file_id, list(DISTINCT segment ORDER BY segment) AS segs, list(DISTINCT chunk ORDER BY chunk) AS chs FROM p GROUP BY file_id),
 pr AS (SELECT file_id, segment, chunk, round(score, 6) AS score FROM p),
 em AS (SELECT st.file_id, list_position(chs, c.chunk) AS t, list(coalesce(pr.score, 0.0) ORDER BY s.segment) AS e FROM st, LATERAL (SELECT unnest(st.chs) AS chunk) c, LATERAL (SELECT unnest(st.segs) AS segment) s LEFT JOIN pr ON pr.file_id = st.file_id AND pr.segment = s.segment AND pr.chunk = c.chunk GROUP BY st.file_id, list_position(chs, c.chunk)),

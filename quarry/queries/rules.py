@@ -197,3 +197,16 @@ def kana_forms(spark: SparkSession, sf: str) -> DataFrame:
     begin = F.substring("text", 1, 40)
     hira, kata = F.translate(begin, "abcdefg", "あいうえおかき"), F.translate(begin, "abcdefg", "アイウエオカキ")
     return T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.to_hiragana(kata).alias("hira"), X.to_katakana(hira).alias("kata"))
+
+
+@register(r"""WITH w AS (SELECT conv_id, turn, role, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS a FROM conversations),
+h AS (SELECT *, list_filter(a, lambda x, i: i % 7 <> 0) AS b, array_to_string(a, ' ') AS s FROM w)
+SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN round((len(a) - len(b)) / greatest(len(a), 1), 6) END AS wer, round((length(s) - length(array_to_string(b, ' '))) / greatest(length(s), 1), 6) AS cer FROM h""")
+def transcript_error_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Error rates of turns in capitals without every seventh word, those of assistants taken for Japanese."""
+    rows = T.table(spark, sf, "conversations")
+    language = F.when(F.col("role") == "assistant", "ja").otherwise("fr")
+    spoken = F.filter(F.split(M.normalised(F.col("text"), language), " "), lambda w: w != "")
+    heard = F.upper(F.array_join(F.filter(spoken, lambda w, i: (i + 1) % 7 != 0), " , "))
+    wer, cer = M.error_rates(F.col("text"), heard, language)
+    return rows.select("conv_id", "turn", F.round(wer, 6).alias("wer"), F.round(cer, 6).alias("cer"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vectors as V
-from quarry.operators import filters, feed, fusion, keyword, metrics, operations, sequence, snippets, vector
+from quarry.operators import filters, feed, fusion, keyword, library, metrics, operations, sequence, snippets, vector
 from quarry.streaming import changes
 
 
@@ -273,3 +273,29 @@ def test_citation_gates(spark):
     dense = spark.createDataFrame([(1, 0, 1, 0.9), (1, 0, 2, 0.8)], "file_id long, segment long, chunk long, score double")
     ranks = spark.createDataFrame([(1, 0, 2, 1), (1, 0, 7, 2)], "file_id long, segment long, chunk long, rank long")
     assert rows(D.in_list_ranks(dense, ranks, most=1), "chunk", "score") == [(2, 0.8)]
+
+
+def test_error_rates_count_words_and_characters(spark):
+    rows = spark.createDataFrame(
+        [("A b, c d", "a x c", "en"), ("One two", "one two", "en"), ("カナ。", "かな", "ja"), ("", "a", "en"), ("", "", "en")], "a string, b string, lang string"
+    )
+    wer, cer = metrics.error_rates(F.col("a"), F.col("b"), F.col("lang"))
+    got = [(r.wer, round(r.cer, 6)) for r in rows.select(wer.alias("wer"), cer.alias("cer")).collect()]
+    assert got == [(0.5, round(3 / 7, 6)), (0.0, 0.0), (None, 0.0), (1.0, 1.0), (0.0, 0.0)]
+
+
+def test_runs_of_nearly_the_same_weight_make_one_range(spark):
+    rows = [(1, 0, c, s) for c, s in ((1, 0.9), (2, 0.8), (30, 0.9), (31, 0.6), (60, 0.7))]
+    scores = spark.createDataFrame(rows, "file_id long, segment long, chunk long, score double")
+    assert [(r["first"], r["last"]) for r in sequence.narrow_clusters(scores).collect()] == [(1, 31)]
+    assert [(r["first"], r["last"]) for r in sequence.narrow_clusters(scores, union=1.0).collect()] == [(1, 2)]
+    rival = spark.createDataFrame([(1, 1, 1, 0.95), (1, 1, 2, 0.1), (1, 1, 30, 0.895)], scores.schema)
+    apart = {r["segment"]: (r["first"], r["last"]) for r in sequence.narrow_clusters(scores.unionByName(rival), margin=0.01).collect()}
+    assert apart == {0: (2, 60), 1: (1, 1)}
+
+
+def test_times_between_frames(spark):
+    frames = spark.createDataFrame([(1, 0.5), (1, 10.5), (2, 4.0)], "file_id long, ts double")
+    files = spark.createDataFrame([(1, 12.0), (2, 5.0), (3, None), (4, 0.0)], "file_id long, duration double")
+    got = sorted((r.file_id, r.ts, r.filled) for r in library.fill_times(frames, files, 5.0).collect())
+    assert got == [(1, 0.5, False), (1, 5.5, True), (1, 10.5, False), (2, 0.0, True), (2, 4.0, False), (3, 0.0, True), (4, 0.0, True)]
