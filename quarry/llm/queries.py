@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, decontaminate, langid, mixing, pii, quality, secret_scan, simhash, suffixes
+from . import chat, ctw, decontaminate, langid, mixing, pii, prefix_trie, quality, secret_scan, simhash, suffixes, token_counts, variants
+from .common import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,22 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begins with an empty store, so that every run does the whole work."""
+    import public_tokenizers
+
+    cache = f"{scratch_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.pieces(public_tokenizers.path("piece_bpe_32k.model")), cache)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_preferences": op2_preferences,
@@ -64,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_ctw": op10_ctw,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_variants": op12_variants,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
