@@ -33,6 +33,12 @@ def occurrences(text: Column, term: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")
 
 
+def overlapping(text: Column, term: Column) -> Column:
+    """Occurrences of a literal, those that overlap each other too."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return F.regexp_count(text, quoted)
+
+
 def excerpt(text: Column, at: Column, length: Column, around: int = 80) -> Column:
     """The text ``around`` characters on either side of [at, at + length), at from 1, with ellipses where it is cut."""
     start = F.greatest(F.lit(1), at - around)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import fusion, keyword, vector
+from ..operators import fusion, keyword, library, trigram, vector
 
 #: Channel weights of a search for recall (fixed values); for precision all are 1.
 RECALL = {"text": 1.0, "clip": 0.2, "file": 1.0, "transcript": 1.5, "content": 1.5, "retrieval": 0.8}
-RESULT = "query_id long, id long, score double"
+#: Text channel of a search for recall: least score, and distance from the best (fixed values).
+RECALL_FLOOR, RECALL_MARGIN = 0.75, 0.15
+#: What a match is called, by the channel of its words, and the kinds of picture vectors (fixed values).
+MATCH = {"file": "keyword", "transcript": "transcript_keyword", "content": "text_content_keyword", "retrieval": "retrieval_keywords"}
+PICTURES = ("clip", "clip_thumbnail")
 
 
 def hybrid(
@@ -33,6 +37,56 @@ def hybrid(
     return fusion.cut_off(fused, fusion.RECALL_RATIO if recall else fusion.RATIO, limit)
 
 
+def channel_matches(queries: DataFrame, terms: DataFrame, vectors: DataFrame, found: DataFrame, lengths: DataFrame, recall: bool = False, candidates: int = 50, floor: float | None = None, gap: float | None = vector.GAP) -> DataFrame:
+    """(channel, query_id, id, chunk, kind, score): what the six channels let through, a row for each vector or chunk.
+
+    ``queries`` is (query_id, vector), ``terms`` (query_id, term, phrase),
+    ``vectors`` (vec_id, id, kind, vector), ``found`` and ``lengths`` a trigram
+    index of the channels file, transcript, content and retrieval. Texts and
+    pictures are guarded each in their way; words are scored over the best of
+    their query and channel.
+    """
+    picture = F.col("kind").isin(*PICTURES)
+    plain = lambda of: vectors.where(of).select(F.col("vec_id").alias("id"), "vector")
+    floor = (RECALL_FLOOR if recall else vector.TEXT_FLOOR) if floor is None else floor
+    margin = RECALL_MARGIN if recall else vector.MARGIN
+    texts = vector.guarded(vector.neighbours(queries, plain(~picture), k=candidates), floor, None if recall else gap, margin, flat=not recall)
+    pictures = vector.guarded(vector.neighbours(queries, plain(picture), k=candidates), vector.CLIP_FLOOR, None, margin, flat=False)
+    near = texts.withColumn("channel", F.lit("text")).unionByName(pictures.withColumn("channel", F.lit("clip")))
+    near = near.withColumnRenamed("id", "vec_id").join(vectors.select("vec_id", "id", "kind"), "vec_id")
+    near = near.select("channel", "query_id", "id", F.lit(None).cast("long").alias("chunk"), "kind", "score")
+    words = trigram.normalised(trigram.bm25(found, lengths, terms, candidates))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in MATCH.items() for x in kv]), F.col("channel"))
+    return near.unionByName(words.select("channel", "query_id", "id", "chunk", kind.alias("kind"), "score"))
+
+
+def fused_channels(matches: DataFrame, recall: bool = False, required: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """(query_id, id, score, types): :func:`channel_matches` as files, fused and cut off.
+
+    For recall by rank, with weights; for precision by score, where a file with
+    a picture match stays whatever its score. ``required`` (query_id, id) are
+    files that hold a query's required terms: no others stay, and those that no
+    channel found come in just above the cut-off.
+    """
+    ratio = fusion.RECALL_RATIO if recall else fusion.RATIO
+    if recall:
+        scored = fusion.rrf(matches.select("channel", "query_id", "id", "score"), RECALL)
+    else:
+        by_vector = F.col("channel").isin("text", "clip")
+        scored = fusion.cosine_fusion(matches.where(by_vector), matches.where(~by_vector))
+    types = matches.groupBy("query_id", "id").agg(F.array_sort(F.collect_set("kind")).alias("types"))
+    scored = scored.join(types, ["query_id", "id"])
+    if required is not None:
+        floors = library.required_floor(scored.select("query_id", "id", "score"), required, ratio)
+        scored = floors.join(types, ["query_id", "id"], "left").withColumn("types", F.coalesce("types", F.array(F.lit("required"))))
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    stays: Column = F.col("score") >= F.col("_top") * ratio
+    if not recall:
+        stays = stays | F.arrays_overlap("types", F.array(*[F.lit(p) for p in PICTURES]))
+    kept = scored.withColumn("_top", top).where(stays).drop("_top")
+    return vector.best(kept, "query_id", [F.desc(F.round("score", 9)), F.asc("id")], limit)
+
+
 def merge_clues(lists: DataFrame, top_k: int) -> DataFrame:
     """(query_id, id, score): the result lists of a query's clues (query_id, clue, id, score) fused by rank.
 
