@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, decontaminate, langid, mixing, pii, prefix_trie, quality, secret_scan, simhash, suffixes, token_counts, variants
+from . import chat, ctw, decontaminate, langid, mixing, pii, prefix_trie, quality, secret_scan, simhash, sql, suffixes, token_counts, variants
 from .common import scratch_dir
 
 
@@ -87,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_token_counts": op13_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

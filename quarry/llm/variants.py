@@ -70,9 +70,10 @@ def words(docs: DataFrame) -> DataFrame:
     return found.where(F.col("n") >= LEAST_COUNT)
 
 
-def _beginnings(word: str) -> list[int]:
-    """64-bit names of a word's beginnings, from the empty one to the whole."""
-    names, h = [0], 0
+def _beginnings(word: str, turned: bool) -> list[int]:
+    """64-bit names of a word's beginnings, from the empty one to the whole; other names for turned words."""
+    h = int(turned)
+    names = [h]
     for c in word:
         h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         names.append(h - 2**64 if h >> 63 else h)
@@ -80,14 +81,14 @@ def _beginnings(word: str) -> list[int]:
 
 
 def _named(part: dict) -> dict:
-    return part | {"k1": [_beginnings(w)[-1] for w in part["word"]]}
+    return part | {"k1": [_beginnings(w, t)[-1] for w, t in zip(part["word"], part["turned"])]}
 
 
 def _prefixes(part: dict) -> dict:
     """A row for each beginning of a word: its name, and that of the beginning one character longer."""
     out: dict[str, list] = {k: [] for k in ("k1", "k2", "depth", "node", "child")}
-    for word, k2 in zip(part["word"], part["k2"]):
-        names = _beginnings(word)
+    for word, turned, k2 in zip(part["word"], part["turned"], part["k2"]):
+        names = _beginnings(word, turned)
         out["k1"] += [names[-1]] * len(names)
         out["k2"] += [k2] * len(names)
         out["depth"] += range(len(names))
@@ -101,7 +102,7 @@ def _bit(character: Column) -> Column:
 
 
 def trie(named: DataFrame) -> DataFrame:
-    """Edges (level, node, first, label, child, mask, ends) of the path-compressed trie over ``named`` (word, k1, k2).
+    """Edges (level, node, first, label, child, mask, ends) of the path-compressed tries over ``named`` (word, turned, k1, k2).
 
     A node is a beginning of words after which they differ or one ends, named
     by 64 bits; ``level`` counts the edges above it. ``first`` is the label's
@@ -109,7 +110,7 @@ def trie(named: DataFrame) -> DataFrame:
     a bit for each character that goes on from there. Nodes of equal name would
     only add paths, which the last comparison of words strikes out.
     """
-    rows = materialize(by_batch(named.select("word", "k2"), _prefixes, "k1 long, k2 long, depth int, node long, child long"), "trie-prefixes")
+    rows = materialize(by_batch(named.select("word", "turned", "k2"), _prefixes, "k1 long, k2 long, depth int, node long, child long"), "trie-prefixes")
     kept = rows.groupBy("node").agg(F.min("child").alias("least"), F.max("child").alias("most"), F.bool_or(F.col("child").isNull()).alias("ends"), F.min("depth").alias("top"))
     kept = materialize(kept.where("least <> most or ends or top = 0").select("node", "ends"), "trie-nodes")
     path = Window.partitionBy("k1", "k2").orderBy("depth")
@@ -117,7 +118,7 @@ def trie(named: DataFrame) -> DataFrame:
         "k1", "k2", "node", "depth", (F.row_number().over(path) - 1).alias("level"), *[F.lead(c).over(path).alias(to) for c, to in (("node", "child"), ("depth", "end"), ("ends", "ends"))]
     )
     edges = steps.where("child is not null").groupBy("level", "node", "child").agg(F.min(F.struct("depth", "end", "k1", "k2")).alias("by"), F.bool_or("ends").alias("ends"))
-    edges = edges.select("level", "node", "child", "ends", "by.*").join(named, ["k1", "k2"])
+    edges = edges.select("level", "node", "child", "ends", "by.*").join(named.drop("turned"), ["k1", "k2"])
     label = F.col("word").substr(F.col("depth") + 1, F.col("end") - F.col("depth"))
     edges = materialize(edges.select("level", "node", "child", "ends", label.alias("label")).withColumn("first", F.left("label", F.lit(1))), "trie-labels")
     masks = edges.groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit(F.col("first"))).alias("mask"))
@@ -125,37 +126,51 @@ def trie(named: DataFrame) -> DataFrame:
 
 
 def _stepped(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one edge further down.
+    """The states one edge further down; the first ``intact`` characters of a word are not edited.
 
     An edit is a character replaced by a greater one, or one left out where the
     label first differs; so every pair of words has one way, from the word with
-    the lesser character or the longer word.
+    the lesser character or the longer word. Within the intact part, and after
+    an edit, only the edge that begins with the next character is looked up.
     """
     size = F.length("label")
     part, longer = F.col("word").substr(F.col("pos") + 1, size), F.col("word").substr(F.col("pos") + 1, size + 1)
+    left = F.col("intact") - F.col("pos")
+    keeps = (left <= 0) | ((left < size) & (F.left(part, left) == F.left("label", left)))
     one = lambda x: F.levenshtein(x, F.col("label"), 1) == 1
     same = part == F.col("label")
-    replaced = (part < F.col("label")) & (F.length(part) == size) & ((size == 1) | one(part))
-    left_out = ~same & (F.length(longer) == size + 1) & F.when(size == 1, F.right(longer, F.lit(1)) == F.col("label")).otherwise(one(longer))
+    replaced = keeps & (part < F.col("label")) & (F.length(part) == size) & ((size == 1) | one(part))
+    left_out = keeps & ~same & (F.length(longer) == size + 1) & F.when(size == 1, F.right(longer, F.lit(1)) == F.col("label")).otherwise(one(longer))
+    next_first = states.withColumn("first", F.col("word").substr(F.col("pos") + 1, F.lit(1)))
+    narrow = next_first.where((F.col("edits") == 1) | (F.col("pos") < F.col("intact"))).join(edges, ["node", "first"])
+    wide = states.where((F.col("edits") == 0) & (F.col("pos") >= F.col("intact"))).join(edges.drop("first"), "node")
+    columns = ["word", "n", "intact", "pos", "edits", "label", "child", "mask", "ends"]
+    met = narrow.select(columns).unionByName(wide.select(columns))
+    pure = F.col("edits") == 0
     onward = lambda when, chars, edits: F.when(when, F.struct((F.col("pos") + chars).alias("pos"), F.lit(edits).alias("edits")))
-    ways = F.filter(F.array(onward(same, size, 0), onward(replaced, size, 1), onward(left_out, size + 1, 1)), lambda x: x.isNotNull())
-    pure = states.where("edits = 0").join(edges, "node").select("word", "n", "child", "mask", "ends", F.explode(ways).alias("to"))
-    pure = pure.select("word", "n", "child", "mask", "ends", "to.*")
-    edited = states.where("edits = 1").withColumn("first", F.col("word").substr(F.col("pos") + 1, F.lit(1))).join(edges, ["node", "first"]).where(same)
-    edited = edited.select("word", "n", "child", "mask", "ends", (F.col("pos") + size).alias("pos"), "edits")
-    moved = pure.unionByName(edited)
+    ways = F.array(F.when(same, F.struct((F.col("pos") + size).alias("pos"), F.col("edits").alias("edits"))), onward(pure & replaced, size, 1), onward(pure & left_out, size + 1, 1))
+    moved = met.where(same | (pure & (replaced | left_out))).select("word", "n", "intact", "child", "mask", "ends", F.explode(F.array_compact(ways)).alias("to")).select("word", "n", "intact", "child", "mask", "ends", "to.*")
     rest = F.length("word") - F.col("pos")
     goes_on = _bit(F.col("word").substr(F.col("pos") + 1, F.lit(1))).bitwiseAND(F.col("mask")) != 0
     done = F.col("ends") & (rest + F.col("edits") == 1)
     live = (rest > 0) & ((F.col("edits") == 0) | goes_on)
-    return moved.select("word", "n", F.col("child").alias("node"), "pos", "edits", done.alias("done"), live.alias("live")).where("done or live")
+    return moved.select("word", "n", "intact", F.col("child").alias("node"), "pos", "edits", done.alias("done"), live.alias("live")).where("done or live")
 
 
 def near_words(found: DataFrame) -> DataFrame:
-    """Pairs (a, n_a, b, n_b) of words of ``found`` (word, n) that differ by one inserted, deleted or replaced code point, each pair once."""
-    named = materialize(by_batch(found.select("word", "n", F.xxhash64("word").alias("k2")), _named, "word string, n long, k2 long, k1 long"), "variant-words")
-    edges = trie(named.drop("n"))
-    states = named.select("word", "n", F.lit(0).cast("long").alias("node"), F.lit(0).alias("pos"), F.lit(0).alias("edits"))
+    """Pairs (a, n_a, b, n_b) of words of ``found`` (word, n) that differ by one inserted, deleted or replaced code point, each pair once.
+
+    An edit in a word's second half is found in the trie of the words, one in
+    the first half in that of the turned words, beside it: a frontier branches
+    only where half of the word has led down already, and few words are left.
+    """
+    half = lambda word: F.floor(F.length(word) / 2).cast("int")
+    way = lambda turned, word, intact: found.select(word.alias("word"), "n", F.lit(turned).alias("turned"), intact.alias("intact"))
+    both = way(False, F.col("word"), half("word")).unionByName(way(True, F.reverse("word"), F.length("word") - half("word")))
+    both = both.withColumn("k2", F.xxhash64("word", "turned"))
+    named = materialize(by_batch(both, _named, "word string, n long, turned boolean, intact int, k2 long, k1 long"), "variant-words")
+    edges = trie(named.drop("n", "intact"))
+    states = named.select("word", "n", "intact", F.col("turned").cast("long").alias("node"), F.lit(0).alias("pos"), F.lit(0).alias("edits"))
     levels = []
     for level in range((edges.agg(F.max("level")).first()[0] or 0) + 1):
         here = bounded(edges.where(F.col("level") == level).drop("level"), EDGES)
@@ -163,8 +178,12 @@ def near_words(found: DataFrame) -> DataFrame:
         levels.append(reached.where("done").select("word", "n", "node"))
         states = reached.where("live").drop("done", "live")
     done = reduce(DataFrame.unionByName, levels).toDF("a", "n_a", "node")
-    other = named.select(F.col("k1").alias("node"), F.col("word").alias("b"), F.col("n").alias("n_b"))
-    return done.join(other, "node").where(F.levenshtein("a", "b", 1) == 1).drop("node")
+    pairs = done.join(named.select(F.col("k1").alias("node"), F.col("word").alias("b"), F.col("n").alias("n_b"), "turned"), "node")
+    pairs = pairs.where(F.levenshtein("a", "b", 1) == 1)
+    for side in "ab":
+        pairs = pairs.withColumn(side, F.when(F.col("turned"), F.reverse(side)).otherwise(F.col(side)))
+    # one of several equal characters left out may count to either half; those of the words as they are come first
+    return pairs.where(~F.col("turned") | (F.left("a", half("a")) != F.left("b", half("a")))).select("a", "n_a", "b", "n_b")
 
 
 def variants(docs: DataFrame) -> DataFrame:
