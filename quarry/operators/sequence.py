@@ -103,10 +103,10 @@ def changed_frames(frames: DataFrame, bits: int = 8, gap: float = 3.0) -> DataFr
 
 
 def boundary_scores(frames: DataFrame) -> DataFrame:
-    """(file_id, ts, score): 1 - cosine of the mean of up to two vectors up to a frame and of up to two after it."""
+    """(file_id, ts, score): 1 - cosine of the means of up to two vectors before a frame and of up to two from it on; the first has none."""
     own = Window.partitionBy("file_id").orderBy("ts")
     before, after = F.collect_list("vector").over(own.rowsBetween(-1, 0)), F.collect_list("vector").over(own.rowsBetween(1, 2))
-    rows = frames.select("file_id", "ts", before.alias("b"), after.alias("a")).where(F.size("a") > 0)
+    rows = frames.select("file_id", F.lead("ts").over(own).alias("ts"), before.alias("b"), after.alias("a")).where(F.size("a") > 0)
     total = lambda c: F.aggregate(F.slice(c, 2, 2), F.element_at(c, 1), lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
     rows = rows.select("file_id", "ts", total("b").alias("x"), total("a").alias("y"))
@@ -114,8 +114,8 @@ def boundary_scores(frames: DataFrame) -> DataFrame:
     return rows.select("file_id", "ts", F.when(size > 0, 1 - dot(F.col("x"), F.col("y")) / size).otherwise(0.0).alias("score"))
 
 
-def align_monotonic(scores: DataFrame) -> DataFrame:
-    """(file_id, chunk, segment): the best way of segments along the chunks, for scores (file_id, segment, chunk, score).
+def align_monotonic(scores: DataFrame, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """(by..., chunk, segment): the best way of segments along the chunks, for scores (by..., segment, chunk, score).
 
     Every chunk has a segment; the first one has the first segment, and each
     next one the same or the one after it; the last may have any. Of equal ways,
@@ -142,9 +142,10 @@ def align_monotonic(scores: DataFrame) -> DataFrame:
         at = [int(np.argmax(total))]
         for t in range(len(chunks) - 1, 0, -1):
             at.append(at[-1] - int(moved[t, at[-1]]))
-        return pd.DataFrame({"file_id": pdf["file_id"].iloc[0], "chunk": chunks, "segment": states[at[::-1]]})
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "chunk": chunks, "segment": states[at[::-1]]})
 
-    return scores.groupBy("file_id").applyInPandas(path, "file_id long, chunk long, segment long")
+    kinds = dict(scores.dtypes)
+    return scores.groupBy(*by).applyInPandas(path, ", ".join(f"{k} {kinds[k]}" for k in by) + ", chunk long, segment long")
 
 
 def narrow_clusters(scores: DataFrame, gap: int = 5, top: int = 12, floor: float = 0.5, union: float = 0.8, margin: float | None = None) -> DataFrame:

@@ -102,16 +102,18 @@ def bm25(found: DataFrame, lengths: DataFrame, terms: DataFrame, limit: int | No
 
     ``terms`` is (query_id, term, phrase); statistics are those of a channel,
     so that scores of channels do not compare. With ``limit``, the best rows of
-    a query in each channel.
+    a query in each channel. If ``terms`` has an id, a query looks at rows of
+    that id only, statistics still being those of the whole channel.
     """
-    folded = terms.select("query_id", "term", F.lower("phrase").alias("phrase")).distinct()
+    own_id = ["id"] if "id" in terms.columns else []
+    folded = terms.select("query_id", "term", F.lower("phrase").alias("phrase"), *own_id).distinct()
     hits = phrase_hits(found, folded.select("phrase"))
     df = hits.groupBy("channel", "phrase").agg(F.count("*").alias("df"))
     whole = lengths.groupBy("channel").agg(F.count("*").alias("n_rows"), F.avg("len").alias("mean"))
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     stats = df.join(F.broadcast(whole), "channel").select("channel", "phrase", "mean", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"))
     own = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = hits.join(stats, ["channel", "phrase"]).join(folded, "phrase").join(lengths, KEY)
+    scored = hits.join(stats, ["channel", "phrase"]).join(folded, ["phrase", *own_id]).join(lengths, KEY)
     scored = scored.groupBy("query_id", *KEY).agg(F.sum(own).alias("score"), F.count_distinct("term").alias("met"))
     wanted = folded.groupBy("query_id").agg(F.count_distinct("term").alias("terms"))
     out = scored.join(bounded(wanted), "query_id").where("met = terms").select("channel", "query_id", "id", "chunk", "score")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("vector", "keyword", "fusion", "search", "feed", "operations", "library", "rules", "snippets")
+MODULES = ("vector", "keyword", "fusion", "search", "citations", "feed", "operations", "library", "rules", "snippets")
 
 
 class Registry:

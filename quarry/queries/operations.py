@@ -208,7 +208,7 @@ def citation_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("""WITH f AS (SELECT label::BIGINT AS file_id, vec_id::DOUBLE AS ts, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
-w AS (SELECT file_id, ts, v, lag(v) OVER o AS b, lead(v) OVER o AS a, lead(v, 2) OVER o AS a2 FROM f WINDOW o AS (PARTITION BY file_id ORDER BY ts)),
+w AS (SELECT file_id, lead(ts) OVER o AS ts, v, lag(v) OVER o AS b, lead(v) OVER o AS a, lead(v, 2) OVER o AS a2 FROM f WINDOW o AS (PARTITION BY file_id ORDER BY ts)),
 x AS (SELECT file_id, ts, CASE WHEN b IS NULL THEN v ELSE [v[i] + b[i] for i in range(1, len(v) + 1)] END AS x, CASE WHEN a2 IS NULL THEN a ELSE [a[i] + a2[i] for i in range(1, len(v) + 1)] END AS y FROM w WHERE a IS NOT NULL)
 SELECT file_id, ts, round(1 - list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)), 6) AS score FROM x""")
 def boundary_scores(spark: SparkSession, sf: str) -> DataFrame:

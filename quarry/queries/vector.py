@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import scenes as S
 from ..operators import vector as O
 from ..sources import tables as T
 from . import Registry
@@ -167,3 +168,40 @@ def image_to_image(spark: SparkSession, sf: str) -> DataFrame:
     found = O.neighbours(*_sides(spark, sf), k=6).where("id <> query_id")
     found = O.best(found, "query_id", [F.desc("score"), F.asc("id")], 5)
     return found.withColumn("score", F.round(V.l2_to_cosine(F.sqrt(2 - 2 * F.col("score"))), 6))
+
+
+def _films(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Of every fifty vectors, 36 are a film's frames seven seconds apart, every fourth a changed one, and 14 its transcript's chunks."""
+    rows = T.vectors(spark, sf).select(F.floor(F.col("id") / 50).alias("file_id"), (F.col("id") % 50).alias("n"), F.col("id"), "vector")
+    frames = rows.where("n < 36").select("file_id", F.col("id").alias("frame_id"), (F.col("n") * 7.0).alias("ts"), (F.col("n") % 4 == 3).alias("changed"), "vector")
+    said = rows.where("n >= 36").select("file_id", ((F.col("n") - 36) * 18.0 + 1).alias("ts"), "id", "vector")
+    return frames, said
+
+
+@register("""WITH e AS (SELECT vec_id // 50 AS file_id, vec_id % 50 AS n, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+fr AS (SELECT file_id, n * 7.0::DOUBLE AS ts, id, v FROM e WHERE n < 36), en AS (SELECT file_id, 0.0 AS lo, max(ts) + 1 AS hi FROM fr GROUP BY file_id),
+tx AS (SELECT e.file_id, (n - 36) * 18.0::DOUBLE + 1 AS ts, id, v FROM e JOIN en USING (file_id) WHERE n >= 36 AND (n - 36) * 18.0 + 1 < hi),
+al AS (SELECT 'p' AS s, 2 AS m, * FROM fr UNION ALL SELECT 't', 3, * FROM tx),
+nu AS (SELECT *, row_number() OVER (PARTITION BY s, file_id ORDER BY ts, id) AS r, count(*) OVER (PARTITION BY s, file_id) AS c FROM al),
+el AS (SELECT a.s, a.file_id, a.ts, a.id, i, sum(CASE WHEN b.r < a.r THEN b.v[i] END) AS x, sum(CASE WHEN b.r >= a.r THEN b.v[i] END) AS y FROM nu a JOIN nu b ON a.s = b.s AND a.file_id = b.file_id AND b.r BETWEEN a.r - a.m AND a.r + a.m - 1, LATERAL (SELECT unnest(range(1, 65)) AS i)
+  WHERE a.r > 1 AND (a.s = 'p' OR a.c > 6) GROUP BY ALL),
+sc AS (SELECT s, file_id, ts, id, round(1 - sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 9) AS score FROM el GROUP BY s, file_id, ts, id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY s, file_id ORDER BY score, ts, id) / count(*) OVER (PARTITION BY s, file_id) AS rank FROM sc),
+jo AS (SELECT t.file_id, t.id, t.rank, p.id AS pid FROM rk t JOIN rk p ON t.s = 't' AND p.s = 'p' AND p.file_id = t.file_id AND t.rank >= 0.7 AND p.rank >= 0.8 AND abs(p.ts - t.ts) <= 5 QUALIFY row_number() OVER (PARTITION BY t.file_id, t.id ORDER BY p.rank DESC, p.ts) = 1),
+ga AS (SELECT file_id, pid, max(rank) AS topic FROM jo GROUP BY ALL),
+bo AS (SELECT p.file_id, p.ts AS time, CASE WHEN topic IS NULL THEN 'visual' ELSE 'visual_topic' END AS kind, CASE WHEN topic IS NULL THEN rank ELSE greatest(rank, topic) + 0.25 END AS score, coalesce(topic, 0) AS strength FROM rk p LEFT JOIN ga ON ga.file_id = p.file_id AND ga.pid = p.id WHERE s = 'p'
+  UNION ALL SELECT t.file_id, t.ts, 'topic', rank, rank FROM rk t WHERE s = 't' AND NOT EXISTS (SELECT 1 FROM jo WHERE jo.file_id = t.file_id AND jo.id = t.id))
+SELECT file_id, time, kind, round(CASE WHEN time - lo < greatest(20, 0.03 * (hi - lo)) OR hi - time < greatest(30, 0.06 * (hi - lo)) THEN score * 0.3 ELSE score END, 8) AS score, round(strength, 8) AS strength FROM bo JOIN en USING (file_id)""")
+def scene_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Boundaries of films by pictures and by topics, where all frames count."""
+    frames, said = _films(spark, sf)
+    pool = frames.select("file_id", "ts", F.col("frame_id").alias("id"), "vector")
+    found = S.boundaries(pool, said, S.spans(pool))
+    return found.select("file_id", "time", "kind", F.round("score", 8).alias("score"), F.round("strength", 8).alias("strength"))
+
+
+@register()
+def scene_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes of films with a frame each."""
+    found = S.select_scenes(*_films(spark, sf))
+    return found.select("file_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "frame_id", "kind", "asked")
