@@ -108,6 +108,20 @@ def count(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most:
     return sums.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))
 
 
+def count_folds(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 2_000_000) -> DataFrame:
+    """(code, n0, n1) over all rows of ``docs`` (text, flag): how often where the boolean flag is not set, and where it is."""
+    schema = "key long, n long"
+    target = pa_schema(schema, docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sums in task_counts(batches, n, prepare, True, most):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums.astype(np.int64))], schema=target)
+
+    sums = docs.select(F.col("text").cast("string"), F.col("flag").cast("boolean")).mapInArrow(run, schema)
+    of = lambda flag: F.sum(F.when(F.col("key") % 2 == flag, F.col("n")).otherwise(0))
+    return sums.groupBy(F.shiftright("key", 1).alias("code")).agg(of(0).alias("n0"), of(1).alias("n1"))
+
+
 #: Parts that packed counts are dealt to.
 SHARDS = 2048
 
@@ -160,7 +174,7 @@ def mixed(keys: np.ndarray) -> np.ndarray:
 
 
 class HashArray:
-    """Sorted hashes with values; a lookup starts at the place that the leading bits name."""
+    """Sorted hashes with a value each, or a row of values; a lookup starts at the place that the leading bits name."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
         self.hashes, self.values, self.size = hashes, values, len(hashes) - 1
@@ -173,7 +187,7 @@ class HashArray:
     @staticmethod
     def arrays(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What to broadcast: sorted hashes and their values, an end sign after them."""
-        hashes, sorted_values = np.full(len(keys) + 1, 2**64 - 1, np.uint64), np.zeros(len(keys) + 1)
+        hashes, sorted_values = np.full(len(keys) + 1, 2**64 - 1, np.uint64), np.zeros((len(keys) + 1, *values.shape[1:]))
         hashes[:-1] = mixed(keys)
         order = np.argsort(hashes[:-1])
         hashes[:-1] = hashes[order]
@@ -187,7 +201,7 @@ class HashArray:
         read from one end to the other. For that, their places take the low bits
         of the hashes that are sorted.
         """
-        values, there = np.empty(len(keys)), np.empty(len(keys), bool)
+        values, there = np.empty((len(keys), *self.values.shape[1:])), np.empty(len(keys), bool)
         for i in range(0, len(keys), 1 << 18):
             own = mixed(keys[i : i + (1 << 18)])
             order = (own & np.uint64(2**64 - (1 << 18))) | np.arange(len(own), dtype=np.uint64)
@@ -204,8 +218,8 @@ class HashArray:
         return values, there
 
 
-def split_by_count(table: DataFrame, most: int) -> tuple[tuple, DataFrame | None]:
-    """The up to ``most`` commonest rows of (code, value, n) as arrays of a HashArray, the rest as a DataFrame.
+def split_by_count(table: DataFrame, most: int, columns: tuple[str, ...] = ("value",)) -> tuple[tuple, DataFrame | None]:
+    """The up to ``most`` commonest rows of (code, value..., n) as arrays of a HashArray, the rest as a DataFrame.
 
     ``most`` bounds what is broadcast; whatever lies beyond it is looked up by
     a join, so that no row is lost. None if nothing lies beyond.
@@ -218,23 +232,28 @@ def split_by_count(table: DataFrame, most: int) -> tuple[tuple, DataFrame | None
             break
         least = r["bin"]
     table = table.withColumn("_bin", F.floor(F.log2(F.col("n") + 1) * 8))
-    hot = table.where(F.col("_bin") >= least if least is not None else F.lit(False)).select("code", "value").toArrow()
-    keys, values = hot["code"].to_numpy().view(np.uint64), hot["value"].to_numpy()
+    hot = table.where(F.col("_bin") >= least if least is not None else F.lit(False)).select("code", *columns).toArrow()
+    keys, values = hot["code"].to_numpy().view(np.uint64), np.stack([hot[c].to_numpy() for c in columns], axis=1) if len(columns) > 1 else hot[columns[0]].to_numpy()
     del hot  # the driver holds few copies of the arrays at a time
     arrays = HashArray.arrays(keys, values)
     del keys, values
     if rows <= most:
         return arrays, None
-    return arrays, table.where(F.col("_bin") < least if least is not None else F.lit(True)).select("code", "value")
+    return arrays, table.where(F.col("_bin") < least if least is not None else F.lit(True)).select("code", *columns)
+
 
+def look_up(texts: list[bytes], n: int, hot: HashArray, which: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """For each text: the sum of its n-grams' values, their number, and the codes that ``hot`` lacks.
 
-def look_up(texts: list[bytes], n: int, hot: HashArray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """For each text: the sum of its n-grams' values, their number, and the codes that ``hot`` lacks."""
+    Where a key has several values, ``which`` says which of them a text takes.
+    """
     sums, number = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     cold: list[list[int]] = [[] for _ in texts]
     for buffer, rows, grams in pieces(texts, n):
         keys = codes(buffer, grams, n)
         values, there = hot.find(keys)
+        if which is not None:
+            values = values[np.arange(len(keys)), np.repeat(np.array(which)[rows], grams)]
         lacking = np.flatnonzero(~there)
         values[lacking] = 0.0
         np.add.at(sums, rows, np.add.reduceat(values, np.r_[0, np.cumsum(grams)[:-1]]))
@@ -246,11 +265,14 @@ def look_up(texts: list[bytes], n: int, hot: HashArray) -> tuple[np.ndarray, np.
     return sums, number, cold
 
 
-def add_cold(scored: DataFrame, rest: DataFrame | None, total: str, cold: str, default: float = 0.0) -> DataFrame:
-    """``scored`` with the values of the codes in its array column ``cold`` added to ``total``; ``_row`` names its rows."""
+def add_cold(scored: DataFrame, rest: DataFrame | None, total: str, cold: str, default: float = 0.0, along: tuple[str, ...] = ()) -> DataFrame:
+    """``scored`` with the values of the codes in its array column ``cold`` added to ``total``; ``_row`` names its rows.
+
+    ``rest`` is (code, along..., value); the columns ``along`` must agree.
+    """
     if rest is None:
         return scored.drop(cold)
-    found = scored.select("_row", F.explode(cold).alias("code")).join(rest, "code", "left")
+    found = scored.select("_row", *along, F.explode(cold).alias("code")).join(rest, ["code", *along], "left")
     found = found.groupBy("_row").agg(F.sum(F.coalesce("value", F.lit(default))).alias("_more"))
     joined = scored.join(found, "_row", "left")
     return joined.withColumn(total, F.col(total) + F.coalesce("_more", F.lit(0.0))).drop("_more", cold)

@@ -25,44 +25,46 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 
 
-def discounts(table: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney from the counts of counts of (code, n)."""
-    n1, n2, n3, n4 = table.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
+def discounts(table: DataFrame, column: str = "n") -> tuple[float, float, float]:
+    """The three discounts of modified Kneser-Ney from the counts of counts of a table's column."""
+    n1, n2, n3, n4 = table.agg(*[F.count_if(F.col(column) == k) for k in (1, 2, 3, 4)]).first()
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     ratio = lambda a, b: a / b if b else 1.0
     raw = (1 - 2 * y * ratio(n2, n1), 2 - 3 * y * ratio(n3, n2), 3 - 4 * y * ratio(n4, n3))
     return tuple(min(max(d, 0.1), k + 0.9) for k, d in enumerate(raw))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, value, n): log10 probability of the last byte of each n-gram of (code, n).
+def kneser_ney(counts: DataFrame, order: int = ORDER, columns: tuple[str, ...] = ("n",)) -> DataFrame:
+    """(code, value..., n...): log10 probability of the last byte of each n-gram of (code, n...), in a model for each column of counts.
 
-    The highest order uses the counts, lower ones the number of distinct
-    bytes seen before; the lowest is mixed with a uniform byte.
+    The highest order uses the counts, lower ones the number of distinct bytes
+    seen before; the lowest is mixed with a uniform byte. An n-gram that a model
+    has not seen gets what the lower orders give it, all of it where the context
+    is unseen too. Values are named value, value1 and so on.
     """
     last = lambda code, m: code.bitwiseAND(F.lit((1 << 8 * m) - 1))
-    tables = {order: counts.select("code", "n")}
+    tables = {order: counts.select("code", *columns)}
     for m in range(order - 1, 0, -1):
-        tables[m] = materialize(tables[m + 1].groupBy(last(F.col("code"), m).alias("code")).agg(F.count("*").alias("n")), f"kn-{m}")
+        seen = [F.count_if(F.col(n) > 0).alias(n) for n in columns]
+        tables[m] = materialize(tables[m + 1].groupBy(last(F.col("code"), m).alias("code")).agg(*seen), f"kn-{m}")
     lower = None
     for m in range(1, order + 1):
-        d1, d2, d3 = discounts(tables[m])
         context = Window.partitionBy(F.shiftright("code", 8))
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = tables[m].select(
-            "code",
-            "n",
-            ((F.col("n") - off) / F.sum("n").over(context)).alias("own"),
-            (F.sum(off).over(context) / F.sum("n").over(context)).alias("back"),
-        )
+        parts = []
+        for i, n in enumerate(columns):
+            d1, d2, d3 = discounts(tables[m], n)
+            off = F.when(F.col(n) == 0, 0.0).when(F.col(n) == 1, d1).when(F.col(n) == 2, d2).otherwise(d3)
+            whole = F.sum(n).over(context)
+            parts += [F.when(whole > 0, (F.col(n) - off) / whole).otherwise(0.0).alias(f"own{i}"), F.when(whole > 0, F.sum(off).over(context) / whole).otherwise(1.0).alias(f"back{i}")]
+        rows = tables[m].select("code", *columns, *parts)
         if lower is None:
-            rows = rows.withColumn("below", F.lit(1 / 256))
+            rows = rows.select("*", *[F.lit(1 / 256).alias(f"below{i}") for i in range(len(columns))])
         else:
             rows = rows.withColumn("suffix", last(F.col("code"), m - 1)).join(lower, "suffix").drop("suffix")
-        lower = rows.select("code", "n", (F.col("own") + F.col("back") * F.col("below")).alias("p"))
+        lower = rows.select("code", *columns, *[(F.col(f"own{i}") + F.col(f"back{i}") * F.col(f"below{i}")).alias(f"p{i}") for i in range(len(columns))])
         if m < order:
-            lower = materialize(lower.select(F.col("code").alias("suffix"), F.col("p").alias("below")), f"kn-p{m}")
-    return lower.select("code", F.log10("p").alias("value"), "n")
+            lower = materialize(lower.select(F.col("code").alias("suffix"), *[F.col(f"p{i}").alias(f"below{i}") for i in range(len(columns))]), f"kn-p{m}")
+    return lower.select("code", *[F.log10(f"p{i}").alias(f"value{i or ''}") for i in range(len(columns))], *columns)
 
 
 def repeated_words(texts: list[bytes], window: int = 8) -> np.ndarray:
@@ -117,31 +119,53 @@ def sketch(text: str | None) -> int:
 
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+#: Texts that train no model: of fewer words, or of more symbols or capitals, as shares of their bytes.
+TRAINING_WORDS, TRAINING_SYMBOLS, TRAINING_CAPITALS = 20, 0.01, 0.3
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _language(lang: Column) -> Column:
     return F.when(lang.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), lang))
 
 
-def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 20, least: float = 0.05) -> DataFrame:
+def trains(raw: bytes) -> bool:
+    share = lambda of: (len(raw) - len(raw.translate(None, of))) / max(1, len(raw))
+    return len(raw.split()) >= TRAINING_WORDS and share(SYMBOLS) <= TRAINING_SYMBOLS and share(CAPITALS) <= TRAINING_CAPITALS
+
+
+def _folds(part: dict) -> dict:
+    """The texts that train a model, those that do not as none, and which of the two models."""
+    texts = [t if t and trains(t.encode()) else None for t in part["text"]]
+    return {"text": texts, "flag": [bool(t and sketch(t) & 1) for t in texts]}
+
+
+def quality(docs: DataFrame, width: float = 7.0, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 20, least: float = 0.03, below: float = 2.0) -> DataFrame:
     """Counts, perplexity and verdict for every row of ``docs`` (doc_id, text, lang).
 
-    The band of a language is its quartiles of log perplexity, ``width``
-    interquartile ranges beyond either, over its documents that pass the base
-    rules; outside of it a document is rejected. Texts that share their
-    :func:`sketch` count once in the quartiles, so that copies and near copies,
-    however many, leave the band to the other texts; it reaches ``least`` at
-    least beyond either quartile, whatever the spread. The mean over a short text
-    varies more, so a text of n words has 1 + ``short`` / n times that width. A null language is a language
-    of its own. A null text counts as empty; such a text has no words and so
-    fails the base rules. Repeated rows come back as often as they came; no
-    rows give no rows. A null doc_id is kept. Other columns are ignored.
+    There are two models: texts are dealt to them by their :func:`sketch`, and
+    each is scored by the model that it, its copies and most of its near copies
+    did not train. Texts that are short, or full of symbols or capitals, train
+    none. The band of a language and model reaches from the median of log
+    perplexity, over its documents that pass the base rules, ``width`` times as
+    far as the lower quartile does, and ``least`` at least; outside of it a
+    document is rejected. It reaches ``below`` times as far down as up, as near
+    copies that trained the other model are the better foreseen. So junk widens no band before it is half of a
+    language. Texts that share their sketch count once, so that copies, however
+    many, leave the band to the other texts. The mean over a short text varies
+    more, so a text of n words has sqrt(1 + ``short`` / n) times that width. A
+    null language is a language of its own. A null text counts as empty; such a text has no words
+    and so fails the base rules. Repeated rows come back as often as they came;
+    no rows give no rows. A null doc_id is kept. Other columns are ignored.
     """
     doc_id, kind = doc_ids(docs)
     base = docs.select(doc_id, F.col("text").cast("string"), F.col("lang").cast("string"))
     encode = lambda t: (t or "").encode()
-    table = materialize(grams.count(base, order, encode), "kn-counts")
-    hot, rest = grams.split_by_count(materialize(kneser_ney(table, order), "kn-model"), most_broadcast)
+    known = grams.count(base, order, encode).withColumnRenamed("n", "all")
+    trained = grams.count_folds(by_batch(base.select("text"), _folds, "text string, flag boolean").where("text is not null"), order, encode)
+    table = known.join(trained, "code", "left").select("code", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("all", "n0", "n1")])
+    table = materialize(table, "kn-counts")
+    model = kneser_ney(table, order, ("n0", "n1")).join(table.select("code", F.col("all").alias("n")), "code")
+    hot, rest = grams.split_by_count(materialize(model, "kn-model"), most_broadcast, ("value", "value1"))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     models: list[grams.HashArray] = []  # one for each task
 
@@ -152,7 +176,9 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
         for at in range(0, len(batch["text"]), 500):
             ids, texts, langs = (batch[c][at : at + 500] for c in ("doc_id", "text", "lang"))
             raw = [encode(t) for t in texts]
-            sums, number, cold = grams.look_up(raw, order, model)
+            sketches = [sketch(t) for t in texts]
+            other = [int(not s & 1) for s in sketches]  # the model that the text did not train
+            sums, number, cold = grams.look_up(raw, order, model, other)
             yield {
                 "doc_id": ids,
                 "lang": langs,
@@ -164,25 +190,28 @@ def quality(docs: DataFrame, width: float = 2.0, short: float = 150.0, order: in
                 "log10_p": sums,
                 "n_grams": number,
                 "cold": cold,
-                "_sketch": [sketch(t) for t in texts],
+                "_sketch": sketches,
+                "_model": other,
             }
 
-    schema = f"doc_id {kind}, lang string, {FEATURES}, log10_p double, n_grams long, cold array<long>, _sketch long"
+    schema = f"doc_id {kind}, lang string, {FEATURES}, log10_p double, n_grams long, cold array<long>, _sketch long, _model int"
     scored = materialize(by_batch(base, run, schema).withColumn("_row", F.monotonically_increasing_id()), "quality-scores")
-    scored = grams.add_cold(scored, rest, "log10_p", "cold")
+    if rest is not None:
+        rest = rest.select("code", F.explode(F.array(*[F.struct(F.lit(i).alias("_model"), F.col(v).alias("value")) for i, v in enumerate(("value", "value1"))])).alias("x")).select("code", "x.*")
+    scored = grams.add_cold(scored, rest, "log10_p", "cold", along=("_model",))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("log10_perplexity", F.round(-F.col("log10_p") / F.col("n_grams"), 9))
     scored = scored.withColumn("_lang", _language(F.col("lang")))
-    alike = scored.where(~F.col("base_failed")).groupBy("_lang", "_sketch")
+    alike = scored.where(~F.col("base_failed")).groupBy("_lang", "_model", "_sketch")
     alike = alike.agg(((F.min("log10_perplexity") + F.max("log10_perplexity")) / 2).alias("log10_perplexity"))
-    quartiles = alike.groupBy("_lang").agg(F.percentile_approx("log10_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
-    beyond = F.greatest(width * (high - low), F.lit(least)) * (1 + short / F.greatest("n_words", F.lit(1)))
+    quartiles = alike.groupBy("_lang", "_model").agg(F.percentile_approx("log10_perplexity", F.array(F.lit(0.25), F.lit(0.5)), 10_000).alias("q"))
+    low, middle = F.col("q")[0], F.col("q")[1]
+    beyond = F.greatest(width * (middle - low), F.lit(least)) * F.sqrt(1 + short / F.greatest("n_words", F.lit(1)))
     inside = F.col("log10_perplexity").between(F.col("band_low"), F.col("band_high"))
     return (
-        scored.join(bounded(materialize(quartiles, "quality-bands")), "_lang", "left")
-        .withColumn("band_low", low - beyond)
-        .withColumn("band_high", high + beyond)
+        scored.join(bounded(materialize(quartiles, "quality-bands")), ["_lang", "_model"], "left")
+        .withColumn("band_low", middle - below * beyond)
+        .withColumn("band_high", middle + beyond)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
-        .drop("_lang", "_row", "_sketch", "n_grams", "q")
+        .drop("_lang", "_model", "_row", "_sketch", "n_grams", "q")
     )
