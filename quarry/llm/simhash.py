@@ -114,7 +114,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame
 
 def _close(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs at most ``radius`` bits apart, block by block."""
-    rows, cols, half = 64, 4096, max(1, left.shape[1] // 2)
+    rows, cols, width = 64, 4096, left.shape[1]
+    # so many words that unrelated texts, half of whose bits differ, are mostly beyond the radius by then
+    half = next((w for w in range(1, max(1, width // 2)) if 32 * w - 10 * w**0.5 > radius), max(1, width // 2))
     for i in range(0, len(left), rows):
         a = left[i : i + rows]
         for j in range(i // cols * cols if same else 0, len(right), cols):

@@ -47,11 +47,11 @@ def test_quality_and_duplicates_equal_brute_force(spark, folder):
 
     left = corpus_pipeline.STAGES[1][1](spark, kept, folder).collect()
     texts = sorted({r.text for r in kept.collect()})
-    prints = [np.concatenate([simhash.majority(simhash._widen(np.array(h, np.uint64), k), np.array([len(h)])) for k in range(4)]) for h in (simhash.shingle_hashes(t, 5) for t in texts)]
+    prints = [np.concatenate([simhash.majority(simhash._widen(np.array(h, np.uint64), k), np.array([len(h)])) for k in range(corpus_pipeline.BITS // 64)]) for h in (simhash.shingle_hashes(t, 5) for t in texts)]
     apart = np.array([[int(np.bitwise_count(a ^ b).sum()) for b in prints] for a in prints])
     label = np.arange(len(texts))
     for _ in texts:
-        label = np.array([label[row <= 51].min() for row in apart])
+        label = np.array([label[row <= corpus_pipeline.RADIUS].min() for row in apart])
     assert len(left) == len(set(label.tolist()))
     assert sorted(label[texts.index(r.text)] for r in left) == sorted(set(label.tolist()))
 
