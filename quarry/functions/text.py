@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Hiragana U+3041..U+3096 and the katakana 0x60 above them.
@@ -23,6 +27,43 @@ def to_hiragana(text: Column) -> Column:
     return F.translate(text, KATAKANA, HIRAGANA)
 
 
+def fold(text: str) -> str:
+    """Compatibility forms and cases made one: full-width letters, ligatures, sharp s."""
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """:func:`fold` of a column; null stays null."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+
+
+def expanded(query: Column, terms: Column, entries: list[str], most: int) -> Column:
+    """The query and an array of terms to search for beside it, ``most`` in all; see :func:`quarry.operators.snippets.expansion_terms`."""
+    kana = str.maketrans(HIRAGANA, KATAKANA)
+    bad = [e for e in (fold(e).translate(kana) for e in entries) if e]
+
+    @F.pandas_udf("array<string>")
+    def kept(query: pd.Series, terms: pd.Series) -> pd.Series:
+        plain = lambda w: unicodedata.normalize("NFKC", w).casefold().translate(kana)
+        left = lambda t: " ".join(w for w in t.split() if (p := plain(w)) and not any(b in p for b in bad))
+
+        def one(own: str | None, other: list[str] | None) -> list[str]:
+            own = (own or "").strip()
+            if not own:
+                return []
+            once: dict[str, str] = {}
+            for t in (left(t) for t in (other if other is not None else []) if t is not None):
+                if t:
+                    once.setdefault(t.lower(), t)
+            first = list(once.values())[:most]
+            return first if own.lower() in {t.lower() for t in first} else [own, *first[: most - 1]]
+
+        return pd.Series([one(*x) for x in zip(query, terms)])
+
+    return kept(query, terms)
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of word characters, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"))

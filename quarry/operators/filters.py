@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Most conditions of one sort, and of comparisons the greatest number (fixed values).
 MOST, GREATEST = 20, 2**53 - 1
-COMPARISON = re.compile(r"(gt|gte|lt|lte):((?:0|[1-9][0-9]*)(?:\\.[0-9]{1,3})?)")
+COMPARISON = re.compile(r"(gt|gte|lt|lte):((?:0|[1-9][0-9]*)(?:\.[0-9]{1,3})?)")
 
 
 def comparisons(column: Column, wanted: Sequence[str], whole: bool = True) -> Column:

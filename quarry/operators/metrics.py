@@ -52,20 +52,21 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def normalised(text: Column, language: Column) -> Column:
-    """Lower case, punctuation as white space and that as single spaces; Japanese in hiragana."""
-    folded = F.lower(text)
-    folded = F.when(F.startswith(F.lower(language), F.lit("ja")), X.to_hiragana(folded)).otherwise(folded)
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[\p{P}\p{S}]", " "), r"\s+", " "))
+    """Folded, punctuation as white space and that as single spaces; Japanese in hiragana."""
+    plain = X.folded(text)
+    plain = F.when(F.startswith(F.lower(language), F.lit("ja")), X.to_hiragana(plain)).otherwise(plain)
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[\p{P}\p{S}]", " "), r"\s+", " "))
 
 
-def error_rates(reference: Column, hypothesis: Column, language: Column) -> tuple[Column, Column]:
-    """Word and character error rates of normalised texts; Japanese has no word error rate.
+def error_rates(rows: DataFrame, reference: str, hypothesis: str, language: Column) -> DataFrame:
+    """``rows`` with wer and cer, the word and character error rates of two columns once normalised; Japanese has no word error rate.
 
     An empty reference counts as one word and one character. Each different
     word is written as one character, so that characters are compared in both.
     """
-    a, b = normalised(reference, language), normalised(hypothesis, language)
+    rows = rows.select("*", language.alias("_l"), normalised(F.col(reference), language).alias("_a"), normalised(F.col(hypothesis), language).alias("_b"))
     parts = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+    a, b = F.col("_a"), F.col("_b")
 
     def rate(known: Column) -> Column:
         sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
@@ -73,7 +74,8 @@ def error_rates(reference: Column, hypothesis: Column, language: Column) -> tupl
         return F.levenshtein(spelt(a), spelt(b)) / F.greatest(F.size(parts(a)), F.lit(1))
 
     words = F.transform(F.array(F.array_distinct(F.concat(parts(a), parts(b)))), rate)[0]
-    return F.when(~F.startswith(F.lower(language), F.lit("ja")), words), character_error_rate(a, b)
+    wer = F.when(~F.startswith(F.lower(F.col("_l")), F.lit("ja")), words)
+    return rows.withColumn("wer", wer).withColumn("cer", character_error_rate(a, b)).drop("_l", "_a", "_b")
 
 
 def spread_of_runs(runs: DataFrame, key: str, value: str, epsilon: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 #: Widths and limits of snippets (fixed values).
 CHUNK_WIDTH, BREAK_WITHIN, AROUND = 500, 100, 100
 QUOTE_WIDTH, QUOTE_ACCEPTED, EXPANSIONS = 64, 3000, 8
@@ -50,19 +52,14 @@ def around_chunks(rows: DataFrame, by: str, order: str, text: str, width: int =
 
 
 def expansion_terms(query: Column, terms: Column, blocked: list[str], most: int = EXPANSIONS) -> Column:
-    """At most ``most`` terms to search for: those of the array ``terms`` that are not blocked, once each whatever their case.
+    """At most ``most`` terms to search for: those of the array ``terms``, once each whatever their case.
+
+    Words of a term that contain a blocked one are left out of it.
 
     The query itself comes first unless a term equals it; without terms it is
     alone; a null or blank query has none.
     """
-    plain = F.trim(query)
-    kept = F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: (F.length(t) > 0) & ~F.lower(t).isin(blocked))
-    low = F.transform(kept, lambda t: F.lower(t))
-    once = F.slice(F.filter(kept, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), 1, most)
-    once = F.coalesce(once, F.array().cast("array<string>"))
-    has = F.exists(once, lambda t: F.lower(t) == F.lower(plain))
-    found = F.when(has, once).otherwise(F.concat(F.array(plain), F.slice(once, 1, most - 1)))
-    return F.when(F.length(plain) > 0, found).otherwise(F.array().cast("array<string>"))
+    return X.expanded(query, terms, blocked, most)
 
 
 def outside_query(terms: Column, query: Column) -> Column:

@@ -161,35 +161,42 @@ def merge_similar(left: DataFrame, right: DataFrame, alone: float = 0.7) -> Data
     return both.select("query_id", "id", score.alias("score"), sources.alias("sources"))
 
 
-def segments(hits: DataFrame, gap: float = SEGMENT_GAP, tail: float = SEGMENT_TAIL, per_file: int = SEGMENTS_PER_FILE) -> DataFrame:
+def segments(hits: DataFrame, gap: float = SEGMENT_GAP, tail: float = SEGMENT_TAIL, per_file: int = SEGMENTS_PER_FILE, frames: DataFrame | None = None, durations: DataFrame | None = None) -> DataFrame:
     """(file_id, start, end, peak, peak_ts, hits): runs of hits (file_id, ts, score) at most ``gap`` apart.
 
-    A segment ends ``tail`` after its last hit, or where the file's next hit is;
-    the ``per_file`` segments of the best peaks stay.
+    A segment ends ``tail`` after its last hit, or at the file's next frame of
+    ``frames`` (file_id, ts), a hit or not, or where the file ends by
+    ``durations`` (file_id, duration), whichever comes first; without frames
+    the hits are all there are. The ``per_file`` segments of the best peaks stay.
     """
     own = Window.partitionBy("file_id").orderBy("ts", "score")
     rows = hits.withColumn("_new", F.coalesce((F.col("ts") - F.lag("ts").over(own) > gap).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_next", F.lead("ts").over(own)).withColumn("_run", F.sum("_new").over(own))
-    groups = rows.groupBy("file_id", "_run").agg(
-        F.min("ts").alias("start"),
-        F.least(F.max("ts") + tail, F.max_by("_next", F.struct("ts", F.coalesce("_next", F.lit(float("inf")))))).alias("end"),
-        F.max(F.struct("score", (-F.col("ts")).alias("before"))).alias("top"),
-        F.count("*").alias("hits"),
-    )
-    groups = groups.select("file_id", "start", "end", F.col("top.score").alias("peak"), (-F.col("top.before")).alias("peak_ts"), "hits")
+    rows = rows.withColumn("_run", F.sum("_new").over(own))
+    times = (hits if frames is None else frames).select("file_id", "ts").unionByName(hits.select("file_id", "ts")).distinct()
+    after = times.withColumn("_next", F.lead("ts").over(Window.partitionBy("file_id").orderBy("ts"))).withColumnRenamed("ts", "_last")
+    groups = rows.groupBy("file_id", "_run").agg(F.min("ts").alias("start"), F.max("ts").alias("_last"), F.max(F.struct("score", (-F.col("ts")).alias("before"))).alias("top"), F.count("*").alias("hits"))
+    groups = groups.join(after, ["file_id", "_last"], "left")
+    groups = groups.join(durations.groupBy("file_id").agg(F.max("duration").alias("_whole")), "file_id", "left") if durations is not None else groups.withColumn("_whole", F.lit(None).cast("double"))
+    end = F.least(F.col("_last") + tail, "_next", F.when(F.col("_whole") > F.col("_last"), F.col("_whole")))
+    groups = groups.select("file_id", "start", end.alias("end"), F.col("top.score").alias("peak"), (-F.col("top.before")).alias("peak_ts"), "hits")
     return best(groups, "file_id", [F.desc("peak"), F.asc("start")], per_file)
 
 
-def seeded_segments(hits: DataFrame, n: int, files: int = 30, gap: float = SEGMENT_GAP, tail: float = SEGMENT_TAIL) -> DataFrame:
-    """:func:`segments` of the hits (file_id, ts, score) that reach the score of the last required one of ``n`` frames, in the ``files`` best files.
+def required_seeds(n: int) -> int:
+    """How many of ``n`` frames seed segments: 50, or a tenth if that is less, or a hundredth if that is more, and 4,096 at most."""
+    return min(max(min(50, -(-n // 10)), n // 100), 4096)
+
+
+def seeded_segments(frames: DataFrame, files: int = SEGMENT_FILES, gap: float = SEGMENT_GAP, tail: float = SEGMENT_TAIL, durations: DataFrame | None = None) -> DataFrame:
+    """:func:`segments` of those frames (file_id, ts, score) that reach the score of the last required seed, in the ``files`` best files.
 
     The threshold's rank is 4,096 at most, so that it is found by a top-k.
     """
-    required = int(min(max(min(50, -(-n // 10)), n // 100), 4096))
-    lowest = hits.orderBy(F.desc("score")).limit(required).agg(F.min("score").alias("lowest"))
-    seeds = hits.join(F.broadcast(lowest), F.col("score") >= F.col("lowest")).drop("lowest")
+    lowest = frames.orderBy(F.desc("score")).limit(required_seeds(frames.count())).agg(F.min("score").alias("lowest"))
+    seeds = frames.join(F.broadcast(lowest), F.col("score") >= F.col("lowest")).drop("lowest")
     top = seeds.groupBy("file_id").agg(F.max("score").alias("_top")).orderBy(F.desc("_top"), "file_id").limit(files)
-    return segments(seeds.join(F.broadcast(top.select("file_id")), "file_id", "left_semi"), gap, tail)
+    top = F.broadcast(top.select("file_id"))
+    return segments(seeds.join(top, "file_id", "left_semi"), gap, tail, frames=frames.join(top, "file_id", "left_semi"), durations=durations)
 
 
 def tag_votes(found: DataFrame, tags: DataFrame, min_support: int = 2, k: int = 10) -> DataFrame:
@@ -202,9 +209,3 @@ def concept_scores(found: DataFrame) -> DataFrame:
     """(concept, frames, top, weight) of neighbours (query_id as the concept): how many, and how good the best is."""
     one = found.groupBy(F.col("query_id").alias("concept")).agg(F.count("*").alias("frames"), F.max("score").alias("top"))
     return one.withColumn("weight", F.col("frames") * F.col("top"))
-
-
-def required_seeds(n: Column) -> Column:
-    """How many of a file set's ``n`` frames seed its segments."""
-    tenth = F.ceil(n / 10)
-    return F.least(F.greatest(F.least(F.lit(50), tenth), F.floor(n / 100)), F.lit(4096))

@@ -72,7 +72,7 @@ def compared_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("""SELECT doc_id AS id, round((contains(lower(text), 'thing')::INT + contains(lower(text), 'nation')::INT + contains(lower(text), 'éau')::INT) / 3, 6) AS coverage, (contains(lower(text), 'password')::INT + contains(lower(text), '@')::INT)::BIGINT AS violations FROM documents""")
 def mention_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    share, bad = M.mentions(F.col("text"), ["THING", "nation", "Éau"], ["password", "@"], lambda c: X.to_katakana(F.lower(c)))
+    share, bad = M.mentions(F.col("text"), ["THING", "nation", "Éau"], ["password", "@"], lambda c: X.to_katakana(X.folded(c)))
     return T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.round(share, 6).alias("coverage"), bad.alias("violations"))
 
 
@@ -137,11 +137,12 @@ lowest AS (SELECT min(score) AS lowest FROM (SELECT score FROM h ORDER BY score
 s0 AS (SELECT h.* FROM h, lowest WHERE score >= lowest), best AS (SELECT file_id FROM s0 GROUP BY file_id ORDER BY max(score) DESC, file_id LIMIT 30), s AS (SELECT * FROM s0 WHERE file_id IN (SELECT file_id FROM best)),
 flagged AS (SELECT *, lead(ts) OVER w AS nxt, CASE WHEN ts - lag(ts) OVER w <= 14400 THEN 0 ELSE 1 END AS f FROM s WINDOW w AS (PARTITION BY file_id ORDER BY ts, score)),
 runs AS (SELECT *, sum(f) OVER (PARTITION BY file_id ORDER BY ts, score ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
-seg AS (SELECT file_id, run, min(ts) AS start, least(max(ts) + 30, CASE WHEN count(nxt) = count(*) THEN max(nxt) ELSE max(ts) + 30 END) AS "end", max(score) AS peak, count(*) AS hits FROM runs GROUP BY ALL)
+gr AS (SELECT file_id, run, min(ts) AS start, max(ts) AS last, max(score) AS peak, count(*) AS hits FROM runs GROUP BY ALL),
+seg AS (SELECT gr.file_id, run, start, peak, hits, least(last + 30, coalesce((SELECT min(h.ts) FROM h WHERE h.file_id = gr.file_id AND h.ts > gr.last), last + 30)) AS "end" FROM gr)
 SELECT file_id, round(start, 3) AS start, round("end", 3) AS "end", round(peak, 6) AS peak, hits FROM seg QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY peak DESC, start) <= 2""")
 def seeded_segments(spark: SparkSession, sf: str) -> DataFrame:
     hits = T.plays(spark, sf).select(F.col("viewer").alias("file_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("value").alias("score"))
-    found = VO.seeded_segments(hits, hits.count(), gap=14400.0)
+    found = VO.seeded_segments(hits, gap=14400.0)
     return found.select("file_id", *[F.round(c, 3).alias(c) for c in ("start", "end")], F.round("peak", 6).alias("peak"), "hits")
 
 
@@ -199,14 +200,14 @@ def kana_forms(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.to_hiragana(kata).alias("hira"), X.to_katakana(hira).alias("kata"))
 
 
-@register(r"""WITH w AS (SELECT conv_id, turn, role, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS a FROM conversations),
+@register(r"""WITH w AS (SELECT conv_id, turn, role, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS a FROM conversations),
 h AS (SELECT *, list_filter(a, lambda x, i: i % 7 <> 0) AS b, array_to_string(a, ' ') AS s FROM w)
 SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN round((len(a) - len(b)) / greatest(len(a), 1), 6) END AS wer, round((length(s) - length(array_to_string(b, ' '))) / greatest(length(s), 1), 6) AS cer FROM h""")
 def transcript_error_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Error rates of turns in capitals without every seventh word, those of assistants taken for Japanese."""
     rows = T.table(spark, sf, "conversations")
     language = F.when(F.col("role") == "assistant", "ja").otherwise("fr")
-    spoken = F.filter(F.split(M.normalised(F.col("text"), language), " "), lambda w: w != "")
-    heard = F.upper(F.array_join(F.filter(spoken, lambda w, i: (i + 1) % 7 != 0), " , "))
-    wer, cer = M.error_rates(F.col("text"), heard, language)
-    return rows.select("conv_id", "turn", F.round(wer, 6).alias("wer"), F.round(cer, 6).alias("cer"))
+    rows = rows.withColumn("plain", M.normalised(F.col("text"), language))
+    spoken = F.filter(F.split("plain", " "), lambda w: w != "")
+    rows = rows.withColumn("heard", F.upper(F.array_join(F.filter(spoken, lambda w, i: (i + 1) % 7 != 0), " , ")))
+    return M.error_rates(rows, "text", "heard", language).select("conv_id", "turn", F.round("wer", 6).alias("wer"), F.round("cer", 6).alias("cer"))

@@ -29,15 +29,15 @@ def chunk_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return O.around_chunks(T.table(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "prefix", "suffix")
 
 
-@register("""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations),
-k AS (SELECT conv_id, turn, coalesce(w[3], '') AS q, list_filter(w, lambda x: length(x) > 0 AND lower(x) NOT IN ('the', 'a', 'und', 'de')) AS k FROM t),
+@register(r"""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations),
+k AS (SELECT conv_id, turn, trim(coalesce(w[3], ''), chr(10) || ' ') AS q, list_filter(list_transform(w, lambda x: array_to_string(list_filter(string_split_regex(x, '\s+'), lambda y: length(y) > 0 AND NOT (contains(lower(y), 'the') OR contains(lower(y), 'und') OR contains(lower(y), 'qu'))), ' ')), lambda x: length(x) > 0) AS k FROM t),
 l AS (SELECT *, list_transform(k, lambda x: lower(x)) AS low FROM k),
 o AS (SELECT *, list_filter(k, lambda x, i: list_position(low, lower(x)) = i)[1:8] AS o FROM l)
 SELECT conv_id, turn, array_to_string(CASE WHEN q = '' THEN [] WHEN list_contains(list_transform(o, lambda x: lower(x)), lower(q)) THEN o ELSE list_concat([q], o[1:7]) END, ' ') AS terms FROM o""")
 def expansion_terms(spark: SparkSession, sf: str) -> DataFrame:
     """The third word of each turn as a query, and the turn's words as its expansions."""
     words = F.split("text", " ")
-    terms = O.expansion_terms(F.coalesce(F.try_element_at(words, F.lit(3)), F.lit("")), words, ["the", "a", "und", "de"])
+    terms = O.expansion_terms(F.coalesce(F.try_element_at(words, F.lit(3)), F.lit("")), words, ["The", "und", "ｑｕ"])
     return T.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(terms, " ").alias("terms"))
 
 

@@ -153,13 +153,15 @@ def concept_scores(spark: SparkSession, sf: str) -> DataFrame:
 @register("""WITH hits AS (SELECT user_id AS file_id, epoch(ts) AS ts, value AS score FROM events),
 flagged AS (SELECT *, lead(ts) OVER w AS nxt, CASE WHEN ts - lag(ts) OVER w <= 14400 THEN 0 ELSE 1 END AS f FROM hits WINDOW w AS (PARTITION BY file_id ORDER BY ts, score)),
 runs AS (SELECT *, sum(f) OVER (PARTITION BY file_id ORDER BY ts, score ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
-seg AS (SELECT file_id, run, min(ts) AS start, least(max(ts) + 30, CASE WHEN count(nxt) = count(*) THEN max(nxt) ELSE max(ts) + 30 END) AS "end", max(score) AS peak, count(*) AS hits FROM runs GROUP BY ALL),
+gr AS (SELECT file_id, run, min(ts) AS start, max(ts) AS last, max(score) AS peak, count(*) AS hits FROM runs GROUP BY ALL),
+seg AS (SELECT file_id, run, start, peak, hits, least(last + 30, coalesce((SELECT min(h.ts) FROM hits h WHERE h.file_id = gr.file_id AND h.ts > gr.last), last + 30), CASE WHEN (file_id * 17777 + 1704067200) > last THEN file_id * 17777 + 1704067200 ELSE last + 30 END) AS "end" FROM gr),
 withpeak AS (SELECT seg.*, (SELECT min(r.ts) FROM runs r WHERE r.file_id = seg.file_id AND r.run = seg.run AND r.score = seg.peak) AS peak_ts FROM seg)
 SELECT file_id, round(start, 3) AS start, round("end", 3) AS "end", round(peak, 6) AS peak, round(peak_ts, 3) AS peak_ts, hits FROM withpeak
 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY peak DESC, start) <= 2""")
 def scene_segments(spark: SparkSession, sf: str) -> DataFrame:
     hits = T.plays(spark, sf).select(F.col("viewer").alias("file_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("value").alias("score"))
-    found = O.segments(hits, gap=14400.0)
+    durations = hits.select("file_id", (F.col("file_id") * 17777 + 1704067200).cast("double").alias("duration")).distinct()
+    found = O.segments(hits, gap=14400.0, durations=durations)
     return found.select("file_id", *[F.round(c, 3).alias(c) for c in ("start", "end")], F.round("peak", 6).alias("peak"), F.round("peak_ts", 3).alias("peak_ts"), "hits")
 
 
