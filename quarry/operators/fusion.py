@@ -105,12 +105,18 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
 
 
 def passage_overlap(passages: DataFrame) -> DataFrame:
-    """(query_id, a, b, jaccard) of the passages (query_id, id, text) of a query that share a shingle, a < b."""
-    rows = passages.select("query_id", "id", shingles(F.col("text")).alias("s"))
-    rows = rows.select("query_id", "id", F.size("s").alias("n"), F.explode("s").alias("s"))
-    a, b = rows.select("query_id", F.col("id").alias("a"), F.col("n").alias("na"), "s"), rows.select("query_id", F.col("id").alias("b"), F.col("n").alias("nb"), "s")
-    pairs = a.join(b, ["query_id", "s"]).where("a < b").groupBy("query_id", "a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return pairs.select("query_id", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    """(query_id, a, b, jaccard) of the passages (query_id, id, text) of a query that share a shingle, a < b.
+
+    A text is cut into shingles once, however many queries have it; they are
+    compared by 64-bit hashes. A query's passages, the top of a ranking, are
+    one row.
+    """
+    one = passages.groupBy("id").agg(F.any_value("text").alias("text")).select("id", F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("s"))
+    rows = passages.select("query_id", "id").distinct().join(one, "id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("id", "s"))).alias("all"))
+    pair = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.size(F.array_intersect(x["s"], y["s"])).alias("both"), (F.size(x["s"]) + F.size(y["s"])).alias("n"))
+    pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: pair(x, y))))
+    found = rows.select("query_id", F.explode(pairs).alias("p")).select("query_id", "p.*").where("both > 0")
+    return found.select("query_id", "a", "b", (F.col("both") / (F.col("n") - F.col("both"))).alias("jaccard"))
 
 
 def accept_distinct(passages: DataFrame, overlap: DataFrame, limit: float = NEAR_DUPLICATE) -> DataFrame:

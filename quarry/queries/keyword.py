@@ -10,6 +10,7 @@ from ..operators import keyword as O
 from ..operators import library as L
 from ..operators import vector as VO
 from ..sources import tables as T
+from ..sources.scratch import kept
 from . import Registry
 
 register = Registry()
@@ -143,7 +144,7 @@ def idf_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    terms = _postings(spark, sf)
+    terms = kept(_postings(spark, sf), "postings")
     return O.tfidf(terms, O.idf(terms, ["drive"]), ["drive"])
 
 
@@ -168,7 +169,7 @@ def tfidf_similar(spark: SparkSession, sf: str) -> DataFrame:
 @register(IDF + """SELECT id, term, round(weight, 6) AS weight FROM tw WHERE length(term) >= 3 AND idf >= 1.5 AND (n < 10 OR idf <= ln(n / 2) + 1)
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) <= 5""")
 def keyword_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    terms = _postings(spark, sf)
+    terms = kept(_postings(spark, sf), "postings")
     weights = O.idf(terms, ["drive"])
     rows = O.tfidf(terms, weights, ["drive"]).join(weights, ["drive", "term"])
     rows = rows.where((F.length("term") >= 3) & (F.col("idf") >= 1.5) & ((F.col("n") < 10) | (F.col("idf") <= F.log(F.col("n") / 2) + 1)))
@@ -202,7 +203,7 @@ x AS (SELECT id, term, CASE WHEN drive <= 'src5' THEN share * coalesce(idf, 1) E
 SELECT id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS rank FROM x QUALIFY rank <= 30""")
 def index_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """Keywords of documents with their file names, where only drives up to src5 have statistics yet."""
-    terms = _postings(spark, sf)
+    terms = kept(_postings(spark, sf), "postings")
     weights = O.idf(terms, ["drive"]).where("drive <= 'src5'")
     files = T.files(spark, sf).where(F.length(F.trim("text")) >= 20).select(F.col("file_id").alias("id"), "drive", "filename")
     names = files.select("id", "drive", F.explode(L.filename_tokens(F.col("filename"))).alias("term"))

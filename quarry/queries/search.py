@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keyword as KO
+from ..operators import library as L
 from ..operators import trigram
 from ..plans import search as P
 from ..sources import tables as T
@@ -179,3 +180,38 @@ def content_channel(spark: SparkSession, sf: str) -> DataFrame:
 def retrieval_channel(spark: SparkSession, sf: str) -> DataFrame:
     """Words in the heaviest terms of documents."""
     return _channel(spark, sf, "retrieval")
+
+
+SIMILAR = K.IDF.strip() + """,
+bags AS (SELECT id, list(term ORDER BY rank) AS words FROM top_ WHERE rank <= 10 GROUP BY id),
+v AS (SELECT vec_id, vec_id // 5 AS f, embedding::DOUBLE[] AS v, ['clip_thumbnail', 'tfidf_keywords', 'text_content', 'metadata'][label % 4 + 1] AS type FROM embeddings),
+src AS (SELECT q, unnest(types) AS type, unnest(range(len(types))) AS leg, types[1] AS t0, types[2] AS t1 FROM (
+  SELECT DISTINCT f AS q, CASE f % 40 // 10 WHEN 0 THEN ['image'] WHEN 1 THEN ['v'] WHEN 2 THEN ['d'] ELSE ['o'] END AS k,
+    CASE f % 40 // 10 WHEN 0 THEN ['clip_thumbnail'] WHEN 1 THEN ['clip_thumbnail', 'tfidf_keywords'] WHEN 2 THEN ['text_content'] ELSE ['metadata'] END AS types FROM v WHERE f % 10 = 0)),
+el AS (SELECT q, leg, src.type, t0, t1, i, avg(v[i]) AS m FROM src JOIN v ON v.f = q AND v.type = src.type, LATERAL (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+mv AS (SELECT q, leg, type, t0, t1, list(m ORDER BY i) AS p FROM el GROUP BY ALL),
+sims AS (SELECT q AS query_id, leg, t0, t1, v.f AS id, max(list_inner_product(p, v.v) / sqrt(list_inner_product(p, p))) AS s FROM mv JOIN v USING (type) WHERE v.f <> q GROUP BY ALL),
+k0 AS (SELECT *, max(s) OVER w AS top, avg(s) OVER w AS mean, count(*) OVER w AS n FROM sims WHERE s >= 0.05 AND s < 0.999 WINDOW w AS (PARTITION BY query_id, leg)),
+k1 AS (SELECT * FROM k0 WHERE NOT (n >= 5 AND top < 0.85 AND top - mean < 0.01) AND s >= top - 0.15),
+k2 AS (SELECT *, count(*) OVER w AS n2, max(s) OVER w AS t2, stddev_pop(s) OVER w / avg(s) OVER w AS cv FROM k1 WINDOW w AS (PARTITION BY query_id, leg)),
+legs AS (SELECT query_id, leg, t0, t1, id, s FROM k2 WHERE NOT (n2 >= 5 AND t2 < 0.85 AND cv < 0.01) QUALIFY row_number() OVER (PARTITION BY query_id, leg ORDER BY round(s, 9) DESC, id) <= 12),
+sc AS (SELECT *, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1.0 END AS z FROM legs WINDOW w AS (PARTITION BY query_id, leg)),
+mg AS (SELECT query_id, id, any_value(t0) AS t0, any_value(t1) AS t1, max(CASE WHEN leg = 0 THEN s END) AS s0, max(CASE WHEN leg = 1 THEN s END) AS s1, max(CASE WHEN leg = 0 THEN z END) AS z0, max(CASE WHEN leg = 1 THEN z END) AS z1 FROM sc GROUP BY query_id, id),
+fin AS (SELECT *, CASE WHEN t1 IS NULL THEN s0 WHEN z0 IS NOT NULL AND z1 IS NOT NULL THEN 0.5 * z0 + 0.5 * z1 ELSE 0.7 * coalesce(z0, z1) END AS score FROM mg),
+tops AS (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 6)
+SELECT query_id, t.id, round(score, 6) AS score, CASE WHEN s0 IS NOT NULL AND s1 IS NOT NULL THEN t0 || '+' || t1 WHEN s0 IS NOT NULL THEN t0 ELSE coalesce(t1, t0) END AS match_type, round(s0, 6) AS primary_score, round(s1, 6) AS secondary_score,
+  coalesce(array_to_string(list_filter(a.words, lambda x: list_contains(b.words, x)), ' '), '') AS shared
+FROM tops t LEFT JOIN bags a ON a.id = query_id LEFT JOIN bags b ON b.id = t.id"""
+
+
+@register(SIMILAR)
+def find_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Files like every tenth one, which are in turn tens of images, videos, documents and others, with the heavy terms they share."""
+    rows = T.vectors(spark, sf)
+    kinds = F.array(*map(F.lit, ("clip_thumbnail", "tfidf_keywords", "text_content", "metadata")))
+    vectors = rows.select(F.col("id").alias("vec_id"), F.floor(F.col("id") / 5).alias("id"), F.element_at(kinds, (F.col("label") % 4 + 1).cast("int")).alias("type"), "vector")
+    kind = F.element_at(F.array(*map(F.lit, ("image", "video", "document", "other"))), (F.floor(F.col("query_id") % 40 / 10) + 1).cast("int"))
+    sources = vectors.select(F.col("id").alias("query_id")).where("query_id % 10 = 0").distinct().select("query_id", kind.alias("kind"))
+    bags = KO.top_terms(K._weights(spark, sf), 10).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("words"))
+    found = L.find_similar(sources, vectors, bags, floor=0.05, margin=0.15)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "match_type", *[F.round(c, 6).alias(c) for c in ("primary_score", "secondary_score")], F.array_join("shared", " ").alias("shared"))
