@@ -157,14 +157,16 @@ def _forest(keys: list[bytes], left: np.ndarray, right: np.ndarray, radius: int,
     return [(keys[i], keys[r]) for i, r in enumerate(label.tolist()) if i != r]
 
 
-def links(distinct: DataFrame, radius: int, width: int, tile_rows: int = 1 << 18) -> DataFrame:
+def links(distinct: DataFrame, radius: int, width: int, tile_rows: int | None = None) -> DataFrame:
     """(a, b): a spanning set of the links between distinct fingerprints ``fp``.
 
     Tiles are bands of population counts, cut further by a hash where a band
-    has over ``tile_rows`` rows. Only the band sizes (at most 64 * width + 1
+    has over ``tile_rows`` rows, by default the fewer the wider fingerprints
+    are, so that a task's work stays about the same. Only the band sizes (at most 64 * width + 1
     rows) and no fingerprint reach the driver.
     """
     band = max(1, radius // 4)
+    tile_rows = tile_rows or min(1 << 18, (1 << 20) // width)
     bits = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * w + 1, 8)), 16, -10).cast("long")) for w in range(width)), F.lit(0))
     rows = materialize(distinct.select("fp", (F.floor(bits / band)).cast("int").alias("band")), "simhash-tiles")
     sizes = {r["band"]: r["count"] for r in rows.groupBy("band").count().collect()}
