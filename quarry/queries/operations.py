@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import metrics as M
 from ..operators import operations as O
 from ..operators import sequence as S
 from ..operators import vector as VO
+from ..operators import subtitles as U
 from ..sources import tables as T
+from ..sources.scratch import kept
+from ..streaming import terms
 from ..streaming import changes
 from . import Registry
 from . import vector as V
@@ -141,7 +145,7 @@ def html_sections(spark: SparkSession, sf: str) -> DataFrame:
     return S.html_sections(T.table(spark, sf, "pages"))
 
 
-@register(r"""WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), m AS (SELECT id, t, length(t) AS n FROM d WHERE length(t) > 0),
+TEXT_CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), m AS (SELECT id, t, length(t) AS n FROM d WHERE length(t) > 0),
 c(id, t, n, start, former) AS (SELECT id, t, n, 0, -1 FROM m
  UNION ALL SELECT id, t, n, greatest(f - 80, start + 1), f FROM (SELECT *, CASE
    WHEN contains(s, E'\n\n') THEN low + length(s) - instr(reverse(s), E'\n\n') - 1 WHEN contains(s, '. ') THEN low + length(s) - instr(reverse(s), ' .') - 1
@@ -149,11 +153,22 @@ c(id, t, n, start, former) AS (SELECT id, t, n, 0, -1 FROM m
   FROM (SELECT *, greatest(start, former + 1) AS low, substring(t, greatest(start, former + 1) + 1, start + 400 - greatest(start, former + 1)) AS s FROM c WHERE start + 400 < n) q) q2),
 ends AS (SELECT id, t, start, coalesce(lead(former) OVER (PARTITION BY id ORDER BY start), n) AS e FROM c WHERE start < n),
 x AS (SELECT id, start, regexp_replace(substring(t, start + 1, e - start), '^\s+|\s+$', '', 'g') AS text FROM ends)
-SELECT id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS chunk, start::BIGINT AS start, text FROM x WHERE text <> ''""")
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS chunk, start::BIGINT AS start, text FROM x WHERE text <> ''"""
+
+
+@register(TEXT_CHUNKS)
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return S.text_chunks(T.files(spark, sf).select(F.col("file_id").alias("id"), "text"))
 
 
+@register(TEXT_CHUNKS)
+def chunks_from_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same chunks by the table function, in SQL."""
+    tables.register(spark)
+    T.files(spark, sf).createOrReplaceTempView("chunked_files")
+    return spark.sql("SELECT f.file_id AS id, c.chunk, c.start, c.text FROM chunked_files f, LATERAL text_chunks(f.text) c")
+
+
 @register()
 def transcript_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Words of conversations, each lasting 0.3 seconds, as timed words."""
@@ -214,3 +229,26 @@ SELECT file_id, ts, round(1 - list_inner_product(x, y) / sqrt(list_inner_product
 def boundary_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.vectors(spark, sf).select(F.col("label").cast("long").alias("file_id"), F.col("id").cast("double").alias("ts"), "vector")
     return S.boundary_scores(rows).withColumn("score", F.round("score", 6))
+
+
+@register()
+def subtitle_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of conversations, each lasting 0.3 seconds, packed into cues and written as WebVTT."""
+    said = T.chunks(spark, sf).select("file_id", "chunk", F.posexplode(F.split("text", r"\s+")).alias("n", "word"))
+    start = F.col("chunk") * 60.0 + F.col("n") * 0.3
+    language = F.when(F.col("file_id") % 4 == 3, "ja").otherwise("en")
+    words = said.select("file_id", (F.col("chunk") * 100_000 + F.col("n")).alias("idx"), "word", start.alias("start"), (start + 0.3).alias("end"), language.alias("language"))
+    return U.webvtt(U.packed_cues(words))
+
+
+@register("""WITH u AS (SELECT (props->>'$.k')::BIGINT AS file_id, [2, 0, 1][event_id % 3 + 1]::BIGINT AS generation, event_type AS term FROM events)
+SELECT DISTINCT file_id, term FROM u QUALIFY generation = max(generation) OVER (PARTITION BY file_id)""")
+def term_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of files after three batches of updates, of which the first has the greatest generation and the second comes twice."""
+    rows = T.table(spark, sf, "events").select((F.col("event_id") % 3).alias("batch"), F.get_json_object("props", "$.k").cast("long").alias("file_id"), F.col("event_type").alias("term"))
+    generation = F.element_at(F.array(F.lit(2), F.lit(0), F.lit(1)), (F.col("batch") + 1).cast("int")).cast("long")
+    updates = rows.withColumn("generation", generation)
+    stored = spark.createDataFrame([], terms.TERMS)
+    for n in (0, 1, 2, 1):
+        stored = kept(terms.merged_terms(stored, updates.where(F.col("batch") == n)), "terms")
+    return terms.live_postings(stored)

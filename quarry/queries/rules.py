@@ -192,12 +192,11 @@ def ranked_scenes(spark: SparkSession, sf: str) -> DataFrame:
     return L.rank_scenes(frames.join(F.broadcast(query)), F.col("_query"))
 
 
-@register("SELECT doc_id AS id, translate(substring(text, 1, 40), 'abcdefg', 'あいうえおかき') AS hira, translate(substring(text, 1, 40), 'abcdefg', 'アイウエオカキ') AS kata FROM documents")
+@register("SELECT doc_id AS id, md5(translate(text, 'abcdefg', 'あいうえおかき')) AS hira, md5(translate(text, 'abcdefg', 'アイウエオカキ')) AS kata FROM documents")
 def kana_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Both kana forms of document beginnings whose letters a to g are written in the other kana."""
-    begin = F.substring("text", 1, 40)
-    hira, kata = F.translate(begin, "abcdefg", "あいうえおかき"), F.translate(begin, "abcdefg", "アイウエオカキ")
-    return T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.to_hiragana(kata).alias("hira"), X.to_katakana(hira).alias("kata"))
+    """Both kana forms of documents whose letters a to g are written in the other kana, as hashes."""
+    hira, kata = F.translate("text", "abcdefg", "あいうえおかき"), F.translate("text", "abcdefg", "アイウエオカキ")
+    return T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(X.to_hiragana(kata)).alias("hira"), F.md5(X.to_katakana(hira)).alias("kata"))
 
 
 @register(r"""WITH w AS (SELECT conv_id, turn, role, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS a FROM conversations),
