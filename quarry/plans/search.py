@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators import fusion, keyword, library, trigram, vector
 
 #: Channel weights of a search for recall (fixed values); for precision all are 1.
@@ -41,7 +42,7 @@ def channel_matches(queries: DataFrame, terms: DataFrame, vectors: DataFrame, fo
     """(channel, query_id, id, chunk, kind, score): what the six channels let through, a row for each vector or chunk.
 
     ``queries`` is (query_id, vector), ``terms`` (query_id, term, phrase),
-    ``vectors`` (vec_id, id, kind, vector), ``found`` and ``lengths`` a trigram
+    ``vectors`` (vec_id, id, kind, vector, and chunk if known), ``found`` and ``lengths`` a trigram
     index of the channels file, transcript, content and retrieval. Texts and
     pictures are guarded each in their way; words are scored over the best of
     their query and channel.
@@ -53,8 +54,9 @@ def channel_matches(queries: DataFrame, terms: DataFrame, vectors: DataFrame, fo
     texts = vector.guarded(vector.neighbours(queries, plain(~picture), k=candidates), floor, None if recall else gap, margin, flat=not recall)
     pictures = vector.guarded(vector.neighbours(queries, plain(picture), k=candidates), vector.CLIP_FLOOR, None, margin, flat=False)
     near = texts.withColumn("channel", F.lit("text")).unionByName(pictures.withColumn("channel", F.lit("clip")))
-    near = near.withColumnRenamed("id", "vec_id").join(vectors.select("vec_id", "id", "kind"), "vec_id")
-    near = near.select("channel", "query_id", "id", F.lit(None).cast("long").alias("chunk"), "kind", "score")
+    chunk = F.col("chunk") if "chunk" in vectors.columns else F.lit(None)
+    near = near.withColumnRenamed("id", "vec_id").join(vectors.select("vec_id", "id", "kind", chunk.cast("long").alias("chunk")), "vec_id")
+    near = near.select("channel", "query_id", "id", "chunk", "kind", "score")
     words = trigram.normalised(trigram.bm25(found, lengths, terms, candidates))
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in MATCH.items() for x in kv]), F.col("channel"))
     return near.unionByName(words.select("channel", "query_id", "id", "chunk", kind.alias("kind"), "score"))
@@ -87,6 +89,53 @@ def fused_channels(matches: DataFrame, recall: bool = False, required: DataFrame
     return vector.best(kept, "query_id", [F.desc(F.round("score", 9)), F.asc("id")], limit)
 
 
+def passages(matches: DataFrame, texts: DataFrame, terms: DataFrame, alpha: float = fusion.ALPHA) -> DataFrame:
+    """(query_id, id, place, chunk, score, keyword, text): one for each place that :func:`channel_matches` point at.
+
+    Transcripts are utterances, pictures scenes, contents texts; matches of no
+    chunk point at none. A place's score is alpha of its best weighted vector
+    and the rest of its best words, to four digits. ``texts`` is (place, id,
+    chunk, text); a place found by words shows its text from 40 characters
+    before the first term (query_id, phrase) if that is beyond the first 200.
+    """
+    kinds = {"whisper": "utterance", "transcript_keyword": "utterance", "clip": "scene", "text_content": "text", "text_content_keyword": "text"}
+    place = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("kind"))
+    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in fusion.TYPE_WEIGHTS.items() for x in kv]), F.col("kind")), F.lit(1.0))
+    by_vector = F.col("channel").isin("text", "clip")
+    rows = matches.withColumn("place", place).where("place is not null and chunk is not null")
+    one = rows.groupBy("query_id", "id", "place", "chunk").agg(F.max(F.when(by_vector, F.col("score") * weight)).alias("v"), F.max(F.when(~by_vector, F.col("score"))).alias("w"))
+    score = F.round(alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("w", F.lit(0.0)), 4)
+    asked = terms.groupBy("query_id").agg(F.collect_set(F.lower("phrase")).alias("terms"))
+    shown = one.join(texts, ["place", "id", "chunk"], "left").join(asked, "query_id", "left")
+    low = F.lower("text")
+    first = F.array_min(F.filter(F.transform("terms", lambda t: F.instr(low, t)), lambda at: at > 0))
+    start = F.greatest(first - 40, F.lit(1))
+    excerpt = F.concat(F.when(start > 1, "…").otherwise(""), F.col("text").substr(start, F.lit(200)), F.when(start + 199 < F.length("text"), "…").otherwise(""))
+    inside = F.exists("terms", lambda t: F.contains(F.substring(low, 1, 200), t))
+    text = F.when(F.col("place") == "scene", "").when(F.col("w").isNotNull() & ~F.coalesce(inside, F.lit(False)) & first.isNotNull(), excerpt).otherwise(F.substring("text", 1, 200))
+    return shown.select("query_id", "id", "place", "chunk", score.alias("score"), F.col("w").isNotNull().alias("keyword"), text.alias("text"))
+
+
+def shortlist(queries: DataFrame, summaries: DataFrame, files: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, id, score, rank, drive_files): the files whose summaries are nearest to each query (query_id, drive, vector) in its drive.
+
+    ``summaries`` is (vec_id, id, drive, vector), ``files`` (id, drive); a file
+    counts by its best summary. ``drive_files`` is how many files the drive has.
+    """
+    rows = summaries.select(F.col("vec_id").alias("id"), F.col("id").alias("file"), "drive", "vector")
+    near = vector.neighbours(queries, rows, same="drive", group="file", k=top_k)
+    ranked = vector.best(near, "query_id", [F.desc("score"), F.asc("id")], top_k, rank="rank")
+    sizes = files.groupBy("drive").agg(F.count_distinct("id").alias("drive_files"))
+    return ranked.join(queries.select("query_id", "drive"), "query_id").join(sizes, "drive").select("query_id", "id", "score", "rank", "drive_files")
+
+
+def chunks_within(queries: DataFrame, listed: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, chunk, score): the ``n`` chunks nearest to a query in each file of its shortlist (query_id, id); rows are (id, chunk, vector)."""
+    pairs = listed.select("query_id", "id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").join(rows, "id")
+    scored = pairs.select("query_id", "id", "chunk", V.dot(V.doubles("_q"), V.doubles("vector")).alias("score"))
+    return vector.best(scored, ["query_id", "id"], [F.desc(F.round("score", 9)), F.asc("chunk")], n)
+
+
 def merge_clues(lists: DataFrame, top_k: int) -> DataFrame:
     """(query_id, id, score): the result lists of a query's clues (query_id, clue, id, score) fused by rank.
 

@@ -45,7 +45,7 @@ def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Five vectors for each file."""
-    return T.vectors(spark, sf).select(F.col("id").alias("vec_id"), F.floor(F.col("id") / 5).alias("id"), "kind", "vector")
+    return T.vectors(spark, sf).select(F.col("id").alias("vec_id"), F.floor(F.col("id") / 5).alias("id"), "kind", "vector", (F.col("id") % 5).alias("chunk"))
 
 
 def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +95,7 @@ sims AS (SELECT b.item_id AS query_id, x.vec_id, x.id, x.kind, CASE WHEN x.kind
 near50 AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY channel, query_id ORDER BY score DESC, vec_id) <= 50),
 level AS (SELECT *, max(score) OVER w AS top, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS dev, count(*) OVER w AS n FROM near50 WINDOW w AS (PARTITION BY channel, query_id)),
 open_ AS (SELECT * FROM level WHERE CASE WHEN channel = 'clip' THEN score >= 0.05 ELSE score >= {FLOOR}{guard} END),
-near AS (SELECT channel, query_id, id, NULL::BIGINT AS chunk, kind, score FROM open_ QUALIFY score >= max(score) OVER (PARTITION BY channel, query_id) - {margin}),
+near AS (SELECT channel, query_id, id, vec_id % 5 AS chunk, kind, score FROM open_ QUALIFY score >= max(score) OVER (PARTITION BY channel, query_id) - {margin}),
 m AS (SELECT * FROM near UNION ALL SELECT * FROM said),
 types AS (SELECT query_id, id, list_sort(list(DISTINCT kind)) AS types FROM m GROUP BY query_id, id)"""
 
@@ -215,3 +215,54 @@ def find_similar(spark: SparkSession, sf: str) -> DataFrame:
     bags = KO.top_terms(K._weights(spark, sf), 10).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("words"))
     found = L.find_similar(sources, vectors, bags, floor=0.05, margin=0.15)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "match_type", *[F.round(c, 6).alias(c) for c in ("primary_score", "secondary_score")], F.array_join("shared", " ").alias("shared"))
+
+
+@register(_matches(False) + """,
+placed AS (SELECT query_id, id, chunk, CASE kind WHEN 'clip' THEN 'scene' WHEN 'transcript_keyword' THEN 'utterance' WHEN 'text_content' THEN 'text' WHEN 'text_content_keyword' THEN 'text' END AS place,
+  CASE WHEN channel IN ('text', 'clip') THEN score * CASE kind WHEN 'text_content' THEN 0.9 ELSE 1.0 END END AS v, CASE WHEN channel NOT IN ('text', 'clip') THEN score END AS w FROM m),
+one AS (SELECT query_id, id, place, chunk, max(v) AS v, max(w) AS w FROM placed WHERE place IS NOT NULL GROUP BY ALL),
+tx AS (SELECT 'text' AS place, id, chunk, content AS text FROM line WHERE content <> '' UNION ALL SELECT 'utterance', conv_id, turn, text FROM conversations),
+q AS (SELECT query_id, list(DISTINCT phrase) AS terms FROM terms GROUP BY query_id),
+j AS (SELECT one.*, tx.text, list_min(list_filter(list_transform(terms, lambda t: instr(lower(tx.text), t)), lambda a: a > 0)) AS at_, len(list_filter(terms, lambda t: contains(lower(left(tx.text, 200)), t))) > 0 AS inside FROM one LEFT JOIN tx USING (place, id, chunk) LEFT JOIN q USING (query_id))
+SELECT query_id, id, place, chunk, round(0.7 * coalesce(v, 0) + (1 - 0.7) * coalesce(w, 0), 4) AS score, w IS NOT NULL AS keyword,
+  md5(CASE WHEN place = 'scene' THEN '' WHEN w IS NOT NULL AND NOT inside AND at_ IS NOT NULL THEN concat(CASE WHEN at_ > 41 THEN '…' ELSE '' END, substring(text, greatest(at_ - 40, 1), 200), CASE WHEN greatest(at_ - 40, 1) + 199 < length(text) THEN '…' ELSE '' END) ELSE left(text, 200) END) AS text FROM j""")
+def search_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """The places that all six channels point at."""
+    queries, terms = _asked(spark, sf)
+    rows = kept(_rows(spark, sf), "channel-rows")
+    found, lengths = kept(trigram.dealt(trigram.index(rows)), "trigrams"), kept(trigram.sizes(rows), "trigram-sizes")
+    matches = P.channel_matches(queries, terms, _vectors(spark, sf), found, lengths, floor=FLOOR, gap=GAP)
+    place = F.when(F.col("channel") == "content", "text").when(F.col("channel") == "transcript", "utterance")
+    texts = rows.select(place.alias("place"), "id", "chunk", F.element_at("fields", -1).alias("text")).where("place is not null")
+    return P.passages(matches, texts, terms).withColumn("text", F.md5("text"))
+
+
+def _scoped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries with their drive, vectors of summaries, and of chunks: every fiftieth vector asks its file's drive, of which there are four."""
+    rows = _vectors(spark, sf).withColumn("drive", F.col("id") % 4)
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "drive", "vector")
+    return queries, rows.where("kind = 'metadata'"), rows.where("kind <> 'metadata'")
+
+
+SCOPED = """WITH v AS (SELECT vec_id, vec_id // 5 AS id, vec_id % 5 AS chunk, (vec_id // 5) % 4 AS drive, embedding::DOUBLE[] AS v, label % 3 = 0 AS summary FROM embeddings),
+q AS (SELECT vec_id AS query_id, drive, v FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, r.id, max(list_inner_product(q.v, r.v)) AS score FROM q JOIN v r ON r.summary AND r.drive = q.drive GROUP BY query_id, r.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 8),
+n AS (SELECT drive, count(DISTINCT id) AS drive_files FROM v GROUP BY drive)"""
+
+
+@register(SCOPED + " SELECT query_id, id, round(score, 6) AS score, rank, drive_files FROM k JOIN q USING (query_id) JOIN n USING (drive)")
+def coarse_shortlist(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight files of its drive whose summaries are nearest to each query."""
+    queries, summaries, _ = _scoped(spark, sf)
+    listed = P.shortlist(queries, summaries, _vectors(spark, sf).select("id", (F.col("id") % 4).alias("drive")), 8)
+    return listed.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "drive_files")
+
+
+@register(SCOPED + """, c AS (SELECT query_id, r.id, r.chunk, list_inner_product(q.v, r.v) AS score FROM k JOIN q USING (query_id) JOIN v r ON r.id = k.id AND NOT r.summary)
+SELECT query_id, id, chunk, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY round(score, 9) DESC, chunk) <= 2""")
+def hierarchical_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The two nearest chunks in each file of the shortlist."""
+    queries, summaries, chunks = _scoped(spark, sf)
+    listed = P.shortlist(queries, summaries, chunks.select("id", "drive"), 8)
+    return P.chunks_within(queries, listed, chunks.select("id", "chunk", "vector"), 2).withColumn("score", F.round("score", 6))
