@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Citation gates and window sizes (fixed values).
 THRESHOLD, MARGIN_GATE, SURE, SPREAD, SPREAD_CHUNKS = 0.55, 0.05, 0.75, 0.3, 50
@@ -153,3 +155,41 @@ def in_list_ranks(dense: DataFrame, ranks: DataFrame, k: int = 60, most: int = 3
     fused = 1 / (k + F.col("_d")) + F.coalesce(1 / (k + F.col("rank")), F.lit(0.0))
     rows = rows.withColumn("_n", F.row_number().over(own.orderBy(F.desc(F.round(fused, 12)), F.asc("chunk"))))
     return rows.where(F.col("_n") <= most).select("file_id", "segment", "chunk", "score")
+
+
+@F.pandas_udf(StringType())
+def json_strings(text: pd.Series) -> pd.Series:
+    """The strings of over two characters anywhere in a JSON text, in order, as one; what is no JSON stays as it is."""
+
+    def strings(x: object) -> Iterator[str]:
+        open_ = [x]  # a stack, so that depth is no limit
+        while open_:
+            x = open_.pop()
+            if isinstance(x, str) and len(x) > 2:
+                yield x
+            elif isinstance(x, (dict, list)):
+                open_ += reversed(list(x.values()) if isinstance(x, dict) else x)
+
+    def one(t: str) -> str:
+        try:
+            return " ".join(strings(json.loads(t)))
+        except (ValueError, RecursionError):
+            return t
+
+    return text.map(one, na_action="ignore")
+
+
+def cleaned(text: Column, suffix: Column) -> Column:
+    """The words of a file of the suffix .srt, .vtt, .csv or .json; others stay as they are.
+
+    Subtitles lose numbers, times, headers and tags; cells of a table go on one
+    line each row, without quotes and blank ones.
+    """
+    lines = F.transform(F.split(F.trim(text), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    spoken = lambda drop: F.array_join(F.filter(F.transform(F.filter(lines, lambda x: (x != "") & ~F.regexp_like(x, F.lit(drop))), lambda x: F.regexp_replace(x, "<[^>]+>", "")), lambda x: x != ""), " ")
+    srt = spoken(r"^\d+$|^\d{2}:\d{2}:\d{2},\d{3}\s*-->")
+    vtt = spoken(r"^\d+$|^WEBVTT|^NOTE|^\d{2}:\d{2}:\d{2}\.\d{3}\s*-->")
+    cells = lambda x: F.array_join(F.transform(F.filter(F.split(x, ","), lambda c: F.trim(c) != ""), lambda c: F.regexp_replace(F.trim(c), '^"+|"+$', "")), " ")
+    csv = F.array_join(F.transform(F.filter(lines, lambda x: F.regexp_replace(x, r"[,\s]", "") != ""), cells), "\n")
+    low = F.lower(suffix)
+    return F.when(low == ".srt", srt).when(low == ".vtt", vtt).when(low == ".csv", csv).when(low == ".json", json_strings(text)).otherwise(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import documents as D
 from ..operators import snippets as O
 from ..sources import tables as T
 from . import Registry
@@ -107,3 +108,21 @@ def spans_apart(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.table(spark, sf, "events").select("user_id", "event_id", (-F.col("value")).alias("after"), start.alias("start"), (start + 600 * F.col("value")).alias("end"))
     top = best(rows, "user_id", [F.asc("after"), F.asc("event_id")], 12)
     return O.apart(top, "user_id", ["after", "event_id"], "start", "end").select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@register(r"""WITH l AS (SELECT doc_id AS id, doc_id % 4 AS k, source, string_split(text, chr(10)) AS l FROM documents),
+t AS (SELECT *, list_filter(list_transform(l, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS fl FROM l)
+SELECT id, md5(CASE k WHEN 3 THEN array_to_string(list_filter(list_concat([source], l), lambda x: length(x) > 2), ' ')
+  WHEN 2 THEN array_to_string(list_filter([array_to_string([ltrim(rtrim(trim(c, ' '), chr(34)), chr(34)) for c in string_split(x, ',') if trim(c, ' ') <> ''], ' ') for x in fl], lambda x: regexp_replace(x, '\s', '', 'g') <> ''), chr(10))
+  ELSE array_to_string(list_filter(list_transform(list_filter(fl, lambda x: NOT regexp_matches(x, '^\d+$')), lambda x: regexp_replace(x, '<[^>]+>', '', 'g')), lambda x: x <> ''), ' ') END) AS text FROM t""")
+def cleaned_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as subtitle, table and JSON files, and their words again."""
+    lines = F.split("text", "\n")
+    cue = lambda stamp: lambda x, i: F.concat(F.lit("\n"), (i + 1).cast("string"), F.lit(f"\n{stamp}\n<i>"), x, F.lit("</i>\n"))
+    srt = F.array_join(F.transform(lines, cue("00:00:01,000 --> 00:00:02,000")), "")
+    vtt = F.concat(F.lit("WEBVTT\n\nNOTE made up\n"), F.array_join(F.transform(lines, cue("00:00:01.000 --> 00:00:02.000 align:start")), ""))
+    made = F.when(F.col("doc_id") % 4 == 0, srt).when(F.col("doc_id") % 4 == 1, vtt).when(F.col("doc_id") % 4 == 2, F.col("text"))
+    made = made.otherwise(F.to_json(F.struct("lang", "source", F.col("n_chars").alias("n"), F.struct(lines.alias("lines")).alias("body"))))
+    suffix = F.element_at(F.array(*map(F.lit, (".srt", ".VTT", ".csv", ".json"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), made.alias("made"), suffix.alias("suffix"))
+    return rows.select("id", F.md5(D.cleaned(F.col("made"), F.col("suffix"))).alias("text"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import filters, keyword, metrics, snippets, vector
+from quarry.operators import documents, filters, keyword, metrics, snippets, vector
 
 
 def test_folded_forms(spark):
@@ -47,3 +47,20 @@ def test_segments_end_at_the_next_frame_or_the_end_of_the_file(spark):
     assert vector.required_seeds(3) == 1 and vector.required_seeds(2000) == 50 and vector.required_seeds(9000) == 90 and vector.required_seeds(10**6) == 4096
     best = vector.seeded_segments(df, files=1, durations=ends).collect()
     assert [(r.file_id, r.start) for r in best] == [(1, 300.0)]
+
+
+def test_cleaned_files(spark):
+    deep = "[" * 4000 + '"deep"' + "]" * 4000
+    rows = [
+        (".srt", "1\n00:00:01,000 --> 00:00:02,000\n<i>Hello</i>\n\n2\n00:00:03,000 --> 00:00:04,000\n there \n<b></b>", "Hello there"),
+        (".VTT", "WEBVTT\n\nNOTE x\n\n1\n00:00:01.000 --> 00:00:02.000 align:start\nHi", "Hi"),
+        (".csv", 'a,"b", ,c\n , \n"d"', "a b c\nd"),
+        (".json", '{"a": ["xyz", {"b": "long one"}, 5, "no"], "c": null, "d": "end"}', "xyz long one end"),
+        (".json", "{broken", "{broken"),
+        (".txt", " as it is ", " as it is "),
+        (".json", None, None),
+    ]
+    df = spark.createDataFrame([(s, t) for s, t, _ in rows], "s string, t string")
+    assert [r.c for r in df.select(documents.cleaned(F.col("t"), F.col("s")).alias("c")).collect()] == [w for _, _, w in rows]
+    got = spark.createDataFrame([(".json", deep)], "s string, t string").select(documents.cleaned(F.col("t"), F.col("s")).alias("c")).first().c
+    assert got in ("deep", deep)
