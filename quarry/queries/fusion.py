@@ -130,7 +130,13 @@ def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return O.passage_overlap(_passages(spark, sf)).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@register()
+@register(SHINGLED.strip().replace("WITH", "WITH RECURSIVE", 1).rpartition("SELECT query_id, a, b, round(")[0].rstrip() + """,
+cl AS (SELECT query_id, a, b FROM ov JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE both_ / (na.n + nb.n - both_) >= 0.6),
+nb AS (SELECT query_id, id, list(y) AS ys FROM (SELECT query_id, a AS id, b AS y FROM cl UNION ALL SELECT query_id, b, a FROM cl) GROUP BY query_id, id),
+o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM t20 JOIN d USING (id)),
+acc AS (SELECT DISTINCT query_id, 0::BIGINT AS r, []::BIGINT[] AS taken FROM o
+ UNION ALL SELECT a.query_id, o.r, CASE WHEN list_has_any(a.taken, coalesce(nb.ys, []::BIGINT[])) THEN a.taken ELSE list_append(a.taken, o.id) END FROM acc a JOIN o ON o.query_id = a.query_id AND o.r = a.r + 1 LEFT JOIN nb ON nb.query_id = o.query_id AND nb.id = o.id)
+SELECT query_id, unnest(taken) AS id FROM (SELECT * FROM acc QUALIFY r = max(r) OVER (PARTITION BY query_id))""")
 def near_dup_accepted(spark: SparkSession, sf: str) -> DataFrame:
     rows = _passages(spark, sf)
     return O.accept_distinct(rows, O.passage_overlap(rows))
@@ -151,7 +157,10 @@ def tag_merge_priority(spark: SparkSession, sf: str) -> DataFrame:
     return O.merge_tags(tags, have, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register()
+@register("""WITH RECURSIVE o AS (SELECT conv_id, turn AS chunk, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY len(string_split(text, ' ')) DESC, turn) AS r FROM conversations),
+acc AS (SELECT DISTINCT conv_id, 0::BIGINT AS r, 1000::BIGINT AS room, []::BIGINT[] AS taken FROM o
+ UNION ALL SELECT a.conv_id, o.r, CASE WHEN o.size <= room THEN room - o.size ELSE room END, CASE WHEN o.size <= room THEN list_append(taken, o.chunk) ELSE taken END FROM acc a JOIN o ON o.conv_id = a.conv_id AND o.r = a.r + 1)
+SELECT conv_id, unnest(taken) AS chunk FROM (SELECT * FROM acc QUALIFY r = max(r) OVER (PARTITION BY conv_id))""")
 def material_fill(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.chunks(spark, sf).select(F.col("file_id").alias("conv_id"), "chunk", F.length("text").alias("size"), F.size(F.split("text", " ")).cast("double").alias("score"))
     return O.skip_fill(rows, "conv_id", 1000)

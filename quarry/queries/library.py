@@ -107,14 +107,15 @@ def citation_validation(spark: SparkSession, sf: str) -> DataFrame:
     return O.valid_citations(rows, got)
 
 
-@register()
+@register(K.WORDS.rstrip().rstrip(",") + " SELECT term, lower(strip_accents(term)) AS normal, count(*) AS files FROM tf GROUP BY term")
 def normalised_tokens(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.files(spark, sf).select(F.col("file_id").alias("id"), F.explode(F.array_distinct(K._unicode_words(F.col("text")))).alias("term"))
     terms = rows.groupBy("term").agg(F.count("*").alias("files"))
     return terms.select("term", O.normalise_token("term").alias("normal"), "files")
 
 
-@register()
+@register("""WITH k AS (SELECT user_id, event_type, count(*) AS n, max(ts)::VARCHAR AS last FROM events GROUP BY user_id, event_type)
+SELECT user_id, sha256('[' || string_agg('{"event_type":"' || event_type || '","n":' || n || ',"last":"' || last || '"}', ',' ORDER BY event_type) || ']') AS stamp FROM k GROUP BY user_id""")
 def arrival_stamps(spark: SparkSession, sf: str) -> DataFrame:
     return O.arrival_stamp(T.table(spark, sf, "events"), "user_id", "event_type", "ts")
 
