@@ -56,21 +56,64 @@ def cluster_lanes(history: DataFrame, clusters: DataFrame) -> DataFrame:
     return weights.select("viewer", F.col("lane").alias("cluster"), "weight", F.row_number().over(order).alias("position"))
 
 
-def replay(plays: DataFrame, cuts: DataFrame, ranked: DataFrame, hours: float, depth: int) -> DataFrame:
-    """(viewer, cut, targets, hits, recall, hit) of feeds ``ranked`` (viewer, cut, file_id, position) against what is played in the hours after each cut.
+def played_after(plays: DataFrame, cuts: DataFrame, hours: float) -> DataFrame:
+    """(viewer, cut, file_id): what a viewer of ``plays`` (viewer, file_id, t) plays in the hours after each of ``cuts`` (viewer, cut).
 
-    ``plays`` is (viewer, file_id, t) and ``cuts`` (viewer, cut), times in
-    hours. A cut's targets are found by the blocks of ``hours`` that it and the
-    next one make, not by all pairs of a viewer.
+    Found by the blocks of ``hours`` that a cut and the next one make, not by
+    all pairs of a viewer.
     """
     spread = cuts.select("viewer", "cut", F.explode(F.array(F.floor(F.col("cut") / hours), F.floor(F.col("cut") / hours) + 1)).alias("block"))
     near = plays.withColumn("block", F.floor(F.col("t") / hours)).join(spread, ["viewer", "block"])
-    targets = near.where((F.col("t") >= F.col("cut")) & (F.col("t") < F.col("cut") + hours)).select("viewer", "cut", "file_id").distinct()
+    return near.where((F.col("t") >= F.col("cut")) & (F.col("t") < F.col("cut") + hours)).select("viewer", "cut", "file_id").distinct()
+
+
+def replay(plays: DataFrame, cuts: DataFrame, ranked: DataFrame, hours: float, depth: int) -> DataFrame:
+    """(viewer, cut, targets, hits, recall, hit) of feeds ``ranked`` (viewer, cut, file_id, position) against what is played in the hours after each cut.
+
+    ``plays`` is (viewer, file_id, t) and ``cuts`` (viewer, cut), times in hours.
+    """
+    targets = played_after(plays, cuts, hours)
     found = targets.join(ranked.where(F.col("position") <= depth).select("viewer", "cut", "file_id", F.lit(1).alias("found")), ["viewer", "cut", "file_id"], "left")
     sums = found.groupBy("viewer", "cut").agg(F.count("*").alias("targets"), F.count("found").alias("hits"))
     return sums.select("viewer", "cut", "targets", "hits", (F.col("hits") / F.col("targets")).alias("recall"), (F.col("hits") > 0).alias("hit"))
 
 
+def rankings(plays: DataFrame, cuts: DataFrame, half_lives: list[float]) -> DataFrame:
+    """(config, viewer, cut, file_id, position) of what a viewer played before each cut, in several orders.
+
+    ``newest`` has the last played first; ``random`` is a shuffle that viewer
+    and cut seed, so that it comes out alike every time; ``fresh_<h>`` adds
+    plays up, each halved every h days. ``plays`` is (viewer, file_id, t) and
+    ``cuts`` (viewer, cut), in hours.
+    """
+    before = plays.join(cuts, "viewer").where(F.col("t") < F.col("cut"))
+    fresh = [F.round(F.sum(F.pow(F.lit(0.5), (F.col("cut") - F.col("t")) / (24 * h))), 9).alias(f"fresh_{h:g}") for h in half_lives]
+    rows = before.groupBy("viewer", "cut", "file_id").agg(F.max("t").alias("newest"), *fresh)
+    seeded = F.md5(F.concat_ws("|", F.col("viewer").cast("string"), F.round("cut").cast("long").cast("string"), F.col("file_id").cast("string")))
+    rows = rows.withColumn("random", seeded)
+    own = Window.partitionBy("viewer", "cut")
+    configs = ["newest", "random", *[f"fresh_{h:g}" for h in half_lives]]
+    rows = rows.select("viewer", "cut", "file_id", *[F.row_number().over(own.orderBy(F.desc(c), F.asc("file_id"))).alias(c) for c in configs])
+    orders = F.array(*[F.struct(F.lit(c).alias("config"), F.col(c).alias("position")) for c in configs])
+    return rows.select("viewer", "cut", "file_id", F.explode(orders).alias("x")).select("x.config", "viewer", "cut", "file_id", "x.position")
+
+
+def replay_report(plays: DataFrame, cuts: DataFrame, ranked: DataFrame, hours: float, depths: tuple[int, int] = (12, 40)) -> DataFrame:
+    """(config, cuts, targets, recall_a, recall_b, hit) of :func:`rankings` over all viewers.
+
+    A cut without plays in the hours after it is left out; recalls at the two
+    depths and hits at the greater are means over cuts.
+    """
+    wanted = played_after(plays, cuts, hours)
+    own = wanted.groupBy("viewer", "cut").agg(F.count("*").alias("targets"))
+    met = wanted.join(ranked.where(F.col("position") <= depths[1]), ["viewer", "cut", "file_id"])
+    hits = met.groupBy("config", "viewer", "cut").agg(F.count_if(F.col("position") <= depths[0]).alias("a"), F.count("*").alias("b"))
+    configs = [r.config for r in ranked.select("config").distinct().orderBy("config").collect()]
+    all_ = own.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]).cast("array<string>"))).join(hits, ["config", "viewer", "cut"], "left")
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(0)) / F.col("targets"))
+    return all_.groupBy("config").agg(F.count("*").alias("cuts"), F.sum("targets").alias("targets"), rate("a").alias("recall_a"), rate("b").alias("recall_b"), F.avg((F.coalesce("b", F.lit(0)) > 0).cast("double")).alias("hit"))
+
+
 def freshness(age_days: Column, half_life: float = FRESH_HALF_LIFE, floor: float = FRESH_FLOOR) -> Column:
     """floor + (1 - floor) halved every ``half_life`` days; the floor for an unknown age or one over a day ahead."""
     decayed = floor + (1 - floor) * F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / half_life)

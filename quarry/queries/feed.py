@@ -122,3 +122,26 @@ def time_ranges_history(spark: SparkSession, sf: str) -> DataFrame:
         one = events.where((F.col("ts") >= after) & (F.col("ts") < before)).groupBy("user_id").agg(F.count("*").alias("viewed")).select(F.lit(name).alias("name"), "user_id", "viewed")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@register("""WITH p AS (SELECT user_id AS viewer, (props->>'$.k')::BIGINT AS file_id, epoch_us(ts) / 3.6e9 - 473352 AS t FROM events),
+c AS (SELECT DISTINCT viewer, 24.0 * d AS cut FROM p, (SELECT unnest(range(2, 30, 4)) AS d)),
+b AS (SELECT c.viewer, cut, file_id, max(t) AS newest, md5(c.viewer || '|' || round(cut)::BIGINT || '|' || file_id) AS random, round(sum(power(0.5, (cut - t) / 24)), 9) AS f1, round(sum(power(0.5, (cut - t) / 168)), 9) AS f7, round(sum(power(0.5, (cut - t) / 720)), 9) AS f30
+  FROM c JOIN p ON p.viewer = c.viewer AND p.t < cut GROUP BY c.viewer, cut, file_id),
+r AS (SELECT 'newest' AS config, viewer, cut, file_id, row_number() OVER (PARTITION BY viewer, cut ORDER BY newest DESC, file_id) AS position FROM b
+  UNION ALL SELECT 'random', viewer, cut, file_id, row_number() OVER (PARTITION BY viewer, cut ORDER BY random DESC, file_id) FROM b
+  UNION ALL SELECT 'fresh_1', viewer, cut, file_id, row_number() OVER (PARTITION BY viewer, cut ORDER BY f1 DESC, file_id) FROM b
+  UNION ALL SELECT 'fresh_7', viewer, cut, file_id, row_number() OVER (PARTITION BY viewer, cut ORDER BY f7 DESC, file_id) FROM b
+  UNION ALL SELECT 'fresh_30', viewer, cut, file_id, row_number() OVER (PARTITION BY viewer, cut ORDER BY f30 DESC, file_id) FROM b),
+w AS (SELECT DISTINCT c.viewer, cut, file_id FROM c JOIN p ON p.viewer = c.viewer AND p.t >= cut AND p.t < cut + 48),
+g AS (SELECT viewer, cut, count(*) AS targets FROM w GROUP BY ALL),
+h AS (SELECT config, viewer, cut, count(*) FILTER (position <= 12) AS a, count(*) FILTER (position <= 40) AS b FROM w JOIN r USING (viewer, cut, file_id) GROUP BY ALL)
+SELECT k.config, count(*) AS cuts, sum(targets)::BIGINT AS targets, round(avg(coalesce(a, 0) / targets), 6) AS recall_12, round(avg(coalesce(h.b, 0) / targets), 6) AS recall_40, round(avg((coalesce(h.b, 0) > 0)::INT), 6) AS hit_40
+FROM g, (SELECT DISTINCT config FROM r) k LEFT JOIN h ON h.config = k.config AND h.viewer = g.viewer AND h.cut = g.cut GROUP BY k.config""")
+def replay_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of what viewers played before, replayed at cuts four days apart: the newest first, at random, and by freshness of three half-lives."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 - 473352
+    plays = T.plays(spark, sf).select("viewer", "file_id", t.alias("t"))
+    cuts = plays.select("viewer").distinct().select("viewer", F.explode(F.array(*[F.lit(24.0 * d) for d in range(2, 30, 4)])).alias("cut"))
+    found = O.replay_report(plays, cuts, O.rankings(plays, cuts, [1, 7, 30]), 48.0)
+    return found.select("config", "cuts", "targets", F.round("recall_a", 6).alias("recall_12"), F.round("recall_b", 6).alias("recall_40"), F.round("hit", 6).alias("hit_40"))
