@@ -68,9 +68,13 @@ def added_up(keys: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def task_counts(
-    batches: Iterator[pa.RecordBatch], n: int, prepare: Callable[[str | None], bytes], flagged: bool, most: int
+    batches: Iterator[pa.RecordBatch], n: int, prepare: Callable[[str | None], bytes], flagged: bool, most: int, classify: Callable[[str | None], int] | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, numbers) of the n-grams of a task's texts, at most ``most`` and those of one piece at a time."""
+    """(keys, numbers) of the n-grams of a task's texts, at most ``most`` and those of one piece at a time.
+
+    A key is the n-gram; twice it plus the text's flag; or, with ``classify``,
+    four times it plus the text's class, 0 to 3.
+    """
     raw: list[np.ndarray] = []
     parts: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -83,10 +87,10 @@ def task_counts(
             parts[:] = [added_up(*(np.concatenate(x) for x in zip(*parts)))]
 
     for got in (b.slice(at, 1000).to_pydict() for b in batches for at in range(0, b.num_rows, 1000)):
-        flags = np.array(got["flag"], np.uint64) if flagged else None
+        flags = np.array([classify(t) for t in got["text"]] if classify else got["flag"] if flagged else [], np.uint64)
         for buffer, rows, grams in pieces([prepare(t) for t in got["text"]], n):
             keys = codes(buffer, grams, n)
-            raw.append((keys << np.uint64(1)) | np.repeat(flags[rows], grams) if flagged else keys)
+            raw.append((keys << np.uint64(2 if classify else 1)) | np.repeat(flags[rows], grams) if len(flags) else keys)
             if sum(map(len, raw)) > most:
                 fold()
                 if len(parts[0][0]) > most // 2:
@@ -108,18 +112,18 @@ def count(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most:
     return sums.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))
 
 
-def count_folds(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most: int = 2_000_000) -> DataFrame:
-    """(code, n0, n1) over all rows of ``docs`` (text, flag): how often where the boolean flag is not set, and where it is."""
+def count_classes(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], classify: Callable[[str | None], int], most: int = 2_000_000) -> DataFrame:
+    """(code, n, n0, n1) over all rows of ``docs`` (text): how often in all, in texts of class 1, and in those of class 2."""
     schema = "key long, n long"
     target = pa_schema(schema, docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sums in task_counts(batches, n, prepare, True, most):
+        for keys, sums in task_counts(batches, n, prepare, False, most, classify):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums.astype(np.int64))], schema=target)
 
-    sums = docs.select(F.col("text").cast("string"), F.col("flag").cast("boolean")).mapInArrow(run, schema)
-    of = lambda flag: F.sum(F.when(F.col("key") % 2 == flag, F.col("n")).otherwise(0))
-    return sums.groupBy(F.shiftright("key", 1).alias("code")).agg(of(0).alias("n0"), of(1).alias("n1"))
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, schema)
+    of = lambda k: F.sum(F.when(F.col("key") % 4 == k, F.col("n")).otherwise(0))
+    return sums.groupBy(F.shiftright("key", 2).alias("code")).agg(F.sum("n").alias("n"), of(1).alias("n0"), of(2).alias("n1"))
 
 
 #: Parts that packed counts are dealt to.

@@ -133,10 +133,9 @@ def trains(raw: bytes) -> bool:
     return len(raw.split()) >= TRAINING_WORDS and share(SYMBOLS) <= TRAINING_SYMBOLS and share(CAPITALS) <= TRAINING_CAPITALS
 
 
-def _folds(part: dict) -> dict:
-    """The texts that train a model, those that do not as none, and which of the two models."""
-    texts = [t if t and trains(t.encode()) else None for t in part["text"]]
-    return {"text": texts, "flag": [bool(t and sketch(t) & 1) for t in texts]}
+def training_class(text: str | None) -> int:
+    """1 or 2 for the model that a text trains, 0 if it trains none."""
+    return 1 + (sketch(text) & 1) if text and trains(text.encode()) else 0
 
 
 def quality(docs: DataFrame, width: float = 7.0, short: float = 150.0, order: int = ORDER, most_broadcast: int = 1 << 20, least: float = 0.03, below: float = 2.0) -> DataFrame:
@@ -160,11 +159,8 @@ def quality(docs: DataFrame, width: float = 7.0, short: float = 150.0, order: in
     doc_id, kind = doc_ids(docs)
     base = docs.select(doc_id, F.col("text").cast("string"), F.col("lang").cast("string"))
     encode = lambda t: (t or "").encode()
-    known = grams.count(base, order, encode).withColumnRenamed("n", "all")
-    trained = grams.count_folds(by_batch(base.select("text"), _folds, "text string, flag boolean").where("text is not null"), order, encode)
-    table = known.join(trained, "code", "left").select("code", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("all", "n0", "n1")])
-    table = materialize(table, "kn-counts")
-    model = kneser_ney(table, order, ("n0", "n1")).join(table.select("code", F.col("all").alias("n")), "code")
+    table = materialize(grams.count_classes(base, order, encode, training_class), "kn-counts")
+    model = kneser_ney(table, order, ("n0", "n1")).join(table.select("code", "n"), "code")
     hot, rest = grams.split_by_count(materialize(model, "kn-model"), most_broadcast, ("value", "value1"))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     models: list[grams.HashArray] = []  # one for each task
