@@ -227,3 +227,48 @@ def html_sections(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "section", "level", "title", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, section long, level long, title string, text string")
+
+
+def chapter_windows(chunks: DataFrame, budget: int) -> DataFrame:
+    """(file_id, window, text): lines ``[start-end] text`` of chunks (file_id, chunk, start, end, text), in windows of up to ``budget`` characters.
+
+    A text that does not fit goes on in lines of its own with the same times; a
+    null or blank one is an empty line. Only lengths go to Python, a file's at a
+    time.
+    """
+    prefix = F.format_string("[%.3f-%.3f] ", F.col("start").cast("double"), F.col("end").cast("double"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    room = F.greatest(budget - F.length("prefix"), F.lit(1))
+    rows = chunks.select("file_id", "chunk", prefix.alias("prefix"), plain.alias("plain"))
+    begins = F.when(F.length("plain") > 0, F.sequence(F.lit(1), F.length("plain"), room)).otherwise(F.array(F.lit(1)))
+    rows = rows.select("file_id", "chunk", "prefix", "plain", room.alias("room"), F.posexplode(begins).alias("part", "at"))
+    lines = rows.select("file_id", "chunk", "part", F.concat("prefix", F.substring("plain", F.col("at"), F.col("room"))).alias("line"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["chunk", "part"])
+        window, used, out = 0, 0, []
+        for n in pdf["n"]:
+            if used and used + 1 + n > budget:
+                window, used = window + 1, 0
+            used += n + (used > 0)
+            out.append(window)
+        return pdf.assign(window=out)[["file_id", "chunk", "part", "window"]]
+
+    kinds = dict(chunks.dtypes)
+    sized = lines.select("file_id", "chunk", "part", F.length("line").alias("n"))
+    placed = sized.groupBy("file_id").applyInPandas(pack, f"file_id {kinds['file_id']}, chunk {kinds['chunk']}, part int, window long")
+    whole = lines.join(placed, ["file_id", "chunk", "part"]).groupBy("file_id", "window").agg(F.sort_array(F.collect_list(F.struct("chunk", "part", "line"))).alias("lines"))
+    return whole.select("file_id", "window", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+
+
+def chapters(answer: Column) -> Column:
+    """Chapters (start, end, title) of a JSON answer, an array or one under ``chapters``, in its order.
+
+    One without a title or a finite start is left out, an end that is no finite
+    number is null; what is no such JSON has none.
+    """
+    item = "array<struct<start_time:string,end_time:string,title:string>>"
+    found = F.coalesce(F.from_json(F.get_json_object(answer, "$.chapters"), item), F.from_json(answer, item), F.array().cast(item))
+    number = lambda c: F.when(F.regexp_like(F.trim(c), F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), c.try_cast("double"))
+    plain = F.transform(found, lambda x: F.struct(number(x["start_time"]).alias("start"), number(x["end_time"]).alias("end"), F.trim(x["title"]).alias("title")))
+    return F.filter(plain, lambda x: x["start"].isNotNull() & (x["title"] != ""))

@@ -252,3 +252,15 @@ def term_generations(spark: SparkSession, sf: str) -> DataFrame:
     for n in (0, 1, 2, 1):
         stored = kept(terms.merged_terms(stored, updates.where(F.col("batch") == n)), "terms")
     return terms.live_postings(stored)
+
+
+@register(r"""WITH RECURSIVE c AS (SELECT conv_id, turn, printf('[%.3f-%.3f] ', 10.0 * turn, 10.0 * turn + 10) AS prefix, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations),
+l AS (SELECT conv_id, turn, p, prefix || substring(t, p * (300 - length(prefix)) + 1, 300 - length(prefix)) AS line FROM (SELECT *, unnest(range(greatest(ceil(length(t) / (300 - length(prefix)))::BIGINT, 1))) AS p FROM c)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, p) AS r FROM l),
+w AS (SELECT conv_id, r, 0::BIGINT AS win, length(line) AS used FROM o WHERE r = 1
+ UNION ALL SELECT o.conv_id, o.r, CASE WHEN used + 1 + length(line) > 300 THEN win + 1 ELSE win END, CASE WHEN used + 1 + length(line) > 300 THEN length(line) ELSE used + 1 + length(line) END FROM w JOIN o ON o.conv_id = w.conv_id AND o.r = w.r + 1)
+SELECT conv_id, win AS "window", md5(string_agg(line, chr(10) ORDER BY r)) AS text FROM w JOIN o USING (conv_id, r) GROUP BY conv_id, win""")
+def chapter_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with their times in windows of 300 characters."""
+    found = S.chapter_windows(T.chunks(spark, sf), 300)
+    return found.select(F.col("file_id").alias("conv_id"), "window", F.md5("text").alias("text"))
