@@ -193,3 +193,36 @@ def cleaned(text: Column, suffix: Column) -> Column:
     csv = F.array_join(F.transform(F.filter(lines, lambda x: F.regexp_replace(x, r"[,\s]", "") != ""), cells), "\n")
     low = F.lower(suffix)
     return F.when(low == ".srt", srt).when(low == ".vtt", vtt).when(low == ".csv", csv).when(low == ".json", json_strings(text)).otherwise(text)
+
+
+def spliced(rows: DataFrame, markdown: str, heading: Column, below: Column, content: Column) -> DataFrame:
+    """``rows`` with their Markdown column, in which a section, its heading with it, is replaced by ``content``; null if the section is not there.
+
+    The section is that of the first ``## heading``, up to the next ``##``; if
+    ``below`` is not null, that of the first ``### below`` in it, up to the next
+    ``###``. What follows is set off by a blank line.
+    """
+    none = F.array().cast("array<string>")
+    plain = lambda text: F.regexp_replace(text, r"\r\n|\r", "\n")
+    title = lambda level: F.transform("_lines", lambda x: F.regexp_extract(x, rf"^{'#' * level}[ \t]+(.*?)\s*$", 1))
+    place = lambda titles, test: F.filter(F.transform(titles, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    least = lambda places, lo, hi: F.array_min(F.filter(places, lambda i: (i >= lo) & (i < hi)))
+    body = F.regexp_replace(plain(F.coalesce(content, F.lit(""))), r"^\n+|\n+$", "")
+    steps = {  # each is worked out once
+        "_lines": F.split(F.regexp_replace(plain(F.col(markdown)), r"\n$", ""), "\n"),
+        "_two": title(2),
+        "_three": title(3),
+        "_h": F.trim(heading),
+        "_s": F.trim(below),
+        "_new": F.when(body == "", none).otherwise(F.split(body, "\n")),
+        "_lo": F.array_min(place("_two", lambda x: x == F.col("_h"))),
+        "_hi": F.coalesce(least(place("_two", lambda x: x != ""), F.col("_lo") + 1, F.size("_lines")), F.size("_lines")),
+        "_from": F.when(F.col("_s").isNull(), F.col("_lo")).otherwise(least(place("_three", lambda x: x == F.col("_s")), F.col("_lo") + 1, F.col("_hi"))),
+        "_to": F.when(F.col("_s").isNull(), F.col("_hi")).otherwise(F.coalesce(least(place("_three", lambda x: x != ""), F.col("_from") + 1, F.col("_hi")), F.col("_hi"))),
+    }
+    out = rows
+    for name, step in steps.items():
+        out = out.withColumn(name, step)
+    ends = F.when((F.col("_to") < F.size("_lines")) & (F.size("_new") > 0) & (F.trim(F.try_element_at("_new", F.lit(-1))) != ""), F.array(F.lit(""))).otherwise(none)
+    whole = F.concat(F.slice("_lines", F.lit(1), F.col("_from")), F.col("_new"), ends, F.slice("_lines", F.col("_to") + 1, F.size("_lines")))
+    return out.withColumn(markdown, F.when(F.col("_from").isNotNull(), F.array_join(whole, "\n"))).drop(*steps)

@@ -126,3 +126,15 @@ def cleaned_files(spark: SparkSession, sf: str) -> DataFrame:
     suffix = F.element_at(F.array(*map(F.lit, (".srt", ".VTT", ".csv", ".json"))), (F.col("doc_id") % 4 + 1).cast("int"))
     rows = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), made.alias("made"), suffix.alias("suffix"))
     return rows.select("id", F.md5(D.cleaned(F.col("made"), F.col("suffix"))).alias("text"))
+
+
+@register("""WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents),
+m AS (SELECT id, [CASE i % 4 WHEN 1 THEN '## s' || (i - 1) WHEN 3 THEN '### t' || (i - 1) ELSE replace(l[i], '#', '') END for i in range(1, len(l) + 1)] AS m, CASE WHEN id % 2 = 0 THEN 6 ELSE 4 END AS lo FROM l)
+SELECT id, md5(array_to_string(list_concat(m[1:lo], ['new text'], CASE WHEN len(m) > 8 THEN [''] ELSE [] END, m[9:len(m)]), chr(10))) AS text FROM m WHERE len(m) > lo""")
+def spliced_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with headings in place of every other line, in which one section is written anew."""
+    line = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## s"), i.cast("string"))).when(i % 4 == 2, F.concat(F.lit("### t"), i.cast("string"))).otherwise(F.replace(x, F.lit("#"), F.lit("")))
+    markdown = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    rows = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), markdown.alias("text"), F.when(F.col("doc_id") % 2 == 0, "t6").alias("below"))
+    found = D.spliced(rows, "text", F.lit(" s4 "), F.col("below"), F.lit("\nnew text\n"))
+    return found.where("text is not null").select("id", F.md5("text").alias("text"))

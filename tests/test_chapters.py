@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import sequence
+from quarry.operators import documents, sequence
 
 
 def test_windows_hold_every_character_and_keep_to_their_budget(spark):
@@ -31,3 +31,21 @@ def test_windows_hold_every_character_and_keep_to_their_budget(spark):
 def test_chapters_of_an_answer(spark, answer, want):
     got = spark.createDataFrame([(answer,)], "a string").select(sequence.chapters(F.col("a")).alias("c")).first().c
     assert [(x.start, x.end, x.title) for x in got] == want
+
+
+@pytest.mark.parametrize(
+    "markdown, heading, below, content, want",
+    [
+        ("# t\n## a\nx\n## b\ny\n", "a", None, "## c\nz", "# t\n## c\nz\n\n## b\ny"),
+        ("## a\n### p\nx\n### q\ny\n## b", "a", "p", "### r\n", "## a\n### r\n\n### q\ny\n## b"),
+        ("## a\n### p\nx\n## b\n### q", "a", "q", "n", None),
+        ("## a\nx", "b", None, "n", None),
+        ("## a\nx", "a", None, "", ""),
+        ("## a\r\nx\r\n## b", "a", None, "n\n", "n\n\n## b"),
+        ("", "a", None, "n", None),
+        (None, "a", None, "n", None),
+    ],
+)
+def test_splicing_a_section(spark, markdown, heading, below, content, want):
+    df = spark.createDataFrame([(markdown, heading, below, content)], "m string, h string, b string, c string")
+    assert documents.spliced(df, "m", F.col("h"), F.col("b"), F.col("c")).first().m == want
