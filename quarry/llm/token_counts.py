@@ -50,7 +50,7 @@ def _parts(text: str, most: int) -> list[str]:
         at = begin + most
         while at < len(text) and not (text[at] == " " and text[at - 1] not in " ▁"):
             at += 1
-        if at >= len(text):
+        if at + 1 >= len(text):  # a last space alone would get no sign of its own
             break
         out.append(text[begin:at])
         begin = at + 1
