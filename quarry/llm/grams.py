@@ -112,7 +112,7 @@ def count(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], most:
     return sums.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))
 
 
-def count_classes(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], classify: Callable[[str | None], int], most: int = 2_000_000) -> DataFrame:
+def count_classes(docs: DataFrame, n: int, prepare: Callable[[str | None], bytes], classify: Callable[[str | None], int], most: int = 1_000_000) -> DataFrame:
     """(code, n, n0, n1) over all rows of ``docs`` (text): how often in all, in texts of class 1, and in those of class 2."""
     schema = "key long, n long"
     target = pa_schema(schema, docs.sparkSession)
