@@ -25,7 +25,7 @@ segs AS (SELECT DISTINCT viewer, file_id, segment FROM e),
 cov AS (SELECT viewer, file_id, sum(least(5.0, greatest(0.0, 10.0 + file_id - 5 * segment))) AS watched, max(10.0 + file_id) AS duration FROM segs GROUP BY ALL),
 st AS (SELECT viewer, file_id, max(ts) AS ts, max(value) AS position, bool_or(liked) AS liked, bool_or(dismissed) AS dismissed FROM e GROUP BY ALL),
 h AS (SELECT viewer, file_id, ts, watched, watched / duration AS share, CASE WHEN liked THEN 1.0 WHEN dismissed THEN 0.0
-  WHEN ts < TIMESTAMP '2024-01-08 00:00:00' THEN CASE WHEN greatest(position, watched) < 0.1 * duration THEN 0.0 ELSE least(1.0, greatest(position, watched) / duration / 0.5) END
+  WHEN ts < TIMESTAMP '2024-01-08 00:00:00' THEN CASE WHEN greatest(position, watched) / duration < 0.1::DOUBLE THEN 0.0 ELSE least(1.0, greatest(position, watched) / duration / 0.5) END
   WHEN duration < 20 THEN CASE WHEN 2 * position >= duration THEN 1.0 ELSE 0.0 END WHEN 2 * watched >= duration THEN 1.0 ELSE 0.0 END::DOUBLE AS engagement,
   (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 86400e6 AS age FROM cov JOIN st USING (viewer, file_id)),
 hl AS (SELECT h.*, label AS lane FROM h JOIN embeddings ON vec_id = file_id),
