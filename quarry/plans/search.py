@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import fusion, keyword, library, trigram, vector
+from ..sources.scratch import bounded, kept
 
 #: Channel weights of a search for recall (fixed values); for precision all are 1.
 RECALL = {"text": 1.0, "clip": 0.2, "file": 1.0, "transcript": 1.5, "content": 1.5, "retrieval": 0.8}
@@ -38,12 +39,12 @@ def hybrid(
     return fusion.cut_off(fused, fusion.RECALL_RATIO if recall else fusion.RATIO, limit)
 
 
-def channel_matches(queries: DataFrame, terms: DataFrame, vectors: DataFrame, found: DataFrame, lengths: DataFrame, recall: bool = False, candidates: int = 50, floor: float | None = None, gap: float | None = vector.GAP) -> DataFrame:
+def channel_matches(queries: DataFrame, terms: DataFrame, vectors: DataFrame, found: DataFrame, lengths: DataFrame | None, recall: bool = False, candidates: int = 50, floor: float | None = None, gap: float | None = vector.GAP) -> DataFrame:
     """(channel, query_id, id, chunk, kind, score): what the six channels let through, a row for each vector or chunk.
 
     ``queries`` is (query_id, vector), ``terms`` (query_id, term, phrase),
     ``vectors`` (vec_id, id, kind, vector, and chunk if known), ``found`` and ``lengths`` a trigram
-    index of the channels file, transcript, content and retrieval. Texts and
+    index of the channels file, transcript, content and retrieval, or their rows and None. Texts and
     pictures are guarded each in their way; words are scored over the best of
     their query and channel.
     """
@@ -71,6 +72,7 @@ def fused_channels(matches: DataFrame, recall: bool = False, required: DataFrame
     channel found come in just above the cut-off.
     """
     ratio = fusion.RECALL_RATIO if recall else fusion.RATIO
+    matches = kept(matches, "matches")
     if recall:
         scored = fusion.rrf(matches.select("channel", "query_id", "id", "score"), RECALL)
     else:
@@ -79,14 +81,17 @@ def fused_channels(matches: DataFrame, recall: bool = False, required: DataFrame
     types = matches.groupBy("query_id", "id").agg(F.array_sort(F.collect_set("kind")).alias("types"))
     scored = scored.join(types, ["query_id", "id"])
     if required is not None:
+        # unseen files of a query are alike but for their ids, and no more of them than the limit can come in
+        seen = bounded(scored.select("query_id", "id", F.col("id").alias("_seen")))
+        required = vector.best(required.join(seen, ["query_id", "id"], "left"), ["query_id", "_seen"], [F.asc("id")], limit).drop("_seen")
         floors = library.required_floor(scored.select("query_id", "id", "score"), required, ratio)
         scored = floors.join(types, ["query_id", "id"], "left").withColumn("types", F.coalesce("types", F.array(F.lit("required"))))
     top = F.max("score").over(Window.partitionBy("query_id"))
     stays: Column = F.col("score") >= F.col("_top") * ratio
     if not recall:
         stays = stays | F.arrays_overlap("types", F.array(*[F.lit(p) for p in PICTURES]))
-    kept = scored.withColumn("_top", top).where(stays).drop("_top")
-    return vector.best(kept, "query_id", [F.desc(F.round("score", 9)), F.asc("id")], limit)
+    above = scored.withColumn("_top", top).where(stays).drop("_top")
+    return vector.best(above, "query_id", [F.desc(F.round("score", 9)), F.asc("id")], limit)
 
 
 def passages(matches: DataFrame, texts: DataFrame, terms: DataFrame, alpha: float = fusion.ALPHA) -> DataFrame:
@@ -103,9 +108,10 @@ def passages(matches: DataFrame, texts: DataFrame, terms: DataFrame, alpha: floa
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in fusion.TYPE_WEIGHTS.items() for x in kv]), F.col("kind")), F.lit(1.0))
     by_vector = F.col("channel").isin("text", "clip")
     rows = matches.withColumn("place", place).where("place is not null and chunk is not null")
-    one = rows.groupBy("query_id", "id", "place", "chunk").agg(F.max(F.when(by_vector, F.col("score") * weight)).alias("v"), F.max(F.when(~by_vector, F.col("score"))).alias("w"))
+    one = kept(rows.groupBy("query_id", "id", "place", "chunk").agg(F.max(F.when(by_vector, F.col("score") * weight)).alias("v"), F.max(F.when(~by_vector, F.col("score"))).alias("w")), "places")
     score = F.round(alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("w", F.lit(0.0)), 4)
     asked = terms.groupBy("query_id").agg(F.collect_set(F.lower("phrase")).alias("terms"))
+    texts = texts.join(bounded(one.select("place", "id", "chunk").distinct()), ["place", "id", "chunk"], "left_semi")
     shown = one.join(texts, ["place", "id", "chunk"], "left").join(asked, "query_id", "left")
     low = F.lower("text")
     first = F.array_min(F.filter(F.transform("terms", lambda t: F.instr(low, t)), lambda at: at > 0))
