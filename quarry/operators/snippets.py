@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from ..functions import text as X
 
@@ -76,14 +78,19 @@ def flagged(rows: DataFrame, having: DataFrame, by: str, name: str) -> DataFrame
 
 def quote_score(quote: Column, text: Column, width: int = QUOTE_WIDTH) -> Column:
     """1,000 for each character of the longest run of 3 to ``width`` characters of ``quote`` that is in ``text``, and 1 for each distinct character that both have."""
-    shared = F.size(F.array_remove(F.array_intersect(F.split(quote, ""), F.split(text, "")), ""))
-    sizes = F.when(F.length(quote) >= 3, F.sequence(F.lit(3), F.least(F.lit(width), F.length(quote)))).otherwise(F.array().cast("array<int>"))
 
-    def inside(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(quote) - n + 1)
-        return F.exists(starts, lambda s: F.contains(text, F.substring(quote, s, n)))
+    def score(quote: str, text: str) -> int:
+        low, high = 2, min(width, len(quote))  # what is in the text is so without its last character, too
+        while low < high:
+            n = (low + high + 1) // 2
+            runs = {quote[i : i + n] for i in range(len(quote) - n + 1)}
+            low, high = (n, high) if any(text[i : i + n] in runs for i in range(len(text) - n + 1)) else (low, n - 1)
+        return 1000 * (low if low >= 3 else 0) + len(set(quote) & set(text))
 
-    return F.coalesce(F.array_max(F.filter(sizes, inside)), F.lit(0)) * 1000 + shared
+    def run(quotes: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if q is None or t is None else score(q, t) for q, t in zip(quotes, texts)], dtype="Int64")
+
+    return F.pandas_udf(run, LongType())(quote, text)
 
 
 def merged(text: Column, chunk: Column, limit: int, least: int) -> tuple[Column, Column]:
