@@ -21,21 +21,22 @@ def line_chunks(text: Column, width: int = CHUNK_WIDTH, within: int = BREAK_WITH
     characters, unless the chunk would be below a quarter of the width. A null
     or empty text has no chunks.
     """
-    length, least = F.length(text), max(1, width // 4)
-
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        end = F.least(at + width, length)
-        tail_at = F.greatest(at, at + (width - within))
-        tail = F.substring(text, tail_at + 1, end - tail_at)
-        back = F.instr(F.reverse(tail), "\n")
-        cut = F.when((end < length) & (back > 0) & (end - back + 1 - at >= least), end - back + 1).otherwise(end)
-        new = F.struct(cut.alias("at"), F.array_append(acc["chunks"], F.substring(text, at + 1, cut - at)).alias("chunks"))
-        return F.when(at < length, new).otherwise(acc)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("chunks"))
-    steps = F.when(length > 0, F.sequence(F.lit(1), F.ceil(length / least).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: acc["chunks"])
+    least = max(1, width // 4)
+
+    def cut(t: str) -> list[str]:
+        out, at = [], 0
+        while at < len(t):
+            end = min(at + width, len(t))
+            line = t.rfind("\n", max(at, end - within), end) + 1 if end < len(t) else 0
+            upto = line if line - at >= least else end
+            out.append(t[at:upto])
+            at = upto
+        return out
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cut(t or ""))
+
+    return F.pandas_udf(run, ArrayType(StringType()))(text)
 
 
 def around_chunks(rows: DataFrame, by: str, order: str, text: str, width: int = AROUND) -> DataFrame:

@@ -34,3 +34,11 @@ def test_random_quotes_are_scored_as_by_definition(spark):
     rows = [("".join(rng.choices("ab\U0001f600", k=rng.randrange(90))), "".join(rng.choices("abc\U0001f600", k=rng.randrange(90)))) for _ in range(60)]
     got = [r[0] for r in spark.createDataFrame(rows, "q string, t string").select(snippets.quote_score(F.col("q"), F.col("t"), 7)).collect()]
     assert got == [1000 * max([n for n in range(3, 8) for i in range(len(q) - n + 1) if q[i : i + n] in t], default=0) + len(set(q) & set(t)) for q, t in rows]
+
+
+def test_a_long_text_is_cut_in_time_that_grows_with_its_length(spark):
+    text = ("é" * 390 + "\n") * 4000
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    cut = df.select(snippets.line_chunks(F.col("t"), 400).alias("c"))
+    assert _seconds(cut.select(F.size("c"))) < 10
+    assert [list(r.c) for r in cut.collect()] == [["é" * 390 + "\n"] * 4000, [], []]
