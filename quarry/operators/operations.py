@@ -97,15 +97,28 @@ def last_events(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 def breaker(jobs: DataFrame, window_s: int, threshold: int, pause_s: int) -> DataFrame:
     """(job_id, provider, failures, open): failures of a provider within the window up to each record, and whether its circuit is open then.
 
-    It opens when they exceed the threshold, for ``pause_s`` seconds.
+    It opens when they exceed the threshold, for ``pause_s`` seconds. Time is
+    cut into blocks of the window, then of the pause: what a record depends on
+    is in its own block and the one before, whose failures come along as one
+    sum and are taken off as they run out. So a task holds blocks, not a
+    provider, and each record is read once.
     """
-    second = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = jobs.withColumn("_t", second)
-    order = Window.partitionBy("provider").orderBy("_t")
-    rows = rows.withColumn("failures", F.count_if(F.col("status") == "failed").over(order.rangeBetween(-window_s * 1_000_000, 0)))
-    trip = F.when((F.col("status") == "failed") & (F.col("failures") > threshold), F.col("_t"))
-    last = F.max(trip).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("open", F.coalesce(F.col("_t") - last < pause_s * 1_000_000, F.lit(False))).select("job_id", "provider", "failures", "open")
+    window, pause = window_s * 1_000_000, pause_s * 1_000_000
+    block = lambda t, size: F.floor(t / F.lit(size)).cast("long")
+    up_to = lambda: Window.partitionBy("provider", "_block").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    rows = jobs.select("job_id", "provider", (F.col("status") == "failed").alias("_failed"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
+    rows = rows.withColumn("_block", block(F.col("_t"), window)).withColumn("_n", F.coalesce(F.col("_failed"), F.lit(False)).cast("long"))
+    extra = lambda df, t, n: df.select(F.lit(None).cast("long").alias("job_id"), "provider", F.lit(None).cast("boolean").alias("_failed"), t.alias("_t"), "_block", n.alias("_n"), F.lit(True).alias("_extra"))
+    failed = rows.where("_failed").withColumn("_block", F.col("_block") + 1)
+    carried = extra(failed.groupBy("provider", "_block").agg(F.count("*").alias("_n")), F.col("_block") * window - 1, F.col("_n"))
+    ended = extra(failed, F.col("_t") + window + 1, F.lit(-1).cast("long"))
+    rows = rows.withColumn("_extra", F.lit(False)).unionByName(carried).unionByName(ended)
+    rows = rows.withColumn("failures", F.sum("_n").over(up_to())).where(~F.col("_extra")).drop("_extra", "_n")
+    rows = rows.withColumn("_block", block(F.col("_t"), pause)).withColumn("_trip", F.when(F.col("_failed") & (F.col("failures") > threshold), F.col("_t")))
+    before = rows.where("_trip is not null").groupBy("provider", (F.col("_block") + 1).alias("_block")).agg(F.max("_trip").alias("_trip"))
+    before = before.select(F.lit(None).cast("long").alias("job_id"), "provider", F.lit(None).cast("boolean").alias("_failed"), (F.col("_block") * pause - 1).alias("_t"), "_block", F.lit(None).cast("long").alias("failures"), "_trip")
+    rows = rows.unionByName(before).withColumn("_last", F.max("_trip").over(up_to())).where("failures is not null")
+    return rows.withColumn("open", F.coalesce(F.col("_t") - F.col("_last") < pause, F.lit(False))).select("job_id", "provider", "failures", "open")
 
 
 def scrub(text: Column, length: int = 256) -> Column:
