@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html.parser
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import bounded, kept
+
 #: Chunk sizes in characters and seconds, silences, and where a text is cut best (fixed values).
 TEXT_CHUNK, TEXT_OVERLAP = 400, 80
 CHUNK_MIN, CHUNK_MAX, SILENCE = 10.0, 20.0, 0.4
@@ -114,38 +117,67 @@ def boundary_scores(frames: DataFrame) -> DataFrame:
     return rows.select("file_id", "ts", F.when(size > 0, 1 - dot(F.col("x"), F.col("y")) / size).otherwise(0.0).alias("score"))
 
 
-def align_monotonic(scores: DataFrame, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+def align_monotonic(scores: DataFrame, by: tuple[str, ...] = ("file_id",), states: DataFrame | None = None) -> DataFrame:
     """(by..., chunk, segment): the best way of segments along the chunks, for scores (by..., segment, chunk, score).
 
     Every chunk has a segment; the first one has the first segment, and each
     next one the same or the one after it; the last may have any. Of equal ways,
     the one that stays longer; of equal ends, the first. Missing scores are 0.
-    A task holds one bit for each chunk and segment of a file.
+    ``states`` (by..., segment) are the segments that have scores, if they are
+    known. Scores are read in the order of their chunks; a task holds one bit
+    for each chunk and segment of a file.
     """
+    own = Window.partitionBy(*by)
+    states = (scores.select(*by, "segment") if states is None else states).distinct()
+    states = states.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("segment").alias("_segment"), (F.row_number().over(own.orderBy("segment")) - 1).alias("_state"), F.count("*").over(own).alias("_states"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.col("segment") == F.col("_segment"))
+    rows = scores.join(bounded(kept(states, "states")), same).select(*by, "chunk", "segment", F.col("score").cast("double").alias("score"), "_state", "_states")
+    kinds = dict(scores.dtypes)
+
+    def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = total = scored = None
 
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        states = np.sort(pdf["segment"].unique())
-        chunks, rows = np.unique(pdf["chunk"], return_inverse=True)
-        order = np.argsort(rows, kind="stable")
-        column, score = np.searchsorted(states, pdf["segment"])[order], pdf["score"].to_numpy(float)[order]
-        cuts = np.searchsorted(rows[order], np.arange(len(chunks) + 1))
-        total, moved = np.full(len(states), -np.inf), np.zeros((len(chunks), len(states)), bool)
-        for t in range(len(chunks)):
-            own = np.zeros(len(states))
-            own[column[cuts[t] : cuts[t + 1]]] = score[cuts[t] : cuts[t + 1]]
-            if t == 0:
-                total[0] = own[0]
-                continue
+        def step() -> None:
+            nonlocal total
+            if total is None:
+                total = np.full(len(scored), -np.inf)
+                total[0] = scored[0]
+                moved.append(None)
+                return
             before = np.r_[-np.inf, total[:-1]]
-            moved[t] = before > total
-            total = np.where(moved[t], before, total) + own
-        at = [int(np.argmax(total))]
-        for t in range(len(chunks) - 1, 0, -1):
-            at.append(at[-1] - int(moved[t, at[-1]]))
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "chunk": chunks, "segment": states[at[::-1]]})
+            on = before > total
+            moved.append(np.packbits(on))
+            total = np.where(on, before, total) + scored
 
-    kinds = dict(scores.dtypes)
-    return scores.groupBy(*by).applyInPandas(path, ", ".join(f"{k} {kinds[k]}" for k in by) + ", chunk long, segment long")
+        def path() -> pd.DataFrame:
+            step()
+            at = [int(np.argmax(total))]
+            for bits in moved[:0:-1]:
+                at.append(at[-1] - (int(bits[at[-1] // 8]) >> (7 - at[-1] % 8) & 1))
+            return pd.DataFrame({**dict(zip(by, ([k] * len(chunks) for k in key))), "chunk": chunks, "segment": names[at[::-1]]})
+
+        for pdf in batches:
+            group = pdf.groupby(list(by), dropna=False, sort=False).ngroup().to_numpy()
+            chunk, state, score, segment = (pdf[c].to_numpy() for c in ("chunk", "_state", "score", "segment"))
+            starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (chunk[1:] != chunk[:-1])]) if len(pdf) else []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                mine = tuple(None if pd.isna(pdf[k].iat[lo]) else pdf[k].iat[lo] for k in by)
+                if mine != key:
+                    if key is not None:
+                        yield path()
+                    n = int(pdf["_states"].iat[lo])
+                    key, total, moved, chunks, names, scored = mine, None, [], [chunk[lo]], np.zeros(n, np.int64), np.zeros(n)
+                elif chunk[lo] != chunks[-1]:
+                    step()
+                    chunks.append(chunk[lo])
+                    scored = np.zeros(len(scored))
+                scored[state[lo:hi]] = score[lo:hi]
+                names[state[lo:hi]] = segment[lo:hi]
+        if key is not None:
+            yield path()
+
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, "chunk")
+    return ordered.mapInPandas(paths, ", ".join(f"{k} {kinds[k]}" for k in by) + ", chunk long, segment long")
 
 
 def narrow_clusters(scores: DataFrame, gap: int = 5, top: int = 12, floor: float = 0.5, union: float = 0.8, margin: float | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
@@ -184,8 +184,6 @@ p AS (SELECT a.file_id, a.n AS segment, b.n AS chunk, list_inner_product(a.v, b.
 
 
 def _sims(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = T.vectors(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1)
     found = VO.neighbours(rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector", "label"), rows, same="label")
     place = rows.select("id", F.col("label").cast("long").alias("file_id"), F.col("n").cast("long").alias("n"))
@@ -219,7 +217,9 @@ back AS (SELECT file_id, t, list_position(v, list_max(v)) AS k FROM dp QUALIFY t
  UNION ALL SELECT dp.file_id, b.t - 1, CASE WHEN dp.moved[b.k] THEN b.k - 1 ELSE b.k END FROM back b JOIN dp ON dp.file_id = b.file_id AND dp.t = b.t)
 SELECT st.file_id, chs[t] AS chunk, segs[k] AS segment FROM back JOIN st USING (file_id) WHERE t >= 1""")
 def citation_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return S.align_monotonic(_sims(spark, sf).withColumn("score", F.round("score", 6)))
+    places = T.vectors(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).where("id % 50 = 0")
+    states = places.select(F.col("label").cast("long").alias("file_id"), F.col("n").cast("long").alias("segment"))
+    return S.align_monotonic(_sims(spark, sf).withColumn("score", F.round("score", 6)), states=states)
 
 
 @register("""WITH f AS (SELECT label::BIGINT AS file_id, vec_id::DOUBLE AS ts, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
