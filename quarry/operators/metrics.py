@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,24 +61,46 @@ def normalised(text: Column, language: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[\p{P}\p{S}]", " "), r"\s+", " "))
 
 
+def edits(a: Sequence, b: Sequence) -> int:
+    """Levenshtein's distance of two sequences, a column of its table at a time as bits of a number (Myers, Hyyrö)."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less = whole, 0
+    for x in b:
+        same = places.get(x, 0)
+        across = (((same & more) + more) ^ more) | same
+        up, down = (less | ~(across | more)) & whole, more & across
+        distance += 1 if up & last else -1 if down & last else 0
+        up, down = up << 1 | 1, down << 1
+        more, less = (down | ~(same | less | up)) & whole, up & (same | less) & whole
+    return distance
+
+
 def error_rates(rows: DataFrame, reference: str, hypothesis: str, language: Column) -> DataFrame:
     """``rows`` with wer and cer, the word and character error rates of two columns once normalised; Japanese has no word error rate.
 
-    An empty reference counts as one word and one character. Each different
-    word is written as one character, so that characters are compared in both.
+    An empty reference counts as one word and one character.
     """
     rows = rows.select("*", language.alias("_l"), normalised(F.col(reference), language).alias("_a"), normalised(F.col(hypothesis), language).alias("_b"))
-    parts = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
-    a, b = F.col("_a"), F.col("_b")
-
-    def rate(known: Column) -> Column:
-        sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
-        spelt = lambda t: F.array_join(F.transform(parts(t), sign), "")
-        return F.levenshtein(spelt(a), spelt(b)) / F.greatest(F.size(parts(a)), F.lit(1))
-
-    words = F.transform(F.array(F.array_distinct(F.concat(parts(a), parts(b)))), rate)[0]
-    wer = F.when(~F.startswith(F.lower(F.col("_l")), F.lit("ja")), words)
-    return rows.withColumn("wer", wer).withColumn("cer", character_error_rate(a, b)).drop("_l", "_a", "_b")
+    spaced = F.coalesce(~F.startswith(F.lower(F.col("_l")), F.lit("ja")), F.lit(False))
+
+    @F.pandas_udf("wer double, cer double")
+    def rates(reference: pd.Series, hypothesis: pd.Series, spaced: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, words in zip(reference, hypothesis, spaced):
+            if a is None or b is None:
+                out.append((None, None))
+                continue
+            x, y = ([w for w in t.split(" ") if w] for t in (a, b))
+            out.append((edits(x, y) / max(len(x), 1) if words else None, edits(a, b) / max(len(a), 1)))
+        return pd.DataFrame(out, columns=["wer", "cer"], dtype="float64")
+
+    rows = rows.withColumn("_r", rates("_a", "_b", spaced))
+    return rows.withColumn("wer", F.col("_r.wer")).withColumn("cer", F.col("_r.cer")).drop("_l", "_a", "_b", "_r")
 
 
 def spread_of_runs(runs: DataFrame, key: str, value: str, epsilon: float) -> DataFrame:
