@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .vector import best, neighbours
 
 #: Playback, freshness and feed constants (fixed values).
 BUCKET, HALF_LIFE_DAYS, FRESH_HALF_LIFE, FRESH_FLOOR = 5, 7.0, 365.0, 0.0
 LANE_FLOOR, LANE_LOW, IDENTICAL, PER_LANE, DEPTH = 0.25, 0.45, 0.999, 120, 300
+#: Plays that a task of a replay has.
+PLAYS_AT_ONCE = 25_000
 
 
 def coverage(plays: DataFrame, duration: Column) -> DataFrame:
@@ -56,6 +59,11 @@ def cluster_lanes(history: DataFrame, clusters: DataFrame) -> DataFrame:
     return weights.select("viewer", F.col("lane").alias("cluster"), "weight", F.row_number().over(order).alias("position"))
 
 
+def tasks_for(rows: DataFrame, times: int = 1) -> int:
+    """As many tasks as give each about PLAYS_AT_ONCE rows, or ``times`` as many, so that what a task holds does not grow with their number."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (times * PLAYS_AT_ONCE)))
+
+
 def played_after(plays: DataFrame, cuts: DataFrame, hours: float) -> DataFrame:
     """(viewer, cut, file_id): what a viewer of ``plays`` (viewer, file_id, t) plays in the hours after each of ``cuts`` (viewer, cut).
 
@@ -63,8 +71,9 @@ def played_after(plays: DataFrame, cuts: DataFrame, hours: float) -> DataFrame:
     all pairs of a viewer.
     """
     spread = cuts.select("viewer", "cut", F.explode(F.array(F.floor(F.col("cut") / hours), F.floor(F.col("cut") / hours) + 1)).alias("block"))
-    near = plays.withColumn("block", F.floor(F.col("t") / hours)).join(spread, ["viewer", "block"])
-    return near.where((F.col("t") >= F.col("cut")) & (F.col("t") < F.col("cut") + hours)).select("viewer", "cut", "file_id").distinct()
+    n, keys = tasks_for(plays), ["viewer", "cut", "file_id"]
+    near = plays.withColumn("block", F.floor(F.col("t") / hours)).repartition(n, "viewer", "block").join(spread.repartition(n, "viewer", "block"), ["viewer", "block"])
+    return near.where((F.col("t") >= F.col("cut")) & (F.col("t") < F.col("cut") + hours)).select(*keys).repartition(n, *keys).distinct()
 
 
 def replay(plays: DataFrame, cuts: DataFrame, ranked: DataFrame, hours: float, depth: int) -> DataFrame:
@@ -86,7 +95,8 @@ def rankings(plays: DataFrame, cuts: DataFrame, half_lives: list[float]) -> Data
     plays up, each halved every h days. ``plays`` is (viewer, file_id, t) and
     ``cuts`` (viewer, cut), in hours.
     """
-    before = plays.join(cuts, "viewer").where(F.col("t") < F.col("cut"))
+    n = tasks_for(plays)
+    before = plays.select("viewer", "file_id", "t").repartition(n, "viewer").join(cuts.repartition(n, "viewer"), "viewer").where(F.col("t") < F.col("cut"))
     fresh = [F.round(F.sum(F.pow(F.lit(0.5), (F.col("cut") - F.col("t")) / (24 * h))), 9).alias(f"fresh_{h:g}") for h in half_lives]
     rows = before.groupBy("viewer", "cut", "file_id").agg(F.max("t").alias("newest"), *fresh)
     seeded = F.md5(F.concat_ws("|", F.col("viewer").cast("string"), F.round("cut").cast("long").cast("string"), F.col("file_id").cast("string")))
@@ -104,12 +114,16 @@ def replay_report(plays: DataFrame, cuts: DataFrame, ranked: DataFrame, hours: f
     A cut without plays in the hours after it is left out; recalls at the two
     depths and hits at the greater are means over cuts.
     """
-    wanted = played_after(plays, cuts, hours)
+    wanted = kept(played_after(plays, cuts, hours), "wanted")
     own = wanted.groupBy("viewer", "cut").agg(F.count("*").alias("targets"))
-    met = wanted.join(ranked.where(F.col("position") <= depths[1]), ["viewer", "cut", "file_id"])
-    hits = met.groupBy("config", "viewer", "cut").agg(F.count_if(F.col("position") <= depths[0]).alias("a"), F.count("*").alias("b"))
+    ranked = kept(ranked.where(F.col("position") <= depths[1]), "ranked")
+    n, keys = tasks_for(ranked, 10), ["viewer", "cut", "file_id"]
+    met = wanted.repartition(n, *keys).join(ranked.repartition(n, *keys), keys)
     configs = [r.config for r in ranked.select("config").distinct().orderBy("config").collect()]
-    all_ = own.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]).cast("array<string>"))).join(hits, ["config", "viewer", "cut"], "left")
+    own = own.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]).cast("array<string>")))
+    n, keys = tasks_for(own, 10), ["config", "viewer", "cut"]
+    hits = met.repartition(n, *keys).groupBy(*keys).agg(F.count_if(F.col("position") <= depths[0]).alias("a"), F.count("*").alias("b"))
+    all_ = own.repartition(n, *keys).join(hits, keys, "left")
     rate = lambda c: F.avg(F.coalesce(c, F.lit(0)) / F.col("targets"))
     return all_.groupBy("config").agg(F.count("*").alias("cuts"), F.sum("targets").alias("targets"), rate("a").alias("recall_a"), rate("b").alias("recall_b"), F.avg((F.coalesce("b", F.lit(0)) > 0).cast("double")).alias("hit"))
 
