@@ -86,8 +86,10 @@ SEPARATORS, NUMERALS = ".,:：", "0123456789"
 def in_number(before: str, word: str, after: str) -> bool:
     """Whether the last character of ``word`` is a separator between two digits, of it or of its neighbours."""
     word, after = word.strip(), after.strip()
+    if word[-1:] not in tuple(SEPARATORS):
+        return False
     left = word[:-1] or before.strip()
-    return word[-1:] in tuple(SEPARATORS) and left[-1:] in tuple(NUMERALS) and after[:1] in tuple(NUMERALS)
+    return left[-1:] in tuple(NUMERALS) and after[:1] in tuple(NUMERALS)
 
 
 def changed_frames(frames: DataFrame, bits: int = 8, gap: float = 3.0) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import in_number
+from .sequence import SEPARATORS, in_number
 
 #: Columns and seconds of a cue at most, seconds at least, and the silence that ends one (fixed values).
 WIDTH, LONGEST, SHORTEST, PAUSE = 42, 5.0, 0.6, 0.6
@@ -20,9 +22,14 @@ NOT_FIRST = "ーゝゞ々ぁぃぅぇぉっゃゅょゎァィゥェォッャュ
 UNSPACED = ("ja", "jp", "zh", "ko", "th")
 
 
+@lru_cache(maxsize=65_536)
+def _columns(c: str) -> int:
+    return 0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "FW" else 1
+
+
 def columns_of(text: str) -> int:
     """Columns that a text takes on screen: two for wide characters, none for combining marks."""
-    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in text)
+    return len(text) if text.isascii() else sum(map(_columns, text))
 
 
 def _breaks_number(text: str, at: int) -> bool:
@@ -36,7 +43,9 @@ def two_lines(text: str, most: int = WIDTH // 2) -> str:
     if " " in text:
         words = text.split(" ")
         ends = [i for i in range(1, len(words)) if not in_number("", words[i - 1], words[i])]
-        fits = [i for i in ends if columns_of(" ".join(words[:i])) <= columns_of(text) // 2]
+        room = columns_of(text) // 2
+        upto = list(accumulate(columns_of(w) + 1 for w in words))
+        fits = [i for i in ends if upto[i - 1] - 1 <= room]
         cut = fits[-1] if fits else ends[0] if ends else 0
         return " ".join(words[:cut]) + "\n" + " ".join(words[cut:]) if cut else text
     for i, c in enumerate(text):
@@ -57,18 +66,20 @@ def packed_cues(words: DataFrame) -> DataFrame:
     a file without words has no cues. A task holds the words of one file.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(word=pdf["word"].fillna("").str.strip()).sort_values("idx")
-        pdf = pdf[pdf["word"] != ""]
-        text, start, end = pdf["word"].tolist(), pdf["start"].to_numpy(float), pdf["end"].to_numpy(float)
-        n, gap = len(text), "" if str(next(iter(pdf["language"]), "") or "").lower().startswith(UNSPACED) else " "
-        after = np.r_[start[1:], end[-1:]] - end
-        inside = [in_number(text[i - 1] if i else "", text[i], text[i + 1] if i + 1 < n else "") for i in range(n)]
+    def pack(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("idx").to_numpy(), kind="stable")
+        times = [table.column(c).to_numpy().astype(float)[order].tolist() for c in ("start", "end")]
+        words, languages = (table.column(c).take(pa.array(order)).to_pylist() for c in ("word", "language"))
+        said = [(w.strip(), *rest) for w, *rest in zip(words, *times, languages) if w and w.strip()]
+        text, start, end, language = map(list, zip(*said)) if said else ([], [], [], [None])
+        n, gap = len(text), "" if (language[0] or "").lower().startswith(UNSPACED) else " "
+        after = [s - e for s, e in zip(start[1:] + end[-1:], end)]
+        inside = [w[-1] in SEPARATORS and in_number(text[i - 1] if i else "", w, text[i + 1] if i + 1 < n else "") for i, w in enumerate(text)]
         ends = lambda i, marks: not inside[i] and text[i][-1] in marks
         katakana = lambda c: "゠" <= c <= "ヿ"
-        may = [i + 1 < n and not inside[i] and text[i + 1][0] not in NOT_FIRST and not (katakana(text[i][-1]) and katakana(text[i + 1][0])) for i in range(n)]
-        clean = [may[i] and (ends(i, HARD + SOFT) or after[i] >= PAUSE or " " in text[i]) for i in range(n)]
-        total = np.r_[0, np.cumsum([columns_of(t) for t in text])]
+        may = lambda i: i + 1 < n and not inside[i] and text[i + 1][0] not in NOT_FIRST and not (katakana(text[i][-1]) and katakana(text[i + 1][0]))
+        clean = lambda i: may(i) and (ends(i, HARD + SOFT) or after[i] >= PAUSE or " " in text[i])
+        total = [0, *accumulate(map(columns_of, text))]
         width = lambda a, b: total[b + 1] - total[a] + (b - a) * len(gap)
 
         def pauses(a: int, b: int) -> bool:
@@ -77,17 +88,21 @@ def packed_cues(words: DataFrame) -> DataFrame:
         cues, begin = [], 0
         for i in range(n):
             if end[i] - start[begin] >= LONGEST or width(begin, i) >= WIDTH:
-                good = [c for c in range(begin, i) if clean[c] and width(begin, c) >= WIDTH / 2] or [c for c in range(begin, i) if may[c]] or [i]
-                cues.append((begin, good[-1]))
-                begin = good[-1] + 1
+                places = range(i - 1, begin - 1, -1)
+                last = next((c for c in places if width(begin, c) >= WIDTH / 2 and clean(c)), None)
+                last = next((c for c in places if may(c)), i) if last is None else last
+                cues.append((begin, last))
+                begin = last + 1
             if begin <= i and pauses(begin, i):
                 cues.append((begin, i))
                 begin = i + 1
         cues += [(begin, n - 1)] if begin < n else []
-        rows = [(pdf["file_id"].iloc[0], k, start[a], end[b], two_lines(gap.join(text[a : b + 1]))) for k, (a, b) in enumerate(cues)]
-        return pd.DataFrame(rows, columns=["file_id", "cue", "start", "end", "text"])
+        file = table.column("file_id")[0].as_py()
+        rows = [(file, k, start[a], end[b], two_lines(gap.join(text[a : b + 1]))) for k, (a, b) in enumerate(cues)]
+        kinds = {"file_id": pa.int64(), "cue": pa.int64(), "start": pa.float64(), "end": pa.float64(), "text": pa.string()}
+        return pa.table([pa.array(c, kind, from_pandas=True) for c, kind in zip(zip(*rows) if rows else [()] * 5, kinds.values())], names=list(kinds))
 
-    found = words.select("file_id", "idx", "word", "start", "end", "language").groupBy("file_id").applyInPandas(pack, "file_id long, cue long, start double, end double, text string")
+    found = words.select("file_id", "idx", "word", "start", "end", "language").groupBy("file_id").applyInArrow(pack, "file_id long, cue long, start double, end double, text string")
     following = F.lead("start").over(Window.partitionBy("file_id").orderBy("cue"))
     return found.withColumn("end", F.when((following > F.col("start")) & (following < F.col("end")), following).otherwise(F.col("end")))
 
