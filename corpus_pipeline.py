@@ -21,6 +21,8 @@ from quarry.llm.common import bounded, fresh, materialize
 
 #: Bits of a fingerprint of five-word shingles, and how many may differ: about as many as do at a shingle similarity of 0.78.
 BITS, RADIUS = 2048, 347
+#: Keys of a text by which its likes are found; two that link are alike by 0.7 or more and have one in common but in 1e-12 of cases.
+KEYS = 24
 
 
 def _named(name: str) -> Column:
@@ -54,7 +56,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one of the least key, and one of rows that are equal throughout."""
     rows, key, narrow = _keyed(docs)
-    found = materialize(simhash.near_duplicates(narrow, shingle=5, width=BITS // 64, radius=RADIUS), "stage-groups")
+    found = simhash.near_duplicates(narrow, shingle=5, width=BITS // 64, radius=RADIUS, keys=KEYS)
+    found = materialize(found.select("doc_id", "component_id"), "stage-groups")
     kept = _without(rows, key, found.where("doc_id <> component_id"))
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     again = materialize(again.select(F.col("doc_id").alias(key)), "stage-again")

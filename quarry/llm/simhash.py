@@ -10,6 +10,12 @@ finds: at most one link for each row it read, however dense a group is.
 
 The comparison is exact and so quadratic in the number of *distinct*
 fingerprints; a tile holds at most ``tile_rows`` of them, whatever the input.
+
+Wide fingerprints need not be compared with all others: texts without shingles
+in common differ in about half of their bits, and fingerprints within the
+radius stand for texts that weigh most of their shingles alike. Texts then have
+keys, each the shingle that comes first in an order of its own, and only those
+of a common key are compared, again exactly (:func:`keyed_links`).
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, doc_ids, materialize
@@ -29,6 +36,8 @@ SEED = 42
 #: Odd 64-bit constants of the splitmix64 finaliser (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 LANES = np.uint64(0x0101010101010101)
+#: The key of fingerprints that an empty one may be within the radius of; rows of a key that one task compares; up to how many without a pivot.
+LOW, KEY_ROWS, FEW = 0, 1 << 16, 64
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -84,10 +93,36 @@ def _widen(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame:
-    """(doc_id, fp) for every row: ``width`` 64-bit words, big-endian.
+def first_shingles(hashes: np.ndarray, counts: np.ndarray, keys: int) -> np.ndarray:
+    """(runs, keys): for each run of ``counts`` hashes, none of them empty, the hash that comes first in each of ``keys`` orders.
+
+    Two runs have the same first hash in an order as often as they are alike: as
+    sets, their Jaccard similarity. A hash that a run has c times counts for c
+    squared, as it does in the cosine of the runs, which is what bits depend on.
+    """
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, row))
+    row, found = row[order], hashes[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (found[1:] != found[:-1])]
+    times = np.diff(np.r_[np.flatnonzero(new), len(new)])
+    row, found = row[new], found[new]
+    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    again = np.flatnonzero(times > 1)
+    weight = times[again].astype(float) ** 2
+    out = np.zeros((len(counts), keys), np.uint64)
+    for k, factor in enumerate(_widen(np.arange(keys, dtype=np.uint64), 1) | np.uint64(1)):
+        place = (found * factor).astype(float) * 2.0**-64
+        place[again] = -np.expm1(np.log1p(-np.minimum(place[again], 1 - 2.0**-53)) / weight)
+        at = np.flatnonzero(place == np.minimum.reduceat(place, begin)[row])
+        out[row[at], k] = found[at]
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1, keys: int = 0, radius: int = 0) -> DataFrame:
+    """(doc_id, fp) for every row: ``width`` 64-bit words, big-endian; with ``keys``, so many keys besides.
 
-    Null, empty and wordless texts have the fingerprint zero.
+    Null, empty and wordless texts have the fingerprint zero. They have no key
+    but the one that all fingerprints of up to ``radius`` bits have.
     """
 
     def run(batch: dict) -> Iterator[dict]:
@@ -97,6 +132,15 @@ def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame
             hashes, sizes = np.array(found, np.uint64), np.array(counts, np.int64)
             fps = np.stack([majority(_widen(hashes, k), sizes) for k in range(width)], axis=1)
             out = {"doc_id": ids[:], "fp": [row.astype(">u8").tobytes() for row in fps]}
+            if keys:
+                own = [[] for _ in ids]
+                full = np.flatnonzero(sizes)
+                if len(full):
+                    for i, first in zip(full, first_shingles(hashes, sizes[full], keys)):
+                        own[i] = _numbered(first)
+                for i in np.flatnonzero(np.bitwise_count(fps).sum(axis=1, dtype=np.int64) <= radius):
+                    own[i] = [*own[i], LOW]
+                out["keys"] = own
             ids.clear(), found.clear(), counts.clear()
             return out
 
@@ -109,7 +153,12 @@ def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1) -> DataFrame
             yield flush()
 
     doc_id, kind = doc_ids(docs)
-    return by_batch(docs.select(doc_id, F.col("text").cast("string")), run, f"doc_id {kind}, fp binary")
+    return by_batch(docs.select(doc_id, F.col("text").cast("string")), run, f"doc_id {kind}, fp binary" + ", keys array<long>" * bool(keys))
+
+
+def _numbered(first: np.ndarray) -> list[int]:
+    """Keys of the first hashes in each order, other ones for each order."""
+    return (_widen(first, 1) + np.arange(1, len(first) + 1, dtype=np.uint64) * np.uint64(MIX[1])).view(np.int64).tolist()
 
 
 def _close(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -144,19 +193,110 @@ def _forest(keys: list[bytes], left: np.ndarray, right: np.ndarray, radius: int,
     label = np.arange(len(keys))
     shift = 0 if same else len(left)
     for x, y in _close(left, right, radius, same):
-        y = y + shift
-        while True:
-            new = label[x] != label[y]
-            x, y = x[new], y[new]
-            if not len(x):
-                break
-            low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-            np.minimum.at(label, high, low)
-            while (label[label] != label).any():
-                label = label[label]
+        _merge(label, x, y + shift)
     return [(keys[i], keys[r]) for i, r in enumerate(label.tolist()) if i != r]
 
 
+def _merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Give the groups of each ``x`` and ``y`` one label, the least."""
+    while True:
+        new = label[x] != label[y]
+        x, y = x[new], y[new]
+        if not len(x):
+            break
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _small_groups(words: np.ndarray, begin: np.ndarray, size: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs at most ``radius`` bits apart inside each run of ``size`` rows that starts at one of ``begin``."""
+    one, other = np.triu_indices(size, 1)
+    runs = max(1, 200_000 // max(1, len(one)))
+    for i in range(0, len(begin), runs):
+        x, y = ((begin[i : i + runs, None] + side).ravel() for side in (one, other))
+        apart = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+        yield x[apart <= radius], y[apart <= radius]
+
+
+def _large_group(words: np.ndarray, upper: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs at most ``radius`` bits apart that link all rows of one group which such pairs link; of two tiles, if some rows are ``upper``, those across.
+
+    The rows near a pivot are linked by it. A row outside can be near one of them
+    only if it is no farther from the pivot than the farthest of them and the
+    radius, so that groups of near copies are not compared pair by pair.
+    """
+    left, at, misses = np.arange(len(words)), 0, 0
+    while at < len(left) and len(left) > FEW and misses < 32:
+        apart = np.bitwise_count(words[left] ^ words[left[at]]).sum(axis=1, dtype=np.int64)
+        near = apart <= radius
+        if near.sum() < max(2, len(left) // 32):
+            at, misses = at + 1, misses + 1
+            continue
+        own, reach = left[near], radius + apart[near].max()
+        yield own, np.full(len(own), left[at])
+        around = left[~near & (apart <= reach)]
+        for x, y in _close(words[own], words[around], radius, False):
+            yield own[x], around[y]
+        at -= int(near[:at].sum())
+        left = left[~near]
+    one, other = (left[~upper[left]], left[upper[left]]) if upper.any() else (left, left)
+    for x, y in _close(words[one], words[other], radius, not upper.any()):
+        yield one[x], other[y]
+
+
+def keyed_links(classes: DataFrame, radius: int, width: int, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(a, b): links of the distinct fingerprints of ``classes`` (id, fp, keys), a spanning set of those within the radius that have a key in common.
+
+    Keys of the very same rows count as one. A key of over ``key_rows`` rows is
+    cut into tiles, of which each pair is compared in a task of its own.
+    """
+    whole = Window.partitionBy("key")
+    rows = classes.select("id", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(whole))
+    rows = rows.withColumn("first", F.min("id").over(whole)).withColumn("all", F.bit_xor(F.xxhash64("id")).over(whole)).where("n > 1")
+    rows = materialize(rows, "simhash-keys")
+    once = rows.where("id = first").groupBy("n", "first", "all").agg(F.min("key").alias("key")).select("key")
+    tiles = F.ceil(F.col("n") / key_rows).cast("int")
+    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    dealt = rows.join(once, "key").select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    dealt = dealt.select("key", "id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("upper"))
+    dealt = dealt.join(classes.select("id", "fp"), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+
+    def link(ids: np.ndarray, upper: np.ndarray, words: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        label, size = np.arange(len(ids)), np.diff(np.r_[begin, len(ids)])
+        for n in np.unique(size[(size > 1) & (size <= FEW)]):
+            for x, y in _small_groups(words, begin[size == n], int(n), radius):
+                _merge(label, x, y)
+        for at, n in zip(begin[size > FEW], size[size > FEW]):
+            for x, y in _large_group(words[at : at + n], upper[at : at + n], radius):
+                _merge(label, x + at, y + at)
+        far = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Group by group; the last of a batch waits for the next one."""
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([np.asarray(batch.column(c), np.int64) for c in ("key", "lo", "hi")], axis=1)
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, width)
+            new = [group, np.asarray(batch.column("id"), np.int64), batch.column("upper").to_numpy(zero_copy_only=False).astype(bool), fp]
+            held = [[*old, piece] for old, piece in zip(held, new)]
+            begins = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            if not len(begins) and (held[0][0][0] == group[0]).all():
+                continue
+            columns = [np.concatenate(pieces) for pieces in held]
+            begin = np.flatnonzero(np.r_[True, (columns[0][1:] != columns[0][:-1]).any(axis=1)])
+            yield link(*[x[: begin[-1]] for x in columns[1:]], begin[:-1])
+            held = [[x[begin[-1] :]] for x in columns]
+        if len(held[0]):
+            yield link(*map(np.concatenate, held[1:]), np.array([0]))
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
 def links(distinct: DataFrame, radius: int, width: int, tile_rows: int | None = None) -> DataFrame:
     """(a, b): a spanning set of the links between distinct fingerprints ``fp``.
 
@@ -200,7 +340,7 @@ def links(distinct: DataFrame, radius: int, width: int, tile_rows: int | None =
     return flat.groupBy("lo_band", "lo_part", "hi_band", "hi_part").applyInPandas(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 4, radius: int = 51) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 4, radius: int = 51, keys: int = 0) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
     Fingerprints link at ``radius`` or fewer differing bits; the component is
@@ -209,11 +349,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 4, radius: i
     words share the fingerprint zero and are linked like any others. A null
     doc_id stays null and names no component, unless all its members are null.
     Repeated rows come back as often as they came. Other columns are ignored.
+
+    All fingerprints are compared, or, with ``keys``, those that have one of so
+    many keys in common: for wide fingerprints, and radii that only texts reach
+    of which at least half is alike. Such texts have no key in common with a
+    probability of 2 ** -keys.
     """
-    fps = materialize(fingerprints(docs, shingle, width), "simhash-fps")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(classes.select("fp"), radius, width))
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    fps = materialize(fingerprints(docs, shingle, width, keys, radius), "simhash-fps")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), *[F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")] * bool(keys))
+    if keys:
+        classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "simhash-classes")
+        found = keyed_links(classes, radius, width)
+    else:
+        classes = classes.withColumn("id", F.col("fp"))
+        found = links(classes.select("fp"), radius, width)
+    roots = connected_components(found)
+    classes = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "first", F.coalesce("root", "id").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = classes.join(named, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
